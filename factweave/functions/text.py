@@ -29,6 +29,15 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A filter pushed through a projection copies the expression behind each name it mentions. A
+    lambda variable is a value and not an expression, so what is bound here is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(value: Column | str) -> Column:
     """The value as a string, NULL read as empty."""
     return F.coalesce(as_col(value).cast("string"), F.lit(""))
@@ -60,6 +69,11 @@ def fold(value: Column | str) -> Column:
     return F.lower(F.regexp_replace(out, r"[^\x00-\x7F]", ""))
 
 
+def ascii_lower(value: Column | str) -> Column:
+    """Accents dropped and everything else outside ASCII removed, in lower case."""
+    return F.lower(F.regexp_replace(F.translate(text(value), ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+
+
 def _words(folded: Column, pattern: str = "[a-z0-9]+") -> Column:
     return F.regexp_extract_all(folded, F.lit(pattern), F.lit(0))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from . import constants as K
-from .text import as_col, clean, text
+from .text import clean, let, text
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _NETLOC = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)"
@@ -79,17 +79,19 @@ def registered_domain(url: Column | str, suffixes: Iterable[str] = K.TWO_LABEL_S
 
 def canonical_social(url: Column | str) -> Column:
     """``struct(platform, url)`` of a public profile, or NULL for anything that is not one."""
-    h = host(url)
-    parts = segments(url)
+    parsed = F.struct(host(url).alias("host"), segments(url).alias("parts"))
+    return let(parsed, lambda u: _profile(u["host"], u["parts"]))
+
+
+def _profile(h: Column, parts: Column) -> Column:
     first = F.lower(F.get(parts, F.lit(0)))
-    raw_first = F.get(parts, F.lit(0))
+    handle = F.get(parts, F.lit(0)).startswith("@")
     platform = F.lit(None).cast("string")
     for name, label in K.SOCIAL_HOSTS.items():
         platform = F.when((h == name) | h.endswith("." + name), F.lit(label)).otherwise(platform)
     rejected = F.lit(False)
     for label, names in K.SOCIAL_REJECTED_SEGMENTS.items():
         rejected = rejected | ((platform == label) & first.isin(*names))
-    handle = raw_first.startswith("@")
     valid = (
         F.when(platform == "linkedin", (first == "company") & (F.size(parts) >= 2))
         .when(platform == "youtube", (first.isin("channel", "user", "c") | handle) & (h != "youtu.be"))

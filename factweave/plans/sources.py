@@ -107,7 +107,7 @@ def frames(spark, folder):
     book = F.struct(asks.alias("asks"), F.array(F.array(F.lit(0.5), F.lit(5.0))).alias("bids"), F.lit(5.0).alias("minOrderSize"))
     frame = load(spark, folder, "events").select(
         F.concat(F.lit("path_"), F.col("user_id").cast("string")).alias("path"),
-        F.unix_micros("ts").cast("double").alias("timestamp"),
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("timestamp"),
         F.struct(F.lit("m").alias("id"), F.lit(60.0).alias("secondsToClose")).alias("market"),
         F.struct(F.col("value").alias("btcMidUsd")).alias("reference"),
         F.struct(book.alias("YES"), book.alias("NO")).alias("books"),
