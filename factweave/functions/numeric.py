@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from . import constants as K
-from .text import as_col
+from .text import as_col, let
 
 
 def half_up(value: Column | str, places: int = 0) -> Column:
@@ -49,21 +49,42 @@ def side_fees(levels: Column) -> Column:
     return half_up(protocol + 1e-12, 5) + half_up(gross * K.OVERLAY_FEE + 1e-12, 5)
 
 
+# ---- fixed values: Cody's rational approximations of erf and erfc (Math. Comp. 23, 1969) ----
+_ERF_SMALL = (
+    (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+_ERFC_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+     8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+     3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_ERFC_LARGE = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def _fraction(x: Column, table: tuple[tuple[float, ...], tuple[float, ...]]) -> Column:
+    """Ratio of two polynomials, highest power first."""
+    top, bottom = F.lit(table[0][0]), F.lit(table[1][0])
+    for t, b in zip(table[0][1:], table[1][1:]):
+        top, bottom = top * x + t, bottom * x + b
+    return top / bottom
+
+
 def erf(x: Column) -> Column:
-    """Error function to double precision by its all-positive series; beyond 6 it is one."""
-    a = F.least(F.abs(x), F.lit(6.0))
-    steps = F.sequence(F.lit(1), F.lit(130))
-    folded = F.aggregate(
-        steps,
-        F.struct(a.alias("term"), a.alias("total")),
-        lambda acc, n: F.struct(
-            (acc["term"] * 2.0 * a * a / (2 * n + 1)).alias("term"),
-            (acc["total"] + acc["term"] * 2.0 * a * a / (2 * n + 1)).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    value = F.least(F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-a * a) * folded, F.lit(1.0))
-    return F.signum(x) * value
+    """Error function to double precision, as plain arithmetic."""
+
+    def value(v: Column) -> Column:
+        y = F.abs(v)
+        inverse = 1.0 / (y * y)
+        tail = (1.0 / math.sqrt(math.pi) - inverse * _fraction(inverse, _ERFC_LARGE)) / y
+        outer = 1.0 - F.exp(-v * v) * F.when(y <= 4.0, _fraction(y, _ERFC_MIDDLE)).otherwise(tail)
+        return F.when(y <= 0.46875, v * _fraction(v * v, _ERF_SMALL)).when(y >= 6.0, F.signum(v)).otherwise(F.signum(v) * outer)
+
+    return let(x, value)
 
 
 def fair_prob(price: Column, target: Column, seconds: Column, vol: Column) -> Column:

@@ -89,9 +89,10 @@ def classification_report(gold: DataFrame, predictions: DataFrame, min_items: in
         count_where(published & (F.col("source_class") == "company_owned")).alias("company_owned_predictions"),
     )
     m = label_metrics(gold, predictions, check=False)
-    of = lambda label, c: F.coalesce(F.max(F.when(F.col("label") == label, F.col(c))), F.lit(0))
+    of = lambda label, c: F.coalesce(F.max(F.when((F.col("label") == label) & (F.col("support") > 0), F.col(c))), F.lit(0))
     labels = m.agg(
-        F.coalesce(F.avg(F.when(F.col("support") > 0, F.col("f1"))), F.lit(0.0)).alias("macro_f1"),
+        # summed label by label, so that the order of rows cannot touch the last digit
+        ratio(sum((of(v, "f1") for v in K.SENTIMENT_LABELS), F.lit(0.0)), F.count_if(F.col("support") > 0)).alias("macro_f1"),
         of("positive", "precision").alias("__pos"), of("negative", "precision").alias("__neg"), of("mixed", "support").alias("__mixed"),
         (F.count_if(F.col("label").isin("positive", "neutral", "negative") & (F.col("support") > 0)) == 3).alias("required_labels_present"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str | None = None) -> DataFrame:
-    name = rank or "__rank"
+    name = rank or "__pick"
     w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
     return out if rank else out.drop(name)

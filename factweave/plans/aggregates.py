@@ -229,7 +229,8 @@ def label_metrics(spark, folder):
     (SELECT count(*) AS gold_items, count(p.label) AS published_predictions, count(*) FILTER (g.label = p.label) AS correct, count(*) FILTER (p.label IS NOT NULL AND NOT exact_entity) AS wrong_entity_predictions,
     count(*) FILTER (p.label IS NOT NULL AND exact_entity AND source_class IN {K.ROLLUP_SENTIMENT_CLASSES} AND evidence_span <> '') AS evidence_supported_predictions,
     count(*) FILTER (p.label IS NOT NULL AND source_class = 'company_owned') AS company_owned_predictions FROM gold g LEFT JOIN predictions p USING (id)) o,
-    (SELECT avg(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END) FILTER (support > 0) AS macro_f1 FROM per_label) m""").replace("SELECT o.*,", "SELECT o.* EXCLUDE (correct),"),
+    (SELECT (max(f) FILTER (label = 'positive') + max(f) FILTER (label = 'neutral') + max(f) FILTER (label = 'negative') + max(f) FILTER (label = 'mixed')) / 4 AS macro_f1
+    FROM (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f FROM per_label)) m""").replace("SELECT o.*,", "SELECT o.* EXCLUDE (correct),"),
 )
 def classification_report(spark, folder):
     return E.classification_report(gold(spark, folder), predictions(spark, folder))
