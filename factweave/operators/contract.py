@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import as_col, period_label, text
 from . import footprint as P, gates as G, normalise as N
 from .blocks import number_rows
-from .rows import first_per_key, top_per_key, union_all
+from .rows import first_per_key, top_per_key, unfold, union_all
 
 ORG = "organisation_number"
 
@@ -109,7 +109,7 @@ def claims(
     """
     parts: list[DataFrame] = []
     add = lambda df, column: parts.append(df.select(ORG, column.alias("c")).select(ORG, "c.*"))
-    many = lambda df, items: parts.append(df.select(ORG, F.explode(F.array_compact(F.array(*items))).alias("c")).select(ORG, "c.*"))
+    many = lambda df, items: parts.append(unfold(df, [ORG], F.array(*items), "c").select(ORG, "c.*"))
     quote = lambda *bits: F.concat(*[F.lit(b) if isinstance(b, str) else F.coalesce(b.cast("string"), F.lit("None")) for b in bits])
 
     if registry is not None:

@@ -13,7 +13,7 @@ from ..functions.numeric import half_up
 from ..functions.url import host
 from . import gates as G
 from .footprint import _GROUPS, score_facts
-from .rows import top_per_key
+from .rows import top_per_key, unfold
 
 ORG = "organisation_number"
 
@@ -70,15 +70,15 @@ def _breadth(obs: DataFrame) -> DataFrame:
     The score asks whether a union has two hosts or ten reviewers. If a part has more than ten,
     ten of them already answer yes; if it has fewer, all are kept. So the cut loses nothing.
     """
-    o = obs.withColumn("ok", G.publishable()).withColumn("ex", G.experimental()).where("(ok OR ex) AND coalesce(sentiment_label, '') <> ''")
-    reviewer = F.nullif(F.col("reviewer_id"), F.lit(""))
-    items = F.array(
-        F.struct(F.lit("hosts").alias("kind"), F.when(F.col("ok"), host("source_url")).alias("v")),
-        F.struct(F.lit("reviewers").alias("kind"), F.when(F.col("ok"), reviewer).alias("v")),
-        F.struct(F.lit("x_hosts").alias("kind"), F.when(F.col("ex"), host("source_url")).alias("v")),
-        F.struct(F.lit("x_reviewers").alias("kind"), F.when(F.col("ex"), reviewer).alias("v")),
-    )
-    distinct = o.select(ORG, "strategy", F.explode(items).alias("i")).select(ORG, "strategy", "i.kind", "i.v").where("v IS NOT NULL").distinct()
+    o = obs.withColumn("ok", G.publishable()).withColumn("ex", G.experimental())
+    o = o.where("coalesce(sentiment_label, '') <> ''")
+    # distinct combinations first: repeats end in the map tasks, and the flags are computed once
+    seen = o.select(ORG, "strategy", "ok", "ex", host("source_url").alias("host"), F.nullif(F.col("reviewer_id"), F.lit("")).alias("reviewer")).distinct()
+    items = F.array(*[
+        F.when(F.col(on) & F.col(value).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(value).alias("v")))
+        for kind, on, value in (("hosts", "ok", "host"), ("reviewers", "ok", "reviewer"), ("x_hosts", "ex", "host"), ("x_reviewers", "ex", "reviewer"))
+    ])
+    distinct = unfold(seen, [ORG, "strategy"], items, "i").select(ORG, "strategy", "i.kind", "i.v").distinct()
     few = top_per_key(distinct, [ORG, "strategy", "kind"], ["v"], 10)
     return few.groupBy(ORG, "strategy").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in _SETS])
 

@@ -150,7 +150,7 @@ def score_facts(obs: DataFrame, keys: Sequence[str] = (ORG,)) -> DataFrame:
 
 def sentiment_breadth(obs: DataFrame) -> DataFrame:
     """Distinct sentiment hosts and reviewers per entity, strict and experimental."""
-    o = obs.withColumn("ok", G.publishable()).withColumn("ex", G.experimental()).where("(ok OR ex) AND coalesce(sentiment_label, '') <> ''")
+    o = obs.withColumn("ok", G.publishable()).withColumn("ex", G.experimental()).where("coalesce(sentiment_label, '') <> ''")
     reviewer = F.nullif(F.col("reviewer_id"), F.lit(""))
     return o.groupBy(ORG).agg(
         F.count_distinct(F.when(F.col("ok"), host("source_url"))).alias("hosts"),

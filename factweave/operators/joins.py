@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..functions.ids import short_id
 from ..functions.text import as_col, clean, digits, full_name_tokens, text
 from ..functions.url import company_url, homepage
-from .rows import first_per_key, require_empty, require_unique
+from .rows import first_per_key, require_empty, require_unique, unfold
 
 ORG = "organisation_number"
 
@@ -187,16 +187,12 @@ def title_mentions(entities: DataFrame, titles: DataFrame, name: str = "name", t
         fits = F.filter(F.col("__starts"), lambda i: i + (n - 1) <= F.size("__words"))
         return F.transform(fits, lambda i: _run(F.col("__words"), i, n))
 
-    direct = placed.select(key, F.explode(F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3))))).alias("__key"))
-    heads = placed.select(
-        key,
-        F.explode(
-            F.transform(
-                F.filter(F.col("__starts"), lambda i: i + 2 <= F.size("__words")),
-                lambda i: F.struct(i.alias("at"), _run(F.col("__words"), i, 3).alias("run")),
-            )
-        ).alias("h"),
-    ).select(key, F.col("h.at").alias("__at"), F.col("h.run").alias("__key"))
+    direct = unfold(placed, [key], F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3)))), "__key")
+    placed_runs = F.transform(
+        F.filter(F.col("__starts"), lambda i: i + 2 <= F.size("__words")),
+        lambda i: F.struct(i.alias("at"), _run(F.col("__words"), i, 3).alias("run")),
+    )
+    heads = unfold(placed, [key], placed_runs, "h").select(key, F.col("h.at").alias("__at"), F.col("h.run").alias("__key"))
     whole = F.slice(F.col("__words"), F.col("__at"), F.size("__name")) == F.col("__name")
     found_long = heads.join(long, "__key").join(words, key).where(whole).select(ORG, "legal_name", key)
     return direct.join(short, "__key").select(ORG, "legal_name", key).unionByName(found_long).distinct()

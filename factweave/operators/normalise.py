@@ -10,7 +10,7 @@ from ..functions import constants as K
 from ..functions.text import as_col, blank_to_null, clean, digits, squash, text
 from ..functions.url import homepage  # noqa: F401  (re-exported for callers that build queries)
 from ..sources.readers import canonical_json
-from .rows import first_per_key, require_empty
+from .rows import first_per_key, require_empty, unfold
 
 BULK_SOURCE = "https://data.brreg.no/enhetsregisteret/api/enheter/lastned/csv"
 RULE_SOURCE = "https://www.brreg.no/en/submission-of-annual-accounts/"
@@ -274,13 +274,11 @@ def registry_claims(df: DataFrame, source_url: str = BULK_SOURCE) -> DataFrame:
     has = lambda name: F.col(name) if name in df.columns else none
     rows = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("value"), p.alias("reporting_period")) for n, c, p in named])
     base = df.where(F.col("status") == "available") if "status" in df.columns else df
-    return base.select(
-        org.alias("organisation_number"),
-        F.explode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("c"),
-        F.lit(source_url).alias("source_url"),
-        has("retrieved_at").alias("retrieved_at"),
+    keep = [
+        org.alias("organisation_number"), F.lit(source_url).alias("source_url"), has("retrieved_at").alias("retrieved_at"),
         has("content_sha256").alias("content_sha256"),
-    ).select("organisation_number", "c.field", "c.value", "c.reporting_period", F.lit("available").alias("availability"), "source_url", "retrieved_at", "content_sha256")
+    ]
+    return unfold(base, keep, rows, "c").where("c.value IS NOT NULL").select("organisation_number", "c.field", "c.value", "c.reporting_period", F.lit("available").alias("availability"), "source_url", "retrieved_at", "content_sha256")
 
 
 def coverage_flags(profiles: DataFrame, obs: DataFrame) -> DataFrame:

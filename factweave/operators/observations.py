@@ -15,7 +15,7 @@ from ..functions.url import depth, is_news_path
 from . import gates as G
 from .joins import title_mentions
 from .normalise import BULK_SOURCE
-from .rows import first_per_key, top_per_key, union_all
+from .rows import first_per_key, top_per_key, unfold, union_all
 
 ORG = "organisation_number"
 FEED_BASE = "https://pam-stilling-feed.nav.no"
@@ -52,7 +52,7 @@ def observation(**given: Column | str) -> Column:
 def fan_out(df: DataFrame, *items: tuple[Column | None, Column], keys: tuple[str, ...] = (ORG,)) -> DataFrame:
     """Rows of the structs whose condition holds."""
     made = F.array(*[s if on is None else F.when(on, s) for on, s in items])
-    return df.select(*keys, F.explode(F.array_compact(made)).alias("o")).select(*keys, "o.*").select("id", *keys, *FIELDS[1:])
+    return unfold(df, keys, made, "o").select(*keys, "o.*").select("id", *keys, *FIELDS[1:])
 
 
 def _span(value: Column, size: int = 300) -> Column:
@@ -134,8 +134,8 @@ def site_observations(sites: DataFrame) -> DataFrame:
     if "reviews" in sites.columns:
         parts.append(F.transform("reviews", reviewed))
     none = F.array().cast(sites.select(profile.alias("p")).schema["p"].dataType)
-    everything = F.array_compact(F.concat(*[F.coalesce(p, none) for p in parts]))
-    rows = sites.select(ORG, F.explode(everything).alias("o")).select(ORG, "o.*").select("id", ORG, *FIELDS[1:])
+    everything = F.concat(*[F.coalesce(p, none) for p in parts])
+    rows = unfold(sites, [ORG], everything, "o").select(ORG, "o.*").select("id", ORG, *FIELDS[1:])
     return rows.where(G.publishable())
 
 
@@ -396,7 +396,7 @@ def plan_tasks(profiles: DataFrame) -> DataFrame:
     tasks = F.concat(fixed, social, F.coalesce(search, empty))
     from ..functions.ids import short_id
 
-    rows = profiles.where((text(ORG) != "") & (text("name") != "")).select(ORG, "name", text("municipality").alias("municipality"), F.explode(tasks).alias("t")).select(ORG, "name", "municipality", "t.*")
+    rows = unfold(profiles.where((text(ORG) != "") & (text("name") != "")), [ORG, "name", text("municipality").alias("municipality")], tasks, "t").select(ORG, "name", "municipality", "t.*")
     return rows.withColumn("task_id", short_id(ORG, "name", "municipality", "connector", "purpose", "candidate_url")).withColumn("state", F.lit("pending"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.numeric import ratio
 from .evaluate import change_recall
 from .joins import aligned
+from .rows import unfold
 
 ORG = "organisation_number"
 
@@ -45,7 +46,7 @@ def diff(old: DataFrame, new: DataFrame, fields: Mapping[str, str] | Sequence[st
             meta("o", field, "content_sha256").alias("old_content_sha256"), meta("n", field, "content_sha256").alias("new_content_sha256"),
         )
         items.append(F.when(~before.eqNullSafe(after), change))
-    return both.select(ORG, F.explode(F.array_compact(F.array(*items))).alias("c")).select(ORG, "c.*")
+    return unfold(both, [ORG], F.array(*items), "c").select(ORG, "c.*")
 
 
 def diff_in_order(old: DataFrame, new: DataFrame, fields: Mapping[str, str] | Sequence[str], check: bool = True) -> DataFrame:

@@ -24,6 +24,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return top_per_key(df, keys, order, 1)
 
 
+def unfold(df: DataFrame, keep: Sequence[Column | str], array: Column, name: str) -> DataFrame:
+    """Rows of an array's elements, NULL elements left out.
+
+    The outer explode matters: for a plain one the optimiser adds a filter that computes the whole
+    array a second time before it is exploded.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     """Union by column name; a column some frames lack is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

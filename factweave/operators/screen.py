@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import text
 from .feed import latest_record
-from .rows import top_per_key, union_all
+from .rows import top_per_key, unfold, union_all
 
 ORG = "organisation_number"
 
@@ -147,7 +147,7 @@ def _facts(df: DataFrame, topic: str, module: str, rows: Sequence[tuple[str | Co
         for label, v, kind in rows
     ])
     source = [F.col(f"{module}_{c}").alias(c) if provenance else F.col(c) for c in ("source_url", "retrieved_at", "content_sha256")]
-    return df.select(ORG, F.lit(topic).alias("topic"), F.explode(F.array_compact(made)).alias("f"), *source).select(ORG, "topic", "f.*", "source_url", "retrieved_at", "content_sha256")
+    return unfold(df, [ORG, F.lit(topic).alias("topic"), *source], made, "f").select(ORG, "topic", "f.*", "source_url", "retrieved_at", "content_sha256")
 
 
 def facts(profiles: DataFrame, roles: DataFrame | None = None, locations: DataFrame | None = None, site_items: DataFrame | None = None, workforce: DataFrame | None = None, cap: int = 12) -> DataFrame:
