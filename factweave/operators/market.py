@@ -49,23 +49,40 @@ def _fits(book: Column, shares: Column, ceiling: Column) -> Column:
     return let(walk(book, shares), lambda q: F.coalesce(q["gross"] + q["fees"] <= ceiling + EPS, F.lit(False)))
 
 
+def _largest_fit(book: Column, low: Column, high: Column, ceiling: Column) -> Column:
+    """Largest whole n in [low, high] whose fill fits the ceiling, NULL if none does.
+
+    Cost grows with n and an unfillable n stays so, so halving finds it in a few walks.
+    """
+    span = F.struct((low - 1).cast("int").alias("good"), (high + 1).cast("int").alias("bad"))
+    rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.greatest(high - low + 2, F.lit(2)))).cast("int"), F.lit(1)))
+
+    def halve(acc: Column, _: Column) -> Column:
+        def pick(mid: Column) -> Column:
+            inside = (mid > acc["good"]) & (mid < acc["bad"])
+            fits = F.when(inside, _fits(book, mid, ceiling))
+            return F.struct(F.when(fits, mid).otherwise(acc["good"]).alias("good"), F.when(inside & ~fits, mid).otherwise(acc["bad"]).alias("bad"))
+
+        return let(F.floor((acc["good"] + acc["bad"]) / 2).cast("int"), pick)
+
+    return F.when(low <= high, F.aggregate(rounds, span, halve, lambda acc: F.when(acc["good"] >= low, acc["good"])))
+
+
 def size_to_cap(book: Column, cash: Column, max_cash: Column, min_order: Column, buffer: float = 0.01) -> Column:
     """Largest whole number of shares whose cost and fees fit the cap; below the minimum order, none."""
     ceiling = F.least(cash, max_cash) - max(0.0, buffer)
     best = F.get(book, F.lit(0))["price"]
-    top = F.floor(ceiling / best).cast("int") + 1
-    fitting = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda n: _fits(book, n, ceiling)))
-    usable = (F.size(book) > 0) & (ceiling > 0) & fitting.isNotNull() & ((min_order <= 0) | (fitting >= min_order))
-    return F.when(usable, fitting.cast("double")).otherwise(0.0)
+    usable = (F.size(book) > 0) & (ceiling > 0)
+    found = _largest_fit(book, F.lit(1), F.when(usable, F.floor(ceiling / best).cast("int") + 1), ceiling)
+    return let(found, lambda n: F.when(n.isNotNull() & ((min_order <= 0) | (n >= min_order)), n.cast("double")).otherwise(0.0))
 
 
 def target_size(book: Column, target: float, cash: Column, max_cash: Column, min_order: Column) -> Column:
     """The target, or the largest whole number below it that fits; none if the book cannot fill the target."""
     ceiling = F.least(cash, max_cash)
     wanted = F.greatest(F.lit(float(target)), min_order)
-    floor_ = F.greatest(F.ceil(F.greatest(min_order, F.lit(1.0))), F.lit(1)).cast("int")
-    below = F.floor(wanted).cast("int")
-    shrunk = F.array_max(F.filter(F.when(below >= floor_, F.sequence(floor_, below)), lambda n: _fits(book, n, ceiling)))
+    lowest = F.ceil(F.greatest(min_order, F.lit(1.0))).cast("int")
+    shrunk = _largest_fit(book, lowest, F.floor(wanted).cast("int"), ceiling)
     return F.when(walk(book, wanted).isNull(), 0.0).when(_fits(book, wanted, ceiling), wanted).otherwise(F.coalesce(shrunk.cast("double"), F.lit(0.0)))
 
 
@@ -127,13 +144,14 @@ def realized_vol(ticks: DataFrame, seconds: int = K.VOL_WINDOW_SECONDS, min_samp
     dt = F.col("ts") - F.lag("ts").over(block)
     before = F.lag("price").over(block)
     squared = F.when((dt > 0) & (before > 0), F.pow(F.ln(F.col("price") / before), 2) / dt)
-    cut = cut.withColumn("ts", F.col("ts").cast("double")).withColumn("__r", squared).withColumn("__lag_ts", F.lag("ts").over(block))
+    cut = cut.withColumn("ts", F.col("ts").cast("double")).withColumn("__r", squared)
     # the first row of the frame pairs with one outside it: that pair is taken off again
     first = F.first("__r").over(span)
     total = F.coalesce(F.sum("__r").over(span), F.lit(0.0)) - F.coalesce(first, F.lit(0.0))
     pairs = F.count("__r").over(span) - F.when(first.isNotNull(), 1).otherwise(0)
-    sigma = F.sqrt(F.greatest(total, F.lit(0.0)) / F.col("__pairs")) * (float(K.SECONDS_PER_YEAR) ** 0.5)
+    # all windows run before the context rows are dropped
     out = cut.withColumn("__total", total).withColumn("__pairs", pairs).withColumn("__samples", F.count("*").over(span))
+    sigma = F.sqrt(F.greatest(F.col("__total"), F.lit(0.0)) / F.col("__pairs")) * (float(K.SECONDS_PER_YEAR) ** 0.5)
     vol = F.when((F.col("__samples") >= min_samples) & (F.col("__pairs") > 0), F.least(F.greatest(sigma, F.lit(K.VOL_FLOOR)), F.lit(K.VOL_CAP)))
     return out.where("__home").withColumn("vol", vol).select(*ticks.columns, "vol")
 

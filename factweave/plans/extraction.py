@@ -10,7 +10,7 @@ from . import base
 from .catalog import load, query
 
 ORG = "organisation_number"
-_UN = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&')"
+_UN = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
 _SQUASH = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _TEXT = _SQUASH.format(_UN.format("regexp_replace({}, '<[^>]*>', ' ', 'g')"))
 

@@ -62,9 +62,6 @@ def book_walk(spark, folder):
     return books(spark, folder).select("l_orderkey", F.round(q["gross"], 6).alias("gross"), q["fees"].alias("fees"))
 
 
-_COST = "(SELECT sum(take * price) + floor((sum(0.07 * take * price * (1 - price)) + 1e-12) * 1e5 + 0.5) / 1e5 + floor((sum(take * price) * 0.01 + 1e-12) * 1e5 + 0.5) / 1e5 AS cost, sum(take) AS filled"
-
-
 @query(
     "mkt_03_size_to_cap",
     base.oracle("levels", """WITH l AS (SELECT l_orderkey, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size, CAST(sum(size) OVER (PARTITION BY l_orderkey ORDER BY price) - size AS DOUBLE) AS before FROM levels),
@@ -236,7 +233,7 @@ def cycles(spark, folder):
     FROM (SELECT event_id, value + 1 AS value FROM events)""",
 )
 def position_reader(spark, folder):
-    v = F.format_string("%.10f", F.col("value") + 1)
+    v = (F.col("value") + 1).cast("string")
     k = F.col("event_id") % 5
     raw = (
         F.when(k == 0, '{"outcome":"yes","shares":"5","costUsd":3.1}').when(k == 1, F.concat(F.lit('{"direction":"BUY NO","quantity":'), v, F.lit(',"buy_gross_usd":'), v, F.lit(',"fees_usd":0.25}')))
