@@ -122,6 +122,14 @@ def apply_seeds(profiles: DataFrame, seeds: DataFrame, check: bool = True) -> Da
     )
 
 
+def seed_errors(seeds: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Seeds that may not be applied, with the reason."""
+    known = profiles.select(ORG).distinct().withColumn("__known", F.lit(True))
+    absolute = lambda c: clean(c).rlike("^https?://")
+    reason = F.when(F.col("__known").isNull(), "unknown organisation").when(~absolute("website") | ~absolute("proof_url"), "website and proof_url must be absolute")
+    return seeds.join(known, ORG, "left").select(ORG, reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def reviewed_observations(config: DataFrame, profiles: DataFrame, retrieved_at: str, check: bool = True) -> DataFrame:
     """Observations from hand-reviewed sources, ids derived from what they state."""
     if check:

@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the catalog."""
 
 from .catalog import ORACLES, QUERIES
-from . import sources, projections, gates, joins, identity, aggregates, ranking, scalars, extraction, market, builders  # noqa: F401
+from . import sources, projections, gates, joins, identity, aggregates, ranking, scalars, extraction, market, builders, contracts, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
