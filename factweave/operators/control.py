@@ -13,7 +13,7 @@ from ..functions.numeric import half_up
 from ..functions.url import host
 from . import gates as G
 from .footprint import _GROUPS, score_facts
-from .rows import top_per_key, unfold
+from .rows import beside, top_per_key, unfold
 
 ORG = "organisation_number"
 
@@ -41,7 +41,7 @@ def strategy_order(history: DataFrame) -> DataFrame:
     # the exact decimal mean keeps the order the same on any partitioning
     per = history.groupBy("strategy").agg(F.count("*").alias("runs"), F.avg(_gain().cast("decimal(18,6)")).cast("double").alias("mean"))
     total = per.agg(F.greatest(F.coalesce(F.sum("runs"), F.lit(0)), F.lit(1)).alias("total"))
-    joined = catalogue.join(per, "strategy", "left").crossJoin(total)  # eighteen rows and one row
+    joined = beside(catalogue.join(per, "strategy", "left"), total)
     bonus = F.sqrt(F.ln(F.col("total") + 1) / (F.coalesce("runs", F.lit(0)) + 1))
     ranked = joined.withColumn("priority", F.coalesce("mean", F.lit(0.0)) + 0.35 * bonus)
     place = F.row_number().over(Window.orderBy(F.col("priority").desc(), "place"))

@@ -7,15 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
 from ..functions.numeric import capped, half_up, ratio
 from ..functions.text import text
-from ..functions.url import host
 from . import gates as G
-from .footprint import any_where, count_where
+from .footprint import count_where
 from .joins import audit_join, gold_join
+from .rows import beside
 
 ORG = "organisation_number"
 
@@ -39,7 +39,7 @@ def audit_report(obs: DataFrame, labels: DataFrame, min_audit: int = 100, check:
     )
     size = labels.agg(F.count("*").alias("label_count"))
     n = F.col("published_audited")
-    out = counts.crossJoin(size)  # two one-row frames
+    out = beside(counts, size)
     out = (
         out.withColumn("entity_precision", ratio(n - F.col("wrong_entity_publications"), n))
         .withColumn("metric_precision", ratio(n - F.col("wrong_metric_publications"), n))
@@ -98,7 +98,7 @@ def classification_report(gold: DataFrame, predictions: DataFrame, min_items: in
     )
     n, pub = F.col("gold_items"), F.col("published_predictions")
     out = (
-        overall.crossJoin(labels)  # two one-row frames
+        beside(overall, labels)
         .withColumn("accuracy", ratio(F.col("correct"), n, None))
         .withColumn("exact_entity_precision", ratio(pub - F.col("wrong_entity_predictions"), pub, None))
         .withColumn("evidence_support_rate", ratio(F.col("evidence_supported_predictions"), pub, None))
@@ -138,7 +138,7 @@ def batch_checks(envelopes: DataFrame, modules: DataFrame, expected: int) -> Dat
     )
     m = modules.agg(count_where(~F.coalesce(F.col("state").isin(*K.TERMINAL_STATES), F.lit(False))).alias("invalid_states"))
     out = (
-        e.crossJoin(m)  # two one-row frames
+        beside(e, m)
         .withColumn("exact_expected_count", F.col("emitted") == expected)
         .withColumn("unique_organisation_numbers", F.col("emitted") == F.col("entities"))
         .withColumn("all_module_states_terminal", F.col("invalid_states") == 0)
@@ -218,7 +218,7 @@ def scorecard(ratios: DataFrame, coverage: DataFrame, audit: DataFrame, facts: M
     p95_ms, ux_score, ux_external.
     """
     f = {k: F.lit(v) for k, v in facts.items()}
-    row = ratios.crossJoin(coverage.drop("profiles")).crossJoin(audit)  # one-row frames
+    row = beside(ratios, coverage.drop("profiles"), audit)
     qualified = F.col("qualification_passed")
     zero_wrong = (F.col("wrong_entity_publications") == 0) & (F.col("published_audited") > 0)
     supported = (F.col("unsupported_publications") == 0) & (F.col("published_audited") > 0)
@@ -289,10 +289,3 @@ def overlap(a: DataFrame, b: DataFrame, key: str = ORG) -> DataFrame:
         F.count("__a").alias("left_size"), F.count("__b").alias("right_size"),
         count_where(F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("overlap"),
     )
-
-
-def host_of(url: Column | str) -> Column:
-    return host(url)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["any_where"]

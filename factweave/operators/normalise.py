@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
-from ..functions.text import as_col, blank_to_null, clean, digits, squash, text
-from ..functions.url import homepage  # noqa: F401  (re-exported for callers that build queries)
+from ..functions.text import as_col, blank_to_null, digits, squash, text
 from ..sources.readers import canonical_json
-from .rows import first_per_key, require_empty, unfold
+from .rows import require_empty, top_per_key, unfold
 
 BULK_SOURCE = "https://data.brreg.no/enhetsregisteret/api/enheter/lastned/csv"
 RULE_SOURCE = "https://www.brreg.no/en/submission-of-annual-accounts/"
@@ -477,14 +476,9 @@ def entity_card(profiles: DataFrame, obs: DataFrame, items: int = 10) -> DataFra
 
 def card_items(obs: DataFrame, signal: str, items: int = 10) -> DataFrame:
     """First posts or jobs of each entity's network page, as the card lists them."""
-    from .rows import top_per_key
-
     chosen = obs.where((F.col("platform") == "linkedin") & (F.col("signal_type") == signal) & F.col("exact_entity"))
     return top_per_key(chosen, ["organisation_number"], ["retrieved_at", "id"], items, "position")
 
 
 def check_known(orgs: DataFrame, profiles: DataFrame, message: str) -> None:
     require_empty(orgs.join(profiles.select("organisation_number"), "organisation_number", "left_anti"), message, "organisation_number")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["clean", "first_per_key"]

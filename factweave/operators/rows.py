@@ -38,6 +38,12 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def beside(*reports: DataFrame) -> DataFrame:
+    """One-row reports side by side, joined on a constant."""
+    keyed = [r.withColumn("__one", F.lit(1)) for r in reports]
+    return reduce(lambda a, b: a.join(b, "__one"), keyed).drop("__one")
+
+
 def require_empty(bad: DataFrame, message: str, column: str) -> None:
     """Raise with a few sample values if ``bad`` has rows."""
     sample = [row[0] for row in bad.select(column).limit(5).collect()]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import text
 from .feed import latest_record
-from .rows import top_per_key, unfold, union_all
+from .rows import beside, top_per_key, unfold, union_all
 
 ORG = "organisation_number"
 
@@ -255,7 +255,7 @@ def suite_points(evaluated: DataFrame, plans: DataFrame, single_supported: bool,
     screens = evaluated.agg(
         F.avg(F.col("exact_membership_and_order").cast("double")).alias("screen_rate"), F.min("citations_complete").alias("export")
     )
-    row = screens.crossJoin(plan_rate)  # two one-row frames
+    row = beside(screens, plan_rate)
     parts = {
         "cited_single_company_qa": F.lit(4.0 if single_supported else 0.0), "cross_company_screening": 3 * F.col("screen_rate"),
         "exact_inspectable_filters": 2 * F.col("plan_rate"), "unsupported_abstention": F.lit(1.0 if abstained else 0.0),
