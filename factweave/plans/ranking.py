@@ -213,7 +213,7 @@ def strategy_order(spark, folder):
 
 @query("win_14_adaptive_control")
 def adaptive_control(spark, folder):
-    """Rounds of the controller; sequential by nature, so tests hold it against a plain replay."""
+    """Rounds of the controller; sequential by nature. Its end state has SQL below, its rounds have tests."""
     return control.run_control(score_profiles(spark, folder), base.observations(spark, folder))
 
 
