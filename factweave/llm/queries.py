@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, packing, pii
+from . import chat, minhash, packing, pii, pivots
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+@query
+def op5_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors of one label at cosine 0.98."""
+    return pivots.near_vectors(table(spark, folder, "embeddings"), threshold=0.98)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public tokenizer's file lies; the vocabulary is no part of this repository."""
     import public_tokenizers
