@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, packing, pii, pivots
+from . import chat, minhash, packing, pii, pivots, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data and disclosing terms of all documents."""
     return pii.digests(pii.personal_data(table(spark, folder, "documents")))
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels outside the held-out third."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), threshold=0.7)
