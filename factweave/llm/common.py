@@ -127,10 +127,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out.select(F.col("v").alias("id"), F.col("root").alias("component"))
 
 
-def stars(pairs: DataFrame, rows: DataFrame, key: str, chunk: int = 1000) -> DataFrame:
+def stars(pairs: DataFrame, rows: DataFrame, key: str, *order: str, chunk: int = 1000) -> DataFrame:
     """Rows of centres and members, dealt so that a task streams a centre's row before its members.
 
-    pairs: (c, m). rows: key and payload columns, one row a key. A centre with many members is
+    pairs: (c, m). rows: key and payload columns; of several rows of a key, order gives their order. A centre with many members is
     dealt over several groups of about chunk members, each with its own copy of the centre's row;
     no group is gathered. Returns c, part, side (0 centre, 1 member), key and payload, partitioned
     by (c, part) and sorted by (c, part, side, key).
@@ -139,4 +139,26 @@ def stars(pairs: DataFrame, rows: DataFrame, key: str, chunk: int = 1000) -> Dat
     parts = pairs.groupBy("c").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("n"))
     member = pairs.join(parts, "c").select("c", F.pmod(F.xxhash64("m"), F.col("n")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("m").alias(key))
     centre = parts.select("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")).select("c", "part", F.lit(0).alias("side"), F.col("c").alias(key))
-    return member.unionByName(centre).join(rows, key).repartition("c", "part").sortWithinPartitions("c", "part", "side", key)
+    return member.unionByName(centre).join(rows, key).repartition("c", "part").sortWithinPartitions("c", "part", "side", key, *order)
+
+
+#: Bits of the filters that workers get: 2 MB, whatever the input.
+FILTER_BITS = 24
+
+
+def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of 2**bits bits over the long column hash, two bits of it each. What it lets
+    through by chance, a join drops later; only its fixed size is collected and broadcast."""
+    places = [F.call_function("shiftrightunsigned", "hash", F.lit(k * bits)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) for k in range(2)]
+    each = hashes.select(F.explode(F.array(*places)).alias("bit"))
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")))
+    rows = each.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(mask.alias("b")).toPandas()  # 2**(bits - 6) rows at most
+    table = np.zeros((1 << bits) // 64, np.uint64)
+    table[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
+def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes the filter lets through."""
+    bits, mask = np.uint64(len(table).bit_length() - 1), np.uint64(len(table) - 1)
+    return table[(hashes & mask).astype(np.int64)] & table[(hashes >> bits & mask).astype(np.int64)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, stored
+from .common import bit_table, map_batches, passes, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Patterns of the formal identifiers. The mail pattern is the part from @ on; what stands
@@ -33,7 +33,6 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words, as terms: letters, digits and what joins them.
 _TERM = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_FILTER_BITS = 24
 
 
 def _luhn(digits: str) -> bool:
@@ -127,16 +126,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
 
 
-def _filter(terms: DataFrame) -> np.ndarray:
-    """A bit table of fixed size (2 MB) of the hashes of terms: one bit each."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(1 << _FILTER_BITS))
-    words = terms.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("b"))
-    table = np.zeros((1 << _FILTER_BITS) // 64, np.uint64)
-    rows = words.toPandas()  # at most 2**18 rows, whatever the corpus
-    table[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
-    return table
-
-
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, docs): in how many rows of the corpus each of the terms stands.
 
@@ -144,18 +133,17 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     sends the sums; the join with terms drops what the table let through by chance.
     """
     maybe = stored(terms.select("term").distinct(), "terms")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(maybe))
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(maybe.select(F.xxhash64("term").alias("hash")))))
 
     def make():
-        table, memo = bits.value, {}
+        table, memo = np.unpackbits(bits.value).view(bool), {}
 
         def known(term: str) -> bool:
             got = memo.get(term)
             if got is None:
                 if len(memo) > 1 << 20:
                     memo.clear()
-                h = _spark_hash(term)
-                got = memo[term] = bool((int(table[h >> 6]) >> (h & 63)) & 1)
+                got = memo[term] = bool(passes(table, np.array([xxhash.xxh64_intdigest(term.encode(), 42)], np.uint64))[0])  # as xxhash64() gives it
             return got
 
         def run(batch: pa.RecordBatch) -> dict:
@@ -171,11 +159,6 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return part.groupBy("term").agg(F.sum("n").alias("docs")).join(maybe, "term", "left_semi")
 
 
-def _spark_hash(term: str) -> int:
-    """The place in the bit table, as xxhash64() gives it."""
-    return xxhash.xxh64_intdigest(term.encode(), 42) & ((1 << _FILTER_BITS) - 1)
-
-
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, generalise: float) -> DataFrame:
     """(entity, term, share): terms whose share of disclosure reaches generalise."""
     each = found.select("doc_id", "h", F.explode("entities").alias("e")).select("doc_id", "h", "e.*")

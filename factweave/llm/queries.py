@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, minhash, packing, pii, pivots, toxicity
+from . import chat, decontam, linedup, minhash, packing, pii, pivots, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,15 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) m USING (doc_id)"""
 
 
+@query
+def op3_linedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the blocks that earlier documents have: what went, and what is left."""
+    left = linedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.transform("cuts", lambda c: F.concat_ws(":", c["start"], c["end"]))
+    gone = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + c["end"] - c["start"])
+    return left.select("doc_id", F.size("cuts").cast("long").alias("n_cuts"), gone.alias("cut_chars"), F.array_join(spans, ",").alias("cuts"), F.length("text").cast("long").alias("left_chars"), F.sha2("text", 256).alias("left_sha256"))
+
+
 @query
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are made of marks, replayed, rendered and read back."""
@@ -91,3 +100,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out third."""
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), threshold=0.7)
+
+
+@query
+def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item, under substitutions."""
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("h")

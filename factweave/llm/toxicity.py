@@ -13,6 +13,7 @@ none). Other columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -302,3 +303,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, modulus: int =
     """doc_id, held_out, score, predicted of every row; reads the documents once, without a shuffle."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(modulus) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return _scored(rows, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs whose score is under the threshold, with all their columns."""
+    plain = ([(t.text, t.stem, t.edits) for t in model.terms], model.weights, model.coefficients, model.window)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)  # bounded by the lexicon's size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weights, coefficients, window = shared.value
+        hits = Hits([Term(*t) for t in terms])
+        for batch in batches:
+            texts = batch["__text"].to_pylist()
+            if texts:
+                z = np.array([[*features(t, hits, weights, window), 1.0] for t in texts]) @ coefficients
+                good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold
+                yield batch.filter(pa.array(good)).drop_columns(["__text"])
+
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
