@@ -13,7 +13,7 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ _SCATTER = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
 _ORDER = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 #: Elements of one block of the shifted permutation; keeps it in the processor's cache.
 _BLOCK = 1 << 17
+#: Columns of the 0/1 matrices that are multiplied at a time.
+_COLUMNS = 1 << 13
 
 
 def _permute(x: np.ndarray, factors: tuple[np.uint32, np.uint32]) -> np.ndarray:
@@ -55,41 +57,36 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, cls (128-bit hash of the set; null if empty), band
-    hashes, and 128 one-bit coordinates as two longs."""
+    """doc_id, h (hash of the text), n_shingles, cls (128-bit hash of the set; null if empty) and band hashes."""
 
     def make():
-        memo, size = WordHashes(), max(128, bands * rows)
+        memo = WordHashes()
 
         def run(batch: pa.RecordBatch) -> dict:
-            n, cls, band, lo, hi = [], [], [], [], []
+            n, cls, band = [], [], []
             for text in as_bytes(batch["text"]):
                 items = shingles(memo.of(text.lower().split()), words) if text else ()
                 n.append(len(items))
                 if not len(items):
-                    for x in (cls, band, lo, hi):
-                        x.append(None)
+                    cls.append(None)
+                    band.append(None)
                     continue
                 cls.append(xxhash.xxh3_128_digest(items.tobytes()))
-                sig = signature(items, size)
                 keys = np.empty((bands, rows + 1), np.uint32)
-                keys[:, 0], keys[:, 1:] = np.arange(bands), sig[: bands * rows].reshape(bands, rows)
+                keys[:, 0], keys[:, 1:] = np.arange(bands), signature(items, bands * rows).reshape(bands, rows)
                 band.append([xxhash.xxh3_64_intdigest(k.tobytes()) - (1 << 63) for k in keys])
-                bits = np.packbits((sig[:128] & np.uint32(1)).astype(bool)).view(np.int64)
-                lo.append(int(bits[0]))
-                hi.append(int(bits[1]))
-            return {"doc_id": batch["doc_id"], "h": batch["h"], "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "bands": pa.array(band, pa.list_(pa.int64())), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())}
+            return {"doc_id": batch["doc_id"], "h": batch["h"], "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "bands": pa.array(band, pa.list_(pa.int64()))}
 
         return run
 
-    return map_batches(_rows(docs), make, "doc_id long, h long, n_shingles long, cls binary, bands array<long>, lo long, hi long")
+    return map_batches(_rows(docs), make, "doc_id long, h long, n_shingles long, cls binary, bands array<long>")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _centred(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (c, m) whose full shingle sets reach the similarity, as (a, b)."""
     rows = stars(pairs, texts, "rep").select("c", "side", "rep", "text")
 
@@ -116,58 +113,108 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return map_batches(rows, make, "a long, b long")
 
 
-def _apart(met: DataFrame, group: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (c, m) of classes that share a bucket, were not compared with each other as head and
-    member, lie in different components and may be alike by their one-bit coordinates.
-
-    In a bucket, only the members outside its largest component are paired with the others. With
-    best, each of them keeps the most alike class of each other component.
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a block of sets: a product of 0/1 matrices, some columns at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    n = int(shared.sum())
+    for first in range(0, n, _COLUMNS):
+        a, b = np.searchsorted(column, (first, first + _COLUMNS))
+        part = np.zeros((len(sets), min(_COLUMNS, n - first)), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out  # exact below 2**24
+
+
+def _blocks(groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is alike within each group (component, i, j) of rep, text.
+
+    A group has a bounded number of texts; it is the unit of work, and only links that join its parts
+    are returned, so a group of n alike texts gives n - 1 rows.
     """
-    has = met.join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).where("rep <> c").select("band", "rep", "component", "lo", "hi")
-    sizes = has.groupBy("band", "component").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("main")).where("k > 1").select("band", "main")
-    has = has.join(open_, "band")
-    few = has.where("component <> main").select("band", *(F.col(x).alias(f"{x}2") for x in ("rep", "component", "lo", "hi")))
-    unlike = (100 - percent) / 200
-    limit = math.ceil(128 * unlike + 7 * math.sqrt(128 * unlike * (1 - unlike)))
-    off = F.expr("bit_count(lo ^ lo2) + bit_count(hi ^ hi2)")
-    pairs = has.join(few, "band").where((F.col("component") != F.col("component2")) & (off <= limit))
-    if best:
-        return pairs.groupBy(F.col("rep2").alias("m"), "component").agg(F.min_by("rep", F.struct(off, "rep")).alias("c")).select("c", "m")
-    return pairs.select(F.least("rep", "rep2").alias("c"), F.greatest("rep", "rep2").alias("m")).distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
+    dealt = groups.select("component", "i", "j", "rep", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
+
+    def linked(reps: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        both = overlaps(sets)
+        size = np.diag(both)
+        alike = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        root, last = np.arange(len(reps)), None
+        while last is None or (root != last).any():
+            last = root
+            root = np.minimum(root, np.where(alike, root[None, :], len(reps)).min(axis=1))
+        at = np.flatnonzero(root != np.arange(len(reps)))
+        return [reps[r] for r in root[at]], [reps[i] for i in at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, key, reps, sets = WordHashes(), None, [], []
+        a, b = [], []
+        for batch in batches:
+            for c, i, j, rep, text in zip(*(batch[k].to_pylist() for k in range(4)), as_bytes(batch["text"])):
+                if key != (c, i, j):
+                    if len(reps) > 1:
+                        for out, x in zip((a, b), linked(reps, sets)):
+                            out += x
+                    key, reps, sets = (c, i, j), [], []
+                if not reps or reps[-1] != rep:  # a text may be on both sides of a group
+                    reps.append(rep)
+                    sets.append(shingles(memo.of(text.lower().split()), words))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a, b = [], []
+        if len(reps) > 1:
+            a, b = linked(reps, sets)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept, a row per row.
 
     docs: doc_id (integer), text. Links: 100 * |intersection| >= percent * |union| of the distinct
     shingles. A pair at similarity s is a candidate with probability 1 - (1 - s**rows)**bands: with 25
     bands of 5 rows 0.99995 at 0.8 and 0.9999995 at 0.85.
 
-    Equal sets are one class, and only classes are compared. Within a bucket, each class is compared
-    with the bucket's smallest one, which is linear in the bucket. What that leaves apart, two classes
-    of a bucket in different components, is compared in two further rounds: first each class with the
-    most alike class of each other component it meets, then all pairs that are still apart. So no link
-    between components is lost, and none within a component is needed.
+    Equal sets are one class, and only classes are compared. Each class of a bucket is tied to the
+    bucket's smallest class, and what hangs together is a cluster: every candidate pair lies in one.
+    Clusters of up to two blocks are verified as they are. In a larger one, all texts are first compared
+    with one centre; the pairs left are those with a text unlike the centre, and they are verified in
+    groups of a block of such texts and a block of the cluster. Sets are only ever compared in full.
     """
     made = stored(sketches(docs, words, bands, rows), "minhash")
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
-    cls = made.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "h", "bands", "lo", "hi"), F.struct(last, "h")).alias("s"))
+    cls = made.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "h", "bands"), F.struct(last, "h")).alias("s"))
     cls = stored(cls.select("cls", F.xxhash64("cls").alias("rep"), "low", "s.*"), "classes")
-    buckets = cls.select("rep", "lo", "hi", last.alias("key"), F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min_by("rep", F.struct("key", "rep")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", "c")
-    met = stored(buckets.drop("key").join(heads, "band"), "buckets")
-    needed = cls.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("doc_id").alias("id"), F.col("h").alias("th"))
+    buckets = cls.select("rep", F.explode("bands").alias("band"))
+    heads = buckets.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    cluster = components(buckets.join(heads, "band").where("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    cluster = stored(cluster.withColumnRenamed("id", "rep"), "clusters")
+    sizes = cluster.groupBy("component").agg(F.count("*").alias("n"))
+    needed = cls.join(cluster.join(sizes, "component"), "rep").select("rep", "component", "n", F.col("doc_id").alias("id"), F.col("h").alias("th"))
     text = _rows(docs).where("text IS NOT NULL")
-    texts = stored(text.join(needed, (text.h == needed.th) & text.doc_id.eqNullSafe(needed.id)).select("rep", "text").dropDuplicates(["rep"]), "texts")
-    links = stored(_confirmed(met.where("c <> rep").select("c", F.col("rep").alias("m")), texts, words, percent), "links")
+    texts = stored(text.join(needed, (text.h == needed.th) & text.doc_id.eqNullSafe(needed.id)).select("rep", "component", "n", "text").dropDuplicates(["rep"]), "texts")
+    none = F.lit(0)
+    small = texts.where(F.col("n") <= 2 * block).select("component", none.alias("i"), none.alias("j"), "rep", "text")
+    large = texts.where(F.col("n") > 2 * block)
+    if large.isEmpty():
+        links = stored(_blocks(small, words, percent), "links")
+    else:
+        first = stored(_centred(large.where("rep <> component").select(F.col("component").alias("c"), F.col("rep").alias("m")), large.select("rep", "text"), words, percent), "links")
+        rest = large.where("rep <> component").join(first.select(F.col("b").alias("rep")), "rep", "left_anti")
+        parts = rest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("is"), F.ceil(F.max("n") / block).cast("int").alias("js"))
+        part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(none, F.col(n) - 1))
+        few = rest.join(parts, "component").select("component", part("is").alias("i"), every("js").alias("j"), "rep", "text")
+        most = large.join(parts, "component").select("component", every("is").alias("i"), part("js").alias("j"), "rep", "text")
+        links = stored(_blocks(small.unionByName(few).unionByName(most), words, percent).unionByName(first), "links")
     group = components(links)
-    for best in (True, False):
-        more = stored(_apart(met, group, percent, best), "apart")
-        if more.isEmpty():
-            break
-        links = stored(links.unionByName(_confirmed(more, texts, words, percent)), "links")
-        group = components(links)
     named = cls.select("cls", "rep", "low").join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     out = made.select("doc_id", "n_shingles", "cls").join(named.join(least, "component").select("cls", "component_id"), "cls", "left")
