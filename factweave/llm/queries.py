@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, linedup, minhash, packing, pii, pivots, toxicity
+from . import chat, decontam, licenses, linedup, minhash, packing, pii, pivots, ppm, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) m USING (doc_id)"""
 
 
+@query
+def op2_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    """Language-model scores of all documents, learned from nine tenths of them."""
+    return ppm.language_scores(table(spark, folder, "documents"), modulus=10)
+
+
 @query
 def op3_linedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the blocks that earlier documents have: what went, and what is left."""
@@ -89,6 +95,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path(), limit=4096, end=2)
 
 
+@query
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every licence notice in the documents, with the words that differ from its template."""
+    said = lambda c: F.array_join(c, " ").alias(c)
+    found = licenses.license_blocks(table(spark, folder, "documents"))
+    return found.select("doc_id", "start", "end", "license", F.round("saved", 6).alias("saved"), "matched", said("missing"), said("extra"))
+
+
 @query
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data and disclosing terms of all documents."""
