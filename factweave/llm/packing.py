@@ -12,70 +12,89 @@ and are packed each. A null id is kept. Other columns are ignored. An empty tabl
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import MEMO, as_bytes, map_batches, scan_parts
+from .common import as_bytes, map_batches, scan_parts, stored
 
-#: Bytes of text whose unknown words are encoded together.
-_SLICE = 4 << 20
+#: Words and letter runs that a worker remembers before it starts afresh.
+_MEMO = 1 << 19
+#: Words that the tokenizer splits at the end of their letters only, and whose letters it maps one by one.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class WordCodes(dict):
+    """The token ids of a word (UTF-8, no ASCII white space) as 32-bit numbers, remembered.
+
+    A plain word goes to the tokenizer's model at once: its letters through the normaliser's and
+    pre-tokenizer's own values for single letters, and its end as a word of its own.
+    """
+
+    def __init__(self, encoder) -> None:  # noqa: ANN001
+        super().__init__()
+        self.encoder, self.letters = encoder, {}
+        alphabet = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
+        self.mapped = str.maketrans({c: "".join(x for x, _ in encoder.pre_tokenizer.pre_tokenize_str(encoder.normalizer.normalize_str(c))) for c in alphabet})
+        self.simple = all(self.mapped[ord(c)] == c.lower() for c in alphabet if c.isascii())
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text)
+        code = self.run(plain[1].lower() if self.simple and text.isascii() else plain[1].translate(self.mapped)) + (self[plain[2].encode()] if plain[2] else b"") if plain else self.encode(text)
+        if len(self) >= _MEMO:
+            self.clear()
+        self[word] = code
+        return code
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def run(self, letters: str) -> bytes:
+        code = self.letters.get(letters)
+        if code is None:
+            if len(self.letters) >= _MEMO:
+                self.letters.clear()
+            code = self.letters[letters] = array("I", [t.id for t in self.encoder.model.tokenize(letters)]).tobytes()
+        return code
+
+
 def pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of at most limit tokens: doc_id, start, length, ids_crc32, doc_tokens (and ids).
 
     tokenizer: a file of the tokenizers library whose model never joins tokens across ASCII white
-    space and drops it, so that the ids of a text are those of its words one after another; a
-    worker then encodes each distinct word once.
+    space and drops it, splits letters from what follows them and normalises Latin letters one by
+    one; the ids of a text are then those of its words one after another, and a worker encodes each
+    distinct word once.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
 
     def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        encoder, memo, last = Tokenizer.from_str(model.value), {}, np.uint32(end).tobytes()
-
-        def learn(texts: list[list[bytes]]) -> None:
-            new = set().union(*texts).difference(memo)
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = set().union(*texts)
-            new = list(new)
-            for word, code in zip(new, encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                memo[word] = np.array(code.ids, np.uint32).tobytes()
-
-        def slices(texts: list[bytes | None]):
-            held, n = [], 0
-            for text in texts:
-                held.append(text.split() if text else [])
-                n += len(text or b"")
-                if n >= _SLICE:
-                    yield held
-                    held, n = [], 0
-            yield held
+        codes, last = WordCodes(Tokenizer.from_str(model.value)), np.uint32(end).tobytes()
 
         def run(batch: pa.RecordBatch) -> dict:
-            rows, at = [], 0
-            ids = batch["doc_id"].to_pylist()
-            for texts in slices(as_bytes(batch["text"])):
-                learn(texts)
-                for words in texts:
-                    code = b"".join(map(memo.__getitem__, words)) + last
-                    n = len(code) // 4
-                    for start in range(0, n, limit):
-                        part = code[4 * start : 4 * (start + limit)]
-                        rows.append((ids[at], start, len(part) // 4, zlib.crc32(part), n, np.frombuffer(part, np.uint32) if with_ids else None))
-                    at += 1
+            rows = []
+            for doc, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"])):
+                code = b"".join(map(codes.__getitem__, text.split() if text else ())) + last
+                n = len(code) // 4
+                for start in range(0, n, limit):
+                    part = code[4 * start : 4 * (start + limit)]
+                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, np.frombuffer(part, np.int32) if with_ids else None))
             columns = list(zip(*rows))
             out = {k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), columns)}
-            return out | ({"ids": pa.array([x.astype(np.int32) for x in columns[5]], pa.list_(pa.int32()))} if with_ids else {})
+            return out | ({"ids": pa.array(columns[5], pa.list_(pa.int32()))} if with_ids else {})
 
         return run
 
@@ -133,9 +152,8 @@ def places(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tupl
 def pack(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces with sequence_id and offset, gapless from 0 in each sequence of at most limit tokens."""
     spark = docs.sparkSession
-    cut = pieces(docs, tokenizer, limit, end, with_ids)
     buckets = 4 * scan_parts(docs)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    cut = stored(pieces(docs, tokenizer, limit, end, with_ids), "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limit rows
     found = places(shortest_pack_first(histogram, limit))
