@@ -22,12 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that earlier documents have."""
-    left = linedup.without_repeats(docs)
+    left = linedup.without_repeats(docs, cuts="__cuts")
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    rows = left.where((F.size("cuts") == 0) | worded)
+    rows = left.where((F.size("__cuts") == 0) | worded)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("cuts") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.size("__cuts") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.drop("__cuts")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -262,8 +262,9 @@ def cut_spans(text: str, cuts: list) -> list[tuple[int, int]]:
     return gone
 
 
-def without_repeats(docs: DataFrame, min_words: int = 8, anchor_words: int = 5) -> DataFrame:
-    """docs with the text that is left, and ``cuts``: the characters (start, end) of the old text that went."""
+def without_repeats(docs: DataFrame, min_words: int = 8, anchor_words: int = 5, cuts: str = "cuts") -> DataFrame:
+    """docs with the text that is left, and a column named by cuts: the characters (start, end) of the old
+    text that went. Choose another name if docs has one of that name."""
     found = repeated_blocks(docs, min_words, anchor_words).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("cuts").alias("__cuts"))
     text = F.col("text").cast("string")
     joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
@@ -281,4 +282,4 @@ def without_repeats(docs: DataFrame, min_words: int = 8, anchor_words: int = 5)
         return pd.DataFrame({"text": out, "cuts": spans})
 
     made = joined.withColumn("__left", left(text, "__cuts"))
-    return made.select(*(F.col("__left.text").alias("text") if c == "text" else c for c in docs.columns), F.col("__left.cuts").alias("cuts"))
+    return made.select(*(F.col("__left.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("__left.cuts").alias(cuts))

@@ -113,7 +113,7 @@ class Matcher:
     def match(self, word: str) -> tuple[int, int] | None:
         if len(self.states) > _STATES:
             self.reset()
-        state, stem = self.start, None
+        state, stem = self.start, self.stems[self.start]
         for c in word:
             to = self.moves[state].get(c)
             if to is None:
