@@ -2,8 +2,8 @@
 
 Lines are pieces of text that end at a line end or a sentence end. Documents overlap if they share an
 anchor, a line of some words; each anchor ties every later document to the first one that holds it,
-so one of n documents makes n - 1 pairs. Each pair is aligned by patience diff over the lines that occur
-more than once in the corpus; the aligned common blocks, widened by the equal words at their ends, go
+so one of n documents makes n - 1 pairs. Each pair is aligned by patience diff over the anchors that more
+than one document has and the lines next to them; the aligned common blocks, widened by the equal words at their ends, go
 from the later document. The first holder of a line always keeps it.
 
 Defined cases: lines are compared as they stand, white space around them aside; words are runs of
@@ -149,6 +149,22 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h")).where("doc_id IS NOT NULL AND text <> ''")
 
 
+def is_anchor(line: bytes, anchor_words: int) -> bool:
+    return line.count(b" ") + 1 >= anchor_words
+
+
+def in_reach(repeated: list[bool], short: list[bool]) -> list[bool]:
+    """The lines that a block can hold or end at: repeated anchors, the short lines that follow each other
+    next to one, and the line after those, on either side."""
+    near = list(repeated)
+    for order in (range(len(near)), range(len(near) - 1, -1, -1)):
+        reach = False
+        for i in order:
+            near[i] |= reach
+            reach = repeated[i] or (reach and short[i])
+    return near
+
+
 def _key(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line)
 
@@ -160,7 +176,7 @@ def anchors(docs: DataFrame, anchor_words: int) -> DataFrame:
         def run(batch: pa.RecordBatch) -> dict:
             keys, ids = [], []
             for i, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"])):
-                own = {_key(x) for x in lines_of(text) if x.count(b" ") + 1 >= anchor_words}
+                own = {_key(x) for x in lines_of(text) if is_anchor(x, anchor_words)}
                 keys += own
                 ids += [i] * len(own)
             return {"hash": pa.array(np.array(keys, np.uint64).view(np.int64)), "doc_id": pa.array(ids, pa.int64())}
@@ -172,8 +188,8 @@ def anchors(docs: DataFrame, anchor_words: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, table: np.ndarray, anchor_words: int) -> DataFrame:
-    """doc_id, h and, of the lines that the bit table lets through and their neighbours, number, hash,
-    words (32-bit hashes) and whether the line is an anchor. The others match nothing."""
+    """doc_id, h and, of the anchors that the bit table lets through and the lines in their reach, number,
+    hash, words (32-bit hashes) and whether the line is an anchor."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))  # fixed size
 
     def make():
@@ -185,14 +201,13 @@ def repeated_lines(docs: DataFrame, table: np.ndarray, anchor_words: int) -> Dat
             for r, text in enumerate(as_bytes(batch["text"])):
                 lines = lines_of(text)
                 keys = np.fromiter(map(_key, lines), np.uint64, len(lines))
-                maybe = passes(bits, keys)
+                long = np.fromiter((is_anchor(x, anchor_words) for x in lines), bool, len(lines))
+                maybe = passes(bits, keys) & long
                 if not maybe.any():
                     continue
-                near = maybe.copy()
-                near[1:] |= maybe[:-1]
-                near[:-1] |= maybe[1:]
+                near = np.array(in_reach(maybe.tolist(), (~long).tolist()))
                 rows.append(r)
-                out.append([{"number": i, "hash": k, "anchor": bool(maybe[i]) and lines[i].count(b" ") + 1 >= anchor_words, "words": np.array([word(w) for w in lines[i].split()], np.uint32).tobytes()} for i, k in zip(np.flatnonzero(near).tolist(), keys[near].view(np.int64).tolist())])
+                out.append([{"number": i, "hash": k, "anchor": bool(maybe[i]), "words": np.array([word(w) for w in lines[i].split()], np.uint32).tobytes()} for i, k in zip(np.flatnonzero(near).tolist(), keys[near].view(np.int64).tolist())])
             if not rows:
                 return None
             take = pa.array(rows)

@@ -188,7 +188,7 @@ def training(docs: DataFrame, labels: DataFrame, sample: int, modulus: int, held
 
 def lexicon(train: DataFrame, size: int, support: int, precision: float, edits: int) -> tuple[list[Term], np.ndarray]:
     """At most size terms and their weights (log odds): words and beginnings of words that stand in at least
-    support toxic documents and as many different surroundings (so that copies count once), nearly only there."""
+    support toxic documents and as many different surroundings (so that copies count once), nearly only there. Where toxic documents are few, 2 % of them but three at least are support."""
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -221,6 +221,7 @@ def lexicon(train: DataFrame, size: int, support: int, precision: float, edits:
     total = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return [], np.zeros(0)
+    support = max(3, min(support, -(-total[1] // 50)))
     odds = F.log((F.col("n1") + 0.5) / (total[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (total[0] + 1.0))
     pure = F.col("n1") / total[1] / (F.col("n1") / total[1] + (F.col("n0") + 0.5) / total[0])
     fit = sums.where((F.col("n1") >= support) & (F.col("places") >= support)).where(pure >= precision)

@@ -31,25 +31,37 @@ def test_distinct_lines_align_as_the_longest_common_sequence(a, b):
 
 
 def brute(rows, min_words=8, anchor_words=5):
-    """The text left of each row: all lines of each pair of a document and a first holder are aligned."""
+    """The text left of each row: each pair of a document and a first holder of one of its lines is aligned."""
     lines = [linedup.lines_of((t or "").encode()) for _, t in rows]
-    keys = [[xxhash.xxh3_64_intdigest(x) for x in own] for own in lines]
-    words = [[np.array([xxhash.xxh32_intdigest(w) for w in x.split()], np.uint32) for x in own] for own in lines]
-    first = {}
+    holders = {}
     for (doc, _), own in zip(rows, lines):
         for x in own:
             if len(x.split()) >= anchor_words and doc is not None:
-                first[x] = min(first.get(x, doc), doc)
+                holders.setdefault(x, set()).add(doc)
+    repeated = {x for x, docs in holders.items() if len(docs) > 1}
+
+    def sequence(own):
+        near = set()
+        for i, x in enumerate(own):
+            if x in repeated:
+                for step in (-1, 1):
+                    at = i
+                    while 0 <= at < len(own):
+                        near.add(at)
+                        if at != i and len(own[at].split()) >= anchor_words:
+                            break
+                        at += step
+        near = sorted(near)
+        return near, [xxhash.xxh3_64_intdigest(own[i]) for i in near], [np.array([xxhash.xxh32_intdigest(w) for w in own[i].split()], np.uint32) for i in near]
+
     at = {}
-    for i, (doc, t) in enumerate(rows):
-        at.setdefault(doc, []).append(i)
+    for i, (doc, _) in enumerate(rows):
+        at.setdefault(doc, i)
     out = []
     for i, (doc, text) in enumerate(rows):
         cuts = set()
-        for c in {first[x] for x in lines[i] if first.get(x, doc) != doc}:
-            if doc is not None and c < doc:
-                k = at[c][0]
-                cuts |= set(linedup.common_blocks((list(range(len(keys[k]))), keys[k], words[k]), (list(range(len(keys[i]))), keys[i], words[i]), min_words))
+        for c in {min(holders[x]) for x in lines[i] if x in repeated and doc is not None} - {doc}:
+            cuts |= set(linedup.common_blocks(sequence(lines[at[c]]), sequence(lines[i]), min_words))
         gone = linedup.cut_spans(text or "", [dict(zip(("s0", "w0", "s1", "w1"), x)) for x in sorted(cuts)])
         for a, b in reversed(gone):
             text = text[:a] + text[b:]
