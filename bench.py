@@ -16,7 +16,7 @@ HEADLINE = (
     "qry_01_screen", "prj_02_registry", "prj_11_registry_claims", "flt_01_observation_reasons", "agg_01_footprint", "agg_04_development_score",
     "agg_13_latency_summary", "win_01_extension_sample", "win_03_stratified_sample", "win_07_job_index", "idr_01_site_identity", "idr_05_choose_candidate",
     "jon_13_title_mentions", "scl_01_fold_tokens", "ext_01_page_events", "ref_01_profile_diff", "ctr_01_contract_claims", "mkt_02_book_walk",
-    "mkt_08_realized_vol", "mkt_12_backtest", "str_01_job_feed",
+    "mkt_08_realized_vol", "mkt_14_drawdown", "str_01_job_feed",
 )
 
 

@@ -1,47 +1,39 @@
-"""Names under which the scalar functions can be used from SQL text."""
+"""Names under which scalar functions can be used from SQL text.
 
-from __future__ import annotations
+They are SQL functions over built-in expressions, so SQL text stays in the JVM. DataFrame code uses the
+Column builders, which give the same values.
+"""
 
-import re
-import unicodedata
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import SparkSession, functions as F, types as T
+from pyspark.sql import SparkSession
 
 from . import constants as K
-from .numeric import fair_prob_exact
-from .text import fold_exact, fuzzy_ratio
-
-
-@F.pandas_udf(T.BooleanType())
-def _orgnr_valid_udf(value: pd.Series) -> pd.Series:
-    def check(text: str | None) -> bool:
-        if not text or not re.fullmatch("[0-9]{9}", text):
-            return False
-        rest = sum(int(d) * w for d, w in zip(text, K.ORGNR_WEIGHTS)) % 11
-        return (11 - rest) % 11 == int(text[8])
-
-    return value.map(check).astype(bool)
+from .text import ACCENTED, LIGATURES, PLAIN
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _fold_tokens_udf(value: pd.Series) -> pd.Series:
-    table = str.maketrans({"ø": "o", "Ø": "O", "å": "a", "Å": "A", "æ": "ae", "Æ": "AE"})
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def words(text: str | None) -> list[str]:
-        plain = unicodedata.normalize("NFKD", (text or "").translate(table)).encode("ascii", "ignore").decode()
-        return [w for w in re.findall("[a-z0-9]+", plain.lower()) if len(w) > 1 and w not in K.STOP_IDENTITY]
 
-    return value.map(words)
+def _bodies() -> dict[str, str]:
+    """Signature and body by name."""
+    spelled = "coalesce(value, '')"
+    for letter, plain in (("æ", "ae"), ("Æ", "AE")):
+        spelled = f"replace({spelled}, '{letter}', '{plain}')"
+    longer = ", ".join(f"{_quoted(a)}, {_quoted(b)}" for a, b in LIGATURES.items())
+    spelled = f"array_join(transform(split({spelled}, ''), c -> coalesce(element_at(map({longer}), c), c)), '')"
+    fold = f"lower(regexp_replace(translate({spelled}, {_quoted(ACCENTED)}, {_quoted(PLAIN)}), '[^\\\\x00-\\\\x7F]', ''))"
+    stop = ", ".join(map(_quoted, K.STOP_IDENTITY))
+    weights = " + ".join(f"CAST(substr(value, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(K.ORGNR_WEIGHTS))
+    check = f"pmod(11 - pmod({weights}, 11), 11)"
+    return {
+        "fold_text(value STRING) RETURNS STRING": fold,
+        "fold_tokens(value STRING) RETURNS ARRAY<STRING>": f"filter(regexp_extract_all({fold}, '[a-z0-9]+', 0), w -> length(w) > 1 AND w NOT IN ({stop}))",
+        "orgnr_valid(value STRING) RETURNS BOOLEAN": f"coalesce(CASE WHEN value RLIKE '^[0-9]{{9}}$' THEN {check} = CAST(substr(value, 9, 1) AS INT) END, false)",
+    }
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Vectorised functions for SQL users; DataFrame code uses the Column builders instead."""
-    for name, fn in {
-        "fold_text": fold_exact,
-        "fold_tokens": _fold_tokens_udf,
-        "fuzzy_ratio": fuzzy_ratio,
-        "fair_prob": fair_prob_exact,
-        "orgnr_valid": _orgnr_valid_udf,
-    }.items():
-        spark.udf.register(name, fn)
+    for signature, body in _bodies().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable
 
@@ -11,18 +12,29 @@ from pyspark.sql import Column, functions as F, types as T
 from . import constants as K
 
 
-def _accent_table() -> tuple[str, str]:
-    """Latin letters up to U+024F whose compatibility form is one ASCII character."""
-    src, dst = [], []
-    for code in range(0x80, 0x250):
+def _accent_table() -> tuple[str, str, dict[str, str]]:
+    """Characters of all of Unicode whose compatibility form is ASCII: those of one character, and letters
+    of more (ligatures and digraphs). Nordic letters are spelled out."""
+    src, dst, longer = ["ø", "Ø"], ["o", "O"], {"æ": "ae", "Æ": "AE"}
+    for code in range(0x80, sys.maxunicode + 1):
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             src.append(chr(code))
             dst.append(plain)
-    return "".join(src), "".join(dst)
+        elif len(plain) > 1 and plain.isalpha() and unicodedata.category(chr(code))[0] == "L":
+            longer[chr(code)] = plain
+    return "".join(src), "".join(dst), longer
 
 
-ACCENTED, PLAIN = _accent_table()
+ACCENTED, PLAIN, LIGATURES = _accent_table()
+_LIGATURE = "[" + "".join(sorted(LIGATURES)) + "]"
+
+
+def _spelled(value: Column) -> Column:
+    """Ligatures and digraphs spelled out, accents dropped. Texts without the former are translated only."""
+    table = F.create_map(*[F.lit(x) for pair in LIGATURES.items() for x in pair])
+    letters = F.transform(F.split(value, ""), lambda c: F.coalesce(F.element_at(table, c), c))
+    return F.translate(F.when(value.rlike(_LIGATURE), F.array_join(letters, "")).otherwise(value), ACCENTED, PLAIN)
 
 
 def as_col(value: Column | str) -> Column:
@@ -62,16 +74,13 @@ def digits(value: Column | str) -> Column:
 
 def fold(value: Column | str) -> Column:
     """Lower-case ASCII form: Nordic letters spelled out, accents dropped, other symbols removed."""
-    out = text(value)
-    for letter, plain in (("æ", "ae"), ("Æ", "AE"), ("ø", "o"), ("Ø", "O"), ("å", "a"), ("Å", "A")):
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    out = F.translate(out, ACCENTED, PLAIN)
-    return F.lower(F.regexp_replace(out, r"[^\x00-\x7F]", ""))
+    return F.lower(F.regexp_replace(_spelled(text(value)), r"[^\x00-\x7F]", ""))
 
 
 def ascii_lower(value: Column | str) -> Column:
     """Accents dropped and everything else outside ASCII removed, in lower case."""
-    return F.lower(F.regexp_replace(F.translate(text(value), ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    plain = F.translate(text(value), ACCENTED[2:], PLAIN[2:])  # without the Nordic letters
+    return F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
 
 
 def _words(folded: Column, pattern: str = "[a-z0-9]+") -> Column:
@@ -196,12 +205,3 @@ def fuzzy_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(
         [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype="float64"
     )
-
-
-@F.pandas_udf(T.StringType())
-def fold_exact(value: pd.Series) -> pd.Series:
-    """Full compatibility folding for scripts the accent table of ``fold`` does not cover."""
-    table = str.maketrans({"ø": "o", "Ø": "O", "å": "a", "Å": "A", "æ": "ae", "Æ": "AE"})
-    return value.fillna("").map(
-        lambda s: unicodedata.normalize("NFKD", s.translate(table)).encode("ascii", "ignore").decode().lower()
-    )

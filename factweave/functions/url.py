@@ -145,7 +145,7 @@ def absolute(base: Column | str, href: Column | str) -> Column:
 def headline(url: Column | str) -> Column:
     """Readable words of the last path segment."""
     tail = F.regexp_extract(F.regexp_replace(path(url), "/+$", ""), r"([^/]*)$", 1)
-    return F.substring(F.trim(F.regexp_replace(tail, "[-_]+", " ")), 1, 300)
+    return F.trim(F.regexp_replace(tail, "[-_]+", " "))
 
 
 def is_blocked(h: Column, blocked: Iterable[str] = K.BLOCKED_SITE_HOSTS) -> Column:

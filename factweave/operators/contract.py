@@ -113,30 +113,28 @@ def claims(
     quote = lambda *bits: F.concat(*[F.lit(b) if isinstance(b, str) else F.coalesce(b.cast("string"), F.lit("None")) for b in bits])
 
     if registry is not None:
-        span = quote('"', F.col("field"), '": ', F.substring("value", 1, 300))
+        span = quote('"', F.col("field"), '": ', F.col("value"))
         order = F.row_number().over(Window.partitionBy(ORG).orderBy("field"))  # at most one row per registry field
         numbered = registry.withColumn("seq", order)
         add(numbered, _fact("registry", _sub(F.col("seq")), F.col("field"), F.col("value"), span, period=F.col("reporting_period")))
     if records is not None:
-        few = top_per_key(records, [ORG], ["seq"], 3)
         fields = ("revenue", "operating_result", "annual_result", "assets", "equity", "debt")
-        many(few, [
+        many(records, [
             F.when(F.col(f).isNotNull(), _fact("financials", _sub(F.col("seq"), i), f"financials.{f}", F.col(f), quote(F.col("period"), f" {f}: ", F.col(f)), period=F.col("period")))
-            for i, f in enumerate(fields) if f in few.columns
+            for i, f in enumerate(fields) if f in records.columns
         ])
     if roles is not None:
-        few = top_per_key(roles.where(~F.col("inactive")), [ORG], ["seq"], 20)
+        few = roles.where(~F.col("inactive"))
         who = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("holder_number") if "holder_number" in roles.columns else F.lit(None))
         code = F.lower(F.coalesce(F.nullif(F.col("role_code"), F.lit("")), F.lit("role")))
-        listed = few.groupBy(ORG).agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", who.alias("name"), "role")))).alias("list"))  # twenty at most
+        listed = few.groupBy(ORG).agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", who.alias("name"), "role")))).alias("list"))  # the roles one entity states in one claim
         add(listed, _shared("roles", "roles", F.col("list"), F.lit("available"), 0.97, 50))
         add(few.where(who.isNotNull()), _fact("roles", _sub(F.col("seq")), F.concat(F.lit("role."), code), who, quote(who, " — ", F.coalesce(F.col("role"), code)), period=F.col("last_changed")))
     if locations is not None:
-        few = top_per_key(locations, [ORG], ["seq"], 20)
-        listed = few.groupBy(ORG).agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "name", "address")))).alias("list"))  # twenty at most
+        listed = locations.groupBy(ORG).agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "name", "address")))).alias("list"))  # the places one entity states in one claim
         add(listed, _shared("locations", "locations", F.col("list"), F.lit("available"), 0.97, 50))
         place = F.regexp_replace(F.concat(text("name"), F.lit(" — "), text("address")), "^[ —]+|[ —]+$", "")
-        add(few.where(text("name") != ""), _fact("locations", _sub(F.col("seq")), "location", F.to_json(F.struct("name", "address")), place))
+        add(locations.where(text("name") != ""), _fact("locations", _sub(F.col("seq")), "location", F.to_json(F.struct("name", "address")), place))
     if years is not None:
         one = years.select(ORG, F.col("year").cast("string").alias("year")).distinct()
         listed = one.groupBy(ORG).agg(F.array_join(F.array_sort(F.collect_list("year")), ",").alias("list"))  # bounded by the calendar
@@ -163,7 +161,7 @@ def claims(
         described = F.col("website_description") if "website_description" in profiles.columns else F.lit("")
         many(profiles, [
             only(seen & pub, _shared("website", "official_website", url, F.lit("available"), score, 50)),
-            only(seen & pub & (text(described) != ""), _fact("website", F.lit(70), "website_description", described, F.substring(described, 1, 300), 0.9)),
+            only(seen & pub & (text(described) != ""), _fact("website", F.lit(70), "website_description", described, described, 0.9)),
             only(~(seen & pub) & site.isNotNull(), _row("website", F.lit(51), F.lit("official_website"), site, F.lit("available"), F.lit(0.9), none, none, True)),
             only(~pub & seen & site.isNotNull(), _shared("website", "official_website_crawl_unverified", url, F.lit("ambiguous"), 0.5, 52)),
             only(~pub & seen & site.isNull(), _shared("website", "official_website", url, F.lit("ambiguous"), 0.5, 53)),
@@ -171,19 +169,18 @@ def claims(
         ])
         proven = profiles.where(seen & pub).select(ORG)
         if site_items is not None:
-            # lists are cut at the contract's lengths; any other kind is a fact the site states once
-            caps = (("job_posting", 12), ("careers_page", 6), ("news", 12))
+            # any kind beside these lists is a fact the site states once
+            lists = ("job_posting", "careers_page", "news")
             own = site_items.join(proven, ORG, "left_semi")
-            for place, (kind, cap) in enumerate(caps):
-                few = top_per_key(own.where(F.col("kind") == kind), [ORG], ["seq"], cap, "__r")
+            for place, kind in enumerate(lists):
                 field = "news" if kind == "news" else "job_posting"
-                add(few, _fact("website", (F.col("__r") + 1000 * (place + 1)).cast("int"), field, F.col("value"), F.col("quote"), 0.9))
-            stated = first_per_key(own.where(~F.col("kind").isin(*[k for k, _ in caps])), [ORG, "kind"], ["seq"])
-            add(stated, _fact("website", F.lit(5000), F.concat(F.lit("website."), "kind"), F.col("value"), F.col("quote"), 0.9))
+                add(own.where(F.col("kind") == kind), _fact("website", (F.col("seq") + 10_000_000 * (place + 1)).cast("int"), field, F.col("value"), F.col("quote"), 0.9))
+            stated = first_per_key(own.where(~F.col("kind").isin(*lists)), [ORG, "kind"], ["seq"])
+            add(stated, _fact("website", F.lit(90_000_000), F.concat(F.lit("website."), "kind"), F.col("value"), F.col("quote"), 0.9))
     if socials is not None:
         linked = socials.where((text("platform") != "") & (text("url") != ""))
         order = F.row_number().over(Window.partitionBy(ORG).orderBy("platform", "url"))
-        add(linked.withColumn("seq", order), _fact("website", (F.col("seq") + 100000).cast("int"), F.concat(F.lit("social."), "platform"), F.col("url"), quote(F.col("platform"), ": ", F.col("url")), 0.9))
+        add(linked.withColumn("seq", order), _fact("website", (F.col("seq") + 100_000_000).cast("int"), F.concat(F.lit("social."), "platform"), F.col("url"), quote(F.col("platform"), ": ", F.col("url")), 0.9))
 
     core = union_all(*parts)
     # every recorded module has one shared reference ahead of its facts
@@ -213,7 +210,7 @@ def observation_claims(obs: DataFrame) -> DataFrame:
         ORG, F.concat_ws(".", "platform", "signal_type").alias("field"), F.coalesce(F.nullif(body, F.lit("{}")), F.col("source_url")).alias("value"),
         F.lit("available").alias("availability"), F.lit(0.97).alias("confidence"), F.concat(F.lit("ev-obs-"), F.col("position").cast("string")).alias("evidence_id"),
         (F.col("effective_at") if "effective_at" in obs.columns else F.lit(None).cast("string")).alias("reporting_period"),
-        F.nullif(F.substring(text("evidence_span"), 1, 300), F.lit("")).alias("span"),
+        F.nullif(text("evidence_span"), F.lit("")).alias("span"),
     )
 
 

@@ -1,21 +1,12 @@
-"""Ranking of acquisition strategies, and the per-entity controller that learns the order."""
+"""History and ranking of acquisition strategies."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Mapping
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as K
 from ..functions.numeric import half_up
-from ..functions.url import host
-from . import gates as G
-from .footprint import _GROUPS, score_facts
-from .rows import beside, top_per_key, unfold
-
-ORG = "organisation_number"
+from .rows import beside
 
 
 def _gain() -> Column:
@@ -46,133 +37,3 @@ def strategy_order(history: DataFrame) -> DataFrame:
     ranked = joined.withColumn("priority", F.coalesce("mean", F.lit(0.0)) + 0.35 * bonus)
     place = F.row_number().over(Window.orderBy(F.col("priority").desc(), "place"))
     return ranked.select("strategy", F.coalesce("runs", F.lit(0)).alias("runs"), "priority", place.alias("position"))
-
-
-STEP = (
-    "ARRAY<STRUCT<iteration: INT, strategy: STRING, controller_action: STRING, prior_runs: INT, prior_successes: INT,"
-    " prior_mean_learning_gain: DOUBLE, new_observations: LONG, score_before: DOUBLE, score_after: DOUBLE, score_delta: DOUBLE,"
-    " experimental_potential_delta: DOUBLE, learning_gain: DOUBLE, experimental_potential_score: DOUBLE, sentiment_status: STRING,"
-    " experimental_sentiment_status: STRING, result: STRING>>"
-)
-_FLAGS = tuple(f"{p}{n}" for p in ("", "x_") for n in _GROUPS) + ("third_party_identity", "x_identity", "x_review_summary")
-_SUMS = ("observations", "items", "x_items", "sentiment_items", "x_sentiment_items")
-_MASKS = ("handles", "x_handles")
-_SETS = ("hosts", "reviewers", "x_hosts", "x_reviewers")
-
-
-def _strategy_column() -> Column:
-    return F.coalesce(F.nullif(F.col("strategy"), F.lit("")), F.lit("buzz_peer_normalization"))
-
-
-def _breadth(obs: DataFrame) -> DataFrame:
-    """Up to ten distinct sentiment hosts and reviewers per (entity, strategy).
-
-    The score asks whether a union has two hosts or ten reviewers. If a part has more than ten,
-    ten of them already answer yes; if it has fewer, all are kept. So the cut loses nothing.
-    """
-    o = obs.withColumn("ok", G.publishable()).withColumn("ex", G.experimental())
-    o = o.where("coalesce(sentiment_label, '') <> ''")
-    # distinct combinations first: repeats end in the map tasks, and the flags are computed once
-    seen = o.select(ORG, "strategy", "ok", "ex", host("source_url").alias("host"), F.nullif(F.col("reviewer_id"), F.lit("")).alias("reviewer")).distinct()
-    items = F.array(*[
-        F.when(F.col(on) & F.col(value).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(value).alias("v")))
-        for kind, on, value in (("hosts", "ok", "host"), ("reviewers", "ok", "reviewer"), ("x_hosts", "ex", "host"), ("x_reviewers", "ex", "reviewer"))
-    ])
-    distinct = unfold(seen, [ORG, "strategy"], items, "i").select(ORG, "strategy", "i.kind", "i.v").distinct()
-    few = top_per_key(distinct, [ORG, "strategy", "kind"], ["v"], 10)
-    return few.groupBy(ORG, "strategy").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in _SETS])
-
-
-def _score(state: dict, site: bool) -> tuple[float, float, bool, bool]:
-    m = K.SCORE_MAXIMA
-    ready = state["sentiment_items"] >= 10 and (len(state["hosts"]) >= 2 or len(state["reviewers"]) >= 10)
-    x_ready = state["x_review_summary"] or (state["x_sentiment_items"] >= 10 and (len(state["x_hosts"]) >= 2 or len(state["x_reviewers"]) >= 10))
-    identity = site or state["third_party_identity"]
-    strict = m["exact_external_identity"] * (identity and state["items"] > 0)
-    potential = m["exact_external_identity"] * ((identity or state["x_identity"]) and state["items"] + state["x_items"] > 0)
-    strict += min(m["verified_handles"], 5.0 * state["handles"].bit_count())
-    potential += min(m["verified_handles"], 5.0 * (state["handles"] | state["x_handles"]).bit_count())
-    for name in _GROUPS:
-        strict += m[name] * state[name]
-        potential += m[name] * (state[name] or state[f"x_{name}"])
-    fresh = m["freshness_evidence"] * (state["items"] > 0)
-    return (
-        strict + fresh + m["independent_sentiment"] * ready,
-        potential + fresh + m["independent_sentiment"] * (ready or x_ready),
-        ready,
-        x_ready,
-    )
-
-
-def _rounds(parts: list, site: bool, prior: Mapping[str, tuple[int, int, float]], limit: int) -> list[tuple]:
-    by_name = {p["strategy"]: p for p in parts}
-    state = {**{f: False for f in _FLAGS}, **{s: 0 for s in _SUMS + _MASKS}, **{s: set() for s in _SETS}}
-    runs = {s: list(prior.get(s, (0, 0, 0.0))) for s in K.STRATEGIES}
-    total = sum(r[0] for r in runs.values())
-    remaining, steps = list(K.STRATEGIES), []
-    before, x_before, _, _ = _score(state, site)
-    for iteration in range(1, min(limit, len(remaining)) + 1):
-
-        def priority(name: str) -> float:
-            n, _, gained = runs[name]
-            return (gained / n if n else 0.0) + 0.35 * math.sqrt(math.log(max(1, total) + 1) / (n + 1))
-
-        strategy = min(remaining, key=lambda s: (-priority(s), K.STRATEGIES.index(s)))
-        remaining.remove(strategy)
-        n, wins, gained = runs[strategy]
-        mean = round(gained / n, 3) if n else 0.0
-        part = by_name.get(strategy)
-        fresh = 0
-        if part is not None:
-            fresh = int(part["observations"])
-            for f in _FLAGS:
-                state[f] = state[f] or bool(part[f])
-            for s in _SUMS:
-                state[s] += int(part[s])
-            for s in _MASKS:
-                state[s] |= int(part[s])
-            for s in _SETS:
-                state[s] |= set(part[s] if part[s] is not None else ())
-        after, x_after, ready, x_ready = _score(state, site)
-        delta, x_delta = round(after - before, 3), round(x_after - x_before, 3)
-        gain = round(delta + max(0.0, x_delta - delta) * 0.25, 3)
-        result = "reinforce_publishable" if delta > 0 else "reinforce_experimental" if x_delta > 0 else "hold" if fresh else "blocked_no_input"
-        steps.append(
-            (iteration, strategy, "replicate" if mean > 0 else "explore", n, wins, mean, fresh, before, after, delta, x_delta, gain, x_after,
-             "available" if ready else "abstain", "available" if x_ready else "abstain", result)
-        )
-        # a zero gain falls back to the score delta, as in the history's own rule
-        reward = gain or delta
-        runs[strategy] = [n + 1, wins + (reward > 0), gained + reward]
-        total += 1
-        before, x_before = after, x_after
-    return steps
-
-
-def run_control(profiles: DataFrame, obs: DataFrame, history: DataFrame | None = None, limit: int | None = None, target: float = 80.0) -> DataFrame:
-    """Per entity: reveal one strategy's evidence a round, best expected gain first, and learn from the gain.
-
-    The rounds are sequential, but they need only what ``score_facts`` says of each strategy: at most
-    eighteen rows per entity, folded by Spark from any number of observations. Arrow batches of
-    entities then pass through the rounds. Rows leave as one per entity and round.
-    """
-    obs = obs.withColumn("strategy", _strategy_column())
-    facts = score_facts(obs, (ORG, "strategy")).join(_breadth(obs), [ORG, "strategy"], "left")
-    columns = ["strategy", *_SUMS, *_MASKS, *_FLAGS, *_SETS]
-    parts = facts.where(F.col("strategy").isin(*K.STRATEGIES)).groupBy(ORG).agg(F.collect_list(F.struct(*columns)).alias("parts"))
-    prior: dict[str, tuple[int, int, float]] = {}
-    if history is not None:
-        seen = history.where(F.col("strategy").isin(*K.STRATEGIES)).groupBy("strategy").agg(
-            F.count("*").alias("n"), F.count_if(_gain() > 0).alias("w"), F.sum(_gain().cast("decimal(18,6)")).cast("double").alias("g")
-        )
-        prior = {r.strategy: (r.n, r.w, r.g) for r in seen.collect()}  # at most eighteen rows
-    rounds = len(K.STRATEGIES) if limit is None else limit
-
-    @F.pandas_udf(STEP)
-    def control(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sites, evidence in batches:
-            yield pd.Series([_rounds([] if e is None else list(e), bool(s), prior, rounds) for s, e in zip(sites, evidence)])
-
-    joined = profiles.select(ORG, F.coalesce("site_publishable", F.lit(False)).alias("site")).join(parts, ORG, "left")
-    steps = joined.select(ORG, F.explode(control("site", "parts")).alias("s"))
-    return steps.select(ORG, "s.*", (F.col("s.score_after") >= target).alias("target_reached"))

@@ -102,15 +102,15 @@ def merge_events(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     return sites, pages, socials, errors
 
 
-def dedupe_articles(articles: DataFrame, cap: int = 25) -> DataFrame:
-    """Distinct (headline, date) per entity in date and headline order, the first ``cap`` of them."""
+def dedupe_articles(articles: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct (headline, date) per entity in date and headline order (the first ``cap`` of them)."""
     a = articles.withColumn("__h", F.lower(text("headline"))).withColumn("__d", text("date_published"))
     one = first_per_key(a, [ORG, "__h", "__d"], ["seq"])
     return top_per_key(one, [ORG], ["__d", "__h", "seq"], cap, "position").drop("__h", "__d")
 
 
-def dedupe_postings(postings: DataFrame, cap: int = 25) -> DataFrame:
-    """Distinct (title, url) per entity in date, title and url order, the first ``cap`` of them."""
+def dedupe_postings(postings: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct (title, url) per entity in date, title and url order (the first ``cap`` of them)."""
     p = postings.withColumn("__t", F.lower(text("title"))).withColumn("__u", F.lower(text("url")))
     one = first_per_key(p, [ORG, "__t", "__u"], ["seq"])
     return top_per_key(one, [ORG], [text("date_posted"), "__t", text("url"), "seq"], cap, "position").drop("__t", "__u")

@@ -120,8 +120,8 @@ def exact_identity(live: Column | str, org: Column | str) -> Column:
     return as_col(live).cast("string").eqNullSafe(as_col(org).cast("string"))
 
 
-def candidate_sites(results: DataFrame, k: int = 3) -> DataFrame:
-    """Per entity the best ``k`` result URLs by rank, one per host, known directories left out."""
+def candidate_sites(results: DataFrame, k: int | None = None) -> DataFrame:
+    """Per entity the result URLs by rank (the best ``k``), one per host, known directories left out."""
     usable = results.withColumn("host", host("url")).where(
         F.col("url").contains("://") & (F.col("host") != "") & ~is_skipped(F.col("host"))
     )

@@ -15,7 +15,7 @@ from ..functions.text import (
     listing_name_tokens, listing_words, phone8, place_tokens, search_name_tokens, search_tokens, strip_legal, text,
 )
 from ..functions.url import canonical_social, homepage, host, is_blocked, path, raw_host, site_host
-from .rows import any_of, first_per_key, top_per_key
+from .rows import any_of, first_items, first_per_key, top_per_key
 
 ORG = "organisation_number"
 
@@ -216,7 +216,7 @@ def choose_candidates(entities: DataFrame, scored: DataFrame) -> DataFrame:
 
 # ---- domain discovery ------------------------------------------------------------------
 
-def candidate_domains(name: Column | str, k: int = 6) -> Column:
+def candidate_domains(name: Column | str, k: int | None = None) -> Column:
     """Guessed domains of a legal name: joined and hyphenated, .no before .com."""
     plain = F.lower(text(name))
     for letter, ascii_form in (("ø", "o"), ("å", "a"), ("æ", "ae"), ("é", "e")):
@@ -224,7 +224,7 @@ def candidate_domains(name: Column | str, k: int = 6) -> Column:
     words = F.filter(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*K.STOP_DOMAIN))
     stems = F.array_distinct(F.array(F.array_join(words, ""), F.array_join(words, "-")))
     stems = F.filter(stems, lambda s: F.length(s).between(2, 63))
-    return F.slice(F.flatten(F.transform(stems, lambda s: F.array(F.concat(s, F.lit(".no")), F.concat(s, F.lit(".com"))))), 1, k)
+    return first_items(F.flatten(F.transform(stems, lambda s: F.array(F.concat(s, F.lit(".no")), F.concat(s, F.lit(".com"))))), k)
 
 
 def mail_domain_site(email: Column | str) -> Column:
@@ -285,7 +285,7 @@ def place_match(name: Column | str, municipality: Column | str, display: Column
     return within(core, shown) & ((town == "") | F.lower(text(where)).contains(town))
 
 
-def map_candidates(entries: DataFrame, k: int = 2) -> DataFrame:
+def map_candidates(entries: DataFrame, k: int | None = None) -> DataFrame:
     """Sites tagged on map objects of the entity: address keys or display name hold the municipality."""
     shown = F.coalesce(blank_to_null("entry_name"), F.trim(F.split_part(text("display_name"), F.lit(","), F.lit(1))))
     where = F.concat_ws(" ", *[text(c) for c in ("addr_municipality", "city", "town", "village", "county")], text("display_name"))
@@ -419,8 +419,8 @@ def network_identity(pairs: DataFrame) -> DataFrame:
     )
 
 
-def site_aliases(name: Column | str, title: Column | str, structured: Column | str, k: int = 3) -> Column:
-    """Up to ``k`` other names a proven site uses: its title before a bar or dash, and structured names."""
+def site_aliases(name: Column | str, title: Column | str, structured: Column | str, k: int | None = None) -> Column:
+    """Other names (up to ``k``) a proven site uses: its title before a bar or dash, and structured names."""
     raw = F.concat(F.array(text(title)), F.coalesce(as_col(structured), F.array().cast("array<string>")))
     heads = F.transform(raw, lambda r: F.trim(F.regexp_replace(text(r), r"(?s)\s+[|–—]\s+.*$", "")))
     legal = full_name(name)
@@ -429,13 +429,13 @@ def site_aliases(name: Column | str, title: Column | str, structured: Column | s
         plain = full_name(candidate)
         return ~plain.isin(*K.ALIAS_BANNED) & (plain != legal) & F.length(plain).between(3, 80)
 
-    return F.slice(F.array_distinct(F.filter(heads, good)), 1, k)
+    return first_items(F.array_distinct(F.filter(heads, good)), k)
 
 
-def leaders(roles: Column | str, k: int = 5) -> Column:
+def leaders(roles: Column | str, k: int | None = None) -> Column:
     """Names of the registered leaders among ``array<struct<name, role_code, ...>>``."""
     led = F.filter(as_col(roles), lambda r: r["role_code"].isin(*K.LEADER_ROLES) & (text(r["name"]) != ""))
-    return F.slice(F.transform(led, lambda r: r["name"]), 1, k)
+    return first_items(F.transform(led, lambda r: r["name"]), k)
 
 
 def match_channels(hits: DataFrame) -> DataFrame:

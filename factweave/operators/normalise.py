@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import constants as K
 from ..functions.text import as_col, blank_to_null, digits, squash, text
 from ..sources.readers import canonical_json
-from .rows import require_empty, top_per_key, unfold
+from .rows import first_items, require_empty, top_per_key, unfold
 
 BULK_SOURCE = "https://data.brreg.no/enhetsregisteret/api/enheter/lastned/csv"
 RULE_SOURCE = "https://www.brreg.no/en/submission-of-annual-accounts/"
@@ -86,9 +86,9 @@ FINANCIAL_BODY = (
 )
 
 
-def financial_records(body: Column | str) -> Column:
-    """Up to three filed records. Zero stays zero, an absent figure is NULL."""
-    items = F.slice(F.from_json(body, FINANCIAL_BODY), 1, 3)
+def financial_records(body: Column | str, k: int | None = None) -> Column:
+    """The filed records (the first k). Zero stays zero, an absent figure is NULL."""
+    items = first_items(F.from_json(body, FINANCIAL_BODY), k)
 
     def record(r: Column) -> Column:
         result = r["resultatregnskapResultat"]
@@ -445,7 +445,7 @@ def fill_budget_exhausted(profiles: DataFrame, have: DataFrame, modules: Sequenc
     )
 
 
-def entity_card(profiles: DataFrame, obs: DataFrame, items: int = 10) -> DataFrame:
+def entity_card(profiles: DataFrame, obs: DataFrame) -> DataFrame:
     """Compact view of each entity: registry facts, latest network profile and counts by kind.
 
     Observations are reduced to one row per entity first; the newest posts and jobs of the card
@@ -458,8 +458,8 @@ def entity_card(profiles: DataFrame, obs: DataFrame, items: int = 10) -> DataFra
         F.count_if(F.coalesce(kind("profile_metrics"), F.lit(False))).alias("network_profiles"),
         F.max_by(F.when(kind("profile_metrics"), F.col("source_url")), F.when(kind("profile_metrics"), seen)).alias("network_profile_url"),
         F.max_by(F.when(kind("workforce_snapshot"), F.col("source_url")), F.when(kind("workforce_snapshot"), seen)).alias("network_workforce_url"),
-        F.least(F.count_if(F.coalesce(kind("public_post"), F.lit(False))), F.lit(items)).alias("network_posts"),
-        F.least(F.count_if(F.coalesce(kind("job_posting"), F.lit(False))), F.lit(items)).alias("network_jobs"),
+        F.count_if(F.coalesce(kind("public_post"), F.lit(False))).alias("network_posts"),
+        F.count_if(F.coalesce(kind("job_posting"), F.lit(False))).alias("network_jobs"),
         F.count_distinct(
             F.when((F.col("signal_type") == "profile_handle") & F.col("exact_entity") & (text("source_url") != ""), F.struct("platform", "source_url"))
         ).alias("verified_handles"),
@@ -474,8 +474,8 @@ def entity_card(profiles: DataFrame, obs: DataFrame, items: int = 10) -> DataFra
     )
 
 
-def card_items(obs: DataFrame, signal: str, items: int = 10) -> DataFrame:
-    """First posts or jobs of each entity's network page, as the card lists them."""
+def card_items(obs: DataFrame, signal: str, items: int | None = None) -> DataFrame:
+    """Posts or jobs of each entity's network page, as the card lists them."""
     chosen = obs.where((F.col("platform") == "linkedin") & (F.col("signal_type") == signal) & F.col("exact_entity"))
     return top_per_key(chosen, ["organisation_number"], ["retrieved_at", "id"], items, "position")
 

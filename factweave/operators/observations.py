@@ -55,8 +55,8 @@ def fan_out(df: DataFrame, *items: tuple[Column | None, Column], keys: tuple[str
     return unfold(df, keys, made, "o").select(*keys, "o.*").select("id", *keys, *FIELDS[1:])
 
 
-def _span(value: Column, size: int = 300) -> Column:
-    return F.nullif(F.substring(text(value), 1, size), F.lit(""))
+def _span(value: Column) -> Column:
+    return F.nullif(text(value), F.lit(""))
 
 
 def registry_observations(registry: DataFrame, run_ts: str, content_sha256: str | None = None, url: str = BULK_SOURCE) -> DataFrame:
@@ -125,7 +125,7 @@ def site_observations(sites: DataFrame) -> DataFrame:
     def reviewed(r: Column, i: Column) -> Column:
         return F.when(ok & (clean(r["body"]) != ""), observation(
             **customer, id=oid("review", i.cast("string")), signal_type="review", source_url=url, effective_at=at_or(r["date"]),
-            evidence_span=F.substring(clean(r["body"]), 1, 1200), reviewer_id=F.coalesce(r["author"], F.concat(F.lit("reviewer-"), i.cast("string"))),
+            evidence_span=clean(r["body"]), reviewer_id=F.coalesce(r["author"], F.concat(F.lit("reviewer-"), i.cast("string"))),
             metrics=metrics(rating=rating5(r["rating"], r["best"]))))
 
     parts = [profile, handles, jobs, careers, news]
@@ -237,7 +237,7 @@ def listing_observations(matched: DataFrame, run_ts: str) -> DataFrame:
     body = clean("r.body")
     reviews = fan_out(each, (None, observation(
         **common, id=F.concat_ws("-", F.lit("gmaps-review"), org, F.col("r.review_id")), signal_type="review", source_class="customer_review",
-        evidence_span=F.when(body != "", F.substring(body, 1, 1200)).otherwise(F.concat(F.lit("Explicit customer rating: "), F.col("r.stars").cast("string"), F.lit("/5"))),
+        evidence_span=F.when(body != "", body).otherwise(F.concat(F.lit("Explicit customer rating: "), F.col("r.stars").cast("string"), F.lit("/5"))),
         reviewer_id=F.coalesce(F.nullif(F.col("r.author"), F.lit("")), F.concat(F.lit("anonymous-"), F.col("at").cast("string"))),
         metrics=metrics(rating=F.col("r.stars"), rating_scale=F.lit(5), review_id=F.col("r.review_id")),
         sentiment_label=star_label(F.col("r.stars")), sentiment_model_version="explicit_star_rating_v1", strategy="independent_sentiment")))
@@ -276,12 +276,12 @@ def site_news(sites: DataFrame, pages: DataFrame) -> DataFrame:
     return fan_out(chosen, (None, observation(
         id=F.concat(F.lit("company-site-news-"), F.substring(F.sha2(F.concat_ws("|", ORG, url), 256), 1, 24)), platform="company_site", signal_type="public_post",
         source_url=url, retrieved_at=F.col("__at"), content_sha256=F.col("p.content_sha256"), exact_entity=True, identity_proof=proof(("website_identity_gate", F.col("site_score"))),
-        acquisition_mode="permitted_public_page", rights_status="approved", source_class="company_site", evidence_span=F.substring(title, 1, 1200),
+        acquisition_mode="permitted_public_page", rights_status="approved", source_class="company_site", evidence_span=title,
         metrics=metrics(captured_news_pages=F.col("captured")), strategy="company_site_activity")))
 
 
-def mention_observations(entities: DataFrame, titles: DataFrame, k: int, run_ts: str) -> DataFrame:
-    """News titles naming an entity in full, once per (title, publisher), the first ``k`` per entity.
+def mention_observations(entities: DataFrame, titles: DataFrame, run_ts: str, k: int | None = None) -> DataFrame:
+    """News titles naming an entity in full, once per (title, publisher), or the first ``k`` per entity.
 
     ``titles``: title_id, title, link, publisher, published_at. Rows are cut to the wanted columns
     before the join brings them back to their entities.
@@ -368,7 +368,7 @@ def channel_observations(channels: DataFrame, hits: DataFrame, run_ts: str) -> D
     post_key = F.sha2(F.concat_ws("|", ORG, "url"), 256)
     posts = fan_out(mine.where(video), (None, observation(
         **common, id=F.concat(F.lit("youtube-search-post-"), F.substring(post_key, 1, 24)), signal_type="public_post", source_url=F.col("url"), content_sha256=post_key,
-        evidence_span=F.substring(F.coalesce(F.nullif(F.col("video_title"), F.lit("")), F.lit("public YouTube post")), 1, 1200),
+        evidence_span=F.coalesce(F.nullif(F.col("video_title"), F.lit("")), F.lit("public YouTube post")),
         metrics=metrics(view_count=F.col("view_count")), strategy="youtube_channel_feed")))
     return per_channel.unionByName(posts)
 

@@ -13,10 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str | None = None) -> DataFrame:
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int | None, rank: str | None = None) -> DataFrame:
+    """The first k rows of each key (all of them if k is None), numbered from 1 if rank names a column."""
+    if k is None and rank is None:
+        return df
     name = rank or "__pick"
     w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    out = df.withColumn(name, F.row_number().over(w))
+    if k is not None:
+        out = out.where(F.col(name) <= k)
     return out if rank else out.drop(name)
 
 
@@ -24,6 +29,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return top_per_key(df, keys, order, 1)
 
 
+def first_items(array: Column, k: int | None) -> Column:
+    """The first k elements, or all."""
+    return array if k is None else F.slice(array, 1, k)
+
+
 def unfold(df: DataFrame, keep: Sequence[Column | str], array: Column, name: str) -> DataFrame:
     """Rows of an array's elements, NULL elements left out.
 

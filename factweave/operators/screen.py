@@ -94,7 +94,8 @@ def screen(profiles: DataFrame, plan: ScreenPlan) -> DataFrame:
         modules.append("financials" if plan.sort.field == "revenue" else "registry")
     out = kept.select(ORG, "name", "municipality", "employees", "revenue", "annual_result", citations(modules or ["registry"]).alias("citations"))
     if plan.sort:
-        return out.orderBy(F.col(plan.sort.field).desc_nulls_last(), F.col(ORG).asc()).limit(min(plan.sort.limit, 100))
+        ranked = out.orderBy(F.col(plan.sort.field).desc_nulls_last(), F.col(ORG).asc())
+        return ranked if plan.sort.limit is None else ranked.limit(plan.sort.limit)
     return out.orderBy(ORG)
 
 
@@ -150,7 +151,7 @@ def _facts(df: DataFrame, topic: str, module: str, rows: Sequence[tuple[str | Co
     return unfold(df, [ORG, F.lit(topic).alias("topic"), *source], made, "f").select(ORG, "topic", "f.*", "source_url", "retrieved_at", "content_sha256")
 
 
-def facts(profiles: DataFrame, roles: DataFrame | None = None, locations: DataFrame | None = None, site_items: DataFrame | None = None, workforce: DataFrame | None = None, cap: int = 12) -> DataFrame:
+def facts(profiles: DataFrame, roles: DataFrame | None = None, locations: DataFrame | None = None, site_items: DataFrame | None = None, workforce: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Every source-linked fact of every entity, by topic.
 
     ``profiles`` is screen input with period; roles(seq, name, role, group, inactive),

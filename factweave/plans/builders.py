@@ -131,11 +131,11 @@ def site_news(spark, folder):
 @query(
     "obs_09_mentions",
     f"""WITH m AS ({MENTION_SQL}), t AS (SELECT m.organisation_number, m.title_id, d.text, d.lang, row_number() OVER (PARTITION BY m.organisation_number, lower(d.text), d.lang ORDER BY title_id) AS once FROM m JOIN documents d ON d.doc_id = m.title_id),
-    k AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY title_id) AS rn FROM t WHERE once = 1) SELECT organisation_number, 'google-news-title-' || left(sha256(organisation_number || '|' || text || '|' || lang), 24) AS id FROM k WHERE rn <= 5""",
+    k AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY title_id) AS rn FROM t WHERE once = 1) SELECT organisation_number, 'google-news-title-' || left(sha256(organisation_number || '|' || text || '|' || lang), 24) AS id FROM k""",
 )
 def mentions(spark, folder):
     titles = load(spark, folder, "documents").select(F.col("doc_id").alias("title_id"), F.col("text").alias("title"), F.lit("https://n.no/1").alias("link"), F.col("lang").alias("publisher"), F.lit(None).cast("string").alias("published_at"))
-    return O.mention_observations(mention_names(spark, folder), titles, 5, RUN).select(ORG, "id")
+    return O.mention_observations(mention_names(spark, folder), titles, RUN).select(ORG, "id")
 
 
 @query(

@@ -154,8 +154,8 @@ _WEB = """SELECT organisation_number, website_status = 'available' AS seen, COAL
 _CLAIMS = f"""WITH rc AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY field) AS seq FROM ({_CLAIM_SQL})),
  years AS (SELECT DISTINCT organisation_number, year FROM accounts), web AS ({_WEB}),
  f AS (SELECT organisation_number, 0 AS fam, seq * 16 + 100 AS sub, field, value, reporting_period FROM rc
-  UNION ALL SELECT organisation_number, 1, seq * 16 + 100, 'financials.revenue', CAST(revenue AS VARCHAR), CAST(year AS VARCHAR) FROM records WHERE seq <= 3
-  UNION ALL SELECT organisation_number, 1, seq * 16 + 102, 'financials.annual_result', CAST(annual_result AS VARCHAR), CAST(year AS VARCHAR) FROM records WHERE seq <= 3
+  UNION ALL SELECT organisation_number, 1, seq * 16 + 100, 'financials.revenue', CAST(revenue AS VARCHAR), CAST(year AS VARCHAR) FROM records
+  UNION ALL SELECT organisation_number, 1, seq * 16 + 102, 'financials.annual_result', CAST(annual_result AS VARCHAR), CAST(year AS VARCHAR) FROM records
   UNION ALL SELECT organisation_number, 2, 16 + 100, 'role.lede', 'Ada ' || municipality, '2024-01-01' FROM graded WHERE COALESCE(employees, 0) % 2 = 0 UNION ALL SELECT organisation_number, 2, 32 + 100, 'role.dagl', 'Bo', NULL FROM graded
   UNION ALL SELECT organisation_number, 4, year * 16 + 100, 'financial_history.year', CAST(year AS VARCHAR), CAST(year AS VARCHAR) FROM years),
  h AS (SELECT organisation_number, unnest([0, 1, 2, 4, 5]) AS fam FROM graded),

@@ -17,12 +17,12 @@ _TEXT = _SQUASH.format(_UN.format("regexp_replace({}, '<[^>]*>', ' ', 'g')"))
 
 @query(
     "ext_01_page_events",
-    base.oracle("crawl_events", f"""SELECT page_id, status, strlen(html) AS bytes, sha256(html) AS content_sha256, CASE WHEN status = 'available' THEN left({_TEXT.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, 500) END AS title,
-    CASE WHEN status = 'available' THEN left({_TEXT.format("regexp_extract(html, '(?is)(<footer>.*?</footer>)', 1)")}, 3000) END AS identity_text, CASE WHEN status = 'available' THEN left({_TEXT.format("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")}, 5000) END AS main_text FROM crawl_events"""),
+    base.oracle("crawl_events", f"""SELECT page_id, status, strlen(html) AS bytes, sha256(html) AS content_sha256, CASE WHEN status = 'available' THEN {_TEXT.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} END AS title,
+    CASE WHEN status = 'available' THEN {_TEXT.format("regexp_extract(html, '(?is)(<footer>.*?</footer>)', 1)")} END AS identity_text, CASE WHEN status = 'available' THEN {_TEXT.format("regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")} END AS main_text FROM crawl_events"""),
 )
 def page_events(spark, folder):
     return X.page_events(base.captures(spark, folder)).select(
-        "page_id", "status", F.col("bytes").cast("long").alias("bytes"), "content_sha256", "title", F.col("identity_text_excerpt").alias("identity_text"), F.col("main_text_excerpt").alias("main_text")
+        "page_id", "status", F.col("bytes").cast("long").alias("bytes"), "content_sha256", "title", "identity_text", "main_text"
     )
 
 
@@ -134,14 +134,14 @@ def feed_links(spark, folder):
 @query(
     "ext_10_sitemap_items",
     """SELECT o_custkey AS page_id, 'ny rigg ' || CAST(o_orderkey AS VARCHAR) AS headline, strftime(o_orderdate, '%Y-%m-%d') AS date_published, 'https://s.no/ny-rigg_' || CAST(o_orderkey AS VARCHAR) AS url FROM
-    (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3""",
+    (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders)""",
 )
 def sitemap_items(spark, folder):
     # a site's map is written from its orders; the map of one site is a stored body like any other
     entry = F.concat(F.lit("<url><loc>https://s.no/ny-rigg_"), F.col("o_orderkey").cast("string"), F.lit("/</loc><lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T01:02:03Z</lastmod></url>"))
     body = load(spark, folder, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e"))))["e"], "").alias("b"))
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "b", F.lit("<url><loc>https://s.no/</loc><lastmod>2099-01-01</lastmod></url></urlset>"))
-    out = X.sitemap_items(body.select("page_id", F.lit("https://s.no/").alias("url"), xml.alias("body")), cap=3)
+    out = X.sitemap_items(body.select("page_id", F.lit("https://s.no/").alias("url"), xml.alias("body")))
     return out.select("page_id", "headline", "date_published", F.regexp_replace("url", "/$", "").alias("url"))
 
 

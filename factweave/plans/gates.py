@@ -125,7 +125,7 @@ def page_results(spark, folder):
     "flt_10_candidate_sites",
     """WITH h AS (SELECT CAST(100000000 + page_id % 40 AS VARCHAR) AS organisation_number, url, page_id AS rank, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)), '^www\\.', '') AS host FROM pages),
     one AS (SELECT *, row_number() OVER (PARTITION BY organisation_number, host ORDER BY rank, url) AS r FROM h WHERE host NOT LIKE '%x.com%')
-    SELECT organisation_number, url, host, position FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY rank, url) AS position FROM one WHERE r = 1) WHERE position <= 3""",
+    SELECT organisation_number, url, host, position FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY rank, url) AS position FROM one WHERE r = 1)""",
 )
 def candidate_sites(spark, folder):
     return G.candidate_sites(page_results(spark, folder)).select("organisation_number", "url", "host", "position")

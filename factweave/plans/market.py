@@ -1,10 +1,10 @@
-"""Queries over order-book features and backtests."""
+"""Queries over order-book features and results of replays."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest as B, market as M
+from ..operators import market as M
 from . import base
 from .catalog import load, query
 from .scalars import ERF_SQL, books
@@ -150,48 +150,6 @@ def exit_signal(spark, folder):
     return ticks(spark, folder).select("event_id", reason.alias("reason"))
 
 
-def frames(spark, folder):
-    """Trading frames made of events: a path per user, a market per week, books about the event's numbers."""
-    t = ticks(spark, folder)
-    book = lambda side, base_: F.struct(
-        F.array(F.array(base_ + 0.01, F.lit(4.0)), F.array(base_ + 0.02, F.lit(40.0))).alias("asks"),
-        F.array(F.array(base_ - 0.02, F.lit(40.0)), F.array(base_, F.lit(6.0))).alias("bids"), F.lit(5.0).alias("minOrderSize"),
-    )
-    lean = 0.55 + (F.col("k") % 20) / 100.0
-    return t.select(
-        F.col("path_id").cast("string").alias("path_id"), F.col("ts").alias("timestamp"),
-        F.struct(F.col("market_id").cast("string").alias("id"), (F.col("k") * 1.5).alias("secondsToClose")).alias("market"),
-        F.struct(F.lit(10.0).alias("cashUsd")).alias("account"), F.struct(F.lit(5.0).alias("maximumBuyCashUsd"), F.lit(1000.0).alias("targetVolumeUsd"), F.lit(720.0).alias("evaluationWindowHours")).alias("rules"),
-        F.struct(F.col("price").alias("btcMidUsd"), F.col("target").alias("openingTargetUsd"), F.col("observed").alias("observedAt"), F.col("target_observed").alias("targetObservedAt"), F.col("provisional").alias("targetProvisional")).alias("reference"),
-        F.struct(book("YES", lean).alias("YES"), book("NO", lean - 0.02).alias("NO")).alias("books"),
-    )
-
-
-CONFIGS = [{}, {"min_reference_gap_usd": 2.0, "persistence_samples": 1}, {"use_edge_gate": True, "adaptive_vol": True}, {"size_to_cap": True, "persistence_samples": 1, "abort_market_after_loss": False}]
-
-
-def results(spark, folder, configs=CONFIGS):
-    return B.backtest(B.features(frames(spark, folder)), configs)
-
-
-@query("mkt_12_backtest")
-def backtest(spark, folder):
-    """Sequential by nature; tests hold it against hand-made frames."""
-    return results(spark, folder)
-
-
-@query("mkt_12_backtest_shape", "SELECT c AS config_id, CAST(user_id AS VARCHAR) AS path_id, true AS sane FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (1), (2), (3)) v(c)")
-def backtest_shape(spark, folder):
-    """Every (configuration, path) comes back once, and the money adds up."""
-    sane = (F.col("eligible_volume_usd") >= 0) & (F.col("max_drawdown_usd") >= 0) & (F.col("final_cash_usd") <= 10 + F.col("eligible_volume_usd")) & (F.col("completed_cycles") >= 0)
-    return results(spark, folder).select("config_id", "path_id", sane.alias("sane"))
-
-
-@query("mkt_13_parameter_sweep")
-def parameter_sweep(spark, folder):
-    return B.rank_configs(B.path_summary(results(spark, folder, B.grid_configs())), 5)
-
-
 @query(
     "agg_22_path_summary",
     f"""SELECT CAST({base._K} % 10 AS INTEGER) AS config_id, count(*) AS n, max(value) AS max_volume, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS flat_rate, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END) AS qual_rate,
@@ -202,12 +160,7 @@ def path_summary(spark, folder):
         (F.expr(base._K) % 10).alias("config_id"), F.col("value").alias("eligible_volume_usd"), (F.col("value") / 4).alias("final_cash_usd"),
         (F.col("event_type") != "error").alias("terminal_flat"), (F.col("event_type") == "view").alias("reached_target"),
     )
-    return B.path_summary(r)
-
-
-@query("jon_15_config_paths", "SELECT user_id AS path_id, CAST(g AS INTEGER) AS config_group, count(*) AS frames FROM events, (VALUES (0), (1), (2)) v(g) GROUP BY 1, 2")
-def config_paths(spark, folder):
-    return B.config_paths(ticks(spark, folder).select("path_id"), B.grid_configs()).groupBy("path_id", "config_group").agg(F.count("*").alias("frames"))
+    return M.path_summary(r)
 
 
 @query(

@@ -206,8 +206,8 @@ def address(spark, folder):
       count(*) FILTER (platform = 'linkedin' AND exact_entity AND signal_type = 'profile_metrics') AS network_profiles,
       arg_max(source_url, (retrieved_at, id)) FILTER (platform = 'linkedin' AND exact_entity AND signal_type = 'profile_metrics') AS network_profile_url,
       arg_max(source_url, (retrieved_at, id)) FILTER (platform = 'linkedin' AND exact_entity AND signal_type = 'workforce_snapshot') AS network_workforce_url,
-      least(count(*) FILTER (platform = 'linkedin' AND exact_entity AND signal_type = 'public_post'), 10) AS network_posts,
-      least(count(*) FILTER (platform = 'linkedin' AND exact_entity AND signal_type = 'job_posting'), 10) AS network_jobs,
+      count(*) FILTER (platform = 'linkedin' AND exact_entity AND signal_type = 'public_post') AS network_posts,
+      count(*) FILTER (platform = 'linkedin' AND exact_entity AND signal_type = 'job_posting') AS network_jobs,
       count(DISTINCT platform || source_url) FILTER (signal_type = 'profile_handle' AND exact_entity) AS verified_handles
       FROM observations GROUP BY 1) o ON o.organisation_number = e.organisation_number"""),
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import control, extract as X, feed, normalise as N, sampling as W, screen as Q
 from ..operators.joins import resolved_handles
 from . import base, sqltext as S
-from .aggregates import STRATUM_SQL, _REWARD, history, score_profiles
+from .aggregates import STRATUM_SQL, _REWARD, history
 from .catalog import load, query
 from .joins import order_manifest
 
@@ -143,7 +143,7 @@ def crawl_merge(spark, folder):
     "win_10_dedupe_articles",
     """WITH a AS (SELECT source AS organisation_number, 'Head ' || CAST(n_chars % 60 AS VARCHAR) AS headline, lang AS date_published, doc_id AS seq FROM documents),
     d AS (SELECT *, row_number() OVER (PARTITION BY organisation_number, lower(headline), date_published ORDER BY seq) AS r FROM a)
-    SELECT organisation_number, headline, date_published, seq, position FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY date_published, lower(headline)) AS position FROM d WHERE r = 1) WHERE position <= 25""",
+    SELECT organisation_number, headline, date_published, seq, position FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY date_published, lower(headline)) AS position FROM d WHERE r = 1)""",
 )
 def dedupe_articles(spark, folder):
     a = load(spark, folder, "documents").select(
@@ -157,7 +157,7 @@ def dedupe_articles(spark, folder):
     "win_10_dedupe_postings",
     """WITH a AS (SELECT source AS organisation_number, 'Job ' || CAST(n_chars % 9 AS VARCHAR) AS title, 'https://X.no/' || lang AS url, CAST(n_chars % 7 AS VARCHAR) AS date_posted, doc_id AS seq FROM documents),
     d AS (SELECT *, row_number() OVER (PARTITION BY organisation_number, lower(title), lower(url) ORDER BY seq) AS r FROM a)
-    SELECT organisation_number, title, url, date_posted, seq, position FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY date_posted, lower(title), url) AS position FROM d WHERE r = 1) WHERE position <= 25""",
+    SELECT organisation_number, title, url, date_posted, seq, position FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY date_posted, lower(title), url) AS position FROM d WHERE r = 1)""",
 )
 def dedupe_postings(spark, folder):
     a = load(spark, folder, "documents").select(
@@ -195,7 +195,7 @@ base.VIEWS["screen"] = (("graded", "accounts"), """SELECT g.*, a.year AS period,
 
 @query(
     "win_12_screen_top_k",
-    base.oracle("screen", "SELECT organisation_number, CAST(revenue AS DOUBLE) AS revenue, employees FROM screen ORDER BY employees DESC NULLS LAST, organisation_number LIMIT 100"),
+    base.oracle("screen", "SELECT organisation_number, CAST(revenue AS DOUBLE) AS revenue, employees FROM screen ORDER BY employees DESC NULLS LAST, organisation_number LIMIT 500"),
 )
 def screen_top_k(spark, folder):
     out = Q.screen(screen_profiles(spark, folder), Q.ScreenPlan(sort=Q.Sort("employees", 500)))
@@ -211,25 +211,6 @@ def strategy_order(spark, folder):
     return control.strategy_order(history(spark, folder)).select("strategy", "runs", F.col("position").cast("long").alias("position"))
 
 
-@query("win_14_adaptive_control")
-def adaptive_control(spark, folder):
-    """Rounds of the controller; sequential by nature. Its end state has SQL below, its rounds have tests."""
-    return control.run_control(score_profiles(spark, folder), base.observations(spark, folder))
-
-
-@query(
-    "win_14_control_final_score",
-    base.oracle("scores", "SELECT organisation_number, CAST(" + " + ".join(f"c_{n}" for n in control.K.SCORE_MAXIMA) + " AS DOUBLE) AS score, CAST("
-                + " + ".join(f"p_{n}" for n in control.K.SCORE_MAXIMA) + " AS DOUBLE) AS experimental_potential_score, 18 AS rounds FROM scores"),
-)
-def control_final_score(spark, folder):
-    """After all rounds everything is visible, so the last score is the score of all evidence."""
-    steps = adaptive_control(spark, folder)
-    return steps.groupBy(ORG).agg(
-        F.max_by("score_after", "iteration").alias("score"), F.max_by("experimental_potential_score", "iteration").alias("experimental_potential_score"), F.count("*").alias("rounds")
-    )
-
-
 @query(
     "win_15_frontier",
     f"""WITH b AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS root, url, html || '<a class="x" href="/om-oss/#team">Om</a><a href=''kontakt.html''>Kontakt <b>oss</b></a><a href="https://other.no/about">x</a><a href="/careers/">j</a>' AS html FROM pages),
@@ -238,7 +219,7 @@ def control_final_score(spark, folder):
     r AS (SELECT page_id, root, target, min(CASE {' '.join(f"WHEN position('{term}' IN lower(substr(target, length(root) + 1)) || ' ' || label) > 0 THEN {i}" for i, term in enumerate(X.K.PRIORITY_TERMS))} END) AS rank FROM t WHERE target LIKE root || '/%' OR target = root GROUP BY 1, 2, 3),
     l AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, target) AS rn FROM r WHERE rank IS NOT NULL),
     p AS (SELECT page_id, root || '/' || path AS url, i AS ord FROM b, (VALUES {', '.join(f"('{p}', {i})" for i, p in enumerate(X.K.PROBE_PATHS))}) v(path, i)
-      UNION ALL SELECT page_id, target, 11 + rn FROM l WHERE rn <= 6), d AS (SELECT *, row_number() OVER (PARTITION BY page_id, rtrim(url, '/') ORDER BY ord) AS once FROM p)
+      UNION ALL SELECT page_id, target, 11 + rn FROM l), d AS (SELECT *, row_number() OVER (PARTITION BY page_id, rtrim(url, '/') ORDER BY ord) AS once FROM p)
     SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS position FROM d WHERE once = 1""",
 )
 def frontier(spark, folder):

@@ -157,7 +157,7 @@ def dated_text(spark, folder):
 
 @query(
     "scl_14_headline",
-    """SELECT page_id, left(trim(regexp_replace(regexp_extract(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '([^/]*)$', 1), '[-_]+', ' ', 'g')), 300) AS headline FROM (SELECT page_id, replace(url, '/en/', '/en/ny-rigg_') AS url FROM pages)""",
+    """SELECT page_id, trim(regexp_replace(regexp_extract(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '([^/]*)$', 1), '[-_]+', ' ', 'g')) AS headline FROM (SELECT page_id, replace(url, '/en/', '/en/ny-rigg_') AS url FROM pages)""",
 )
 def headline(spark, folder):
     return load(spark, folder, "pages").select("page_id", U.headline(F.replace("url", F.lit("/en/"), F.lit("/en/ny-rigg_"))).alias("headline"))
@@ -186,12 +186,6 @@ def ratings(spark, folder):
     return load(spark, folder, "events").select("event_id", M.rating5(F.col("value") / 40, best).alias("rating"), M.star_label(F.col("value") / 50).alias("label"))
 
 
-@query("scl_17_fuzzy_ratio")
-def fuzzy_ratio(spark, folder):
-    """Matching blocks have no SQL form; tests compare with the standard library."""
-    return load(spark, folder, "part").select("p_partkey", T.fuzzy_ratio("p_name", "p_type").alias("ratio"))
-
-
 @query(
     "scl_18_period_label",
     """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN d || ' to ' || d WHEN 1 THEN d WHEN 2 THEN d ELSE 'the latest filed year' END AS period FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""",

@@ -3,67 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import backtest as B, market as M
-
-BOOK = {"asks": [[0.6, 50.0]], "bids": [[0.59, 50.0]], "minOrderSize": 5.0}
-
-
-def frame(ts, seconds, price, target=100.0, yes=BOOK, no=BOOK, market="m1", provisional=False):
-    return (
-        "p", ts, (market, seconds), (10.0,), (5.0, 1000.0, 24.0), (price, target, ts, ts - 10, provisional),
-        ((yes["asks"], yes["bids"], yes["minOrderSize"]), (no["asks"], no["bids"], no["minOrderSize"])),
-    )
-
-
-SIDE = "struct<asks:array<array<double>>,bids:array<array<double>>,minOrderSize:double>"
-SCHEMA = (
-    "path_id string, timestamp double, market struct<id:string,secondsToClose:double>, account struct<cashUsd:double>,"
-    " rules struct<maximumBuyCashUsd:double,targetVolumeUsd:double,evaluationWindowHours:double>,"
-    " reference struct<btcMidUsd:double,openingTargetUsd:double,observedAt:double,targetObservedAt:double,targetProvisional:boolean>,"
-    f" books struct<YES:{SIDE},NO:{SIDE}>"
-)
-
-
-def run(spark, frames, config=None):
-    df = spark.createDataFrame(frames, SCHEMA)
-    return B.backtest(B.features(df), [config or {}]).first()
-
-
-def test_buy_hold_and_take_profit(spark):
-    rich = {"asks": [[0.75, 50.0]], "bids": [[0.74, 50.0]], "minOrderSize": 5.0}
-    r = run(spark, [frame(0.0, 100.0, 120.0), frame(1.0, 99.0, 121.0), frame(2.0, 98.0, 122.0, yes=rich)])
-    assert r.completed_cycles == 1 and r.terminal_flat and r.eligible_volume_usd == pytest.approx(5 * 0.6 + 5 * 0.74)
-    fees = lambda p: round(0.07 * 5 * p * (1 - p) + 1e-12, 5) + round(5 * p * 0.01 + 1e-12, 5)
-    assert r.final_cash_usd == pytest.approx(10 - 3.0 - fees(0.6) + 3.7 - fees(0.74), abs=1e-4)
-
-
-def test_no_entry(spark):
-    quiet = [frame(0.0, 100.0, 120.0)]
-    assert run(spark, quiet).eligible_volume_usd == 0  # one sample is no regime
-    guard = [frame(float(i), 19.0 - i, 120.0 + i) for i in range(3)]
-    assert run(spark, guard).eligible_volume_usd == 0
-    assert run(spark, [frame(float(i), 100.0 - i, 120.0, provisional=True) for i in range(3)]).eligible_volume_usd == 0
-    cheap = {"asks": [[0.45, 50.0]], "bids": [[0.44, 50.0]], "minOrderSize": 5.0}
-    assert run(spark, [frame(float(i), 100.0 - i, 120.0, yes=cheap) for i in range(3)]).eligible_volume_usd == 0
-
-
-def test_stop_and_forced_exit(spark):
-    low = {"asks": [[0.4, 50.0]], "bids": [[0.39, 50.0]], "minOrderSize": 5.0}
-    start = [frame(0.0, 100.0, 120.0), frame(1.0, 99.0, 121.0)]
-    stopped = run(spark, [*start, frame(2.0, 98.0, 121.0, yes=low), frame(10.0, 90.0, 125.0), frame(11.0, 89.0, 126.0)])
-    assert stopped.completed_cycles == 1 and stopped.terminal_flat  # the market is left alone after a loss
-    forced = run(spark, [*start, frame(62.0, 38.0, 121.0)])
-    assert forced.completed_cycles == 1 and forced.max_drawdown_usd > 0
-
-
-def test_paths_do_not_mix_and_order_does_not_matter(spark):
-    frames = [frame(float(i), 100.0 - i, 120.0 + i) for i in range(20)]
-    other = [("q", *f[1:]) for f in frames]
-    df = spark.createDataFrame(frames + other, SCHEMA)
-    configs = [{"min_reference_gap_usd": float(g)} for g in range(40)]
-    a = sorted(map(tuple, B.backtest(B.features(df), configs, group=7).collect()))
-    b = sorted(map(tuple, B.backtest(B.features(df.orderBy(F.rand(1)).repartition(5)), configs, group=40).collect()))
-    assert a == b and len(a) == 80
+from factweave.operators import market as M
 
 
 def test_sizing(spark):
