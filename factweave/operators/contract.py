@@ -202,9 +202,13 @@ def claims(
     return out if obs is None else out.unionByName(observation_claims(obs))
 
 
+def _numbered(obs: DataFrame) -> DataFrame:
+    return number_rows(obs.where(G.publishable()), [ORG], F.substring(text("retrieved_at"), 1, 10), ["retrieved_at", "id"])
+
+
 def observation_claims(obs: DataFrame) -> DataFrame:
     """One claim per published observation, numbered in the entity's order of retrieval."""
-    numbered = number_rows(obs.where(G.publishable()), [ORG], F.substring(text("retrieved_at"), 1, 10), ["retrieved_at", "id"])
+    numbered = _numbered(obs)
     body = F.to_json("metrics") if "metrics" in obs.columns else F.lit(None).cast("string")
     return numbered.select(
         ORG, F.concat_ws(".", "platform", "signal_type").alias("field"), F.coalesce(F.nullif(body, F.lit("{}")), F.col("source_url")).alias("value"),
@@ -214,6 +218,31 @@ def observation_claims(obs: DataFrame) -> DataFrame:
     )
 
 
+def evidence(claimed: DataFrame, profiles: DataFrame, obs: DataFrame | None = None) -> DataFrame:
+    """What the claims cite: evidence_id, source_url, source_class, retrieved_at, content_sha256 and quote.
+
+    ``profiles`` has for each module its source_url, source_class, retrieved_at and content_sha256, named
+    module_column; what is absent is NULL. Observations bring their own.
+    """
+    stems = {prefix: m for m, (prefix, _) in FAMILIES.items()} | {f"ev-{m}": m for m in FAMILIES}
+    table = F.create_map(*[F.lit(x) for pair in stems.items() for x in pair])
+    module = F.element_at(table, F.regexp_replace("evidence_id", "-[0-9]+$", ""))
+    cited = claimed.where(~F.col("evidence_id").startswith("ev-obs-")).groupBy(ORG, "evidence_id").agg(F.max("span").alias("span"))
+    columns = ("source_url", "source_class", "retrieved_at", "content_sha256")
+    known = lambda m, c: (F.col(f"{m}_{c}") if f"{m}_{c}" in profiles.columns else F.lit(None)).cast("string").alias(c)
+    sources = unfold(profiles, [ORG], F.array(*[F.struct(F.lit(m).alias("module"), *[known(m, c) for c in columns]) for m in FAMILIES]), "s").select(ORG, "s.*")
+    out = cited.withColumn("module", module).join(sources, [ORG, "module"], "left").select(ORG, "evidence_id", *columns, "span")
+    if obs is None:
+        return out
+    own = _numbered(obs).select(ORG, F.concat(F.lit("ev-obs-"), F.col("position").cast("string")).alias("evidence_id"), *columns, F.nullif(text("evidence_span"), F.lit("")).alias("span"))
+    return out.unionByName(own)
+
+
+def unresolved(claimed: DataFrame, entries: DataFrame) -> DataFrame:
+    """Claims whose evidence is not in the table of evidence."""
+    return claimed.join(entries.select(ORG, "evidence_id"), [ORG, "evidence_id"], "left_anti")
+
+
 # ---- summaries -------------------------------------------------------------------------
 
 def synthesis(profiles: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Equal values are counted first. The counts fall into logarithmic bins, of which there are a few
 thousand however many rows there are; the running count over the bins says in which bin each
-wanted rank lies, and only the values of those bins are ordered.
+wanted rank lies. Those bins are cut again, and only the values of the parts that hold a rank are ordered.
 """
 
 from __future__ import annotations
@@ -44,28 +44,47 @@ def _bin(value: Column) -> Column:
     return F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 64)
 
 
-def rank_values(df: DataFrame, value: str, rules: Mapping[str, Rule], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group with n and the value at each rule's index."""
-    keys = list(by)
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), F.lit(1).alias("__all"))
-    keys = ["__all", *keys]
-    counts = data.groupBy(*keys, "__v").agg(F.count("*").alias("__c")).withColumn("__bin", _bin(F.col("__v")))
+_PARTS = 1024
+
+
+def _narrow(counts: DataFrame, keys: list[str], targets: DataFrame | None, wanted: Column | None) -> DataFrame:
+    """(keys, bin, n, rule, at): the bin of each wanted rank, and the rank's place within it.
+
+    counts: keys, __bin, __c. wanted gives the rules' places from n; without it the places are those
+    of targets, within the keys.
+    """
     group = Window.partitionBy(*keys)
     upto = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (
-        counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__b"))
-        .withColumn("__upto", F.sum("__b").over(upto))
-        .withColumn("n", F.sum("__b").over(group))
-    )
+    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__b")).withColumn("__upto", F.sum("__b").over(upto))
+    if targets is None:
+        asked = bins.withColumn("n", F.sum("__b").over(group)).withColumn("__w", wanted).select("*", F.col("__w.rule").alias("__rule"), F.col("__w.at").alias("__at"))
+    else:
+        asked = bins.join(targets, keys)
+    low = F.col("__upto") - F.col("__b")
+    return asked.where((F.col("__at") >= low) & (F.col("__at") < F.col("__upto"))).select(*keys, "__bin", "n", "__rule", (F.col("__at") - low).alias("__at"))
+
+
+def rank_values(df: DataFrame, value: str, rules: Mapping[str, Rule], by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with n and the value at each rule's index.
+
+    Values are counted, binned by logarithm, and the bins that hold a wanted rank are cut again into
+    equal parts of their own range; only the values of the parts that hold one are ordered.
+    """
+    keys = ["__all", *by]
+    data = df.where(F.col(value).isNotNull()).select(F.lit(1).alias("__all"), *by, F.col(value).cast("double").alias("__v"))
+    counts = data.groupBy(*keys, "__v").agg(F.count("*").alias("__c")).withColumn("__bin", _bin(F.col("__v")))
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), rule(F.col("n")).cast("long").alias("at")) for k, rule in rules.items()]))
-    targets = bins.withColumn("__w", wanted).where(
-        (F.col("__w.at") >= F.col("__upto") - F.col("__b")) & (F.col("__w.at") < F.col("__upto"))
-    ).select(*keys, "__bin", "n", F.col("__w.rule").alias("__rule"), (F.col("__w.at") - F.col("__upto") + F.col("__b")).alias("__at"))
-    within = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    # only bins that hold a wanted rank are ordered
-    chosen = counts.join(targets.select(*keys, "__bin").distinct(), [*keys, "__bin"], "left_semi")
-    placed = chosen.withColumn("__run", F.sum("__c").over(within))
-    hit = placed.join(targets, [*keys, "__bin"]).where((F.col("__at") < F.col("__run")) & (F.col("__at") >= F.col("__run") - F.col("__c")))
+    coarse = _narrow(counts, keys, None, wanted).withColumnRenamed("__bin", "__coarse")
+    chosen = counts.withColumnRenamed("__bin", "__coarse").join(coarse.select(*keys, "__coarse").distinct(), [*keys, "__coarse"], "left_semi")
+    ends = chosen.groupBy(*keys, "__coarse").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    part = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * _PARTS)).otherwise(F.lit(0))
+    parts = chosen.join(ends, [*keys, "__coarse"]).withColumn("__bin", part).drop("__lo", "__hi")
+    fine = _narrow(parts, [*keys, "__coarse"], coarse, None)
+    place = [*keys, "__coarse", "__bin"]
+    few = parts.join(fine.select(*place).distinct(), place, "left_semi")
+    within = Window.partitionBy(*place).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = few.withColumn("__run", F.sum("__c").over(within))
+    hit = placed.join(fine, place).where((F.col("__at") < F.col("__run")) & (F.col("__at") >= F.col("__run") - F.col("__c")))
     return hit.groupBy(*keys).agg(
         F.first("n").alias("n"), *[F.max(F.when(F.col("__rule") == k, F.col("__v"))).alias(k) for k in rules]
     ).drop("__all")

@@ -186,6 +186,38 @@ def contract_claims_query(spark, folder):
     return contract_claims(spark, folder).drop("span")
 
 
+_MODULE = """CASE WHEN evidence_id LIKE 'ev-registry%' THEN 'registry' WHEN evidence_id LIKE 'ev-fin-%' OR evidence_id = 'ev-financials' THEN 'financials' WHEN evidence_id LIKE 'ev-role%' THEN 'roles'
+ WHEN evidence_id LIKE 'ev-fh-%' OR evidence_id = 'ev-financial_history' THEN 'financial_history' ELSE 'website' END"""
+
+
+def contract_evidence(spark, folder):
+    sources = []
+    for m in C.FAMILIES:
+        sources += [
+            F.lit(f"https://source.example/{m}").alias(f"{m}_source_url"), F.lit(f"{m}_record").alias(f"{m}_source_class"),
+            F.lit("2026-01-01T00:00:00Z").alias(f"{m}_retrieved_at"), F.sha2(F.concat(ORG, F.lit(m)), 256).alias(f"{m}_content_sha256"),
+        ]
+    return C.evidence(contract_claims(spark, folder), base.entities(spark, folder).select(ORG, *sources))
+
+
+@query(
+    "ctr_01_contract_evidence",
+    base.oracle("registry graded accounts records", f"""SELECT DISTINCT organisation_number, evidence_id, 'https://source.example/' || m AS source_url, m || '_record' AS source_class, '2026-01-01T00:00:00Z' AS retrieved_at, sha256(organisation_number || m) AS content_sha256
+    FROM (SELECT *, {_MODULE} AS m FROM ({_CLAIMS}))"""),
+)
+def contract_evidence_query(spark, folder):
+    return contract_evidence(spark, folder).drop("span")
+
+
+@query("ctr_01_contract_unresolved", "SELECT CAST(0 AS BIGINT) AS unresolved")
+def contract_unresolved(spark, folder):
+    """Every claim, those of observations too, cites evidence that is there."""
+    obs = base.observations(spark, folder)
+    claimed = contract_claims(spark, folder).unionByName(C.observation_claims(obs))
+    entries = contract_evidence(spark, folder).unionByName(C.evidence(claimed.limit(0), base.entities(spark, folder), obs))
+    return C.unresolved(claimed, entries).agg(F.count("*").alias("unresolved"))
+
+
 @query(
     "ctr_01_observation_claims",
     base.oracle("accepted", "SELECT organisation_number, platform || '.' || signal_type AS field, source_url AS value, 'ev-obs-' || CAST(row_number() OVER (PARTITION BY organisation_number ORDER BY retrieved_at, id) - 1 AS VARCHAR) AS evidence_id FROM accepted"),

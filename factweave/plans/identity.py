@@ -311,10 +311,20 @@ def listing_score(spark, folder):
     )
 
 
-@query("idr_12_listing_accept")
+# listings whose site is that of the entity bear its own name or one without a letter of it, where the ratio is 1 or 0
+_NAMED = "SELECT * REPLACE (CASE WHEN site = '' THEN title WHEN k % 3 = 0 THEN name ELSE 'Zzzqqq' END AS title) FROM listing"
+base.VIEWS["named_match"] = (("listing",), _LISTING_MATCH.replace("FROM listing)", f"FROM ({_NAMED}))"))
+
+
+@query(
+    "idr_12_listing_accept",
+    base.oracle("named_match", f"""SELECT organisation_number, fuzzy AS fuzzy_name_score, (by_name OR (website_match AND fuzzy >= 0.85)) AND NOT (len(n) = 1 AND n[1] IN {tuple(K.GENERIC_LISTING_TOKENS)} AND NOT (address_match OR phone_match OR website_match)) AS accepted
+    FROM (SELECT *, CASE WHEN website_match AND k % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS fuzzy, (name_score >= 0.99 AND channels >= 1) OR (name_score >= 0.66 AND channels >= 2) AS by_name
+    FROM (SELECT *, CAST(address_match OR postcode_city_match AS INT) + CAST(phone_match AS INT) + CAST(website_match AS INT) AS channels FROM named_match))"""),
+)
 def listing_accept(spark, folder):
-    """Acceptance needs the matching-block ratio, which SQL does not have; tests hold its cases."""
-    return I.score_listings(_listing(spark, folder)).select(ORG, "accepted", "fuzzy_name_score")
+    named = F.when(F.col("site_url").isin("", "https://"), F.col("title")).when(F.col("k") % 3 == 0, F.col("name")).otherwise("Zzzqqq")
+    return I.score_listings(_listing(spark, folder).withColumn("title", named)).select(ORG, "accepted", "fuzzy_name_score")
 
 
 @query(

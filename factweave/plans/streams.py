@@ -13,21 +13,25 @@ from .ranking import crawl_log
 ORG = "organisation_number"
 
 
-def _land(df, path: str, order: str, parts: int = 3) -> None:
-    """Write rows as files that arrive one after another in ``order``."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    step = (hi - lo) / parts
+def _landings(df, path: str, order: str, parts: int = 3):
+    """Write the rows as slices in ``order``, each at its natural parallelism; yields when a slice has landed."""
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0]
+    slice_ = F.when(F.lit(False), 0)
+    for i, cut in enumerate(cuts):
+        slice_ = slice_.when(F.col(order) <= cut, i)
+    sliced = df.withColumn("__slice", slice_.otherwise(parts - 1))
     for i in range(parts):
-        bound = F.col(order) < lo + step * (i + 1) if i < parts - 1 else F.lit(True)
-        df.where((F.col(order) >= lo + step * i) & bound).coalesce(1).write.mode("append").json(path)
+        sliced.where(F.col("__slice") == i).drop("__slice").write.mode("append").json(path)
+        yield i
 
 
 @query("str_01_job_feed", base.oracle("job_index", "SELECT organisation_number, job_id, title, updated FROM job_index"))
 def job_feed(spark, folder):
     home = shared_folder(spark, "job-feed")
     entries = base.feed(spark, folder)
-    _land(entries, f"{home}/in", "seq")
-    return J.job_feed_stream(spark, f"{home}/in", entries.schema, f"{home}/state", f"{home}/out").select(ORG, "job_id", "title", "updated")
+    for _ in _landings(entries, f"{home}/in", "seq"):
+        index = J.job_feed_stream(spark, f"{home}/in", entries.schema, f"{home}/state", f"{home}/out")
+    return index.select(ORG, "job_id", "title", "updated")
 
 
 @query(
@@ -39,8 +43,8 @@ def footprint_windows(spark, folder):
     rows = load(spark, folder, "events").select(
         (F.col("user_id") + 100000000).cast("string").alias(ORG), F.col("ts").cast("timestamp").alias("ts"), F.expr(base._K).cast("long").alias("engagement"), F.col("event_id").alias("seq")
     )
-    _land(rows, f"{home}/in", "seq")
-    out = J.footprint_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out", delay="2 days")
+    for _ in _landings(rows, f"{home}/in", "seq"):
+        out = J.footprint_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out")
     return out.select(ORG, F.date_format("window_start", "yyyy-MM-dd").alias("day"), "observations", "engagement")
 
 
@@ -51,13 +55,15 @@ def footprint_windows(spark, folder):
 def change_events(spark, folder):
     home = shared_folder(spark, "changes")
     rows = load(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias(ORG), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("seq"))
-    _land(rows, f"{home}/in", "seq")
-    return J.change_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out")
+    for _ in _landings(rows, f"{home}/in", "seq"):
+        changes = J.change_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out", f"{home}/last")
+    return changes
 
 
 @query("str_04_event_dedupe", base.oracle("crawl_log", "SELECT DISTINCT organisation_number, page_kind, final_url, content_sha256, status FROM crawl_log"))
 def event_dedupe(spark, folder):
     home = shared_folder(spark, "dedupe")
     rows = crawl_log(load(spark, folder, "events"))
-    _land(rows, f"{home}/in", "seq")
-    return J.dedupe_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out", delay="60 days").drop("seq", "ts")
+    for _ in _landings(rows, f"{home}/in", "seq"):
+        log = J.dedupe_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out")
+    return log.drop("seq", "ts")

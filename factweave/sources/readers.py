@@ -114,19 +114,19 @@ def snapshot_fetch(requests: DataFrame, responses: DataFrame, retrieved_at: str,
     )
 
 
-def union_first(*frames: DataFrame, id_column: str = "id") -> DataFrame:
+def union_first(*frames: DataFrame, id_column: str = "id", order: Sequence[str] = ()) -> DataFrame:
     """Union of observation files in which the first row with an id wins.
 
-    A row without an id is known by its whole content. Rows are ranked by file, then by place.
+    A row without an id is known by its whole content. Rows are ranked by file, then by the columns of
+    order, which say a row's place in its file; without any, rows of one file and id are ranked by content.
     """
     ranked = [
-        df.withColumn("__file", F.lit(i)).withColumn("__row", F.monotonically_increasing_id())
-        for i, df in enumerate(frames)
+        df.withColumn("__file", F.lit(i)) for i, df in enumerate(frames)
     ]
     both = union_all(*ranked)
     content = [c for c in both.columns if not c.startswith("__")]
     key = F.coalesce(F.nullif(F.col(id_column).cast("string"), F.lit("")), F.to_json(F.struct(*content)))
-    return first_per_key(both.withColumn("__key", key), ["__key"], ["__file", "__row"]).select(*content)
+    return first_per_key(both.withColumn("__key", key), ["__key"], ["__file", *(order or [F.to_json(F.struct(*content))])]).select(*content)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

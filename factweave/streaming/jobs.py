@@ -1,7 +1,7 @@
 """Structured Streaming jobs over landed files.
 
 Each job reads what has arrived, stops (AvailableNow) and picks up behind its checkpoint on the
-next call. Keyed state lives in Spark's state store; the sinks write one folder per micro-batch
+next call. Keyed state lives in Spark's state store or in a table; the sinks write one folder per micro-batch
 and overwrite it on a replay, so a lost executor or a restart changes nothing in the result.
 """
 
@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.feed import EVENT_KEY, fold_feed, index_from_fold
 from ..operators.normalise import parse_feed
@@ -55,7 +54,7 @@ def land_feed(spark: SparkSession, src: str, schema: T.StructType, checkpoint: s
     return spark.read.parquet(sink).drop("batch_id")
 
 
-def job_feed_stream(spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str, files_per_trigger: int = 1) -> DataFrame:
+def job_feed_stream(spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str, files_per_trigger: int | None = None) -> DataFrame:
     """Live jobs kept up to date from the feed.
 
     The fold of the batch operator runs as a streaming aggregate: the state holds one row per
@@ -68,10 +67,15 @@ def job_feed_stream(spark: SparkSession, src: str, schema: T.StructType, checkpo
 
 def footprint_stream(
     spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str,
-    window: str = "1 day", delay: str = "1 day", files_per_trigger: int = 1,
+    window: str = "1 day", delay: str | None = None, files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Observations, engagement and last time per entity and time window, late rows cut by the watermark."""
-    obs = _source(spark, src, schema, files_per_trigger).withWatermark("ts", delay)
+    """Observations, engagement and last time per entity and time window.
+
+    Without a delay every row counts, however late, as in the batch twin; the state then keeps all windows.
+    A delay bounds the state and lets later rows go.
+    """
+    obs = _source(spark, src, schema, files_per_trigger)
+    obs = obs.withWatermark("ts", delay) if delay else obs
     counted = obs.groupBy("organisation_number", F.window("ts", window).alias("w")).agg(
         F.count("*").alias("observations"), F.sum("engagement").alias("engagement"), F.max("ts").alias("last_ts")
     ).select("organisation_number", F.col("w.start").alias("window_start"), "observations", "engagement", "last_ts")
@@ -79,43 +83,46 @@ def footprint_stream(
     return _latest(spark, sink, ["organisation_number", "window_start"])
 
 
-CHANGE_SCHEMA = "organisation_number STRING, field STRING, seq LONG, old_value STRING, new_value STRING"
-
-
-def _changes(key: tuple[str, str], rows, state: GroupState):
-    org, field = key
-    seen = pd.concat(list(rows)).sort_values("seq")
-    known = state.exists
-    old = state.get[0] if known else None
-    out = []
-    for seq, value in zip(seen["seq"], seen["value"]):
-        value = None if pd.isna(value) else value
-        if known and value != old:
-            out.append((org, field, int(seq), old, value))
-        old, known = value, True
-    state.update((old,))
-    yield pd.DataFrame(out, columns=["organisation_number", "field", "seq", "old_value", "new_value"])
-
-
-def change_stream(spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str, files_per_trigger: int = 1) -> DataFrame:
+def change_stream(spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str, last: str, files_per_trigger: int | None = None) -> DataFrame:
     """Change events from arriving field values (organisation_number, field, value, seq).
 
-    The state of a key is its last value. Keys are (entity, field), so an entity with many
-    snapshots is spread over its fields.
+    The table at ``last`` holds the latest value of each (entity, field), one version per micro-batch. A
+    batch is put behind it, and each row is compared with the one before it in sequence, by a sorted
+    window that can spill. Rows that arrive after a later one of their key are compared in their place.
     """
-    values = _source(spark, src, schema, files_per_trigger)
-    changes = values.groupBy("organisation_number", "field").applyInPandasWithState(
-        _changes, CHANGE_SCHEMA, "value STRING", "append", GroupStateTimeout.NoTimeout
-    )
-    _run(changes, "append", checkpoint, sink)
+    key = ["organisation_number", "field"]
+
+    def versions() -> list[int]:
+        try:
+            return [r[0] for r in spark.read.parquet(last).select("batch_id").distinct().collect()]
+        except AnalysisException:  # nothing has been written yet
+            return []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        rows = batch.select(*key, "value", "seq", F.lit(False).alias("__old"))
+        before = max((v for v in versions() if v < batch_id), default=None)
+        if before is not None:
+            known = session.read.schema("organisation_number STRING, field STRING, value STRING, seq LONG").parquet(f"{last}/batch_id={before}")
+            rows = rows.unionByName(known.withColumn("__old", F.lit(True)))
+        order = Window.partitionBy(*key).orderBy("seq", F.col("__old").desc())
+        seen = rows.withColumn("old_value", F.lag("value").over(order)).withColumn("__at", F.row_number().over(order))
+        new = seen.where(~F.col("__old") & (F.col("__at") > 1) & ~F.col("value").eqNullSafe(F.col("old_value")))
+        new.select(*key, "seq", "old_value", F.col("value").alias("new_value")).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        latest = rows.groupBy(*key).agg(F.max_by(F.struct("value"), "seq")["value"].alias("value"), F.max("seq").alias("seq"))
+        latest.write.mode("overwrite").parquet(f"{last}/batch_id={batch_id}")
+
+    source = _source(spark, src, schema, files_per_trigger)
+    source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
 
 
 def dedupe_stream(
     spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str,
-    keys: Sequence[str] = EVENT_KEY, delay: str = "7 days", files_per_trigger: int = 1,
+    keys: Sequence[str] = EVENT_KEY, delay: str | None = None, files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Page-event log without repeats; a key is remembered for ``delay`` of event time."""
-    events = _source(spark, src, schema, files_per_trigger).withWatermark("ts", delay)
-    _run(events.dropDuplicatesWithinWatermark(list(keys)), "append", checkpoint, sink)
+    """Page-event log without repeats. A key is remembered for good, or for ``delay`` of event time."""
+    events = _source(spark, src, schema, files_per_trigger)
+    once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys)) if delay else events.dropDuplicates(list(keys))
+    _run(once, "append", checkpoint, sink)
     return spark.read.parquet(sink).drop("batch_id")

@@ -95,7 +95,7 @@ def test_fuzzy_ratio_and_sql_names(spark):
     register_functions(spark)
     words = [("923609016", "Blå AS"), ("923609017", "Crème"), ("x", "Nguyễn Ｆｕｌｌ ﬁrma"), (None, None), ("12", "Ærlig Ødegård ǆ"), ("", "a b-c'd")]
     frame = spark.createDataFrame(words, "o string, t string")
-    same = frame.selectExpr("*", "orgnr_valid(o) v", "fold_text(t) f", "fold_tokens(t) w").withColumns({"v2": F.coalesce(I.orgnr_valid("o"), F.lit(False)), "f2": T.fold("t"), "w2": T.identity_tokens("t")}).collect()
+    same = frame.selectExpr("*", "orgnr_valid(o) v", "fold_text(t) f", "fold_tokens(t) w").withColumns({"v2": F.coalesce(ids.orgnr_valid("o"), F.lit(False)), "f2": T.fold("t"), "w2": T.identity_tokens("t")}).collect()
     assert all((r.v, r.f, r.w) == (r.v2, r.f2, r.w2) for r in same)
     assert [r.f for r in same] == ["bla as", "creme", "nguyen full firma", "", "aerlig odegard dz", "a b-c'd"] and same[0].v
 

@@ -253,3 +253,20 @@ def test_tasks(spark):
     p = spark.createDataFrame([("1", "A", "OSLO", None), ("2", "B", "OSLO", [("x", "https://x.com/b")])], f"{ORG} string, name string, municipality string, social_links array<struct<platform:string,url:string>>")
     tasks = O.plan_tasks(p).collect()
     assert len(tasks) == 8 and len({t.task_id for t in tasks}) == 8 and {t.task_id for t in tasks} == {t.task_id for t in O.plan_tasks(p.repartition(3)).collect()}
+
+
+def test_hostile_pages_do_not_stop_a_job(spark):
+    deep = '<script type="application/ld+json">' + '{"a":' * 5000 + '{"@type":"Organization","name":"x"}' + "}" * 5000 + "</script>"
+    html = "<div>" * 5000 + '<time datetime="2025-01-02">t</time><a href="/n">News</a>' + "</div>" * 5000
+    fine = '<script type="application/ld+json">[{"@type":"Organization","name":"y","sub":{"@type":"Person"}}]</script>'
+    pages = spark.createDataFrame([(1, "https://a.no/", deep), (2, "https://b.no/", html), (3, "https://c.no/", fine)], "page_id int, final_url string, html string")
+    nodes = X.jsonld_nodes(pages).collect()
+    assert [(r.page_id, r.seq, r.top, r.kinds) for r in nodes if r.page_id == 3] == [(3, 0, True, ["Organization"]), (3, 1, False, ["Person"])]
+    assert [(r.page_id, r.date_published) for r in X.dated_items(pages).collect()] == [(2, "2025-01-02")]
+
+
+def test_ranks_in_a_narrow_range_are_exact_and_split(spark):
+    values = [0.01 * ((i * 7919) % 20011) / 20011 for i in range(20011)]
+    got = Q.rank_values(spark.createDataFrame([(v,) for v in values], "v double"), "v", {"p50": Q.nearest_rank(0.5), "p95": Q.nearest_rank(0.95), "max": Q.nearest_rank(1.0)}).first()
+    values.sort()
+    assert (got.n, got.p50, got.p95, got.max) == (20011, values[10005], values[19010], values[-1])
