@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import sliced
+
 #: Opening and closing mark by role; the last pair is for every other role.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), None: ("<<TURN>>", "<</TURN>>")}
 #: What is escaped inside a text: a mark's first character, any backslashes, and its rest.
@@ -140,7 +142,7 @@ def replay(events: DataFrame, order: list[str], key: str = "conv_id") -> DataFra
             text, spans = render(turns)
             rows.append((key, text, [list(x) for x in spans], len(turns)))
 
-        for batch in batches:
+        for batch in sliced(batches):
             for k, *event in zip(*(batch[i].to_pylist() for i in range(5))):
                 if held is None or k != key:
                     if held is not None:
@@ -181,7 +183,7 @@ def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     """What can be read back from formatted conversations: turns, loss text, lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for k, text, loss in zip(*(batch[i].to_pylist() for i in range(3))):
                 turns = parse(text)

@@ -12,7 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Distinct words whose hashes a Python worker remembers before it starts afresh.
-MEMO = 1 << 20
+MEMO = 1 << 18
+#: Rows of a record batch that are turned into Python objects at a time.
+ROWS = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,14 +44,21 @@ def scan_parts(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ROWS rows, without a copy, so that few texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
     """df through a function of record batches. make() is called once a task and gives the function,
     which returns columns by name in the order of schema (or None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
+        for batch in sliced(batches):
+            if (out := f(batch)) is not None:
                 yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, as_bytes, components, map_batches, shingles, stars, stored
+from .common import WordHashes, as_bytes, components, map_batches, shingles, sliced, stars, stored
 
 #: Odd multipliers of the two permutations of 32-bit numbers.
 _SCATTER = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
@@ -156,7 +156,7 @@ def _blocks(groups: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, key, reps, sets = WordHashes(), None, [], []
         a, b = [], []
-        for batch in batches:
+        for batch in sliced(batches):
             for c, i, j, rep, text in zip(*(batch[k].to_pylist() for k in range(4)), as_bytes(batch["text"])):
                 if key != (c, i, j):
                     if len(reps) > 1:

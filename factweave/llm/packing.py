@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import as_bytes, map_batches, scan_parts, stored
 
 #: Words and letter runs that a worker remembers before it starts afresh.
-_MEMO = 1 << 19
+_MEMO = 1 << 17
 #: Words that the tokenizer splits at the end of their letters only, and whose letters it maps one by one.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bit_table, map_batches, passes, stored
+from .common import MEMO, bit_table, map_batches, passes, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Patterns of the formal identifiers. The mail pattern is the part from @ on; what stands
@@ -141,7 +141,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         def known(term: str) -> bool:
             got = memo.get(term)
             if got is None:
-                if len(memo) > 1 << 20:
+                if len(memo) > MEMO:
                     memo.clear()
                 got = memo[term] = bool(passes(table, np.array([xxhash.xxh64_intdigest(term.encode(), 42)], np.uint64))[0])  # as xxhash64() gives it
             return got

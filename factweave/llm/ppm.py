@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WordHashes, as_bytes, mixed, scan_parts, stored
+from .common import WordHashes, as_bytes, mixed, scan_parts, sliced, stored
 
 _EDGE = 0xFF
 #: Bytes of text handled at a time, and distinct contexts a worker adds up before it sends them.
@@ -83,7 +83,7 @@ def context_counts(train: DataFrame, order: int) -> DataFrame:
             codes, counts = _added(held)
             return pa.RecordBatch.from_pydict({"code": codes.view(np.int64), "n": counts})
 
-        for batch in batches:
+        for batch in sliced(batches):
             for texts in chunks(t or b"" for t in as_bytes(batch["text"])):
                 codes, counts = np.unique(contexts(texts, order)[0], return_counts=True)
                 held.append((codes, counts))
@@ -225,7 +225,7 @@ def _words(parts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(words), part, np.int32)), "word": words.view(np.int64), "n": n})
             held.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for part, held_out, text in zip(batch["part"].to_pylist(), batch["held_out"].to_pylist(), as_bytes(batch["text"])):
                 words, n = np.unique(_tokens(text, memo), return_counts=True)
                 held.setdefault(part, []).append((words, n * (not held_out)))

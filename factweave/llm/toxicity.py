@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_batches, stored
+from .common import map_batches, sliced, stored
 
 #: Marks and words that introduce what others said; words that address someone.
 QUOTES = "\"“”„«»‹›"
@@ -29,8 +29,8 @@ REPORTS = frozenset("said says say called calls wrote writes quote quoted quotes
 ADDRESS = frozenset("you your you're youre u du dich dir ihr dein tu te toi vous ton usted tú ti eres".split())
 #: Lengths of the word beginnings that can be terms.
 STEMS = (4, 5, 6)
-_STATES = 1 << 16
-_WORDS = 1 << 20
+_STATES = 1 << 13
+_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -314,11 +314,9 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights, coefficients, window = shared.value
         hits = Hits([Term(*t) for t in terms])
-        for batch in batches:
-            texts = batch["__text"].to_pylist()
-            if texts:
-                z = np.array([[*features(t, hits, weights, window), 1.0] for t in texts]) @ coefficients
-                good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold
-                yield batch.filter(pa.array(good)).drop_columns(["__text"])
+        for batch in sliced(batches):
+            z = np.array([[*features(t, hits, weights, window), 1.0] for t in batch["__text"].to_pylist()]) @ coefficients
+            good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold
+            yield batch.filter(pa.array(good)).drop_columns(["__text"])
 
     return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
