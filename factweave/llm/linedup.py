@@ -17,17 +17,19 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, bit_table, map_batches, passes, stars, stored
+from .common import as_bytes, bit_table, map_batches, passes, sliced, stars, stored
 
 _END = re.compile(rb"[.!?][ \t\r]+|\n")
 _END_TEXT = re.compile(_END.pattern.decode())
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _CUT = "struct<s0:int,w0:int,s1:int,w1:int>"
 
 
@@ -188,35 +190,50 @@ def anchors(docs: DataFrame, anchor_words: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, table: np.ndarray, anchor_words: int) -> DataFrame:
-    """doc_id, h and, of the anchors that the bit table lets through and the lines in their reach, number,
-    hash, words (32-bit hashes) and whether the line is an anchor."""
+    """doc_id, h and, of the anchors that the bit table lets through and the lines in their reach, numbers
+    (32 bits each), hashes (64), sizes in words (32) and words (a hash of 32 bits each) as binary; and
+    the hashes of the anchors."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))  # fixed size
 
     def make():
-        bits = np.unpackbits(shared.value).view(bool)
-        word = lambda w: xxhash.xxh32_intdigest(w)
+        bits, word = np.unpackbits(shared.value).view(bool), xxhash.xxh32_intdigest
 
         def run(batch: pa.RecordBatch) -> dict | None:
-            rows, out = [], []
+            rows, numbers, hashes, sizes, words, anchors = [], [], [], [], [], []
             for r, text in enumerate(as_bytes(batch["text"])):
                 lines = lines_of(text)
                 keys = np.fromiter(map(_key, lines), np.uint64, len(lines))
+                maybe = passes(bits, keys)
+                if not maybe.any():
+                    continue
                 long = np.fromiter((is_anchor(x, anchor_words) for x in lines), bool, len(lines))
-                maybe = passes(bits, keys) & long
+                maybe &= long
                 if not maybe.any():
                     continue
-                near = np.array(in_reach(maybe.tolist(), (~long).tolist()))
+                near = np.flatnonzero(in_reach(maybe.tolist(), (~long).tolist()))
+                own = [lines[i].split() for i in near.tolist()]
                 rows.append(r)
-                out.append([{"number": i, "hash": k, "anchor": bool(maybe[i]), "words": np.array([word(w) for w in lines[i].split()], np.uint32).tobytes()} for i, k in zip(np.flatnonzero(near).tolist(), keys[near].view(np.int64).tolist())])
+                numbers.append(near.astype(np.uint32).tobytes())
+                hashes.append(keys[near].tobytes())
+                sizes.append(np.array(list(map(len, own)), np.uint32).tobytes())
+                words.append(np.fromiter((word(w) for x in own for w in x), np.uint32).tobytes())
+                anchors.append(keys[maybe].view(np.int64))
             if not rows:
                 return None
             take = pa.array(rows)
-            kind = pa.struct([("number", pa.int32()), ("hash", pa.int64()), ("anchor", pa.bool_()), ("words", pa.binary())])
-            return {"doc_id": batch["doc_id"].take(take), "h": batch["h"].take(take), "lines": pa.array(out, pa.list_(kind))}
+            return {
+                "doc_id": batch["doc_id"].take(take), "h": batch["h"].take(take), "numbers": pa.array(numbers, pa.binary()), "hashes": pa.array(hashes, pa.binary()),
+                "sizes": pa.array(sizes, pa.binary()), "words": pa.array(words, pa.binary()), "anchors": pa.array(anchors, pa.list_(pa.int64())),
+            }
 
         return run
 
-    return map_batches(_rows(docs).select("doc_id", "h", "text"), make, "doc_id long, h long, lines array<struct<number:int,hash:long,anchor:boolean,words:binary>>")
+    return map_batches(_rows(docs).select("doc_id", "h", "text"), make, "doc_id long, h long, numbers binary, hashes binary, sizes binary, words binary, anchors array<long>")
+
+
+def _sequence(numbers: bytes, hashes: bytes, sizes: bytes, words: bytes) -> tuple[list[int], list[int], list[np.ndarray]]:
+    ends = np.cumsum(np.frombuffer(sizes, np.uint32))
+    return np.frombuffer(numbers, np.uint32).tolist(), np.frombuffer(hashes, np.uint64).tolist(), np.split(np.frombuffer(words, np.uint32), ends[:-1])
 
 
 def repeated_blocks(docs: DataFrame, min_words: int = 8, anchor_words: int = 5) -> DataFrame:
@@ -224,24 +241,23 @@ def repeated_blocks(docs: DataFrame, min_words: int = 8, anchor_words: int = 5)
     document with such a block."""
     first = stored(anchors(docs, anchor_words), "anchors")
     shared = stored(repeated_lines(docs, bit_table(first.select("hash")), anchor_words), "shared")
-    holds = shared.select("doc_id", F.explode(F.filter("lines", lambda x: x["anchor"])["hash"]).alias("hash"))
+    holds = shared.select("doc_id", F.explode("anchors").alias("hash"))
     pairs = holds.join(first.select("hash", F.col("first").alias("c")), "hash").where("doc_id > c").select("c", F.col("doc_id").alias("m"))
-    rows = stars(pairs, shared.dropDuplicates(["doc_id", "h"]), "doc_id", "h").select("c", "side", "doc_id", "h", "lines")
+    rows = stars(pairs, shared.drop("anchors"), "doc_id", "h").select("c", "side", "doc_id", "h", "numbers", "hashes", "sizes", "words")
 
     def make():
         held: list = [None, None]
 
         def run(batch: pa.RecordBatch) -> dict:
             ids, hs, cuts = [], [], []
-            for c, side, doc, h, lines in zip(*(batch[i].to_pylist() for i in range(5))):
-                own = ([x["number"] for x in lines], [x["hash"] for x in lines], [np.frombuffer(x["words"], np.uint32) for x in lines])
+            for c, side, doc, h, *lines in zip(*(batch[i].to_pylist() for i in range(8))):
                 if side == 0:
                     if held[0] != c:  # of rows with one id the first stands for it
-                        held[:] = [c, own]
+                        held[:] = [c, _sequence(*lines)]
                     continue
                 if held[0] != c:
                     raise ValueError(f"the row of centre {c} is missing")
-                found = common_blocks(held[1], own, min_words)
+                found = common_blocks(held[1], _sequence(*lines), min_words)
                 if found:
                     ids.append(doc)
                     hs.append(h)
@@ -278,23 +294,27 @@ def cut_spans(text: str, cuts: list) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, min_words: int = 8, anchor_words: int = 5, cuts: str = "cuts") -> DataFrame:
-    """docs with the text that is left, and a column named by cuts: the characters (start, end) of the old
-    text that went. Choose another name if docs has one of that name."""
+    """docs with the text that is left, and a column named by cuts, which takes the place of one of docs
+    of that name: the characters (start, end) of the old text that went."""
     found = repeated_blocks(docs, min_words, anchor_words).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("cuts").alias("__cuts"))
     text = F.col("text").cast("string")
     joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
 
-    @F.pandas_udf("text string, cuts array<struct<start:int,end:int>>")
-    def left(text, cuts):
-        import pandas as pd
-
-        out, spans = [], []
-        for t, c in zip(text, cuts):
-            gone = cut_spans(t, c) if c is not None and t is not None else []
-            ends = [0, *(x for span in gone for x in span), len(t or "")]
-            out.append(t if not gone else "".join(t[a:b] for a, b in zip(ends[::2], ends[1::2])))
-            spans.append([{"start": a, "end": b} for a, b in gone])
-        return pd.DataFrame({"text": out, "cuts": spans})
-
-    made = joined.withColumn("__left", left(text, "__cuts"))
-    return made.select(*(F.col("__left.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("__left.cuts").alias(cuts))
+    made = joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != cuts), "__cuts")
+    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema if f.name != cuts] + [T.StructField(cuts, _SPANS)])
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            at = batch.schema.get_field_index("text")
+            out, spans = batch["text"].to_pylist(), []
+            for r, c in enumerate(batch["__cuts"].to_pylist()):
+                gone = cut_spans(out[r], c) if c else []
+                if gone:
+                    ends = [0, *(x for span in gone for x in span), len(out[r])]
+                    out[r] = "".join(out[r][a:b] for a, b in zip(ends[::2], ends[1::2]))
+                spans.append([{"start": a, "end": b} for a, b in gone])
+            kept = batch.drop_columns(["__cuts"]).set_column(at, "text", pa.array(out, pa.string()))
+            yield kept.append_column(cuts, pa.array(spans, spans_type))
+
+    return made.mapInArrow(run, schema)
