@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, map_batches, stored
 
+#: Candidates looked at for each pivot, and the cosine that two pivots do not reach.
+_CANDIDATES = 16
+_APART = 0.85
+
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with the class of each or null, classes: cls, label, embedding, low, n)."""
@@ -34,12 +38,31 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def choose_pivots(classes: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """By vector length, unit vectors of at most pivots classes: those whose hash is least."""
-    ranked = classes.select("embedding", "cls", F.size("embedding").alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("cls"), "cls")))
+    """By vector length, as many unit vectors as pivots says, none near another.
+
+    Candidates are the classes whose hash is least, _CANDIDATES for each pivot. In this order one is taken
+    if its cosine with those before it is below _APART: a group of near copies would else hold its share of the pivots, and
+    noise would pick among them. Directions drawn from the length alone fill up what is missing.
+    """
+    most = pivots * _CANDIDATES
+    sized = classes.select("embedding", "cls", F.size("embedding").alias("d"))
+    # A part by another hash that holds about four times as many rows goes to the ranking, whatever the input.
+    part = sized.join(sized.groupBy("d").agg(F.count("*").alias("m")), "d").where(F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(1 << 40)) * F.col("m") <= F.lit(4.0 * most * (1 << 40)))
+    ranked = part.withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("cls"), "cls")))
     found: dict[int, list] = {}
-    for row in ranked.where(F.col("r") <= pivots).collect():
+    for row in ranked.where(F.col("r") <= most).collect():
         found.setdefault(row["d"], []).append((row["r"], row["embedding"]))
-    return {d: _unit(np.array([v for _, v in sorted(x)])) for d, x in found.items()}
+    return {d: _apart(_unit(np.array([v for _, v in sorted(x)])), pivots) for d, x in found.items()}
+
+
+def _apart(candidates: np.ndarray, pivots: int) -> np.ndarray:
+    made = _unit(np.random.default_rng(0).normal(size=(pivots, candidates.shape[1])))
+    n = 0
+    for v in candidates:
+        if n < pivots and (made[:n] @ v < _APART).all():
+            made[n] = v
+            n += 1
+    return made
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -133,9 +156,9 @@ def _linked(dealt: DataFrame, threshold: float, shared: int, pivots: int) -> Dat
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, pivots: int = 128, prefix: int = 5, shared: int = 2, block: int = 512) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (smallest id reachable) and kept.
 
-    pivots: bound of the sample the index is fitted on; every vector is indexed. Links are the pairs of
+    pivots: number of reference points, chosen apart from each other; every vector is indexed. Links are the pairs of
     one label that share at least ``shared`` (two or more) of their ``prefix`` nearest pivots and reach
-    the cosine; at 0.98, 5 of 128 pivots find over 0.999 of all links. A long list is compared in
+    the cosine; not every such pair shares them (README has the recall measured). A long list is compared in
     blocks of about ``block`` vectors, a group for each two blocks, so no list is ever gathered.
     """
     if shared < 2:

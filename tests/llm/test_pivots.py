@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from factweave.llm import pivots
 
@@ -63,5 +64,17 @@ def test_recall_of_pairs_at_the_threshold(spark):
     assert pivots.near_vectors(frame(spark, rows), 0.98).selectExpr("sum(n_links)").first()[0] >= 0.98 * 800
 
 
+@pytest.mark.parametrize("share", [1 / 3, 1])
+def test_recall_in_one_large_group_of_near_copies(spark, share):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1800, 64)))
+    n = int(1800 * share)
+    x[:n] = unit(np.sqrt(0.985) * x[:1] + np.sqrt(0.015) * unit(rng.normal(size=(n, 64))))
+    want = int((x @ x.T >= 0.98).sum()) - len(x)
+    got = pivots.near_vectors(frame(spark, [(i, v, 0) for i, v in enumerate(x.tolist())]), 0.98).selectExpr("sum(n_links)").first()[0]
+    assert want > n * n / 2 and 0.98 * want <= got <= want * 1.001
+
+
 def test_empty_table(spark):
     assert pivots.near_vectors(frame(spark, []), 0.98).collect() == []
