@@ -1,14 +1,15 @@
 """Scoring documents by prediction by partial matching over bytes (operator 2).
 
-A trie of byte contexts up to ``order`` long is learned from the training documents. A byte is coded in
+Byte contexts up to ``order`` long are learned from the training documents. A byte is coded in
 the longest context known; a byte not seen there escapes to the next shorter one, where the bytes seen
 in the longer one are excluded (escape estimation by method D: half a count of each distinct byte goes
 to the escape). Beside it stands a word model with additive smoothing, whose counts are exact.
 
-The trie is broadcast, so its size is bounded whatever the corpus: a node is kept if it stands for at
-least one in ``resolution`` training bytes, hence at most ``resolution`` nodes an order, at the same
-relative grain at every size; what the others counted goes to their context's escape. Counts themselves cover all training bytes. Word counts have no such
-bound and are never broadcast: each part of the documents gets the counts of its own words by a join.
+All counts are Spark tables of any size. What a byte scores depends on its context and itself alone, so
+each part of the documents sends its distinct runs of order + 1 bytes and its distinct words, and gets
+back the score of each by a join. Runs the training documents have are scored beside their context's other
+runs; the rest goes down the orders by joins, level by level. Only orders 0 and 1, which have 2**16 nodes
+at most, are broadcast. A caller may drop rare nodes by ``resolution``; nothing is dropped by default.
 
 Defined cases: a null text is empty; an empty text is its end alone. Texts are UTF-8, begun and ended by
 the byte 0xFF, which UTF-8 never holds. Every row gives a row, repeated ids included; a null id is
@@ -24,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WordHashes, as_bytes, mixed, scan_parts, sliced, stored
+from .common import WordHashes, as_bytes, map_batches, mixed, scan_parts, sliced, stored
 
 _EDGE = 0xFF
 #: Bytes of text handled at a time, and distinct contexts a worker adds up before it sends them.
 _CHUNK = 1 << 20
 _HELD = 1 << 22
+#: Bytes of text scored at a time.
+_PIECE = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -52,12 +55,12 @@ def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], starts
 
 
-def chunks(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+def chunks(texts: Iterator[bytes], most: int = _CHUNK) -> Iterator[list[bytes]]:
     held, n = [], 0
     for t in texts:
         held.append(t)
         n += len(t) + 1
-        if n >= _CHUNK:
+        if n >= most:
             yield held
             held, n = [], 0
     if held:
@@ -72,35 +75,6 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
-def context_counts(train: DataFrame, order: int) -> DataFrame:
-    """(code, n) of all runs of order + 1 bytes of the column text; added up in the workers first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def send() -> pa.RecordBatch:
-            codes, counts = _added(held)
-            return pa.RecordBatch.from_pydict({"code": codes.view(np.int64), "n": counts})
-
-        for batch in sliced(batches):
-            for texts in chunks(t or b"" for t in as_bytes(batch["text"])):
-                codes, counts = np.unique(contexts(texts, order)[0], return_counts=True)
-                held.append((codes, counts))
-                size += len(codes)
-                if size > _HELD:
-                    held[:] = [_added(held)]
-                    size = len(held[0][0])
-                    if size > _HELD // 2:
-                        yield send()
-                        held.clear()
-                        size = 0
-        if held:
-            yield send()
-
-    return train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 class Index:
     """Positions of 64-bit keys, looked up for whole arrays: open addressing in a table half full at most."""
 
@@ -133,75 +107,99 @@ class Index:
         return got
 
 
-class Trie:
-    """Levels of the trie, longest contexts first. A node is a context and a byte; of each context are
-    held its count, that of its nodes left out, its distinct bytes, and the count these bytes have in
-    the next shorter context."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.order = len(levels) - 1
-        self.levels = []
-        for at, (keys, counts, totals) in enumerate(levels):
-            k, counts = self.order - at, counts.astype(np.float64)
-            known, first, owner = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
-            total = totals[first].astype(np.float64)
-            distinct = np.bincount(owner, minlength=len(known)).astype(np.float64)
-            rest = total - np.bincount(owner, counts, minlength=len(known))
-            below = np.zeros(len(known))
-            if k and len(keys):
-                shorter, its, _ = levels[at + 1]
-                place = np.searchsorted(shorter, keys & np.uint64((1 << 8 * k) - 1))
-                below = np.bincount(owner, its[place].astype(np.float64), minlength=len(known))
-            whole = np.log10((counts - 0.5) / total[owner])
-            self.levels.append((k, Index(keys), Index(known), counts, owner, total, rest, distinct, below, whole))
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        code, starts = contexts(texts, self.order)
-        out = np.zeros(len(code))
-        todo, gone, seen = np.arange(len(code)), None, None  # counts and number of the excluded bytes
-        for k, nodes, known, counts, owner, total, rest, distinct, below, whole in self.levels:
-            own = code if gone is None else code[todo]
-            if k < 7:
-                own = own & np.uint64((1 << 8 * (k + 1)) - 1)
-            node = nodes.find(own)
-            hit = node >= 0
-            if gone is None:
-                out[hit] = whole[node[hit]]
-                gone, seen = np.zeros(len(code)), np.zeros(len(code))
-            else:
-                n = node[hit]
-                out[todo[hit]] += np.log10((counts[n] - 0.5) / (total[owner[n]] - gone[todo[hit]]))
-            todo, own = todo[~hit], own[~hit]
-            context = known.find(own >> np.uint64(8))
-            at = np.flatnonzero(context >= 0)
-            c, rows = context[at], todo[at]
-            escape = 0.5 * (distinct[c] - seen[rows]) + rest[c]
-            left = total[c] - gone[rows]
-            some = escape > 0  # else the context has nothing but excluded bytes
-            out[rows[some]] += np.log10(escape[some] / left[some])
-            gone[rows], seen[rows] = below[c], distinct[c]
-        out[todo] -= np.log10(256 - (seen[todo] if seen is not None else 0))
-        return np.add.reduceat(out, starts)
-
-
-def learn(train: DataFrame, order: int, resolution: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, counts and their contexts' counts of the kept nodes of each level, longest contexts first."""
-    counts = stored(context_counts(train, order).withColumn("m", F.col("n")), "contexts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = -(-total // resolution)
-    levels = []
-    for k in range(order, -1, -1):
-        each = counts.withColumn("context", F.call_function("shiftrightunsigned", "code", F.lit(8)))
-        kept = each if k < 2 else each.where(F.col("n") >= least)  # orders 0 and 1 have 2**16 nodes at most
-        rows = kept.join(each.groupBy("context").agg(F.sum("m").alias("total")), "context").select("code", "m", "total").toPandas()  # at most resolution rows
-        keys = rows["code"].to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(keys)
-        levels.append((keys[by], rows["m"].to_numpy(np.int64)[by], rows["total"].to_numpy(np.int64)[by]))
-        if k:
-            shorter = counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("m"))
-            counts = stored(shorter, "contexts")
-    return levels
+def _low(column: str, bytes_: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * bytes_) - 1)) if bytes_ < 8 else F.col(column)
+
+
+def _context(column: str) -> Column:
+    return F.call_function("shiftrightunsigned", column, F.lit(8))
+
+
+def _low_context(k: int) -> Column:
+    return _context("code").bitwiseAND(F.lit((1 << 8 * k) - 1))
+
+
+def _down(state: DataFrame) -> DataFrame:
+    """state (code, out, gone, seen) with the facts of a context (total, kept, distinct, below; null where it
+    is not known) after the escape from it."""
+    known = F.coalesce(F.col("distinct") > 0, F.lit(False))
+    escape = 0.5 * (F.col("distinct") - F.col("seen")) + F.col("total") - F.col("kept")
+    out = F.when(known & (escape > 0), F.col("out") + F.log10(escape / (F.col("total") - F.col("gone")))).otherwise(F.col("out"))
+    return state.select("code", out.alias("out"), F.when(known, F.coalesce("below", F.lit(0.0))).otherwise(F.col("gone")).alias("gone"), F.when(known, F.col("distinct").cast("double")).otherwise(F.col("seen")).alias("seen"))
+
+
+def _below(kept: DataFrame, shorter: DataFrame, k: int) -> DataFrame:
+    """(context, below): the count that a context's kept nodes of order k have in the next shorter one."""
+    m = shorter.select(F.col("code").alias("low"), F.col("m").cast("double").alias("its"))
+    return kept.select(_context("code").alias("context"), _low("code", k).alias("low")).join(m, "low").groupBy("context").agg(F.sum("its").alias("below"))
+
+
+def _shorter(nodes: DataFrame, k: int) -> DataFrame:
+    return stored(nodes.groupBy(_low("code", k).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("m")), "contexts")
+
+
+def missed_scores(missed: DataFrame, open_nodes: DataFrame, nodes: DataFrame, order: int, least: int) -> DataFrame:
+    """(code, score) of runs that have no node of their own.
+
+    missed: code, and total, kept and distinct of its context. open_nodes: code of the kept nodes in these
+    contexts. nodes: (code, n) of all training runs.
+    """
+    levels = {order: nodes}
+    for k in range(order, 0, -1):
+        levels[k - 1] = _shorter(levels[k], k)
+    start = missed.withColumns({"out": F.lit(0.0), "gone": F.lit(0.0), "seen": F.lit(0.0), "context": _context("code")})
+    state = _down(start.join(_below(open_nodes, levels[order - 1], order), "context", "left") if order else start.withColumn("below", F.lit(0.0)))
+    done: list[DataFrame] = []
+    for k in range(order - 1, 1, -1):
+        state = stored(state, "missed")
+        kept = F.col("n") >= least
+        wanted = state.select(_low_context(k).alias("context")).distinct()
+        own = levels[k].withColumn("context", _context("code")).join(wanted, "context", "left_semi")
+        facts = own.groupBy("context").agg(F.sum("m").alias("total"), F.coalesce(F.sum(F.when(kept, F.col("m"))), F.lit(0)).alias("kept"), F.count(F.when(kept, 1)).alias("distinct"))
+        facts = facts.join(_below(own.where(kept), levels[k - 1], k), "context", "left")
+        nodes_k = levels[k].where(kept).select(F.col("code").alias("node"), "m")
+        at = state.withColumn("context", _low_context(k)).withColumn("node", _low("code", k + 1)).join(facts, "context", "left").join(nodes_k, "node", "left")
+        at = stored(at, "missed")
+        done.append(at.where("m IS NOT NULL").select("code", (F.col("out") + F.log10((F.col("m") - 0.5) / (F.col("total") - F.col("gone")))).alias("score")))
+        state = _down(at.where("m IS NULL"))
+    rows = {k: levels[k].select("code", "m").toPandas() for k in range(min(order, 2))}  # 2**16 rows at most
+    m = {k: np.zeros(1 << 8 * (k + 1)) for k in rows}
+    for k, r in rows.items():
+        m[k][r["code"].to_numpy(np.int64)] = r["m"].to_numpy(np.float64)
+    shared = state.sparkSession.sparkContext.broadcast(m)
+
+    def make():
+        tables = []
+        for k in sorted(shared.value, reverse=True):
+            own = shared.value[k].reshape(-1, 256)
+            below = (own > 0) @ shared.value[0] if k else np.zeros(1)
+            tables.append((k, own, own.sum(axis=1), (own > 0).sum(axis=1).astype(np.float64), below))
+
+        def run(batch: pa.RecordBatch) -> dict:
+            code = batch["code"].to_numpy()
+            out, gone, seen = (batch[c].to_numpy().copy() for c in ("out", "gone", "seen"))
+            todo = np.arange(len(code))
+            for k, own, total, distinct, below in tables:
+                byte = code[todo] & 0xFF
+                context = (code[todo] >> 8) & 0xFF if k else np.zeros(len(todo), np.int64)
+                here, left = own[context, byte], total[context] - gone[todo]
+                hit = here > 0
+                out[todo[hit]] += np.log10((here[hit] - 0.5) / left[hit])
+                escape = 0.5 * (distinct[context] - seen[todo])
+                known = ~hit & (distinct[context] > 0)
+                some = known & (escape > 0)  # else the context has nothing but excluded bytes
+                out[todo[some]] += np.log10(escape[some] / left[some])
+                gone[todo[known]], seen[todo[known]] = below[context[known]], distinct[context[known]]
+                todo = todo[~hit]
+            out[todo] -= np.log10(256 - seen[todo])
+            return {"code": batch["code"], "score": pa.array(out)}
+
+        return run
+
+    scored = map_batches(state, make, "code long, score double")
+    for other in done:
+        scored = scored.unionByName(other)
+    return scored
 
 
 def held_out(modulus: int = 10) -> Column:
@@ -213,65 +211,110 @@ def _tokens(text: bytes | None, memo: WordHashes) -> np.ndarray:
     return memo.of([*(text.lower().split() if text else ()), b""])
 
 
-def _words(parts: DataFrame) -> DataFrame:
-    """(part, word, n): the distinct words of each part and their number in its training documents."""
+def _features(parts: DataFrame, order: int) -> DataFrame:
+    """(part, word, key, n): the distinct words (word true) of each part and its distinct runs of order + 1
+    bytes, and their number in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, size = WordHashes(), {}, 0
+        texts: dict[tuple[int, bool], list] = {}  # the texts of a part not yet cut into runs, and their bytes
+
+        def put(part: int, word: bool, keys: np.ndarray, n: np.ndarray) -> None:
+            nonlocal size
+            held.setdefault((part, word), []).append((keys, n))
+            size += len(keys)
+
+        def cut(part: int, out: bool) -> None:
+            codes, n = np.unique(contexts(texts.pop((part, out))[0], order)[0], return_counts=True)
+            put(part, False, codes, n * (not out))
 
         def send() -> Iterator[pa.RecordBatch]:
-            for part, own in held.items():
-                words, n = _added(own)
-                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(words), part, np.int32)), "word": words.view(np.int64), "n": n})
+            for (part, word), own in held.items():
+                keys, n = _added(own)
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(keys), part, np.int32)), "word": pa.array(np.full(len(keys), word)), "key": keys.view(np.int64), "n": n})
             held.clear()
 
         for batch in sliced(batches):
-            for part, held_out, text in zip(batch["part"].to_pylist(), batch["held_out"].to_pylist(), as_bytes(batch["text"])):
+            for part, out, text in zip(batch["part"].to_pylist(), batch["held_out"].to_pylist(), as_bytes(batch["text"])):
                 words, n = np.unique(_tokens(text, memo), return_counts=True)
-                held.setdefault(part, []).append((words, n * (not held_out)))
-                size += len(words)
+                put(part, True, words, n * (not out))
+                own = texts.setdefault((part, out), [[], 0])
+                own[0].append(text or b"")
+                own[1] += len(text or b"") + 1
+                if own[1] >= _CHUNK:
+                    cut(part, out)
                 if size > _HELD:
-                    for own in held.values():
-                        own[:] = [_added(own)]
-                    size = sum(len(own[0][0]) for own in held.values())
+                    for x in held.values():
+                        x[:] = [_added(x)]
+                    size = sum(len(x[0][0]) for x in held.values())
                     if size > _HELD // 2:
                         yield from send()
                         size = 0
+        for part, out in list(texts):
+            cut(part, out)
         yield from send()
 
-    return parts.select("part", "held_out", "text").mapInArrow(run, "part int, word long, n long")
-
-
-def language_scores(docs: DataFrame, order: int = 5, resolution: int = 1 << 23, modulus: int = 10) -> DataFrame:
+    return parts.select("part", "held_out", "text").mapInArrow(run, "part int, word boolean, key long, n long")
+
+
+def _needs(parts: DataFrame, order: int, resolution: int | None) -> DataFrame:
+    """(part, key, value, flag): the term of each word of a part (flag 0: not in training, 1: it is, 3: and
+    this part is the first with it) and the score of each of its runs (flag -1)."""
+    group = F.when(F.col("word"), F.col("key")).otherwise(_context("key"))
+    each = _features(parts, order).withColumn("group", group).repartition("word", "group")
+    of_key, of_group = Window.partitionBy("word", "group", "key"), Window.partitionBy("word", "group")
+    each = each.withColumn("c", F.sum("n").over(of_key)).withColumn("first", F.row_number().over(of_key.orderBy("part", "n")) == 1)
+    each = stored(each.withColumn("total", F.sum("n").over(of_group)), "features") if resolution else each.withColumn("total", F.sum("n").over(of_group))
+    least = 1
+    if resolution:
+        least = max(1, -(-(each.where("NOT word").agg(F.sum("n")).first()[0] or 0) // resolution))
+    limit = least if order > 1 else 1
+    node = F.col("first") & (F.col("c") >= limit)
+    sized = each.withColumns({
+        "kept": F.coalesce(F.sum(F.when(node, F.col("c"))).over(of_group), F.lit(0)), "distinct": F.count(F.when(node, 1)).over(of_group),
+        "open": F.min("c").over(of_group) < limit,
+    })
+    sized = stored(sized.select("part", "word", "key", "c", "first", "total", "kept", "distinct", "open"), "sized")
+    runs = sized.where("NOT word").withColumnRenamed("key", "code")
+    missed = runs.where(F.col("first") & (F.col("c") < limit)).select("code", "total", "kept", "distinct")
+    nodes = runs.where("first AND c > 0").select("code", F.col("c").alias("n"))
+    scored = missed_scores(missed, runs.where(F.col("open") & node).select("code"), nodes, order, least)
+    known = sized.where(F.col("word") | (F.col("c") >= limit)).select(
+        "part", "key", F.when(F.col("word"), F.log10(F.col("c") + 0.1)).otherwise(F.log10((F.col("c") - 0.5) / F.col("total"))).alias("value"),
+        F.when(~F.col("word"), -1).when(F.col("c") == 0, 0).when(F.col("first"), 3).otherwise(1).alias("flag"))
+    rest = runs.where(F.col("c") < limit).select("part", "code").join(stored(scored, "missed"), "code").select("part", F.col("code").alias("key"), F.col("score").alias("value"), F.lit(-1).alias("flag"))
+    return known.unionByName(rest)
+
+
+def language_scores(docs: DataFrame, order: int = 5, resolution: int | None = None, modulus: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Learns from the rows whose crc32(doc_id) mod modulus is not 0. base_score: sum over words and the end of
-    log10((c + 0.1) / (N + 0.1 (V + 1))). score: the trie's log10 probability of the bytes and the end.
+    log10((c + 0.1) / (N + 0.1 (V + 1))). score: log10 probability of the bytes and the end by contexts.
+    resolution, if given: nodes of order 2 and more are used only if they stand for one in so many training bytes.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(modulus))
-    levels = spark.sparkContext.broadcast(learn(rows.where("NOT held_out"), order, resolution))
-    n = max(scan_parts(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(12, scan_parts(docs))
     parts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "part")
-    by = Window.partitionBy("word")
-    words = _words(parts).withColumn("c", F.sum("n").over(by)).withColumn("first", F.row_number().over(by.orderBy("part", "n")) == 1)
-    needs = words.select("part", "word", "c", (F.col("first") & (F.col("c") > 0)).alias("first"))
+    needs = _needs(parts, order, resolution)
 
     def run(docs: pa.Table, needs: pa.Table) -> pa.Table:
-        trie, memo = Trie(levels.value), WordHashes()
-        word, c = needs["word"].to_numpy().view(np.uint64), needs["c"].to_numpy()
+        memo, flag = WordHashes(), needs["flag"].to_numpy()
+        keys, values = needs["key"].to_numpy().view(np.uint64), needs["value"].to_numpy()
+        index, score = Index(keys[flag < 0]), values[flag < 0]
+        word, term, flag = keys[flag >= 0], values[flag >= 0], flag[flag >= 0]
         by = np.argsort(word)
-        word, c = word[by], c[by]
-        term = np.log10(c + 0.1)
+        word, term, flag = word[by], term[by], flag[by]
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "words", "score")}
-        for texts in chunks(t or b"" for t in as_bytes(docs["text"])):
-            out["score"].append(trie.score(texts))
+        for texts in chunks((t or b"" for batch in sliced(docs.select(["text"]).to_batches()) for t in as_bytes(batch["text"])), _PIECE):
+            codes, starts = contexts(texts, order)
+            out["score"].append(np.add.reduceat(score[index.find(codes)], starts))
             for t in texts:
                 at = np.searchsorted(word, _tokens(t, memo))
                 out["n_tokens"].append(len(at))
-                out["n_known"].append(int((c[at] > 0).sum()))
+                out["n_known"].append(int((flag[at] > 0).sum()))
                 out["words"].append(float(term[at].sum()))
-        first = int(needs["first"].to_numpy(zero_copy_only=False).sum())
+        first = int((flag == 3).sum())
         # One more row tells how many of the corpus's words this part is the first to hold.
         add = lambda column, value, kind: pa.concat_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, pa.array([value], kind)])
         return pa.table({

@@ -88,6 +88,16 @@ def test_probabilities_of_the_next_byte_sum_to_one(least):
         assert sum(10 ** next_byte(levels, before, b) for b in range(256)) == pytest.approx(1, rel=1e-9)
 
 
+def test_rare_runs_count_in_more_than_eight_megabytes_of_training(spark, docs_of):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rare = "".join(map(chr, range(0x3B1, 0x3C9)))  # each context of five bytes stands once, each byte is half a count of one
+    rows = [(i, "the same prose again. " * 4600) for i in ids[:90]] + [(ids[90], rare), (held, rare)]
+    got = {r.doc_id: r.score for r in ppm.language_scores(docs_of(rows)).collect()}
+    size = len(rare.encode()) + 1
+    assert got[held] == pytest.approx(got[ids[90]]) and got[held] > size * math.log10(0.5) - 5
+
+
 def test_index_finds_all_keys_and_nothing_else():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000).astype(np.uint64))
     index = ppm.Index(keys)
