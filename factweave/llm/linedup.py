@@ -3,7 +3,8 @@
 Lines are pieces of text that end at a line end or a sentence end. Documents overlap if they share an
 anchor, a line of some words; each anchor ties every later document to the first one that holds it,
 so one of n documents makes n - 1 pairs. Each pair is aligned by patience diff over the anchors that more
-than one document has and the lines next to them; the aligned common blocks, widened by the equal words at their ends, go
+than one document has and the lines next to them; what it leaves, as swapped or doubled passages, is matched
+with every place of the earlier document. The common blocks, widened by the equal words at their ends, go
 from the later document. The first holder of a line always keeps it.
 
 Defined cases: lines are compared as they stand, white space around them aside; words are runs of
@@ -107,16 +108,20 @@ def common_blocks(a: tuple[list, list, list], b: tuple[list, list, list], min_wo
     """Blocks of b of at least min_words words that a has too: (line, word) where one starts and ends.
 
     a, b: numbers, keys and words (one value a word) of lines. A block is a run of matched lines that
-    follow each other in both; the equal words just before and after it belong to it.
+    follow each other in both; the equal words just before and after it belong to it. What the alignment
+    leaves, as passages in another order or more than once, is matched with all places of a.
     """
     out: list[tuple[int, int, int, int]] = []
     run: list[tuple[int, int]] = []
+    taken: set[int] = set()  # lines of b that stand whole in a block
 
     def close() -> None:
-        if not run:
-            return
-        (i, j), (k, m) = run[0], run[-1]
-        n = sum(len(b[2][x]) for _, x in run)
+        if run:
+            emit(run[0], run[-1])
+
+    def emit(start_at: tuple[int, int], end_at: tuple[int, int]) -> None:
+        (i, j), (k, m) = start_at, end_at
+        n = sum(len(b[2][x]) for x in range(j, m + 1))
         start, end = (b[0][j], 0), (b[0][m], len(b[2][m]))
         if i and j and a[0][i - 1] == a[0][i] - 1 and b[0][j - 1] == b[0][j] - 1:
             before = _alike(a[2][i - 1][::-1], b[2][j - 1][::-1])
@@ -130,6 +135,7 @@ def common_blocks(a: tuple[list, list, list], b: tuple[list, list, list], min_wo
                 end = (b[0][m + 1], after)
         if n >= min_words:
             out.append((*start, *end))
+            taken.update(range(j, m + 1))
 
     for i, j in aligned(a[1], b[1]):
         if run and (a[0][i] != a[0][run[-1][0]] + 1 or b[0][j] != b[0][run[-1][1]] + 1):
@@ -137,7 +143,26 @@ def common_blocks(a: tuple[list, list, list], b: tuple[list, list, list], min_wo
             run = []
         run.append((i, j))
     close()
-    return out
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(a[1]):
+        where.setdefault(x, []).append(i)
+    left = [j for j, x in enumerate(b[1]) if j not in taken and x in where]
+    open_at: dict[int, tuple[int, int]] = {}  # by the place in a of a run's last line: where it starts
+    for n, j in enumerate(left):
+        if n and left[n - 1] != j - 1 or j and b[0][j - 1] != b[0][j] - 1:
+            for i, at in open_at.items():
+                emit(at, (i, left[n - 1]))
+            open_at = {}
+        here = {}
+        for i in where[b[1][j]]:
+            follows = i and a[0][i - 1] == a[0][i] - 1
+            here[i] = open_at.pop(i - 1, (i, j)) if follows else (i, j)
+        for i, at in open_at.items():
+            emit(at, (i, j - 1))
+        open_at = here
+    for i, at in open_at.items():
+        emit(at, (i, left[-1]))
+    return sorted(set(out))
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> int:

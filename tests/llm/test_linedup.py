@@ -109,3 +109,17 @@ def test_repeated_ids_and_long_texts(spark, docs_of):
     got = sorted((r.doc_id, len(r.text)) for r in linedup.without_repeats(docs_of(rows)).collect())
     assert got == sorted([(1, len(rows[0][1])), (1, len(rows[1][1])), (2, 300_000), (3, 0)])
     assert linedup.without_repeats(docs_of([])).collect() == []
+
+
+def test_swapped_and_doubled_passages_go():
+    def parsed(names):
+        lines = [f"{x} {k} is a line of eight words".encode() for x in names for k in (range(3) if x in "PQ" else range(1))]
+        return list(range(len(lines))), lines, [np.array([hash(w) for w in x.split()]) for x in lines]
+
+    rng = random.Random(8)
+    shapes = [("aPbQc", "dQePf"), ("aPb", "dPePf"), ("aPbPc", "dPePfPg"), ("PQ", "QP")]
+    shapes += [("".join(rng.choice("PQabRS") for _ in range(8)), "".join(rng.choice("PQcdRS") for _ in range(8))) for _ in range(60)]
+    for x, y in shapes:
+        a, b = parsed(x), parsed(y)
+        gone = {line for s0, w0, s1, w1 in linedup.common_blocks(a, b, 8) for line in range(s0 + (w0 > 0), s1 + (w1 == len(b[2][s1])))}
+        assert gone == {j for j, line in enumerate(b[1]) if line in a[1]}, (x, y)
