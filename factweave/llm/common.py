@@ -171,3 +171,38 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the 64-bit hashes the filter lets through."""
     bits, mask = np.uint64(len(table).bit_length() - 1), np.uint64(len(table) - 1)
     return table[(hashes & mask).astype(np.int64)] & table[(hashes >> bits & mask).astype(np.int64)]
+
+
+def runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The batches cut where a key changes, each part with its keys (integers without nulls)."""
+    for batch in sliced(batches):
+        columns = [batch[k].to_numpy() for k in keys]
+        changed = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in columns:
+            changed |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
+
+
+def fixed_point(column: pa.Array, scale: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, floor(scale * x) of their components as int32) by vector length, for vectors that are neither
+    null nor empty and hold only finite components. Raises ValueError beyond +-most, where sums would not stay exact."""
+    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null vectors have no values here
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == d)
+        x = values[starts[rows][:, None] + np.arange(d)]
+        fit = np.isfinite(x).all(axis=1)
+        ints = np.floor(scale * x[fit])
+        if ints.size and np.abs(ints).max() > most:
+            raise ValueError(f"a component times {scale} exceeds {most}: scores would not stay exact in 64 bits")
+        yield rows[fit], ints.astype(np.int32)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """int32 rows of equal length, kept as binary, as a matrix."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.int32).reshape(len(rows), -1)

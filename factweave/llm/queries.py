@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, licenses, linedup, minhash, packing, pii, pivots, ppm, toxicity
+from . import bestfit, centroids, chat, decontam, hardneg, licenses, linedup, minhash, packing, pii, pivots, ppm, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,56 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontam(spark: SparkSession, folder: str) -> DataFrame:
     """Every overlap of a document with a benchmark item, under substitutions."""
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("h")
+
+
+@query
+def op11_hardneg(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh vector's label is the next one."""
+    vectors = table(spark, folder, "embeddings")
+    label = F.col("label").cast("long")
+    told = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hardneg.mine(told, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hardneg"] = """
+WITH r AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.r AS ar, a.id AS anchor_id, b.id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.id % 50 = 0),
+p AS (SELECT ar, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id NULLS LAST) AS place FROM s WHERE alike QUALIFY place <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.ar, p.place ORDER BY s.score DESC, s.id NULLS LAST) AS rank FROM p JOIN s USING (ar)
+      WHERE NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+@query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors in eight clusters after ten rounds."""
+    return centroids.cluster(table(spark, folder, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def _clusters_sql(k: int, rounds: int, seed: int, scale: int, dims: int) -> str:
+    """The rounds one after another: g0 the first centroids, a_i who is nearest to g_i, g_i+1 the floors of the means."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings"
+        f" WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"g0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS g, v AS c FROM v WHERE vec_id IS NOT NULL QUALIFY g < {k})",
+    ]
+    for i in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': {apart}, 'g': g}}) AS n FROM v, g{i} GROUP BY r)")
+        if i < rounds:
+            floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+            sums = f"SELECT a.n.g AS g, u.i, sum(v[u.i])::HUGEINT AS s, count(*) AS n FROM v JOIN a{i} a USING (r), (SELECT unnest(range(1, {dims + 1})) AS i) u GROUP BY ALL"
+            steps.append(f"m{i} AS MATERIALIZED (SELECT g, list({floor} ORDER BY i) AS c FROM ({sums}) GROUP BY g)")
+            steps.append(f"g{i + 1} AS MATERIALIZED (SELECT g, coalesce(m.c, o.c) AS c FROM g{i} o LEFT JOIN m{i} m USING (g))")
+    last = f"SELECT vec_id, a.n.g::INT AS cluster, a.n.d AS distance, (sum(a.n.d) OVER (PARTITION BY a.n.g))::BIGINT AS cluster_inertia, (sum(a.n.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256"
+    return f"WITH {', '.join(steps)} {last} FROM v JOIN a{rounds} a USING (r) JOIN g{rounds} ON g = a.n.g"
+
+
+ORACLES["op12_centroids"] = _clusters_sql(k=8, rounds=10, seed=3, scale=1024, dims=64)
+
+
+@query
+def op13_bestfit(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into as few sequences of 2,048 tokens as possible."""
+    return bestfit.pack(table(spark, folder, "documents"), tokenizer_path(), limit=2048, end=0)
