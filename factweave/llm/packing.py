@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import as_bytes, map_batches, scan_parts, stored
 
-#: Words and letter runs that a worker remembers before it starts afresh.
-_MEMO = 1 << 17
+#: Words, and letter runs, that a worker remembers in its younger generation; the older one holds as many at most.
+_MEMO = 1 << 18
 #: Words that the tokenizer splits at the end of their letters only, and whose letters it maps one by one.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -40,29 +40,40 @@ class WordCodes(dict):
 
     def __init__(self, encoder) -> None:  # noqa: ANN001
         super().__init__()
-        self.encoder, self.letters = encoder, {}
+        self.encoder, self.letters, self.older, self.older_letters = encoder, {}, {}, {}
         alphabet = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
         self.mapped = str.maketrans({c: "".join(x for x, _ in encoder.pre_tokenizer.pre_tokenize_str(encoder.normalizer.normalize_str(c))) for c in alphabet})
         self.simple = all(self.mapped[ord(c)] == c.lower() for c in alphabet if c.isascii())
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        code = self.run(plain[1].lower() if self.simple and text.isascii() else plain[1].translate(self.mapped)) + (self[plain[2].encode()] if plain[2] else b"") if plain else self.encode(text)
-        if len(self) >= _MEMO:
+        code = self.older.get(word)
+        if code is None:
+            code = self.fresh(word.decode())
+        if len(self) >= _MEMO:  # words not met since the last change of generation go
+            self.older = dict(self)
             self.clear()
         self[word] = code
         return code
 
+    def fresh(self, text: str) -> bytes:
+        plain = _PLAIN.fullmatch(text)
+        if not plain:
+            return self.encode(text)
+        code = self.run(plain[1].lower() if self.simple and text.isascii() else plain[1].translate(self.mapped))
+        return code + self[plain[2].encode()] if plain[2] else code
+
     def encode(self, text: str) -> bytes:
         return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
 
     def run(self, letters: str) -> bytes:
         code = self.letters.get(letters)
         if code is None:
+            code = self.older_letters.get(letters)
+            if code is None:
+                code = array("I", [t.id for t in self.encoder.model.tokenize(letters)]).tobytes()
             if len(self.letters) >= _MEMO:
-                self.letters.clear()
-            code = self.letters[letters] = array("I", [t.id for t in self.encoder.model.tokenize(letters)]).tobytes()
+                self.letters, self.older_letters = {}, self.letters
+            self.letters[letters] = code
         return code
 
 
