@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.blocks import number_rows
 from ..session import shared_folder
 from ..sources import readers, sinks
+from ..sources.pages import Store, feed_entries, feed_pages, read_pages, snapshot_responses, write_pages
 from ..streaming import jobs as streams
 from . import base
 from .catalog import load, query
@@ -71,16 +73,41 @@ def snapshot(spark, folder):
     return readers.snapshot_fetch(requests, responses, "2026-01-01T00:00:00Z").select("request_id", "status", "error", "content_sha256", "retrieved_at")
 
 
+@query(
+    "src_04_stored_snapshots",
+    """SELECT 'https://source.example/' || CAST(o_orderkey AS VARCHAR) AS url, CASE WHEN o_orderstatus = 'F' THEN 404 ELSE 200 END AS status, o_custkey AS customer,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN '2026-02-02T00:00:00Z' ELSE '2026-01-0' || CAST(1 + o_custkey % 3 AS VARCHAR) END AS retrieved_at FROM orders""",
+)
+def stored_snapshots(spark, folder):
+    """Snapshots of a few hundred responses each, read back from a store of pages; a response's time falls back on its snapshot's."""
+    path = shared_folder(spark, "snapshots")
+    response = F.struct(
+        F.when(F.col("o_orderstatus") == "F", 404).otherwise(200).alias("status"), F.struct(F.col("o_custkey").alias("customer")).alias("body"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("2026-02-02T00:00:00Z")).alias("retrieved_at"),
+    )
+    day = F.concat(F.lit("2026-01-0"), (1 + F.col("o_custkey") % 3).cast("string"))
+    orders = load(spark, folder, "orders")
+    parts = F.ceil(F.lit(orders.count()) / 600)  # pages of about two hundred responses, three days each
+    rows = orders.select(day.alias("retrieved_at"), F.pmod(F.xxhash64("o_orderkey"), parts).alias("part"), F.struct(F.concat(F.lit("https://source.example/"), F.col("o_orderkey").cast("string")).alias("key"), response.alias("value")).alias("r"))
+    pages = rows.groupBy("retrieved_at", "part").agg(F.to_json(F.struct("retrieved_at", F.map_from_entries(F.collect_list("r")).alias("responses"))).alias("document"))
+    write_pages(number_rows(pages, [], F.col("part"), ["retrieved_at"], "page"), path)
+    out = snapshot_responses(read_pages(spark, path))
+    return out.select("url", "status", F.get_json_object("body", "$.customer").cast("long").alias("customer"), "retrieved_at")
+
+
 @query("src_05_feed_landing", base.oracle("jobs_parsed", "SELECT seq, job_id, active, organisation_number, title, published, updated FROM jobs_parsed"))
 def landing(spark, folder):
     src, home = shared_folder(spark, "feed-pages"), shared_folder(spark, "feed-landing")
-    entries = base.feed(spark, folder)
+    told = F.concat(F.lit('{"_seq": '), F.col("seq").cast("string"), F.lit(", "), F.substring("entry", 2, 1 << 30))
+    entries = base.feed(spark, folder).withColumn("entry", told)
     early = F.xxhash64("seq") % 2 == 0
-    entries.where(early).write.json(src)
-    streams.land_feed(spark, src, entries.schema, f"{home}/cursor", f"{home}/table")
-    entries.where(~early).write.mode("append").json(src)  # the second run resumes behind the cursor and adds only these
-    landed = streams.land_feed(spark, src, entries.schema, f"{home}/cursor", f"{home}/table")
-    return landed.select("seq", "job_id", "active", "organisation_number", "title", "published", "updated")
+    write_pages(feed_pages(entries.where(early), 100), src)
+    streams.land_feed(spark, src, f"{home}/cursor", f"{home}/table")
+    write_pages(feed_pages(entries.where(~early), 100, first=Store(src).end()), src)  # the second run resumes behind the cursor and adds only these
+    landed = streams.land_feed(spark, src, f"{home}/cursor", f"{home}/table")
+    # the number that an entry carries says which row it was; seq says where it stood in the store
+    back = feed_entries(read_pages(spark, src)).select((F.col("page") * streams.PAGE_ROOM + F.col("position")).alias("place"), F.get_json_object("entry", "$._seq").cast("long").alias("seq"))
+    return landed.withColumnRenamed("seq", "place").join(back, "place").select("seq", "job_id", "active", "organisation_number", "title", "published", "updated")
 
 
 @query(

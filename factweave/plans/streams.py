@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..streaming import jobs as J
+from ..sources.pages import Store, feed_pages, write_pages
+from ..streaming import changes as C, jobs as J
 from . import base
 from .catalog import load, query
 from .ranking import crawl_log
@@ -25,12 +26,21 @@ def _landings(df, path: str, order: str, parts: int = 3):
         yield i
 
 
+def _feed_landings(entries, path: str, parts: int = 3, size: int = 200):
+    """Write the entries as feed pages in their order, a slice at a time; yields when a slice has landed."""
+    cuts = entries.agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        slice_ = entries if low is None else entries.where(F.col("seq") > low)
+        slice_ = slice_ if high is None else slice_.where(F.col("seq") <= high)
+        write_pages(feed_pages(slice_, size, first=Store(path).end()), path)
+        yield low
+
+
 @query("str_01_job_feed", base.oracle("job_index", "SELECT organisation_number, job_id, title, updated FROM job_index"))
 def job_feed(spark, folder):
     home = shared_folder(spark, "job-feed")
-    entries = base.feed(spark, folder)
-    for _ in _landings(entries, f"{home}/in", "seq"):
-        index = J.job_feed_stream(spark, f"{home}/in", entries.schema, f"{home}/state", f"{home}/out")
+    for _ in _feed_landings(base.feed(spark, folder), f"{home}/pages"):
+        index = J.job_feed_stream(spark, f"{home}/pages", f"{home}/state", f"{home}/out")
     return index.select(ORG, "job_id", "title", "updated")
 
 
@@ -48,15 +58,39 @@ def footprint_windows(spark, folder):
     return out.select(ORG, F.date_format("window_start", "yyyy-MM-dd").alias("day"), "observations", "engagement")
 
 
+def _shuffled(df, path: str, parts: int = 3):
+    """Write the rows in slices that have nothing to do with their order; yields when a slice has landed."""
+    for i in range(parts):
+        df.where(F.pmod(F.xxhash64("seq"), F.lit(parts)) == i).write.mode("append").json(path)
+        yield i
+
+
 @query(
     "str_03_change_events",
     """SELECT CAST(o_custkey AS VARCHAR) AS organisation_number, 'status' AS field, o_orderkey AS seq, old AS old_value, o_orderstatus AS new_value FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS old FROM orders) WHERE old IS NOT NULL AND old <> o_orderstatus""",
 )
 def change_events(spark, folder):
+    """Rows land out of their order, which is that of the order number alone."""
     home = shared_folder(spark, "changes")
-    rows = load(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias(ORG), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("seq"))
-    for _ in _landings(rows, f"{home}/in", "seq"):
-        changes = J.change_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out", f"{home}/last")
+    rows = load(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias(ORG), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("seq"), F.timestamp_seconds("o_orderkey").alias("ts"))
+    for _ in _shuffled(rows, f"{home}/in"):
+        changes = C.change_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out")
+    return changes
+
+
+@query(
+    "str_03_change_events_late",
+    """SELECT CAST(o_custkey AS VARCHAR) AS organisation_number, f AS field, o_orderkey AS seq, old AS old_value, value AS new_value FROM (
+    SELECT *, lag(value) OVER (PARTITION BY o_custkey, f ORDER BY o_orderdate, o_orderkey) AS old FROM (
+    SELECT o_custkey, o_orderkey, o_orderdate, unnest([{'f': 'status', 'value': o_orderstatus}, {'f': 'priority', 'value': o_orderpriority}], recursive := true) FROM orders)) WHERE old IS NOT NULL AND old <> value""",
+)
+def change_events_late(spark, folder):
+    """Two fields by order date; slices land out of order, but none later than the delay behind the latest date."""
+    home = shared_folder(spark, "late-changes")
+    fields = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))]))
+    rows = load(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias(ORG), fields, F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    for _ in _shuffled(rows, f"{home}/in"):
+        changes = C.change_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out", bucket="365 days", delay="4000 days")
     return changes
 
 

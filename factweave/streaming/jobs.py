@@ -1,19 +1,24 @@
 """Structured Streaming jobs over landed files.
 
 Each job reads what has arrived, stops (AvailableNow) and picks up behind its checkpoint on the
-next call. Keyed state lives in Spark's state store or in a table; the sinks write one folder per micro-batch
-and overwrite it on a replay, so a lost executor or a restart changes nothing in the result.
+next call. Keyed state lives in Spark's state store; the sinks write one folder per micro-batch and overwrite it
+on a replay, so a lost executor or a restart changes nothing in the result. Tables kept up to date by key are
+merged as they grow (tables.py). Change events have state of their own (changes.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.feed import EVENT_KEY, fold_feed, index_from_fold
 from ..operators.normalise import parse_feed
+from ..sources.pages import feed_entries, read_pages
+from .tables import UpsertTable
+
+#: A page holds fewer entries than this.
+PAGE_ROOM = 1 << 20
 
 
 def _source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None) -> DataFrame:
@@ -30,39 +35,42 @@ def _batch_writer(path: str):
     return write
 
 
-def _run(stream: DataFrame, mode: str, checkpoint: str, sink: str) -> None:
+def _upserts(path: str, keys: Sequence[str]):
+    return lambda batch, batch_id: UpsertTable(batch.sparkSession, path, keys).write(batch, batch_id)
+
+
+def _run(stream: DataFrame, mode: str, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
     (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(_batch_writer(sink))
+        .foreachBatch(write)
         .start()
         .awaitTermination()
     )
 
 
-def _latest(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
-    """Last version of each key in an update-mode sink."""
-    log = spark.read.parquet(sink)
-    rest = [c for c in log.columns if c not in keys and c != "batch_id"]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v")).select(*keys, "v.*")
+def _feed(spark: SparkSession, src: str) -> DataFrame:
+    """Entries of a store of feed pages behind the cursor, numbered by page and position."""
+    return feed_entries(read_pages(spark, src, stream=True)).withColumn("seq", F.col("page") * PAGE_ROOM + F.col("position"))
 
 
-def land_feed(spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str) -> DataFrame:
-    """Append newly arrived feed pages to a table; the checkpoint is the cursor."""
-    _run(parse_feed(_source(spark, src, schema, None)), "append", checkpoint, sink)
+def land_feed(spark: SparkSession, src: str, checkpoint: str, sink: str) -> DataFrame:
+    """Append newly arrived feed pages (a store of numbered pages) to a table; the number of the next page is the cursor."""
+    _run(parse_feed(_feed(spark, src)), "append", checkpoint, _batch_writer(sink))
     return spark.read.parquet(sink).drop("batch_id")
 
 
-def job_feed_stream(spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Live jobs kept up to date from the feed.
+def job_feed_stream(spark: SparkSession, src: str, checkpoint: str, sink: str) -> DataFrame:
+    """Live jobs kept up to date from a store of feed pages.
 
     The fold of the batch operator runs as a streaming aggregate: the state holds one row per
     (job, organisation), and each batch writes only the keys it touched.
     """
-    folded = fold_feed(parse_feed(_source(spark, src, schema, files_per_trigger)))
-    _run(folded, "update", checkpoint, sink)
-    return index_from_fold(_latest(spark, sink, ["job_id", "organisation_number"]))
+    folded = fold_feed(parse_feed(_feed(spark, src)))
+    keys = ["job_id", "organisation_number"]
+    _run(folded, "update", checkpoint, _upserts(sink, keys))
+    return index_from_fold(UpsertTable(spark, sink, keys).read())
 
 
 def footprint_stream(
@@ -79,42 +87,9 @@ def footprint_stream(
     counted = obs.groupBy("organisation_number", F.window("ts", window).alias("w")).agg(
         F.count("*").alias("observations"), F.sum("engagement").alias("engagement"), F.max("ts").alias("last_ts")
     ).select("organisation_number", F.col("w.start").alias("window_start"), "observations", "engagement", "last_ts")
-    _run(counted, "update", checkpoint, sink)
-    return _latest(spark, sink, ["organisation_number", "window_start"])
-
-
-def change_stream(spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str, last: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Change events from arriving field values (organisation_number, field, value, seq).
-
-    The table at ``last`` holds the latest value of each (entity, field), one version per micro-batch. A
-    batch is put behind it, and each row is compared with the one before it in sequence, by a sorted
-    window that can spill. Rows that arrive after a later one of their key are compared in their place.
-    """
-    key = ["organisation_number", "field"]
-
-    def versions() -> list[int]:
-        try:
-            return [r[0] for r in spark.read.parquet(last).select("batch_id").distinct().collect()]
-        except AnalysisException:  # nothing has been written yet
-            return []
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        rows = batch.select(*key, "value", "seq", F.lit(False).alias("__old"))
-        before = max((v for v in versions() if v < batch_id), default=None)
-        if before is not None:
-            known = session.read.schema("organisation_number STRING, field STRING, value STRING, seq LONG").parquet(f"{last}/batch_id={before}")
-            rows = rows.unionByName(known.withColumn("__old", F.lit(True)))
-        order = Window.partitionBy(*key).orderBy("seq", F.col("__old").desc())
-        seen = rows.withColumn("old_value", F.lag("value").over(order)).withColumn("__at", F.row_number().over(order))
-        new = seen.where(~F.col("__old") & (F.col("__at") > 1) & ~F.col("value").eqNullSafe(F.col("old_value")))
-        new.select(*key, "seq", "old_value", F.col("value").alias("new_value")).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        latest = rows.groupBy(*key).agg(F.max_by(F.struct("value"), "seq")["value"].alias("value"), F.max("seq").alias("seq"))
-        latest.write.mode("overwrite").parquet(f"{last}/batch_id={batch_id}")
-
-    source = _source(spark, src, schema, files_per_trigger)
-    source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
+    keys = ["organisation_number", "window_start"]
+    _run(counted, "update", checkpoint, _upserts(sink, keys))
+    return UpsertTable(spark, sink, keys).read()
 
 
 def dedupe_stream(
@@ -124,5 +99,5 @@ def dedupe_stream(
     """Page-event log without repeats. A key is remembered for good, or for ``delay`` of event time."""
     events = _source(spark, src, schema, files_per_trigger)
     once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys)) if delay else events.dropDuplicates(list(keys))
-    _run(once, "append", checkpoint, sink)
+    _run(once, "append", checkpoint, _batch_writer(sink))
     return spark.read.parquet(sink).drop("batch_id")
