@@ -299,8 +299,7 @@ def latency_summary(spark, folder):
 )
 def index_percentiles(spark, folder):
     events = load(spark, folder, "events")
-    out = [Q.index_percentiles(events, "value", rule, ["event_type"]).withColumn("rule", F.lit(rule)) for rule in Q.INDEX_RULES]
-    return out[0].unionByName(out[1]).unionByName(out[2], allowMissingColumns=True)
+    return Q.index_percentiles(events, "value", ["event_type"])
 
 
 @query(
