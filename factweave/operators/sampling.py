@@ -1,21 +1,49 @@
 """Reproducible samples by hash rank.
 
 The rank is the hash of a seed and the entity number, so a sample does not depend on input order,
-partitioning or cluster. Taking the ``k`` smallest is a top-k per partition and a merge, not a sort.
+partitioning or cluster. A sample may be of any size: a histogram of rank prefixes gives the bucket in which
+the last drawn row lies, rows of later buckets go, and positions are those within a bucket plus the sizes of
+the buckets before it. No task holds more than a bucket and the histogram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import hash_rank
 from ..functions.text import clean, text
 from ..functions.url import site_host
+from ..session import written
+from .blocks import number_rows
 from .gates import filer_eligible
 from .rows import first_per_key, top_per_key
 
 ORG = "organisation_number"
 
+#: Leading hex digits of a rank that make its bucket: 65,536 buckets, whatever the input.
+PREFIX = 4
+
+
+def bucket(rank: Column | str) -> Column:
+    return F.substring(rank, 1, PREFIX)
+
+
+def first_k(df: DataFrame, k: int, buckets: Sequence[Column], order: Sequence[Column | str], position: str = "position") -> DataFrame:
+    """The first k rows in an order, with their position.
+
+    buckets: columns by which the order begins, at least as coarse as it is, and of few values (prefixes, turns, strata);
+    their histogram is the only thing that one task sees whole.
+    """
+    names = [f"__b{i}" for i in range(len(buckets))]
+    cut = df.withColumns(dict(zip(names, buckets)))
+    earlier = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*names).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    near = cut.join(sizes.where(F.col("__before") < k).drop("__n"), names)
+    within = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1
+    return near.withColumn(position, F.col("__before") + within).where(F.col(position) < k).drop(*names, "__before")
+
 
 def _employee_band(employees: Column | str = "employees") -> Column:
     e = F.col(employees) if isinstance(employees, str) else employees
@@ -51,25 +79,23 @@ def _exclude(df: DataFrame, excluded: DataFrame | None, key: str = ORG) -> DataF
 def extension_sample(registry: DataFrame, k: int, excluded: DataFrame | None = None, seed: int = 20260824) -> DataFrame:
     """The ``k`` entities of smallest hash rank that are not excluded."""
     ranked = _exclude(registry, excluded).withColumn("rank", hash_rank(seed, ORG))
-    return ranked.orderBy("rank", ORG).limit(k).withColumn("sample_slice", F.lit("extension")).withColumn("evaluation_split", F.lit("extension_holdout"))
+    drawn = first_k(ranked, k, [bucket("rank")], ["rank", ORG]).drop("position")
+    return drawn.withColumn("sample_slice", F.lit("extension")).withColumn("evaluation_split", F.lit("extension_holdout"))
 
 
 def sample_digest(sample: DataFrame) -> DataFrame:
-    """Size of a sample and the hash of its sorted numbers. The sample is as small as it was asked to be."""
+    """Size of a sample and the hash of its sorted numbers, which is one text by its definition: for samples that fit one task."""
     return sample.agg(
         F.count("*").alias("selected"), F.sha2(F.array_join(F.array_sort(F.collect_set(ORG)), "\n"), 256).alias("selected_sha256")
     )
 
 
 def assign_splits(sample: DataFrame, k: int, order: Column) -> DataFrame:
-    """Development, validation and held-out by position in ``order``: 60, 20 and 20 per cent of ``k``.
-
-    The position runs over the drawn sample only, whose size is the ``k`` asked for.
-    """
-    position = F.row_number().over(Window.orderBy(order, F.col(ORG))) - 1
+    """Development, validation and held-out by position in ``order`` (a hash rank): 60, 20 and 20 per cent of ``k``."""
+    placed = number_rows(sample.drop("position").withColumn("__order", order), [], bucket("__order"), ["__order", ORG]).drop("__order")
     development, validation = round(k * 0.6), round(k * 0.2)
     split = F.when(F.col("position") < development, "development").when(F.col("position") < development + validation, "validation").otherwise("held_out")
-    return sample.withColumn("position", position).withColumn("evaluation_split", split)
+    return placed.withColumn("evaluation_split", split)
 
 
 def filer_sample(
@@ -84,8 +110,8 @@ def filer_sample(
         marked = eligible.join(keep, ORG, "left").withColumn("__kept", F.coalesce("__p", F.lit(False))).drop("__p")
     # one order for both groups: all preserved rows come before the others
     rank = F.when(F.col("__kept"), hash_rank(f"{seed}:preserved", ORG)).otherwise(hash_rank(seed, ORG))
-    drawn = marked.withColumn("__rank", rank).orderBy(F.col("__kept").desc(), "__rank", ORG).limit(k)
-    out = assign_splits(drawn, k, hash_rank(f"{seed}:order", ORG))
+    drawn = first_k(marked.withColumn("__rank", rank), k, [~F.col("__kept"), bucket("__rank")], ["__rank", ORG])
+    out = assign_splits(written(drawn, "filers"), k, hash_rank(f"{seed}:order", ORG))
     slice_name = F.when(F.col("__kept"), "preserved_eligible").otherwise("financial_filer_population")
     return out.withColumn("sample_slice", slice_name).drop("__kept", "__rank")
 
@@ -93,20 +119,27 @@ def filer_sample(
 def stratified_sample(registry: DataFrame, k: int, seed: int = 20260822) -> DataFrame:
     """Seven tenths by population hash rank, a minimum from each stratum, and a hash-ranked fill.
 
-    No entity is drawn twice. Strata are few; their number is counted once to set the minimum.
+    No entity is drawn twice. The steps run over number, stratum and ranks alone, each written once;
+    the drawn entities then meet their registry rows.
     """
     population_size = round(k * 0.7)
     stress = k - population_size
-    base = registry.withColumn("stratum", stratum()).withColumn("__rank", hash_rank(seed, ORG))
-    population = base.orderBy("__rank", ORG).limit(population_size).withColumn("sample_slice", F.lit("population")).withColumn("__turn", F.lit(0))
-    strata = registry.select(stratum().alias("s")).distinct().count()
-    minimum = max(1, min(3, stress // max(1, strata)))
-    rest = base.join(population.select(ORG), ORG, "left_anti").withColumn("__srank", hash_rank(f"{seed}:stress", ORG))
-    floor_rows = top_per_key(rest, ["stratum"], ["__srank", ORG], minimum).withColumn("__turn", F.lit(1))
-    fill = rest.join(floor_rows.select(ORG), ORG, "left_anti").orderBy("__srank", ORG).limit(stress).withColumn("__turn", F.lit(2))
-    extra = floor_rows.unionByName(fill).drop("__srank").withColumn("sample_slice", F.lit("stress"))
-    drawn = population.unionByName(extra).orderBy("__turn", "stratum", "__rank", ORG).limit(k)
-    return assign_splits(drawn, k, hash_rank(seed, ORG)).drop("__rank", "__turn")
+    ranks = registry.select(ORG, stratum().alias("stratum"), hash_rank(seed, ORG).alias("__rank"), hash_rank(f"{seed}:stress", ORG).alias("__srank"))
+    base = written(ranks, "ranks")
+    population = first_k(base, population_size, [bucket("__rank")], ["__rank", ORG]).select(ORG, F.lit(0).alias("__turn"))
+    marked = written(base.join(population, ORG, "left"), "population")
+    # at least one from each stratum, up to three while all strata together stay within the stress share
+    strata = marked.groupBy("stratum").agg(F.lit(1).alias("__one")).withColumn("__strata", F.count("*").over(Window.partitionBy("__one")))
+    minimum = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.lit(stress) / F.col("__strata"))))
+    first = top_per_key(marked.where("__turn IS NULL"), ["stratum"], ["__srank", ORG], 3, rank="__at")
+    floor_rows = first.join(strata, "stratum").where(F.col("__at") <= minimum).select(ORG, F.lit(1).alias("__floor"))
+    turned = written(marked.join(floor_rows, ORG, "left").withColumn("__turn", F.coalesce("__turn", "__floor")).drop("__floor"), "floor")
+    fill = first_k(turned.where("__turn IS NULL"), stress, [bucket("__srank")], ["__srank", ORG]).drop("position").withColumn("__turn", F.lit(2))
+    chosen = written(turned.where("__turn IS NOT NULL").unionByName(fill), "chosen")
+    drawn = first_k(chosen, k, [F.col("__turn"), F.col("stratum"), bucket("__rank")], ["__rank", ORG])
+    split = assign_splits(written(drawn.select(ORG, "stratum", "__turn"), "drawn"), k, hash_rank(seed, ORG))
+    slices = split.withColumn("sample_slice", F.when(F.col("__turn") == 0, "population").otherwise("stress")).drop("__turn")
+    return registry.join(slices, ORG)
 
 
 def host_unique_sample(
@@ -118,11 +151,13 @@ def host_unique_sample(
     if excluded_hosts is not None:
         hosted = hosted.join(excluded_hosts.select("host"), "host", "left_anti")
     one = first_per_key(hosted, ["host"], ["rank", ORG])
-    return one.orderBy("rank", ORG).limit(k).withColumn("sample_slice", F.lit("fresh_website_audit")).withColumn("evaluation_split", F.lit("independent_final"))
+    drawn = first_k(one, k, [bucket("rank")], ["rank", ORG]).drop("position")
+    return drawn.withColumn("sample_slice", F.lit("fresh_website_audit")).withColumn("evaluation_split", F.lit("independent_final"))
 
 
 def entry_batch(registry: DataFrame, k: int = 1000, seed: int = 0) -> DataFrame:
     """An entry batch of at least a thousand entities, in number order."""
     if k < 1000:
         raise ValueError("an entry batch has at least 1000 entities")
-    return registry.withColumn("rank", hash_rank(seed, ORG)).orderBy("rank", ORG).limit(k).drop("rank").orderBy(ORG)
+    drawn = first_k(registry.withColumn("rank", hash_rank(seed, ORG)), k, [bucket("rank")], ["rank", ORG])
+    return drawn.drop("rank", "position").orderBy(ORG)
