@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extract as X
+from ..operators.domains import suffix_rules
 from . import base
 from .catalog import load, query
+from .scalars import rule_lines
 
 ORG = "organisation_number"
 _UN = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
@@ -131,6 +133,17 @@ def feed_links(spark, folder):
     return X.feed_links(load(spark, folder, "pages").select("page_id", F.col("url").alias("final_url"), F.concat(head, F.col("html")).alias("html")))
 
 
+@query(
+    "ext_09_feed_links_by_rules",
+    """SELECT page_id, CASE WHEN url LIKE '%.example.com/%' THEN 'https://other.example.com/f' ELSE regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/rss.xml' END AS url FROM pages""",
+)
+def feed_links_by_rules(spark, folder):
+    """A feed on a sister host comes first; under the rules it is the page's own only where one label stands under the suffix."""
+    sister = F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="https://other.'), F.regexp_extract("url", r"://[^/]*?([^./]+\.[^./]+)(?:/|$)", 1), F.lit('/f"><link rel="alternate" type="application/atom+xml" href="/rss.xml">'))
+    pages = load(spark, folder, "pages").select("page_id", F.col("url").alias("final_url"), F.concat(sister, F.col("html")).alias("html"))
+    return X.feed_links(pages, suffixes=suffix_rules(rule_lines(spark, folder)))
+
+
 @query(
     "ext_10_sitemap_items",
     """SELECT o_custkey AS page_id, 'ny rigg ' || CAST(o_orderkey AS VARCHAR) AS headline, strftime(o_orderdate, '%Y-%m-%d') AS date_published, 'https://s.no/ny-rigg_' || CAST(o_orderkey AS VARCHAR) AS url FROM

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K, ids, numeric as M, text as T, timefn as D, url as U
+from ..operators import domains
 from . import base, sqltext as S
 from .catalog import load, query
 
@@ -69,6 +70,32 @@ def registered_domain(spark, folder):
     return load(spark, folder, "pages").select("page_id", U.registered_domain("url", _SUF).alias("domain"))
 
 
+_LABELS = "(SELECT page_id, url, string_split(split_part(url, '/', 3), '.') AS h FROM pages)"
+_SPARED = f"(SELECT DISTINCT array_to_string(h[-3:], '.') FROM {_LABELS} WHERE array_to_string(h[-2:], '.') = 'example.org' AND starts_with(h[-3], 'thth'))"
+#: Registered domain by the rules that rule_lines reads off the hosts.
+RULED_SQL = f"""CASE WHEN array_to_string(h[-2:], '.') = 'example.net' THEN CASE WHEN len(h) > 2 THEN array_to_string(h[-3:], '.') ELSE '' END
+    WHEN array_to_string(h[-2:], '.') = 'example.org' AND len(h) > 2 THEN CASE WHEN array_to_string(h[-3:], '.') IN {_SPARED} THEN array_to_string(h[-3:], '.') WHEN len(h) > 3 THEN array_to_string(h[-4:], '.') ELSE '' END
+    ELSE array_to_string(h[-2:], '.') END"""
+
+
+def rule_lines(spark, folder):
+    """Suffix rules read off the hosts of the pages: a plain two-label suffix, a wildcard and its exceptions, all last labels, a comment."""
+    labels = F.split(U.raw_host("url"), r"\.")
+    last = lambda k: F.array_join(F.slice(labels, -k, k), ".")
+    org = last(2) == "example.org"
+    lines = F.array(
+        F.lit("// rules of the pages' hosts"), F.element_at(labels, -1), F.when(last(2) == "example.net", last(2)), F.when(org, F.concat(F.lit("*."), last(2))),
+        F.when(org & F.startswith(F.element_at(labels, -3), F.lit("thth")), F.concat(F.lit("!"), last(3), F.lit(" spared"))),
+    )
+    return load(spark, folder, "pages").select(F.explode(lines).alias("rule")).where("rule IS NOT NULL").distinct()
+
+
+@query("scl_06_suffix_rules", f"SELECT page_id, {RULED_SQL} AS domain FROM {_LABELS}")
+def registered_domain_by_rules(spark, folder):
+    pages = load(spark, folder, "pages").select("page_id", "url")
+    return domains.with_domains(pages, ["url"], domains.suffix_rules(rule_lines(spark, folder))).select("page_id", F.col("url_domain").alias("domain"))
+
+
 _SOCIAL = (
     ("https://www.facebook.com/Ex{0}/", "facebook", "https://facebook.com/Ex{0}"), ("https://no.linkedin.com/company/ex{0}/admin/feed", "linkedin", "https://linkedin.com/company/ex{0}"),
     ("https://facebook.com/sharer.php?u={0}", None, None), ("https://facebook.com/events/{0}", None, None), ("https://www.linkedin.com/in/p{0}", None, None),
