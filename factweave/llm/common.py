@@ -44,20 +44,20 @@ def scan_parts(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ROWS rows, without a copy, so that few texts are Python objects at once."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows, without a copy, so that few texts are Python objects at once."""
     for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            yield batch.slice(i, ROWS)
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """df through a function of record batches. make() is called once a task and gives the function,
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, rows: int = ROWS) -> DataFrame:
+    """df through a function of record batches of at most so many rows. make() is called once a task and gives the function,
     which returns columns by name in the order of schema (or None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in sliced(batches):
+        for batch in sliced(batches, rows):
             if (out := f(batch)) is not None:
                 yield pa.RecordBatch.from_pydict(out)
 

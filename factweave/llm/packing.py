@@ -20,14 +20,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import as_bytes, map_batches, scan_parts, stored
+from .common import ROWS, map_batches, scan_parts, stored
 
 #: Words, and letter runs, that a worker remembers in its younger generation; the older one holds as many at most.
 _MEMO = 1 << 18
 #: Words that the tokenizer splits at the end of their letters only, and whose letters it maps one by one.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([%s]*)" % re.escape(_PUNCTUATION.decode()))
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -48,18 +50,23 @@ class WordCodes(dict):
     def __missing__(self, word: bytes) -> bytes:
         code = self.older.get(word)
         if code is None:
-            code = self.fresh(word.decode())
+            code = self.fresh(word)
         if len(self) >= _MEMO:  # words not met since the last change of generation go
             self.older = dict(self)
             self.clear()
         self[word] = code
         return code
 
-    def fresh(self, text: str) -> bytes:
+    def fresh(self, word: bytes) -> bytes:
+        core = word.rstrip(_PUNCTUATION)
+        if self.simple and core.isalpha():  # ASCII letters
+            code = self.run(core.lower().decode())
+            return code + self[word[len(core) :]] if len(core) < len(word) else code
+        text = word.decode()
         plain = _PLAIN.fullmatch(text)
         if not plain:
             return self.encode(text)
-        code = self.run(plain[1].lower() if self.simple and text.isascii() else plain[1].translate(self.mapped))
+        code = self.run(plain[1].translate(self.mapped))
         return code + self[plain[2].encode()] if plain[2] else code
 
     def encode(self, text: str) -> bytes:
@@ -77,6 +84,34 @@ class WordCodes(dict):
         return code
 
 
+#: The codes of this worker process by tokenizer; one tokenizer at a time.
+_KEPT: dict[int, WordCodes] = {}
+
+
+def worker_codes(model: str) -> WordCodes:
+    """The codes of a tokenizer, whose words a worker remembers from one task to the next."""
+    key = zlib.crc32(model.encode())
+    if key not in _KEPT:
+        from tokenizers import Tokenizer
+
+        _KEPT.clear()
+        _KEPT[key] = WordCodes(Tokenizer.from_str(model))
+    return _KEPT[key]
+
+
+def token_ids(texts: pa.Array, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, where each text ends in them), by way of the distinct words of the texts. A null is empty."""
+    split = pc.ascii_split_whitespace(texts.fill_null(""))
+    words = split.flatten().cast(pa.binary()).dictionary_encode()
+    known = [codes[w] if w else b"" for w in words.dictionary.to_pylist()]
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    table, at = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+    word = words.indices.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(size[word])])
+    take = np.arange(ends[-1]) + np.repeat(at[word] - ends[:-1], size[word])
+    return table[take], ends[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+
+
 def pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, with_ids: bool = False) -> DataFrame:
     """Pieces of at most limit tokens: doc_id, start, length, ids_crc32, doc_tokens (and ids).
 
@@ -91,18 +126,16 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, wit
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        codes, last = WordCodes(Tokenizer.from_str(model.value)), np.uint32(end).tobytes()
+        codes, last = worker_codes(model.value), np.array([end], np.uint32)
 
         def run(batch: pa.RecordBatch) -> dict:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"])):
-                code = b"".join(map(codes.__getitem__, text.split() if text else ())) + last
-                n = len(code) // 4
-                for start in range(0, n, limit):
-                    part = code[4 * start : 4 * (start + limit)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, np.frombuffer(part, np.int32) if with_ids else None))
+            ids, ends = token_ids(batch["text"], codes)
+            for doc, a, b in zip(batch["doc_id"].to_pylist(), [0, *ends], ends):
+                code = np.concatenate([ids[a:b], last])
+                for start in range(0, len(code), limit):
+                    part = code[start : start + limit]
+                    rows.append((doc, start, len(part), zlib.crc32(part), len(code), part.view(np.int32) if with_ids else None))
             columns = list(zip(*rows))
             out = {k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), columns)}
             return out | ({"ids": pa.array(columns[5], pa.list_(pa.int32()))} if with_ids else {})
@@ -110,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, wit
         return run
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(chosen, make, PIECES + (", ids array<int>" if with_ids else ""))
+    return map_batches(chosen, make, PIECES + (", ids array<int>" if with_ids else ""), rows=3 * ROWS)
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:

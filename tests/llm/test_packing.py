@@ -3,13 +3,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from factweave.llm import packing
 from factweave.llm.queries import tokenizer_path
 
-ALPHABET = "aAbZéÉßÿÀ×÷'s.,;:!?-_ \n\t́İΣσ1²ñ😀\x1c\xa0"
+ALPHABET = "aAbZéÉßÿÀ×÷'s.,;:!?-_$%&*#<|>\"`~{}[]^@/\\()+= \n\t\x0b\x0c\ŕİΣσ1²ñ😀\x1c\xa0\x85"
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +25,11 @@ def encoder():
 def test_words_one_by_one_give_the_ids_of_the_text(encoder, text, special):
     text += " <|endoftext|>b a<|startoftext|>" if special else ""
     codes = packing.WordCodes(encoder)
+    want = encoder.encode(text, add_special_tokens=False).ids
     code = b"".join(map(codes.__getitem__, text.encode().split()))
-    assert np.frombuffer(code, np.uint32).tolist() == encoder.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(code, np.uint32).tolist() == want
+    ids, ends = packing.token_ids(pa.array(["x", text, None, text, ""])[1:], codes)
+    assert ids.tolist() == want + want and ends.tolist() == [len(want), len(want), 2 * len(want), 2 * len(want)]
 
 
 def one_by_one(lengths, limit):
