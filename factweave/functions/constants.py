@@ -255,26 +255,20 @@ TRACKED_FIELDS = (
 )
 
 # ---- fixed values: workforce phrases ---------------------------------------------------
-OCR_NUMBER = r"((?-i:\b[0-9O][0-9O .,-]{0,8}))"
-FTE_WORD = r"(?:aarsverk|arsverk|årsverk)"
 WORKFORCE_PATTERNS = (
-    (0, "full_time_equivalents", r"(?i)(?:antall|tal\s+p[aå])\s+" + FTE_WORD + r"\s+i\s+(?:regnskapsaret|rekneskapsaret)\s*(?:er|:|=)?\s*" + OCR_NUMBER),
-    (0, "full_time_equivalents", r"(?i)antall\s+" + FTE_WORD + r"(?:\s+sysselsatt\s+i\s+regnskapsaret)?\s*(?:er|:|=)?\s*" + OCR_NUMBER),
-    (0, "full_time_equivalents", r"(?i)selskapet\s+har(?:\s+[i1]\s+\d{4})?\s+sysselsatt\s+" + OCR_NUMBER + r"\s+" + FTE_WORD),
-    (0, "full_time_equivalents", r"(?i)selskapet\s+har\s+" + OCR_NUMBER + r"\s+" + FTE_WORD),
-    (0, "full_time_equivalents", r"(?i)antall\s+" + FTE_WORD + r"\s+(?:sysselsatt|syssetsatt)\s+i\s+regnskapsaret\s*(?:er|:|=)?\s*" + OCR_NUMBER),
-    (1, "employees", r"(?i)gjennomsnittlig(?:e)?\s+antall\s+ansatte(?:\s+i\s+regnskapsaret)?\s*(?:er|:|=)?\s*" + OCR_NUMBER),
-    (1, "employees", r"(?i)antall\s+ansatte\s*(?:er|:|=)?\s*" + OCR_NUMBER),
-    (2, "employees", r"(?i)" + OCR_NUMBER + r"\s+(?:heltids)?ansatte\b"),
+    (0, "full_time_equivalents", r"(?i)(?:antall|tal\s+p[aå])\s+(?:aarsverk|arsverk|årsverk)\s+i\s+(?:regnskapsaret|rekneskapsaret)\s*(?:er|:|=)?\s*((?-i:\b[0-9O][0-9O .,-]{0,8}))"),
+    (0, "full_time_equivalents", r"(?i)antall\s+(?:aarsverk|arsverk|årsverk)(?:\s+sysselsatt\s+i\s+regnskapsaret)?\s*(?:er|:|=)?\s*((?-i:\b[0-9O][0-9O .,-]{0,8}))"),
+    (0, "full_time_equivalents", r"(?i)selskapet\s+har(?:\s+[i1]\s+\d{4})?\s+sysselsatt\s+((?-i:\b[0-9O][0-9O .,-]{0,8}))\s+(?:aarsverk|arsverk|årsverk)"),
+    (0, "full_time_equivalents", r"(?i)selskapet\s+har\s+((?-i:\b[0-9O][0-9O .,-]{0,8}))\s+(?:aarsverk|arsverk|årsverk)"),
+    (0, "full_time_equivalents", r"(?i)antall\s+(?:aarsverk|arsverk|årsverk)\s+(?:sysselsatt|syssetsatt)\s+i\s+regnskapsaret\s*(?:er|:|=)?\s*((?-i:\b[0-9O][0-9O .,-]{0,8}))"),
+    (1, "employees", r"(?i)gjennomsnittlig(?:e)?\s+antall\s+ansatte(?:\s+i\s+regnskapsaret)?\s*(?:er|:|=)?\s*((?-i:\b[0-9O][0-9O .,-]{0,8}))"),
+    (1, "employees", r"(?i)antall\s+ansatte\s*(?:er|:|=)?\s*((?-i:\b[0-9O][0-9O .,-]{0,8}))"),
+    (2, "employees", r"(?i)((?-i:\b[0-9O][0-9O .,-]{0,8}))\s+(?:heltids)?ansatte\b"),
 )
 WORKFORCE_WORDS = {"ingen": 0, "en": 1, "ett": 1, "to": 2, "tre": 3, "fire": 4, "fem": 5}
 WORKFORCE_WORD_PATTERN = r"(?i)\b(?:det\s+er|selskapet\s+har)\s+(ingen|en|ett|to|tre|fire|fem)\s+ansatte\b"
-WORKFORCE_ZERO_PATTERN = (
-    r"(?i)\b(?:selskapet|stiftelsen|legatet|sameiet|det)\s+"
-    r"(?:har\s+ingen\s+(?:ansatte|" + FTE_WORD + r")|har\s+ikke\s+hatt\s+(?:noen\s+)?ansatte|"
-    r"hadde\s+ingen\s+ansatte|ikke\s+har\s+ansatte)\b"
-)
-WORKFORCE_TERMS = r"(?i)ansatt|aarsverk|arsverk|årsverk|sysselsatt"
+WORKFORCE_ZERO_PATTERN = r"(?i)\b(?:selskapet|stiftelsen|legatet|sameiet|det)\s+(?:har\s+ingen\s+(?:ansatte|(?:aarsverk|arsverk|årsverk))|har\s+ikke\s+hatt\s+(?:noen\s+)?ansatte|hadde\s+ingen\s+ansatte|ikke\s+har\s+ansatte)\b"
+WORKFORCE_TERMS = r"(?iu)ansatt|aarsverk|arsverk|årsverk|sysselsatt"
 
 # ---- fixed values: order-book fees and volatility --------------------------------------
 PROTOCOL_FEE = 0.07

@@ -66,7 +66,7 @@ def nodes(spark, folder):
     "SELECT c_custkey AS page_id, t AS kind, CASE t WHEN 'Store' THEN NULL ELSE c_name END AS name FROM customer, (VALUES ('Corporation'), ('Store')) v(t)",
 )
 def jsonld_organisations(spark, folder):
-    return X.organisation_nodes(nodes(spark, folder)).select("page_id", F.col("kinds")[0].alias("kind"), F.get_json_object("node", "$.name").alias("name"))
+    return X.organisation_nodes(nodes(spark, folder)).select("page_id", F.col("kinds")[0].alias("kind"), "name")
 
 
 @query("ext_04_sameas_socials", "SELECT c_custkey AS page_id, 'facebook' AS platform, 'https://facebook.com/F' || CAST(c_custkey AS VARCHAR) AS url FROM customer")
