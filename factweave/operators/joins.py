@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..functions.ids import short_id
 from ..functions.text import as_col, clean, digits, full_name_tokens, text
 from ..functions.url import company_url, homepage
-from .rows import first_per_key, require_empty, require_unique, unfold
+from .rows import first_per_key, insist, unfold, unique_rows
 
 ORG = "organisation_number"
 
@@ -73,25 +73,26 @@ def observations_by_entity(profiles: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def pending(batch: DataFrame, done: DataFrame, check: bool = True) -> DataFrame:
-    """Entities of a batch not finished yet; finished entities outside the batch are an error."""
-    if check:
-        require_empty(done.join(batch, ORG, "left_anti"), "completed entities outside the batch", ORG)
-    return batch.join(done.select(ORG), ORG, "left_anti")
+    """Entities of a batch not finished yet; finished entities outside the batch fail the job."""
+    if not check:
+        return batch.join(done.select(ORG), ORG, "left_anti")
+    finished = done.select(ORG).distinct().withColumn("__done", F.lit(True))
+    both = batch.withColumn("__batch", F.lit(True)).join(finished, ORG, "full_outer")
+    known = insist(both, F.col("__batch").isNotNull() | F.col("__done").isNull(), F.concat(F.lit("completed entities outside the batch: "), F.col(ORG)))
+    return known.where("__done IS NULL").select(*batch.columns)
 
 
 def audit_join(obs: DataFrame, labels: DataFrame, check: bool = True) -> DataFrame:
     """Observations with their audit labels; label ids must be unique."""
-    if check:
-        require_unique(labels, ["id"], "label ids must be unique")
-    return obs.join(labels, "id", "inner")
+    known = unique_rows(labels, ["id"], "label ids must be unique") if check else labels
+    return obs.join(known, "id", "inner")
 
 
 def gold_join(gold: DataFrame, predictions: DataFrame, check: bool = True) -> DataFrame:
     """Gold items with their prediction, if any; ids are unique on both sides, gold labels known."""
     if check:
-        require_unique(gold, ["id"], "gold item ids must be unique")
-        require_unique(predictions, ["id"], "prediction item ids must be unique")
-        require_empty(gold.where(~gold.label.isin(*K.SENTIMENT_LABELS)), "unknown gold label", "label")
+        gold = insist(unique_rows(gold.select("id", "label"), ["id"], "gold item ids must be unique"), F.col("label").isin(*K.SENTIMENT_LABELS) | F.col("label").isNull(), F.concat(F.lit("unknown gold label: "), F.col("label")))
+        predictions = unique_rows(predictions, ["id"], "prediction item ids must be unique")
     return gold.select("id", F.col("label").alias("gold_label")).join(
         predictions.withColumnRenamed("label", "predicted_label"), "id", "left"
     )
@@ -100,20 +101,21 @@ def gold_join(gold: DataFrame, predictions: DataFrame, check: bool = True) -> Da
 def aligned(old: DataFrame, new: DataFrame, check: bool = True) -> DataFrame:
     """Old and new rows side by side as ``o`` and ``n``; the two must hold the same entities."""
     both = old.select(ORG, F.struct(*old.columns).alias("o")).join(new.select(ORG, F.struct(*new.columns).alias("n")), ORG, "full_outer")
-    if check:
-        require_empty(both.where("o IS NULL OR n IS NULL"), "datasets differ in membership", ORG)
-    return both
+    return insist(both, F.col("o").isNotNull() & F.col("n").isNotNull(), F.concat(F.lit("datasets differ in membership: "), F.col(ORG))) if check else both
 
 
 def apply_seeds(profiles: DataFrame, seeds: DataFrame, check: bool = True) -> DataFrame:
     """Verified websites laid over profiles. Both URLs of a seed must be absolute, its entity known."""
     if check:
         absolute = lambda c: clean(c).rlike("^https?://")
-        require_empty(seeds.join(profiles, ORG, "left_anti"), "verified seeds contain unknown organisations", ORG)
-        require_empty(seeds.where(~absolute("website") | ~absolute("proof_url")), "seed needs absolute website and proof_url", ORG)
+        seeds = insist(seeds, absolute("website") & absolute("proof_url"), F.concat(F.lit("seed needs absolute website and proof_url: "), F.col(ORG)))
     s = seeds.select(ORG, clean("website").alias("__site"), clean("proof_url").alias("__proof_url"), text("proof").alias("__proof"))
     applied = F.col("__site").isNotNull()
-    joined = profiles.join(s, ORG, "left")
+    if check:
+        both = profiles.withColumn("__known", F.lit(True)).join(s, ORG, "full_outer")
+        joined = insist(both, F.col("__known").isNotNull() | F.col("__site").isNull(), F.concat(F.lit("verified seeds contain unknown organisations: "), F.col(ORG)))
+    else:
+        joined = profiles.join(s, ORG, "left")
     return joined.select(
         *[F.coalesce("__site", "website").alias("website") if c == "website" else F.col(c) for c in profiles.columns],
         F.when(applied, "independently_verified_exact_entity").alias("website_seed_source"),
@@ -132,13 +134,15 @@ def seed_errors(seeds: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def reviewed_observations(config: DataFrame, profiles: DataFrame, retrieved_at: str, check: bool = True) -> DataFrame:
     """Observations from hand-reviewed sources, ids derived from what they state."""
+    names = profiles.select(ORG, F.col("name").alias("legal_name"), F.lit(True).alias("__known"))
     if check:
-        require_empty(config.join(profiles, ORG, "left_anti"), "unknown organisation number", ORG)
-        require_empty(config.where(~text("content_sha256").rlike("^[0-9a-f]{64}$")), "invalid content hash", ORG)
-    names = profiles.select(ORG, F.col("name").alias("legal_name"))
+        hashed = insist(config, text("content_sha256").rlike("^[0-9a-f]{64}$"), F.concat(F.lit("invalid content hash: "), F.col(ORG)))
+        joined = insist(hashed.join(names, ORG, "left"), F.col("__known") | F.col(ORG).isNull(), F.concat(F.lit("unknown organisation number: "), F.col(ORG)))
+    else:
+        joined = config.join(names, ORG)
     default = lambda c, v: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(v)).alias(c)
     key = F.concat_ws("|", ORG, "source_url", "signal_type")
-    return config.join(names, ORG, "inner").select(
+    return joined.select(
         F.concat(F.lit("verified-observation-"), F.substring(F.sha2(key, 256), 1, 24)).alias("id"),
         ORG, "platform", "signal_type", "source_url", F.lit(retrieved_at).alias("retrieved_at"), "content_sha256",
         F.lit(True).alias("exact_entity"),

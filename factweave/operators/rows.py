@@ -66,6 +66,24 @@ def require_unique(df: DataFrame, keys: Sequence[str], message: str) -> None:
     require_empty(twice.select(F.concat_ws("/", *keys).alias("key")), message, "key")
 
 
+def insist(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
+    """df, whose job fails with the message at the first row that is not ok.
+
+    The condition is a filter, so it is looked at whatever columns are read. After an outer join it has to
+    name a column of each side: the optimiser tries conditions on one side alone with nulls.
+    """
+    said = F.lit(message) if isinstance(message, str) else message
+    return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def unique_rows(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
+    """df by key; a key of two rows fails the job."""
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(F.struct(*rest) if rest else F.lit(0)).alias("__r"))
+    known = insist(grouped, F.col("__n") == 1, F.concat(F.lit(f"{message}: "), F.concat_ws("/", *keys)))
+    return known.select(*[F.col(c) if c in keys else F.col("__r")[c].alias(c) for c in df.columns])
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -184,8 +184,8 @@ def test_gold_report(spark):
     assert not E.classification_report(gold, wrong).first().qualification_passed
     with pytest.raises(ValueError):
         E.classification_report(gold, pred, 200)
-    with pytest.raises(ValueError):
-        E.classification_report(gold.union(gold.limit(1)), pred)
+    with pytest.raises(Exception, match="gold item ids must be unique"):
+        E.classification_report(gold.union(gold.limit(1)), pred).collect()
 
 
 def test_refresh(spark):
@@ -195,8 +195,8 @@ def test_refresh(spark):
     got = {(r[ORG], r.field, r.old_value, r.new_value) for r in R.diff(old, new, fields).collect()}
     assert got == {("1", "registry.employees", None, "0"), ("2", "website.job_postings", '["a"]', '["a","c"]')}
     assert R.diff(new, new, fields).count() == 0
-    with pytest.raises(ValueError):
-        R.diff(old, new.limit(1), fields)
+    with pytest.raises(Exception, match="datasets differ in membership: [12]"):
+        R.diff(old, new.limit(1), fields).count()
 
 
 def test_registry_rules(spark):
@@ -221,10 +221,26 @@ def test_contract_states_and_screens(spark):
 
 def test_membership_guards(spark):
     a = spark.createDataFrame([("1",), ("2",)], f"{ORG} string")
-    with pytest.raises(ValueError):
-        J.pending(a.limit(1), a)
-    with pytest.raises(ValueError):
-        J.apply_seeds(a.withColumn("website", F.lit("")), a.withColumn("website", F.lit("x.no")).withColumn("proof_url", F.lit("https://p")).withColumn("proof", F.lit("")))
+    with pytest.raises(Exception, match="completed entities outside the batch: 2"):
+        J.pending(a.where("organisation_number = '1'"), a).count()
+    assert [r[0] for r in J.pending(a, a.where("organisation_number = '1'")).collect()] == ["2"]
+    seeds = a.withColumn("website", F.lit("x.no")).withColumn("proof_url", F.lit("https://p")).withColumn("proof", F.lit(""))
+    with pytest.raises(Exception, match="seed needs absolute website"):
+        J.apply_seeds(a.withColumn("website", F.lit("")), seeds).count()
+    with pytest.raises(Exception, match="verified seeds contain unknown organisations: 2"):
+        J.apply_seeds(a.where("organisation_number = '1'").withColumn("website", F.lit("")), seeds.withColumn("website", F.lit("https://x.no"))).count()
+    twice = spark.createDataFrame([("1", "positive"), ("1", "positive")], "id string, label string")
+    with pytest.raises(Exception, match="label ids must be unique: 1"):
+        J.audit_join(twice.select("id"), twice).count()
+    with pytest.raises(Exception, match="unknown gold label: odd"):
+        J.gold_join(spark.createDataFrame([("1", "odd")], "id string, label string"), twice.limit(1)).count()
+    config = a.select("organisation_number", *[F.lit(x).alias(c) for c, x in (("source_url", "u"), ("signal_type", "s"), ("platform", "p"), ("content_sha256", "0" * 64), ("proof", "x"), ("acquisition_mode", ""), ("rights_status", ""), ("source_class", ""), ("strategy", ""), ("evidence_span", "e"))])
+    names = a.withColumn("name", F.lit("N"))
+    assert J.reviewed_observations(config, names, "t").count() == 2
+    with pytest.raises(Exception, match="unknown organisation number: 2"):
+        J.reviewed_observations(config, names.where("organisation_number = '1'"), "t").count()
+    with pytest.raises(Exception, match="invalid content hash"):
+        J.reviewed_observations(config.withColumn("content_sha256", F.lit("x")), names, "t").count()
     from factweave.sources.readers import clean_manifest
 
     with pytest.raises(ValueError):
