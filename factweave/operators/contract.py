@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 from ..functions.text import as_col, period_label, text
+from ..session import written
 from . import footprint as P, gates as G, normalise as N
 from .blocks import number_rows
-from .rows import first_per_key, top_per_key, unfold, union_all
+from .rows import any_of, first_per_key, unfold, union_all
 
 ORG = "organisation_number"
 
@@ -67,24 +68,27 @@ FAMILIES = {
     "website": ("ev-web", None),
 }
 _ORDER = {name: i for i, name in enumerate(FAMILIES)}
+#: Place of the claim that a website is proven to be the entity's, and the places that a block of the numbering covers.
+_PROVEN, _BLOCK = 50, 4096
 
 
-def _row(family: str, sub: Column, field: Column, value: Column, availability: Column, confidence: Column, span: Column, period: Column, shared: bool) -> Column:
+def _row(family: str, sub: Column, field: Column, value: Column, availability: Column, confidence: Column, span: Column, period: Column, kind: str, needs: str | None = None, part: Column | None = None) -> Column:
+    text_ = lambda c: (F.lit(None) if c is None else c).cast("string")
     return F.struct(
-        F.lit(_ORDER[family]).alias("family"), sub.alias("sub"), field.alias("field"), value.cast("string").alias("value"),
-        availability.alias("availability"), confidence.cast("double").alias("confidence"), span.cast("string").alias("span"),
-        period.cast("string").alias("reporting_period"), F.lit(shared).alias("shared"),
+        F.lit(_ORDER[family]).alias("family"), sub.cast("int").alias("sub"), field.alias("field"), text_(value).alias("value"),
+        availability.alias("availability"), confidence.cast("double").alias("confidence"), text_(span).alias("span"),
+        text_(period).alias("reporting_period"), F.lit(kind).alias("kind"), F.lit(needs).cast("string").alias("needs"), text_(part).alias("part"),
     )
 
 
-def _fact(family: str, sub: Column, field: Column | str, value: Column, span: Column, confidence: float = 0.97, period: Column | None = None) -> Column:
+def _fact(family: str, sub: Column, field: Column | str, value: Column, span: Column, confidence: float = 0.97, period: Column | None = None, **more) -> Column:
     f = F.lit(field) if isinstance(field, str) else field
-    return _row(family, sub, f, value, F.lit("available"), F.lit(confidence), span, F.lit(None) if period is None else period, False)
+    return _row(family, sub, f, value, F.lit("available"), F.lit(confidence), span, period, "fact", **more)
 
 
-def _shared(family: str, field: str, value: Column, availability: Column, confidence: Column | float, sub: int = 0) -> Column:
+def _shared(family: str, field: str, value: Column, availability: Column, confidence: Column | float, sub: int = 0, needs: str | None = None) -> Column:
     c = F.lit(confidence) if isinstance(confidence, float) else confidence
-    return _row(family, F.lit(sub), F.lit(field), value, availability, c, F.lit(None), F.lit(None), True)
+    return _row(family, F.lit(sub), F.lit(field), value, availability, c, None, None, "shared", needs)
 
 
 def _sub(at: Column, i: int = 0) -> Column:
@@ -92,37 +96,28 @@ def _sub(at: Column, i: int = 0) -> Column:
     return (at * 16 + i + 100).cast("int")
 
 
-def claims(
-    profiles: DataFrame, registry: DataFrame | None = None, records: DataFrame | None = None, roles: DataFrame | None = None,
-    locations: DataFrame | None = None, years: DataFrame | None = None, site_items: DataFrame | None = None,
-    socials: DataFrame | None = None, obs: DataFrame | None = None,
+def _rows(
+    profiles: DataFrame, registry: DataFrame | None, records: DataFrame | None, roles: DataFrame | None, locations: DataFrame | None,
+    years: DataFrame | None, site_items: DataFrame | None, socials: DataFrame | None,
 ) -> DataFrame:
-    """Claims of every entity: field, value, availability, confidence, evidence id, period and quote.
-
-    ``profiles`` has a status column per module (registry_status, financials_status, roles_status,
-    locations_status, financial_history_status, website_status; NULL if there is no record), and
-    website_publishable, website_score, website_url, website_description, registry_site. The other
-    tables are keyed by entity and, where they are lists, carry ``seq``:
-    registry(field, value, reporting_period), records(period, revenue, ...), roles(name, role_code,
-    role, last_changed, inactive), locations(name, address), years(year), site_items(kind, value,
-    quote), socials(platform, url), obs (observations).
-    """
+    """All rows that may become claims, each from its own table; ``needs`` says on what of its entity a row depends."""
     parts: list[DataFrame] = []
     add = lambda df, column: parts.append(df.select(ORG, column.alias("c")).select(ORG, "c.*"))
     many = lambda df, items: parts.append(unfold(df, [ORG], F.array(*items), "c").select(ORG, "c.*"))
     quote = lambda *bits: F.concat(*[F.lit(b) if isinstance(b, str) else F.coalesce(b.cast("string"), F.lit("None")) for b in bits])
+    only = lambda on, row: F.when(on, row)
 
     if registry is not None:
         span = quote('"', F.col("field"), '": ', F.col("value"))
-        order = F.row_number().over(Window.partitionBy(ORG).orderBy("field"))  # at most one row per registry field
-        numbered = registry.withColumn("seq", order)
-        add(numbered, _fact("registry", _sub(F.col("seq")), F.col("field"), F.col("value"), span, period=F.col("reporting_period")))
+        add(registry, _fact("registry", F.lit(100), F.col("field"), F.col("value"), span, period=F.col("reporting_period")))
     if records is not None:
-        fields = ("revenue", "operating_result", "annual_result", "assets", "equity", "debt")
-        many(records, [
-            F.when(F.col(f).isNotNull(), _fact("financials", _sub(F.col("seq"), i), f"financials.{f}", F.col(f), quote(F.col("period"), f" {f}: ", F.col(f)), period=F.col("period")))
-            for i, f in enumerate(fields) if f in records.columns
-        ])
+        fields = [f for f in ("revenue", "operating_result", "annual_result", "assets", "equity", "debt") if f in records.columns]
+        stated = [
+            only(F.col(f).isNotNull(), _fact("financials", _sub(F.col("seq"), i), f"financials.{f}", F.col(f), quote(F.col("period"), f" {f}: ", F.col(f)), period=F.col("period")))
+            for i, f in enumerate(fields)
+        ]
+        none = F.lit(None)
+        many(records, [*stated, only(F.coalesce(*[F.col(f) for f in fields]).isNull(), _row("financials", F.lit(0), none, none, none, none, none, none, "mark"))])
     if roles is not None:
         few = roles.where(~F.col("inactive"))
         who = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("holder_number") if "holder_number" in roles.columns else F.lit(None))
@@ -141,64 +136,97 @@ def claims(
         add(listed, _shared("financial_history", "financial_history.years", F.col("list"), F.lit("available"), 0.97, 50))
         add(one, _fact("financial_history", _sub(F.col("year").try_cast("int")), "financial_history.year", F.col("year"), quote("Filed year ", F.col("year")), period=F.col("year")))
 
-    has = lambda df: (df.select(ORG).distinct().withColumn("__has", F.lit(True)) if df is not None else None)
-    for family, field, table in (
-        ("financials", "financials", records), ("roles", "roles", None if roles is None else roles.where(~F.col("inactive"))), ("locations", "locations", locations),
-    ):
-        column = f"{family}_status"
-        if column in profiles.columns:
-            recorded = profiles.where(F.col(column).isNotNull())
-            bare = recorded if table is None else recorded.join(has(table), ORG, "left_anti")
-            add(bare, _shared(family, field, F.lit(None), N.availability(column), 0.5, 60))
-
+    # what the profile alone says: a reference ahead of each recorded module's facts, modules recorded without facts, the website
+    recorded = [m for m in FAMILIES if f"{m}_status" in profiles.columns]
+    none = F.lit(None)
+    said = [only(F.col(f"{m}_status").isNotNull(), _row(m, F.lit(0), none, none, none, none, none, none, "head")) for m in recorded]
+    said += [only(F.col(f"{m}_status").isNotNull(), _shared(m, m, none, N.availability(f"{m}_status"), 0.5, 60, f"no {m}")) for m in ("financials", "roles", "locations") if m in recorded]
     if "website_status" in profiles.columns:
         status, pub = F.col("website_status"), F.coalesce(F.col("website_publishable"), F.lit(False))
         seen = status.eqNullSafe("available")
         site = F.nullif(F.trim(text("registry_site")), F.lit(""))
-        url, none = F.col("website_url"), F.lit(None)
-        score = F.coalesce(F.col("website_score"), F.lit(0.95))
-        only = lambda on, row: F.when(on, row)
+        url, score = F.col("website_url"), F.coalesce(F.col("website_score"), F.lit(0.95))
         described = F.col("website_description") if "website_description" in profiles.columns else F.lit("")
-        many(profiles, [
-            only(seen & pub, _shared("website", "official_website", url, F.lit("available"), score, 50)),
+        said += [
+            only(seen & pub, _shared("website", "official_website", url, F.lit("available"), score, _PROVEN)),
             only(seen & pub & (text(described) != ""), _fact("website", F.lit(70), "website_description", described, described, 0.9)),
-            only(~(seen & pub) & site.isNotNull(), _row("website", F.lit(51), F.lit("official_website"), site, F.lit("available"), F.lit(0.9), none, none, True)),
+            only(~(seen & pub) & site.isNotNull(), _shared("website", "official_website", site, F.lit("available"), 0.9, 51)),
             only(~pub & seen & site.isNotNull(), _shared("website", "official_website_crawl_unverified", url, F.lit("ambiguous"), 0.5, 52)),
             only(~pub & seen & site.isNull(), _shared("website", "official_website", url, F.lit("ambiguous"), 0.5, 53)),
             only(~seen & status.isNotNull() & site.isNull(), _shared("website", "official_website", none, N.availability(status), 0.5, 54)),
-        ])
-        proven = profiles.where(seen & pub).select(ORG)
+        ]
         if site_items is not None:
             # any kind beside these lists is a fact the site states once
-            lists = ("job_posting", "careers_page", "news")
-            own = site_items.join(proven, ORG, "left_semi")
-            for place, kind in enumerate(lists):
-                field = "news" if kind == "news" else "job_posting"
-                add(own.where(F.col("kind") == kind), _fact("website", (F.col("seq") + 10_000_000 * (place + 1)).cast("int"), field, F.col("value"), F.col("quote"), 0.9))
-            stated = first_per_key(own.where(~F.col("kind").isin(*lists)), [ORG, "kind"], ["seq"])
-            add(stated, _fact("website", F.lit(90_000_000), F.concat(F.lit("website."), "kind"), F.col("value"), F.col("quote"), 0.9))
+            lists = {"job_posting": "job_posting", "careers_page": "job_posting", "news": "news"}
+            own = site_items.where(F.col("kind").isin(*lists))
+            place = F.array_position(F.array(*[F.lit(k) for k in lists]), F.col("kind"))
+            field = F.element_at(F.create_map(*[F.lit(x) for pair in lists.items() for x in pair]), F.col("kind"))
+            add(own, _fact("website", F.col("seq") + 10_000_000 * place, field, F.col("value"), F.col("quote"), 0.9, needs="proven"))
+            stated = first_per_key(site_items.where(~F.col("kind").isin(*lists)), [ORG, "kind"], ["seq"])
+            add(stated, _fact("website", F.lit(90_000_000), F.concat(F.lit("website."), "kind"), F.col("value"), F.col("quote"), 0.9, needs="proven"))
+    if said:
+        many(profiles, said)
     if socials is not None:
         linked = socials.where((text("platform") != "") & (text("url") != ""))
-        order = F.row_number().over(Window.partitionBy(ORG).orderBy("platform", "url"))
-        add(linked.withColumn("seq", order), _fact("website", (F.col("seq") + 100_000_000).cast("int"), F.concat(F.lit("social."), "platform"), F.col("url"), quote(F.col("platform"), ": ", F.col("url")), 0.9))
-
-    core = union_all(*parts)
-    # every recorded module has one shared reference ahead of its facts
-    heads = profiles.select(ORG, F.explode(F.array_compact(F.array(*[
-        F.when(F.col(f"{m}_status").isNotNull(), F.struct(F.lit(_ORDER[m]).alias("family"), F.lit(0).alias("sub")))
-        for m in FAMILIES if f"{m}_status" in profiles.columns
-    ]))).alias("h")).select(ORG, "h.family", "h.sub")
-    places = union_all(heads.withColumn("head", F.lit(True)), core.where(~F.col("shared")).withColumn("head", F.lit(False)))
-    # a core list is capped by its caps above, so the numbering of one entity is short
-    index = F.row_number().over(Window.partitionBy(ORG).orderBy("family", "sub", "field")) - 1
-    numbered = places.withColumn("at", index).where(~F.col("head"))
+        part = F.concat(F.col("platform"), F.lit("\0"), F.substring("url", 1, 32))  # places by platform and address, in parts of these
+        add(linked, _fact("website", F.lit(100_000_000), F.concat(F.lit("social."), "platform"), F.col("url"), quote(F.col("platform"), ": ", F.col("url")), 0.9, part=part))
+    return union_all(*parts)
+
+
+def ledger(
+    profiles: DataFrame, registry: DataFrame | None = None, records: DataFrame | None = None, roles: DataFrame | None = None,
+    locations: DataFrame | None = None, years: DataFrame | None = None, site_items: DataFrame | None = None, socials: DataFrame | None = None,
+) -> DataFrame:
+    """What an entity's contract consists of, a row each: kind (head, fact or shared), module, the claim's columns and evidence_id.
+
+    A head is the reference to a recorded module, a fact is a claim with a reference of its own, a shared claim
+    cites its module's. Heads and facts are numbered through the entity in the order of family, place, field and
+    value: in blocks of places, each with the sizes of the blocks before it, so that one entity may span
+    many tasks. The rows are written once; all later steps read them.
+
+    ``profiles`` has a status column per module (registry_status, financials_status, roles_status,
+    locations_status, financial_history_status, website_status; NULL if there is no record), and
+    website_publishable, website_score, website_url, website_description, registry_site. The other
+    tables are keyed by entity and, where they are lists, carry ``seq``:
+    registry(field, value, reporting_period), records(period, revenue, ...), roles(name, role_code,
+    role, last_changed, inactive), locations(name, address), years(year), site_items(kind, value,
+    quote), socials(platform, url).
+    """
+    rows = written(_rows(profiles, registry, records, roles, locations, years, site_items, socials), "contract-rows")
+    free = rows.where("needs IS NULL")
+    stated = free.where(F.col("kind") != "head").groupBy(ORG).agg(
+        *[F.max(F.col("family") == _ORDER[m]).alias(m) for m in ("financials", "roles", "locations")], F.max((F.col("family") == _ORDER["website"]) & (F.col("sub") == _PROVEN)).alias("proven")
+    )
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    met = any_of((F.col("needs") == "proven") & has("proven"), *[(F.col("needs") == f"no {m}") & ~has(m) for m in ("financials", "roles", "locations")])
+    bound = rows.where("needs IS NOT NULL").join(stated, ORG, "left").where(met).select(*rows.columns)
+    kept = free.where(F.col("kind") != "mark").unionByName(bound)
+
+    counted = (F.col("kind") != "shared").cast("int")
+    placed = kept.withColumn("block", F.struct("family", F.floor(F.col("sub") / _BLOCK).alias("at"), F.coalesce("part", F.lit("")).alias("part")))
+    sizes = placed.groupBy(ORG, "block").agg(F.sum(counted).alias("n"))
+    earlier = Window.partitionBy(ORG).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    offsets = sizes.select(ORG, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy(ORG, "block").orderBy("family", "sub", "field", "value").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumn("run", F.sum(counted).over(within)).join(offsets, [ORG, "block"])
+
+    module = F.element_at(F.array(*[F.lit(m) for m in FAMILIES]), F.col("family") + 1)
     prefix = F.element_at(F.array(*[F.lit(p) for p, _ in FAMILIES.values()]), F.col("family") + 1)
-    facts = numbered.select(ORG, "field", "value", "availability", "confidence", F.concat(prefix, F.lit("-"), F.col("at").cast("string")).alias("evidence_id"), "reporting_period", "span")
-    module = F.element_at(F.array(*[F.lit(f"ev-{m}") for m in FAMILIES]), F.col("family") + 1)
     # the registry's own website field cites the registry
-    cited = F.when((F.col("family") == _ORDER["website"]) & (F.col("sub") == 51), F.lit("ev-registry")).otherwise(module)
-    lumped = core.where("shared").select(ORG, "field", "value", "availability", "confidence", cited.alias("evidence_id"), "reporting_period", "span")
-    out = facts.unionByName(lumped)
+    cited = F.when((F.col("family") == _ORDER["website"]) & (F.col("sub") == 51), F.lit("registry")).otherwise(module)
+    number = F.concat(prefix, F.lit("-"), (F.col("before") + F.col("run") - 1).cast("string"))
+    evidence_id = F.when(F.col("kind") == "fact", number).otherwise(F.concat(F.lit("ev-"), cited))
+    return numbered.select(ORG, "kind", module.alias("module"), "field", "value", "availability", "confidence", evidence_id.alias("evidence_id"), "reporting_period", "span")
+
+
+def ledger_claims(entries: DataFrame) -> DataFrame:
+    """The claims of a ledger: field, value, availability, confidence, evidence id, period and quote."""
+    return entries.where(F.col("kind") != "head").drop("kind", "module")
+
+
+def claims(profiles: DataFrame, obs: DataFrame | None = None, **tables: DataFrame | None) -> DataFrame:
+    """Claims of every entity, with those of observations if given. tables: as for ledger."""
+    out = ledger_claims(ledger(profiles, **tables))
     return out if obs is None else out.unionByName(observation_claims(obs))
 
 
@@ -218,6 +246,19 @@ def observation_claims(obs: DataFrame) -> DataFrame:
     )
 
 
+_SOURCE = ("source_url", "source_class", "retrieved_at", "content_sha256")
+
+
+def _sources(profiles: DataFrame) -> DataFrame:
+    """(entity, module, source) of each module of the profiles, from columns named module_column; what is absent is NULL."""
+    known = lambda m, c: (F.col(f"{m}_{c}") if f"{m}_{c}" in profiles.columns else F.lit(None)).cast("string").alias(c)
+    return unfold(profiles, [ORG], F.array(*[F.struct(F.lit(m).alias("module"), *[known(m, c) for c in _SOURCE]) for m in FAMILIES]), "s").select(ORG, "s.*")
+
+
+def _observed(obs: DataFrame) -> DataFrame:
+    return _numbered(obs).select(ORG, F.concat(F.lit("ev-obs-"), F.col("position").cast("string")).alias("evidence_id"), *_SOURCE, F.nullif(text("evidence_span"), F.lit("")).alias("span"))
+
+
 def evidence(claimed: DataFrame, profiles: DataFrame, obs: DataFrame | None = None) -> DataFrame:
     """What the claims cite: evidence_id, source_url, source_class, retrieved_at, content_sha256 and quote.
 
@@ -228,14 +269,15 @@ def evidence(claimed: DataFrame, profiles: DataFrame, obs: DataFrame | None = No
     table = F.create_map(*[F.lit(x) for pair in stems.items() for x in pair])
     module = F.element_at(table, F.regexp_replace("evidence_id", "-[0-9]+$", ""))
     cited = claimed.where(~F.col("evidence_id").startswith("ev-obs-")).groupBy(ORG, "evidence_id").agg(F.max("span").alias("span"))
-    columns = ("source_url", "source_class", "retrieved_at", "content_sha256")
-    known = lambda m, c: (F.col(f"{m}_{c}") if f"{m}_{c}" in profiles.columns else F.lit(None)).cast("string").alias(c)
-    sources = unfold(profiles, [ORG], F.array(*[F.struct(F.lit(m).alias("module"), *[known(m, c) for c in columns]) for m in FAMILIES]), "s").select(ORG, "s.*")
-    out = cited.withColumn("module", module).join(sources, [ORG, "module"], "left").select(ORG, "evidence_id", *columns, "span")
-    if obs is None:
-        return out
-    own = _numbered(obs).select(ORG, F.concat(F.lit("ev-obs-"), F.col("position").cast("string")).alias("evidence_id"), *columns, F.nullif(text("evidence_span"), F.lit("")).alias("span"))
-    return out.unionByName(own)
+    out = cited.withColumn("module", module).join(_sources(profiles), [ORG, "module"], "left").select(ORG, "evidence_id", *_SOURCE, "span")
+    return out if obs is None else out.unionByName(_observed(obs))
+
+
+def references(entries: DataFrame, profiles: DataFrame, obs: DataFrame | None = None) -> DataFrame:
+    """The evidence there is, whatever the claims cite: a reference for each recorded module, each fact and each published observation."""
+    own = entries.where(F.col("kind") != "shared").select(ORG, "module", "evidence_id", "span")
+    out = own.join(_sources(profiles), [ORG, "module"], "left").select(ORG, "evidence_id", *_SOURCE, "span")
+    return out if obs is None else out.unionByName(_observed(obs))
 
 
 def unresolved(claimed: DataFrame, entries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import contract as C, joins as J, normalise as N, observations as O, refresh as R, screen as Q
+from ..session import shared_folder, written
 from . import base
 from .catalog import load, query
 from .projections import _CLAIM_SQL, graded_profiles
@@ -94,6 +95,24 @@ def facts(spark, folder):
     return known_facts(spark, folder).select(ORG, "topic", "claim", "value")
 
 
+@query(
+    "qry_02_facts_all_topics",
+    base.oracle("facts", """SELECT organisation_number, topic, claim, value FROM facts UNION ALL SELECT organisation_number, 'locations', 'Registered subunit', '{"name":"' || name || ' avd","address":"' || municipality || '"}' FROM screen WHERE employees % 3 = 0
+    UNION ALL SELECT organisation_number, 'locations', 'Registered subunit', '{"name":"","address":"Gata 2"}' FROM screen WHERE employees % 3 = 0
+    UNION ALL SELECT organisation_number, 'workforce', 'Workforce (from official annual report)', '{"value":"' || CAST(employees + 1 AS VARCHAR) || '","measure":"employees","year":"2025"}' FROM screen WHERE employees % 4 = 1"""),
+)
+def facts_all_topics(spark, folder):
+    """Registry, accounts, roles, locations, website and workforce together."""
+    p = screen_profiles(spark, folder)
+    e = p.select(ORG, "name", "municipality", "employees")
+    place = F.inline(F.array(F.struct(F.lit(1).alias("seq"), F.concat("name", F.lit(" avd")).alias("name"), F.col("municipality").alias("address")), F.struct(F.lit(2).alias("seq"), F.lit("").alias("name"), F.lit("Gata 2").alias("address"))))
+    report = F.create_map(F.lit("workforce_value"), (F.col("employees") + 1).cast("string"), F.lit("measure"), F.lit("employees"), F.lit("year"), F.lit("2025"))
+    filed = e.where("employees % 4 = 1").select(ORG, report.alias("metrics"), *[F.lit(x).alias(x) for x in ("source_url", "retrieved_at", "content_sha256")])
+    items = p.select(ORG, F.lit("Website description").alias("kind"), F.lit(1).alias("seq"), F.concat(F.lit("d"), "legal_form").alias("value"))
+    known = Q.facts(p, roles_table(spark, folder), e.where("employees % 3 = 0").select(ORG, place), items, filed)
+    return known.select(ORG, "topic", "claim", "value")
+
+
 _QUESTIONS = ("Who leads the company?", "What is the revenue and debt?", "How many employees?", "What do we know about this company?", "Any sentiment?")
 _TOPICS = ("['roles']", "['financials']", "['registry', 'workforce']", "['registry', 'financials', 'roles', 'locations', 'website', 'workforce']", "[]")
 
@@ -148,28 +167,45 @@ def suite_eval(spark, folder):
     return Q.suite_eval(results, cited.withColumn("position", place(key)))
 
 
+@query(
+    "qry_04_suite_points",
+    base.oracle("screen", """SELECT 4.0::DOUBLE AS cited_single_company_qa, 3 * avg(CASE WHEN n <= 1 OR right(q, 1) NOT IN ('1', '3', '5') THEN 1.0 ELSE 0.0 END)::DOUBLE AS cross_company_screening, 1.0::DOUBLE AS exact_inspectable_filters, 0.0::DOUBLE AS unsupported_abstention,
+    1.0::DOUBLE AS saved_history, 1.0::DOUBLE AS provenance_export FROM (SELECT municipality AS q, count(*) AS n FROM screen WHERE employees > 150 GROUP BY 1)"""),
+)
+def suite_points(spark, folder):
+    """Points of the suite above; half of the plans name the expected filters."""
+    plans = load(spark, folder, "region").select(F.col("r_name").alias("query_id"), F.array(F.lit("employees")).alias("filter_fields"), F.array(F.lit("employees")).alias("expected_fields"))
+    plans = plans.unionByName(plans.withColumn("expected_fields", F.array(F.lit("revenue"))))
+    return Q.suite_points(suite_eval(spark, folder), plans, True, False, True).drop("score")
+
+
 # ---- contract --------------------------------------------------------------------------
 base.VIEWS["records"] = (("accounts",), "SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY year DESC) AS seq FROM accounts")
 _WEB = """SELECT organisation_number, website_status = 'available' AS seen, COALESCE(website_publishable, false) AS pub, NULLIF(website, '') AS site, 'https://' || website AS url, website_status FROM graded"""
-_CLAIMS = f"""WITH rc AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY field) AS seq FROM ({_CLAIM_SQL})),
+def _claims_sql(heads: str = "[0, 1, 2, 4, 5]", facts: str = "", shared: str = "") -> str:
+    """Claims of all entities; facts and shared add rows, heads lists the modules that an entity has a record of."""
+    return f"""WITH rc AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY field) AS seq FROM ({_CLAIM_SQL})),
  years AS (SELECT DISTINCT organisation_number, year FROM accounts), web AS ({_WEB}),
- f AS (SELECT organisation_number, 0 AS fam, seq * 16 + 100 AS sub, field, value, reporting_period FROM rc
-  UNION ALL SELECT organisation_number, 1, seq * 16 + 100, 'financials.revenue', CAST(revenue AS VARCHAR), CAST(year AS VARCHAR) FROM records
-  UNION ALL SELECT organisation_number, 1, seq * 16 + 102, 'financials.annual_result', CAST(annual_result AS VARCHAR), CAST(year AS VARCHAR) FROM records
-  UNION ALL SELECT organisation_number, 2, 16 + 100, 'role.lede', 'Ada ' || municipality, '2024-01-01' FROM graded WHERE COALESCE(employees, 0) % 2 = 0 UNION ALL SELECT organisation_number, 2, 32 + 100, 'role.dagl', 'Bo', NULL FROM graded
-  UNION ALL SELECT organisation_number, 4, year * 16 + 100, 'financial_history.year', CAST(year AS VARCHAR), CAST(year AS VARCHAR) FROM years),
- h AS (SELECT organisation_number, unnest([0, 1, 2, 4, 5]) AS fam FROM graded),
- n AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY fam, sub, field) - 1 AS pos FROM (SELECT *, false AS head FROM f UNION ALL SELECT organisation_number, fam, 0, NULL, NULL, NULL, true FROM h))
- SELECT organisation_number, field, value, 'available' AS availability, 0.97 AS confidence, CASE fam WHEN 0 THEN 'ev-registry-' WHEN 1 THEN 'ev-fin-' WHEN 2 THEN 'ev-role-' ELSE 'ev-fh-' END || CAST(pos AS VARCHAR) AS evidence_id, reporting_period FROM n WHERE NOT head
+ f AS (SELECT organisation_number, 0 AS fam, seq * 16 + 100 AS sub, field, value, reporting_period, 0.97 AS confidence FROM rc
+  UNION ALL SELECT organisation_number, 1, seq * 16 + 100, 'financials.revenue', CAST(revenue AS VARCHAR), CAST(year AS VARCHAR), 0.97 FROM records
+  UNION ALL SELECT organisation_number, 1, seq * 16 + 102, 'financials.annual_result', CAST(annual_result AS VARCHAR), CAST(year AS VARCHAR), 0.97 FROM records
+  UNION ALL SELECT organisation_number, 2, 16 + 100, 'role.lede', 'Ada ' || municipality, '2024-01-01', 0.97 FROM graded WHERE COALESCE(employees, 0) % 2 = 0 UNION ALL SELECT organisation_number, 2, 32 + 100, 'role.dagl', 'Bo', NULL, 0.97 FROM graded
+  UNION ALL SELECT organisation_number, 4, year * 16 + 100, 'financial_history.year', CAST(year AS VARCHAR), CAST(year AS VARCHAR), 0.97 FROM years{facts}),
+ h AS (SELECT organisation_number, unnest({heads}) AS fam FROM graded),
+ n AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY fam, sub, field, value) - 1 AS pos FROM (SELECT *, false AS head FROM f UNION ALL SELECT organisation_number, fam, 0, NULL, NULL, NULL, NULL, true FROM h WHERE fam IS NOT NULL))
+ SELECT organisation_number, field, value, 'available' AS availability, confidence, 'ev-' || ['registry', 'fin', 'role', 'loc', 'fh', 'web'][fam + 1] || '-' || CAST(pos AS VARCHAR) AS evidence_id, reporting_period FROM n WHERE NOT head
  UNION ALL SELECT organisation_number, 'financial_history.years', string_agg(CAST(year AS VARCHAR), ',' ORDER BY year), 'available', 0.97, 'ev-financial_history', NULL FROM years GROUP BY 1
  UNION ALL SELECT organisation_number, 'roles', CASE WHEN COALESCE(employees, 0) % 2 = 0 THEN '[{{"seq":1,"name":"Ada ' || municipality || '","role":"Chair"}},' ELSE '[' END || '{{"seq":2,"name":"Bo"}}]', 'available', 0.97, 'ev-roles', NULL FROM graded
  UNION ALL SELECT organisation_number, 'financials', NULL, CASE financials_status WHEN 'available' THEN 'available' ELSE 'not_available' END, 0.5, 'ev-financials', NULL FROM graded WHERE organisation_number NOT IN (SELECT organisation_number FROM accounts)
  UNION ALL SELECT organisation_number, 'official_website', CASE WHEN seen AND pub THEN url ELSE site END, CASE WHEN (seen AND pub) OR site IS NOT NULL THEN 'available' WHEN website_status = 'not_found' THEN 'not_available' ELSE 'blocked' END, CASE WHEN seen AND pub THEN 0.95 WHEN site IS NOT NULL THEN 0.9 ELSE 0.5 END,
   CASE WHEN (seen AND pub) OR site IS NULL THEN 'ev-website' ELSE 'ev-registry' END, NULL FROM web
- UNION ALL SELECT organisation_number, 'official_website_crawl_unverified', url, 'ambiguous', 0.5, 'ev-website', NULL FROM web WHERE seen AND NOT pub"""
+ UNION ALL SELECT organisation_number, 'official_website_crawl_unverified', url, 'ambiguous', 0.5, 'ev-website', NULL FROM web WHERE seen AND NOT pub{shared}"""
 
 
-def contract_claims(spark, folder):
+_CLAIMS = _claims_sql()
+
+
+def contract_tables(spark, folder):
     p = graded_profiles(spark, folder).select(
         ORG, F.lit("available").alias("registry_status"), "financials_status", F.lit("available").alias("roles_status"), F.lit("available").alias("financial_history_status"), "website_status",
         "website_publishable", F.lit(None).cast("double").alias("website_score"), F.concat(F.lit("https://"), "website").alias("website_url"), F.col("website").alias("registry_site"),
@@ -178,7 +214,16 @@ def contract_claims(spark, folder):
     # years of an entity are few, so their rank is a short window
     records = a.withColumn("seq", F.row_number().over(Window.partitionBy(ORG).orderBy(F.col("year").desc()))).withColumn("period", F.col("year").cast("string"))
     registry = N.registry_claims(base.registry_raw(spark, folder))
-    return C.claims(p, registry=registry, records=records, roles=roles_table(spark, folder), years=a.select(ORG, "year"))
+    return p, {"registry": registry, "records": records, "roles": roles_table(spark, folder), "years": a.select(ORG, "year")}
+
+
+def contract_ledger(spark, folder):
+    p, tables = contract_tables(spark, folder)
+    return C.ledger(p, **tables)
+
+
+def contract_claims(spark, folder):
+    return C.ledger_claims(contract_ledger(spark, folder))
 
 
 @query("ctr_01_contract_claims", base.oracle("registry graded accounts records", _CLAIMS))
@@ -213,9 +258,49 @@ def contract_evidence_query(spark, folder):
 def contract_unresolved(spark, folder):
     """Every claim, those of observations too, cites evidence that is there."""
     obs = base.observations(spark, folder)
-    claimed = contract_claims(spark, folder).unionByName(C.observation_claims(obs))
-    entries = contract_evidence(spark, folder).unionByName(C.evidence(claimed.limit(0), base.entities(spark, folder), obs))
-    return C.unresolved(claimed, entries).agg(F.count("*").alias("unresolved"))
+    entries = written(contract_ledger(spark, folder), "ledger")
+    claimed = C.ledger_claims(entries).unionByName(C.observation_claims(obs))
+    return C.unresolved(claimed, C.references(entries, base.entities(spark, folder), obs)).agg(F.count("*").alias("unresolved"))
+
+
+_FULL = _claims_sql(
+    heads="[CASE WHEN CAST(organisation_number AS BIGINT) % 5 > 0 THEN 0 END, 1, 2, CASE WHEN employees IS NOT NULL THEN 3 END, 4, 5]",
+    facts="""
+  UNION ALL SELECT organisation_number, 3, 116, 'location', '{"name":"' || name || ' avd","address":"' || municipality || '"}', NULL, 0.97 FROM graded WHERE employees % 3 = 0
+  UNION ALL SELECT organisation_number, 5, 70, 'website_description', 'd' || legal_form, NULL, 0.9 FROM graded WHERE website_status = 'available' AND website_publishable
+  UNION ALL SELECT organisation_number, 5, s, f, v, NULL, 0.9 FROM graded, (VALUES (10000001, 'job_posting', 'Clerk'), (10000002, 'job_posting', 'Cook'), (20000001, 'job_posting', 'https://s/jobs'), (30000001, 'news', 'Opened'), (90000000, 'website.telephone', '21')) t(s, f, v)
+   WHERE website_status = 'available' AND website_publishable
+  UNION ALL SELECT organisation_number, 5, 100000000, 'social.' || p, 'https://' || p || '.com/e' || organisation_number, NULL, 0.9 FROM graded, (VALUES ('facebook'), ('x')) t(p)""",
+    shared="""
+ UNION ALL SELECT organisation_number, 'locations', '[{"seq":1,"name":"' || name || ' avd","address":"' || municipality || '"},{"seq":2,"name":"","address":"Gata 2"}]', 'available', 0.97, 'ev-locations', NULL FROM graded WHERE employees % 3 = 0
+ UNION ALL SELECT organisation_number, 'locations', NULL, CASE WHEN employees % 2 = 0 THEN 'not_available' ELSE 'available' END, 0.5, 'ev-locations', NULL FROM graded WHERE employees % 3 > 0""",
+)
+
+
+def full_ledger(spark, folder):
+    """A ledger with every kind of table; one entity in five has no registry record to cite."""
+    p, tables = contract_tables(spark, folder)
+    e = graded_profiles(spark, folder).select(ORG, "name", "municipality", "legal_form", "employees")
+    states = e.select(ORG, F.when(F.col(ORG).cast("long") % 5 > 0, "available").alias("registry_status"), F.when(F.col("employees") % 2 == 0, "not_found").when(F.col("employees").isNotNull(), "available").alias("locations_status"), F.concat(F.lit("d"), "legal_form").alias("website_description"))
+    listed = lambda rows: F.inline(F.array(*[F.struct(*[(F.lit(x) if not hasattr(x, "alias") else x).alias(n) for n, x in r.items()]) for r in rows]))
+    places = e.where("employees % 3 = 0").select(ORG, listed([{"seq": 1, "name": F.concat("name", F.lit(" avd")), "address": F.col("municipality")}, {"seq": 2, "name": "", "address": "Gata 2"}]))
+    items = [("job_posting", 2, "Cook"), ("job_posting", 1, "Clerk"), ("careers_page", 1, "https://s/jobs"), ("news", 1, "Opened"), ("telephone", 2, "22"), ("telephone", 1, "21")]
+    site_items = e.select(ORG, listed([{"kind": k, "seq": n, "value": v, "quote": v} for k, n, v in items]))
+    home = lambda host: F.concat(F.lit(f"https://{host}.com/e"), F.col(ORG))
+    socials = e.select(ORG, listed([{"platform": "x", "url": home("x")}, {"platform": "facebook", "url": home("facebook")}, {"platform": "", "url": "u"}]))
+    return C.ledger(p.drop("registry_status").join(states, ORG), **tables, locations=places, site_items=site_items, socials=socials)
+
+
+@query(
+    "ctr_01_contract_full",
+    base.oracle("registry graded accounts records", f"""SELECT c.*, regexp_matches(evidence_id, '-[0-9]+$') OR evidence_id NOT IN ('ev-registry', 'ev-locations') OR (evidence_id = 'ev-registry' AND CAST(c.organisation_number AS BIGINT) % 5 > 0) OR (evidence_id = 'ev-locations' AND employees IS NOT NULL) AS resolved
+    FROM ({_FULL}) c JOIN graded USING (organisation_number)""").replace("SELECT c.*, regexp", "SELECT c.organisation_number, c.field, c.value, c.availability, c.confidence, c.evidence_id, c.reporting_period, regexp"),
+)
+def contract_full(spark, folder):
+    """Claims of all families, locations, site items and socials too, and whether the evidence built apart from them has what they cite."""
+    entries = written(full_ledger(spark, folder), "ledger")
+    known = C.references(entries, base.entities(spark, folder)).select(ORG, "evidence_id", F.lit(True).alias("resolved"))
+    return C.ledger_claims(entries).drop("span").join(known, [ORG, "evidence_id"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
 @query(
@@ -340,10 +425,29 @@ def dataset_diff(spark, folder):
     base.oracle("changes", """SELECT count(*) FILTER (field <> 'registry.website') AS true_positive, count(*) FILTER (field = 'registry.website') AS false_positive, 25 AS false_negative, count(*) AS observed_changes, true AS evidence_complete, true AS idempotent_rerun, false AS qualification_passed FROM changes"""),
 )
 def replay_report(spark, folder):
-    old, new = snapshots(spark, folder)
-    changes = R.diff(old, new, FIELDS)
+    """Over stored snapshots; the new one compared with itself differs in no bucket."""
+    old, new = stored_snapshots(spark, folder)
+    changes = written(R.diff_snapshots(old, new, FIELDS), "changes")
     missed = load(spark, folder, "nation").select(F.concat(F.lit("9"), F.col("n_nationkey").cast("string")).alias(ORG), F.lit("registry.name").alias("field"))
     expected = changes.where("field <> 'registry.website'").select(ORG, "field").unionByName(missed)
-    return R.replay_report(changes, expected, R.diff(new, new, FIELDS)).drop("precision", "recall", "evidence_share")
+    return R.replay_report(changes, expected, R.diff_snapshots(new, new, FIELDS)).drop("precision", "recall", "evidence_share")
+
 
+def stored_snapshots(spark, folder):
+    home = shared_folder(spark, "snapshots")
+    times = [f"{m}_{c}" for m in ("registry", "financials", "financial_history") for c in ("retrieved_at", "effective_at", "content_sha256")]
+    return [R.Snapshot.write(df, f"{home}/{name}", ignore=times) for name, df in zip(("old", "new"), snapshots(spark, folder))]
 
+
+@query(
+    "ref_02_unequal_buckets",
+    base.oracle("entities accounts", """SELECT count(*) AS entities, count(*) FILTER (mark = 1) AS changed FROM (SELECT organisation_number, CASE WHEN employees > 197 THEN 1 ELSE 0 END AS mark FROM entities)"""),
+)
+def unequal_buckets(spark, folder):
+    """Few entities change: what is read again is the buckets of these, and the changes are all there."""
+    home = shared_folder(spark, "sparse")
+    e = base.entities(spark, folder).select(ORG, "name", "employees", "website")
+    old = R.Snapshot.write(e, f"{home}/old")
+    new = R.Snapshot.write(e.withColumn("name", F.when(F.col("employees") > 197, F.concat("name", F.lit(" NY"))).otherwise(F.col("name"))), f"{home}/new")
+    changes = R.diff_snapshots(old, new, {"registry.name": "name", "registry.website": "website"})
+    return new.rows().join(changes.select(ORG, F.lit(1).alias("__c")), ORG, "left").agg(F.count("*").alias("entities"), F.count("__c").alias("changed"))
