@@ -15,7 +15,7 @@ from ..functions.text import text
 from . import gates as G
 from .footprint import count_where
 from .joins import audit_join, gold_join
-from .rows import beside
+from .rows import all_of, beside, union_all
 
 ORG = "organisation_number"
 
@@ -129,26 +129,32 @@ def identity_failures(profiles: DataFrame) -> DataFrame:
     return profiles.where(~G.exact_identity("live_organisation_number", ORG)).select(ORG)
 
 
-def batch_checks(envelopes: DataFrame, modules: DataFrame, expected: int) -> DataFrame:
-    """Contract of a batch: as many envelopes as asked for, each entity once, all states terminal."""
-    seen = envelopes.groupBy(ORG).agg(F.count("*").alias("n"), F.min(F.col("state").isin(*K.TERMINAL_STATES)).alias("terminal"))
-    e = seen.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("emitted"), F.count("*").alias("entities"),
-        F.coalesce(F.min("terminal"), F.lit(True)).alias("all_entity_states_terminal"),
+def batch_checks(envelopes: DataFrame, modules: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Contract of a batch: as many envelopes as the manifest asks for, each entity once, all states terminal.
+
+    One grouping of the three by entity.
+    """
+    known = F.coalesce(F.col("state").isin(*K.TERMINAL_STATES), F.lit(False))
+    zero = F.lit(0).cast("long")
+    rows = union_all(
+        envelopes.select(ORG, F.lit(1).cast("long").alias("n"), known.alias("terminal"), zero.alias("bad"), zero.alias("asked")),
+        modules.select(ORG, zero.alias("n"), F.lit(None).cast("boolean").alias("terminal"), (~known).cast("long").alias("bad"), zero.alias("asked")),
+        manifest.select(ORG, zero.alias("n"), F.lit(None).cast("boolean").alias("terminal"), zero.alias("bad"), F.lit(1).cast("long").alias("asked")),
+    )
+    each = rows.groupBy(ORG).agg(F.sum("n").alias("n"), F.min("terminal").alias("terminal"), F.sum("bad").alias("bad"), F.sum("asked").alias("asked"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = each.agg(
+        total("n").alias("emitted"), F.count_if(F.col("n") > 0).alias("entities"), total("asked").alias("asked"),
+        F.coalesce(F.min("terminal"), F.lit(True)).alias("all_entity_states_terminal"), total("bad").alias("invalid_states"),
     )
-    m = modules.agg(count_where(~F.coalesce(F.col("state").isin(*K.TERMINAL_STATES), F.lit(False))).alias("invalid_states"))
     out = (
-        beside(e, m)
-        .withColumn("exact_expected_count", F.col("emitted") == expected)
+        out.withColumn("exact_expected_count", F.col("emitted") == F.col("asked"))
         .withColumn("unique_organisation_numbers", F.col("emitted") == F.col("entities"))
         .withColumn("all_module_states_terminal", F.col("invalid_states") == 0)
     )
     out = out.withColumn("zero_silent_drops", F.col("exact_expected_count") & F.col("unique_organisation_numbers"))
     checks = ("exact_expected_count", "unique_organisation_numbers", "all_entity_states_terminal", "all_module_states_terminal", "zero_silent_drops")
-    passed = F.lit(True)
-    for c in checks:
-        passed = passed & F.col(c)
-    return out.withColumn("passed", passed).drop("entities")
+    return out.withColumn("passed", all_of(*[F.col(c) for c in checks])).drop("entities", "asked")
 
 
 def crawl_report(profiles: DataFrame, events: DataFrame) -> DataFrame:

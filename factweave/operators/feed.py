@@ -65,41 +65,49 @@ def dedupe_events(events: DataFrame, order: Sequence[Column | str] = ("seq",)) -
     return first_per_key(events, EVENT_KEY, order)
 
 
-def merge_events(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Crawl log folded to sites, pages, social links and errors, as four tables.
+SITE_FIELDS = ("requested_url", "final_url", "title", "description", "main_text", "identity_text", "extraction_state", "content_sha256", "retrieved_at")
 
-    A site is its entity's latest homepage event. Pages are unique by address; of two with one
-    address the later in (kind, arrival) order wins. The lists of the reference's nested record
-    stay long tables, so an entity with a million pages is many rows and not one.
+
+def merge_events(events: DataFrame, socials: DataFrame | None = None, organisations: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
+    """Crawl log folded to sites, pages, social links, errors and structured organisations, as tables.
+
+    A site is its entity's latest homepage event; pages, links and errors count only where that is available.
+    Pages are unique by address; of two with one address the later in (kind, arrival) order wins.
+    socials (seq, platform, url) and organisations (seq, name, ...) come from the pages' events by seq;
+    a site has the organisations of its homepage. The lists of the reference's nested record stay long tables,
+    so an entity with a million pages is many rows and not one. Rows are picked by their number first; texts
+    are joined to the picked rows and pass through no aggregate.
     """
-    home = events.where(F.col("page_kind") == "homepage")
-    fields = [c for c in events.columns if c != ORG]
-    latest = home.groupBy(ORG).agg(F.max_by(F.struct(*fields), F.struct(text("retrieved_at"), "seq")).alias("h"))
-    entities = events.select(ORG).distinct()
-    sites = entities.join(latest, ORG, "left").select(
+    home = events.where(F.col("page_kind") == "homepage").groupBy(ORG).agg(F.max_by(F.struct("seq", "status"), F.struct(text("retrieved_at"), "seq")).alias("h"))
+    chosen = events.select(ORG).distinct().join(home, ORG, "left").select(ORG, F.col("h.seq").alias("seq"), F.col("h.status").alias("home_status"))
+    live = chosen.where("home_status = 'available'").select(ORG, F.col("seq").alias("home_seq"))
+    fields = [c for c in events.columns if c not in (ORG, "seq")]
+    bodies = events.select("seq", F.struct(*fields).alias("h"))
+    shown = lambda c: F.when(F.col("home_status") == "available", F.col(f"h.{c}")).alias(c)
+    sites = chosen.join(bodies, "seq", "left").select(
         ORG,
-        F.coalesce(F.col("h.status"), F.lit("not_found")).alias("status"),
+        F.coalesce("home_status", F.lit("not_found")).alias("status"),
         F.coalesce("h.final_url", "h.requested_url").alias("source_url"),
-        F.when(F.col("h.status") == "available", F.col("h.title")).alias("title"),
+        *[shown(c) for c in SITE_FIELDS if c in fields and c not in ("content_sha256", "retrieved_at")],
         F.col("h.content_sha256").alias("content_sha256"),
         F.col("h.retrieved_at").alias("retrieved_at"),
-        F.when(F.col("h.status").isNull(), F.lit("No homepage crawl event was produced"))
-        .when(F.col("h.status") != "available", F.coalesce(F.col("h.error"), F.lit("Homepage fetch failed")))
+        F.when(F.col("home_status").isNull(), F.lit("No homepage crawl event was produced"))
+        .when(F.col("home_status") != "available", F.coalesce(F.col("h.error"), F.lit("Homepage fetch failed")))
         .alias("note"),
     )
-    live = sites.where(F.col("status") == "available").select(ORG)
-    ok = events.where(F.col("status") == "available").join(live, ORG, "left_semi")
-    pages = first_per_key(ok, [ORG, "final_url"], [(F.col("page_kind") == "homepage"), F.col("seq").desc()]).select(
-        ORG, F.col("final_url").alias("url"), "title", "content_sha256"
-    )
-    if "social_links" in events.columns:
-        socials = ok.select(ORG, F.explode("social_links").alias("s")).select(ORG, "s.platform", "s.url").distinct()
-    else:
-        socials = None
-    errors = events.where(F.col("status") != "available").join(live, ORG, "left_semi").select(
-        ORG, F.coalesce("final_url", "requested_url").alias("url"), "error"
-    )
-    return sites, pages, socials, errors
+    told = events.join(live, ORG)
+    ok = told.where("status = 'available'")
+    best = first_per_key(ok.select(ORG, "final_url", "page_kind", "seq"), [ORG, "final_url"], [(F.col("page_kind") == "homepage"), F.col("seq").desc()])
+    texts = [c for c in ("title", "main_text", "identity_text", "content_sha256") if c in fields]
+    pages = best.select(ORG, F.col("final_url").alias("url"), "seq").join(events.select("seq", *texts), "seq").select(ORG, "url", *texts)
+    linked = None
+    if socials is not None:
+        linked = ok.select(ORG, "seq").join(socials, "seq").select(ORG, "platform", "url").distinct()
+    named = None
+    if organisations is not None:
+        named = live.withColumnRenamed("home_seq", "seq").join(organisations.withColumnRenamed("seq", "__page"), F.col("seq") == F.col("__page")).drop("__page", "seq")
+    errors = told.where(F.col("status") != "available").select(ORG, F.coalesce("final_url", "requested_url").alias("url"), "error")
+    return sites, pages, linked, errors, named
 
 
 def dedupe_articles(articles: DataFrame, cap: int | None = None) -> DataFrame:

@@ -327,10 +327,13 @@ def workforce_observations(filings: DataFrame, run_ts: str) -> DataFrame:
     from .extract import workforce
 
     missing = filings.where(~text("employees_registered").rlike("^[0-9]+$"))
-    latest = missing.groupBy(ORG).agg(F.max_by(F.struct("year", "url", "body", "content_sha256"), text("year")).alias("r")).select(ORG, "r.*")
-    numbered = latest.where(digits("body").contains(F.col(ORG)))
-    read = workforce(numbered, ORG, "body").where("status = 'accepted'")
-    rows = numbered.drop("body").join(read, ORG)
+    numbered = digits("body").contains(F.col(ORG))
+    # read where the report lies, so that no body is shuffled; the latest report decides, read or not
+    kept = [ORG, "year", "url", "content_sha256"]
+    read = workforce(missing.select(F.struct(*kept, numbered.alias("numbered")).alias("f"), "body"), "f", "body").select("f.*", "status", "value", "span", "measure")
+    fields = F.struct(*[c for c in read.columns if c != ORG])
+    latest = read.groupBy(ORG).agg(F.max_by(fields, F.struct(text("year"), text("url"), text("content_sha256"))).alias("r")).select(ORG, "r.*")
+    rows = latest.where("numbered AND status = 'accepted'")
     value = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
     key = F.concat_ws("|", ORG, "year", value, "content_sha256")
     return fan_out(rows, (None, observation(

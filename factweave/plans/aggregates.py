@@ -259,7 +259,38 @@ def module_states(spark, folder):
 def batch_checks(spark, folder):
     m = module_states(spark, folder)
     envelopes = m.select(ORG, "state").distinct()
-    return E.batch_checks(envelopes, m, envelopes.count())
+    return E.batch_checks(envelopes, m, envelopes)
+
+
+@query(
+    "agg_11_batch_against_manifest",
+    f"""WITH b AS (SELECT user_id, bool_or(event_type = 'error') AS bad FROM events GROUP BY 1) SELECT count(*) AS emitted, true AS all_entity_states_terminal, CAST((SELECT count(*) FROM nation) AS BIGINT) AS invalid_states,
+    false AS exact_expected_count, true AS unique_organisation_numbers, false AS all_module_states_terminal, false AS zero_silent_drops, false AS passed FROM b WHERE NOT bad OR user_id % 2 = 0""",
+)
+def batch_against_manifest(spark, folder):
+    """The manifest asks for every user; some with an error gave no envelope, and some module states are unknown."""
+    user = (F.col("user_id") + 100000000).cast("string").alias(ORG)
+    events = load(spark, folder, "events")
+    seen = events.groupBy(user).agg(F.max(F.col("event_type") == "error").alias("bad"))
+    envelopes = seen.where(~F.col("bad") | (F.col(ORG).cast("long") % 2 == 0)).select(ORG, F.when(F.col("bad"), "submission_error").otherwise("complete").alias("state"))
+    odd = load(spark, folder, "nation").select(F.col("n_name").alias(ORG), F.lit("module").alias("module"), F.lit("half done").alias("state"))
+    return E.batch_checks(envelopes, module_states(spark, folder).unionByName(odd), seen.select(ORG))
+
+
+@query(
+    "agg_10_identity_failures",
+    base.oracle("module_profiles", "SELECT organisation_number FROM module_profiles WHERE live IS NULL"),
+)
+def identity_failures(spark, folder):
+    return E.identity_failures(module_profiles(spark, folder))
+
+
+@query(
+    "agg_01_rejections",
+    base.oracle("observations accepted", "SELECT organisation_number, id, true AS has_reasons FROM observations WHERE id NOT IN (SELECT id FROM accepted)"),
+)
+def rejections(spark, folder):
+    return P.rejections(base.observations(spark, folder)).select(ORG, "id", (F.size("reasons") > 0).alias("has_reasons"))
 
 
 FACTS = {

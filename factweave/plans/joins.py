@@ -70,6 +70,14 @@ def observations_by_entity(spark, folder):
     return J.observations_by_entity(base.entities(spark, folder).select(ORG), base.observations(spark, folder))
 
 
+@query(
+    "jon_02_present_rows",
+    base.oracle("manifest entities", "SELECT organisation_number FROM manifest WHERE organisation_number IN (SELECT organisation_number FROM entities)"),
+)
+def present_rows(spark, folder):
+    return J.present_universe(order_manifest(spark, folder), base.entities(spark, folder)).select(ORG)
+
+
 @query("jon_06_pending", base.oracle("entities", "SELECT organisation_number FROM entities WHERE NOT (employees >= 30) OR employees IS NULL"))
 def pending(spark, folder):
     e = base.entities(spark, folder).select(ORG, "employees")

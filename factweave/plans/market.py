@@ -72,6 +72,16 @@ def size_to_cap(spark, folder):
     return books(spark, folder).select("l_orderkey", M.size_to_cap(F.col("levels"), F.lit(25.0), F.lit(20.0), F.lit(0.0)).alias("shares"))
 
 
+@query(
+    "mkt_03_target_size",
+    base.oracle("levels", """WITH l AS (SELECT l_orderkey, CAST(price AS DOUBLE) AS price, CAST(size AS DOUBLE) AS size, CAST(sum(size) OVER (PARTITION BY l_orderkey ORDER BY price) - size AS DOUBLE) AS before FROM levels),
+    n AS (SELECT l.*, u.n FROM l, (SELECT unnest(range(1, 31)) AS n) u), f AS (SELECT l_orderkey, n, sum(greatest(0, least(size, n - before))) AS filled, sum(greatest(0, least(size, n - before)) * price) AS gross, sum(0.07 * greatest(0, least(size, n - before)) * price * (1 - price)) AS protocol FROM n GROUP BY 1, 2)
+    SELECT l_orderkey, CAST(CASE WHEN max(filled) < 30 - 1e-9 THEN 0 ELSE COALESCE(max(n) FILTER (gross + floor((protocol + 1e-12) * 1e5 + 0.5) / 1e5 + floor((gross * 0.01 + 1e-12) * 1e5 + 0.5) / 1e5 <= 17 + 1e-9), 0) END AS DOUBLE) AS shares FROM f GROUP BY 1"""),
+)
+def target_size(spark, folder):
+    return books(spark, folder).select("l_orderkey", M.target_size(F.col("levels"), 30.0, F.lit(25.0), F.lit(17.0), F.lit(0.0)).alias("shares"))
+
+
 @query("mkt_04_reference_gap", base.oracle("gaps", "SELECT event_id, round(gap, 6) AS gap FROM gaps"))
 def reference_gap(spark, folder):
     return tick_gaps(spark, folder).select("event_id", F.round("gap", 6).alias("gap"))

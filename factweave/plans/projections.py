@@ -215,6 +215,14 @@ def entity_card(spark, folder):
     return N.entity_card(base.entities(spark, folder), base.observations(spark, folder))
 
 
+@query(
+    "prj_13_card_items",
+    base.oracle("observations", """SELECT organisation_number AS org, id, row_number() OVER (PARTITION BY organisation_number ORDER BY retrieved_at, id) AS position FROM observations WHERE platform = 'linkedin' AND signal_type = 'public_post' AND exact_entity"""),
+)
+def card_items(spark, folder):
+    return N.card_items(base.observations(spark, folder), "public_post").select(F.col("organisation_number").alias("org"), "id", F.col("position").cast("long").alias("position"))
+
+
 _STATUS = """CASE WHEN latest_submitted_accounts = '' THEN 'not_found' ELSE 'available' END AS financials_status,
  CASE WHEN website = '' THEN 'not_found' WHEN bankrupt THEN 'blocked' ELSE 'available' END AS website_status,
  CASE WHEN employees IS NULL THEN NULL ELSE employees > 50 END AS website_publishable"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import control, extract as X, feed, normalise as N, sampling as W, screen as Q
 from ..operators.joins import resolved_handles
+from ..session import written
 from . import base, sqltext as S
 from .aggregates import STRATUM_SQL, _REWARD, history
 from .catalog import load, query
@@ -132,13 +133,49 @@ def event_dedupe(spark, folder):
 )
 def crawl_merge(spark, folder):
     events = X.page_events(base.captures(spark, folder)).withColumn("seq", F.col("page_id"))
-    sites, pages, _, errors = feed.merge_events(events)
+    sites, pages, _, errors, _ = feed.merge_events(written(events.select(ORG, "seq", "page_kind", "status", "final_url", "requested_url", "retrieved_at", "error", "title", "content_sha256"), "events"))
     none = F.lit(None).cast("string")
     out = sites.select(F.lit("site").alias("kind"), ORG, "status", F.col("source_url").alias("url"), F.lit(1).cast("long").alias("n"))
     count = lambda df, kind: df.groupBy(ORG).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), ORG, none.alias("status"), none.alias("url"), "n")
     return out.unionByName(count(pages, "pages")).unionByName(count(errors, "errors"))
 
 
+_SITE = """WITH c AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 'Firma' ELSE 'Side ' || CAST(page_id AS VARCHAR) END AS t FROM crawl_events),
+ h AS (SELECT organisation_number, arg_max(status, (retrieved_at, page_id)) AS st, arg_max(page_id, (retrieved_at, page_id)) AS id, arg_max(t, (retrieved_at, page_id)) AS title FROM c WHERE page_kind = 'homepage' GROUP BY 1),
+ l AS (SELECT * FROM h WHERE st = 'available'), ok AS (SELECT c.* FROM c JOIN l USING (organisation_number) WHERE status = 'available'),
+ p AS (SELECT *, row_number() OVER (PARTITION BY organisation_number, final_url ORDER BY page_kind = 'homepage', page_id DESC) AS rn FROM ok)"""
+
+
+@query(
+    "win_09_crawl_sites",
+    base.oracle("crawl_events", _SITE + """ SELECT organisation_number, 'site' AS kind, title AS name, 'Om ' || CAST(id AS VARCHAR) AS value, sha256('Tekst ' || CAST(id AS VARCHAR)) AS text_sha256 FROM l
+    UNION ALL SELECT organisation_number, 'page', t, final_url, sha256('Tekst ' || CAST(page_id AS VARCHAR)) FROM p WHERE rn = 1
+    UNION ALL SELECT DISTINCT organisation_number, 'social', 'facebook', 'https://facebook.com/Pa' || CAST(page_id % 9 AS VARCHAR), NULL FROM ok
+    UNION ALL SELECT organisation_number, 'organisation', 'Store', 'O' || CAST(id AS VARCHAR), NULL FROM l UNION ALL SELECT organisation_number, 'organisation', 'Organization', 'P', NULL FROM l"""),
+)
+def crawl_sites(spark, folder):
+    """The whole record of a crawl: texts of sites and pages, social links, and the homepage's structured organisations."""
+    key = F.col("page_id").cast("string")
+    title = F.when(F.col("page_id") % 2 == 0, "Firma").otherwise(F.concat(F.lit("Side "), key))
+    html = F.concat(
+        F.lit("<html><head><title>"), title, F.lit('</title><meta name="description" content="Om '), key, F.lit('"><script type="application/ld+json">{"@graph":[{"@type":"Store","name":"O'), key,
+        F.lit('","parentOrganization":{"@type":"Organization","name":"P"}}]}</script></head><body><article> Tekst\n<b>'), key, F.lit('</b></article><a href="https://www.facebook.com/Pa'), (F.col("page_id") % 9).cast("string"), F.lit('/">f</a></body></html>'),
+    )
+    captures = base.captures(spark, folder).withColumn("html", html).withColumn("seq", F.col("page_id"))
+    events = written(X.page_events(captures), "events")
+    socials = X.page_socials(captures).select(F.col("page_id").alias("seq"), "platform", "url")
+    organisations = X.organisation_nodes(X.jsonld_nodes(captures)).select(F.col("page_id").alias("seq"), F.col("kinds")[0].alias("kind"), "name")
+    sites, pages, linked, _, named = feed.merge_events(events, socials, organisations)
+    row = lambda df, kind, name, value, body: df.select(ORG, F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"), (F.sha2(body, 256) if body is not None else F.lit(None).cast("string")).alias("text_sha256"))
+    col = F.col
+    return (
+        row(sites.where("status = 'available'"), "site", col("title"), col("description"), col("main_text"))
+        .unionByName(row(pages, "page", col("title"), col("url"), col("main_text")))
+        .unionByName(row(linked, "social", col("platform"), col("url"), None))
+        .unionByName(row(named, "organisation", col("kind"), col("name"), None))
+    )
+
+
 @query(
     "win_10_dedupe_articles",
     """WITH a AS (SELECT source AS organisation_number, 'Head ' || CAST(n_chars % 60 AS VARCHAR) AS headline, lang AS date_published, doc_id AS seq FROM documents),
