@@ -90,7 +90,7 @@ def change_events_late(spark, folder):
     fields = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))]))
     rows = load(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias(ORG), fields, F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     for _ in _shuffled(rows, f"{home}/in"):
-        changes = C.change_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out", bucket="365 days", delay="4000 days")
+        changes = C.change_stream(spark, f"{home}/in", rows.schema, f"{home}/state", f"{home}/out", bucket="1000 days", delay="4000 days")
     return changes
 
 

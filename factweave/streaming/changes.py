@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .tables import UpsertTable
@@ -22,6 +21,7 @@ KEY = ["organisation_number", "field"]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SENT = "organisation_number string, field string, bucket timestamp, at long, seq long, old_value string, new_value string, gone boolean, first_at long, first_seq long"
+_SENT = Row(*[c.split()[0] for c in SENT.split(", ")])
 
 
 class _Bucket(StatefulProcessor):
@@ -34,27 +34,28 @@ class _Bucket(StatefulProcessor):
         self.handle = handle
         self.rows = handle.getValueState("rows", "at array<long>, seq array<long>, value array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = {(a, s): v for a, s, v in zip(*self.rows.get())} if self.rows.exists() else {}
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = self.rows.get()
+        held = {(a, s): v for a, s, v in zip(*before)} if before else {}
         now = dict(held)
-        for part in rows:
-            for place, seq, value in zip(part["at"], part["seq"], part["value"]):
-                at = int(place), int(seq)
-                value = value if isinstance(value, str) else None
-                now[at] = max(now[at] if now.get(at) is not None else "", value or "") or None if at in now else value
+        for row in rows:
+            at = row["at"], row["seq"]
+            now[at] = max((now[at], row["value"]), key=lambda v: (v is not None, v)) if at in now else row["value"]
         if now == held:
             return
         order = sorted(now)
         self.rows.update(([a for a, _ in order], [s for _, s in order], [now[p] for p in order]))
         if self.closes_after_ms is not None and not held:
             self.handle.registerTimer(int(key[2].timestamp() * 1000) + self.closes_after_ms)
-        before, after = _changes(held, sorted(held)), _changes(now, order)
-        out = [(*key, *p, *after[p], False, None, None) for p in sorted(after) if before.get(p) != after[p]]
-        out += [(*key, *p, None, None, True, None, None) for p in sorted(before.keys() - after.keys())]
-        out.append((*key, None, None, now[order[-1]], now[order[0]], False, *order[0]))
-        yield _frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old, new = _changes(held, sorted(held)), _changes(now, order)
+        for p in sorted(new):
+            if old.get(p) != new[p]:
+                yield _SENT(*key, *p, *new[p], False, None, None)
+        for p in sorted(old.keys() - new.keys()):
+            yield _SENT(*key, *p, None, None, True, None, None)
+        yield _SENT(*key, None, None, now[order[-1]], now[order[0]], False, *order[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.rows.clear()  # the watermark has passed the bucket: no row of it can come any more
         return iter(())
 
@@ -67,12 +68,6 @@ def _changes(values: dict, order: list) -> dict:
     return {p: (values[q], values[p]) for q, p in zip(order, order[1:]) if values[q] != values[p]}
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in SENT.split(", ")]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({c: "Int64" for c in ("at", "seq", "first_at", "first_seq")} | {"bucket": "datetime64[ns]"})
-
-
 def change_stream(
     spark: SparkSession, src: str, schema: T.StructType, checkpoint: str, sink: str,
     bucket: str = "30 days", delay: str | None = None, files_per_trigger: int | None = None,
@@ -92,7 +87,7 @@ def change_stream(
     rows = rows.withWatermark("ts", delay) if delay else rows
     placed = rows.select(*KEY, F.window("ts", bucket)["start"].alias("bucket"), F.unix_micros("ts").alias("at"), "seq", "value", *(["ts"] if delay else []))
     closes = spark.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + interval {bucket})")).first()[0] if delay else None
-    sent = placed.groupBy(*KEY, "bucket").transformWithStateInPandas(_Bucket(closes), SENT, "Append", "EventTime" if delay else "None")
+    sent = placed.groupBy(*KEY, "bucket").transformWithState(_Bucket(closes), SENT, "Append", "EventTime" if delay else "None")
     table = UpsertTable(spark, sink, [*KEY, "bucket", "at", "seq"])
     with _provider(spark):
         writer = sent.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
