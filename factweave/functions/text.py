@@ -72,9 +72,25 @@ def digits(value: Column | str) -> Column:
     return F.regexp_replace(text(value), "[^0-9]", "")
 
 
+#: Letters that Western texts use; replaced one by one, they cost less than a translation of every character.
+_COMMON = "éèêëáàâäãåíìîïóòôöõøúùûüñçýÿÉÈÊËÁÀÂÄÃÅÍÌÎÏÓÒÔÖÕØÚÙÛÜÑÇÝ"
+
+
 def fold(value: Column | str) -> Column:
-    """Lower-case ASCII form: Nordic letters spelled out, accents dropped, other symbols removed."""
-    return F.lower(F.regexp_replace(_spelled(text(value)), r"[^\x00-\x7F]", ""))
+    """Lower-case ASCII form: Nordic letters spelled out, accents dropped, other symbols removed.
+
+    ASCII texts are lowered only, and the full table is used only for texts with other than the common letters.
+    """
+    plain = lambda v: ~v.rlike(r"[^\x00-\x7F]")
+    table = dict(zip(ACCENTED, PLAIN))
+
+    def spelled(v: Column) -> Column:
+        for letter, ascii_ in [*((c, table[c]) for c in _COMMON), ("ß", ""), ("æ", "ae"), ("Æ", "AE")]:
+            v = F.replace(v, F.lit(letter), F.lit(ascii_))
+        return v
+
+    rare = lambda v: F.when(plain(v), v).otherwise(F.regexp_replace(_spelled(v), r"[^\x00-\x7F]", ""))
+    return F.lower(let(text(value), lambda v: F.when(plain(v), v).otherwise(let(spelled(v), rare))))
 
 
 def ascii_lower(value: Column | str) -> Column:
@@ -87,15 +103,25 @@ def _words(folded: Column, pattern: str = "[a-z0-9]+") -> Column:
     return F.regexp_extract_all(folded, F.lit(pattern), F.lit(0))
 
 
-def fold_tokens(value: Column | str, stop: Iterable[str] = (), min_len: int = 2) -> Column:
-    """Folded word list without stop words and words shorter than ``min_len``."""
+def folded_words(value: Column | str) -> Column:
+    """All words of the folded text, for several token rules over one text."""
+    return _words(fold(value))
+
+
+def kept_words(words: Column, stop: Iterable[str] = (), min_len: int = 2) -> Column:
+    """The words without stop words and words shorter than ``min_len``."""
     stop = tuple(stop)
 
     def keep(word: Column) -> Column:
         ok = F.length(word) >= min_len
         return ok & ~word.isin(*stop) if stop else ok
 
-    return F.filter(_words(fold(value)), keep)
+    return F.filter(words, keep) if stop or min_len > 1 else words
+
+
+def fold_tokens(value: Column | str, stop: Iterable[str] = (), min_len: int = 2) -> Column:
+    """Folded word list without stop words and words shorter than ``min_len``."""
+    return kept_words(folded_words(value), stop, min_len)
 
 
 def identity_tokens(value: Column | str) -> Column:
@@ -119,10 +145,11 @@ def _nordic(value: Column | str) -> Column:
 
 def place_tokens(value: Column | str, stop: Iterable[str] = K.STOP_PLACES) -> Column:
     """Word set of a place name: only the Nordic letters are folded, other accents split words."""
-    stop = tuple(stop)
-    return F.array_distinct(
-        F.filter(_words(_nordic(value)), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
-    )
+    return place_words(listing_words(value), stop)
+
+
+def place_words(words: Column, stop: Iterable[str] = K.STOP_PLACES) -> Column:
+    return F.array_distinct(kept_words(words, stop))
 
 
 def listing_words(value: Column | str) -> Column:
@@ -131,10 +158,11 @@ def listing_words(value: Column | str) -> Column:
 
 def listing_name_tokens(value: Column | str) -> Column:
     """Listing names keep words of three letters or more, and any number."""
-    return F.filter(
-        listing_words(value),
-        lambda w: ~w.isin(*K.STOP_LISTING) & ((F.length(w) >= 3) | w.rlike("^[0-9]+$")),
-    )
+    return listing_kept(listing_words(value))
+
+
+def listing_kept(words: Column) -> Column:
+    return F.filter(words, lambda w: ((F.length(w) >= 3) | w.rlike("^[0-9]+$")) & ~w.isin(*K.STOP_LISTING))
 
 
 def full_name_tokens(value: Column | str) -> Column:

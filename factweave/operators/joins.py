@@ -175,39 +175,40 @@ def mention_title(title: Column | str) -> Column:
     return F.regexp_replace(text(title), r"(?s) - (?!.* - ).*$", "")
 
 
-def title_mentions(entities: DataFrame, titles: DataFrame, name: str = "name", title: str = "title", key: str = "title_id") -> DataFrame:
+def title_mentions(entities: DataFrame, titles: DataFrame, name: str = "name", title: str = "title", key: str = "title_id", carried: int = 32) -> DataFrame:
     """Titles that hold a full legal name at their start or after a common headline word.
 
-    Containment is an equi join. A title emits word runs only at places where a name may start;
-    runs of one to three words meet the names of that length directly. A longer name meets the
-    runs of its first three words, and only those pairs go back to the title's words to compare
-    the rest. What is shuffled is short runs and ids, never a whole text.
+    Containment is one equi join. A title is taken apart once and emits, only at places where a name may start,
+    its runs of one to three words; a run of three carries the next words. A name meets the run of its
+    first three words at most, and its other words are compared with those carried. Only for names of more
+    than carried + 3 words do the pairs found so far go back to the titles.
     """
     names = entities.select(ORG, F.col(name).alias("legal_name"), full_name_tokens(name).alias("__name")).where(F.size("__name") > 0)
-    short = names.where(F.size("__name") <= 3).select(ORG, "legal_name", F.array_join("__name", " ").alias("__key"))
-    long = names.where(F.size("__name") > 3).withColumn("__key", _run(F.col("__name"), F.lit(1), 3))
+    keyed = names.select(ORG, "legal_name", _run(F.col("__name"), F.lit(1), 3).alias("__key"), F.expr("slice(__name, 4, greatest(size(__name) - 3, 0))").alias("__rest"))
     words = titles.select(key, full_name_tokens(mention_title(title)).alias("__words"))
-    placed = words.withColumn(
-        "__starts",
-        F.filter(
-            F.when(F.size("__words") > 0, F.sequence(F.lit(1), F.size("__words"))),
-            lambda i: (i == 1) | F.get(F.col("__words"), i - 2).isin(*K.MENTION_PREDECESSORS),
-        ),
+    starts = F.filter(
+        F.when(F.size("__words") > 0, F.sequence(F.lit(1), F.size("__words"))),
+        lambda i: (i == 1) | F.get(F.col("__words"), i - 2).isin(*K.MENTION_PREDECESSORS),
     )
+    placed = words.withColumn("__starts", starts).where(F.size("__starts") > 0)
 
     def runs(n: int) -> Column:
         fits = F.filter(F.col("__starts"), lambda i: i + (n - 1) <= F.size("__words"))
-        return F.transform(fits, lambda i: _run(F.col("__words"), i, n))
 
-    direct = unfold(placed, [key], F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3)))), "__key")
-    placed_runs = F.transform(
-        F.filter(F.col("__starts"), lambda i: i + 2 <= F.size("__words")),
-        lambda i: F.struct(i.alias("at"), _run(F.col("__words"), i, 3).alias("run")),
-    )
-    heads = unfold(placed, [key], placed_runs, "h").select(key, F.col("h.at").alias("__at"), F.col("h.run").alias("__key"))
-    whole = F.slice(F.col("__words"), F.col("__at"), F.size("__name")) == F.col("__name")
-    found_long = heads.join(long, "__key").join(words, key).where(whole).select(ORG, "legal_name", key)
-    return direct.join(short, "__key").select(ORG, "legal_name", key).unionByName(found_long).distinct()
+        def one(i: Column) -> Column:
+            after = F.slice(F.col("__words"), i + 3, carried) if n == 3 else F.array().cast("array<string>")
+            return F.struct(_run(F.col("__words"), i, n).alias("run"), after.alias("after"), F.when(F.size(after) == carried, i).alias("at"))
+
+        return F.transform(fits, one)
+
+    met = unfold(placed, [key], F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3)))), "e").select(key, F.col("e.run").alias("__key"), "e.after", "e.at").join(keyed, "__key")
+    n = F.size("__rest")
+    near = met.where((n == 0) | (F.expr("slice(after, 1, least(size(__rest), {0}))".format(carried)) == F.expr("slice(__rest, 1, {0})".format(carried))))
+    found = near.where(n <= carried).select(ORG, "legal_name", key)
+    open_ = near.where(n > carried).select(ORG, "legal_name", key, "at", "__rest")
+    whole = F.expr("slice(__words, at + 3, size(__rest))") == F.col("__rest")
+    far = open_.join(titles.select(key, F.col(title).alias("__title")), key).withColumn("__words", full_name_tokens(mention_title("__title"))).where(whole)
+    return found.unionByName(far.select(ORG, "legal_name", key)).distinct()
 
 
 def resolved_handles(handles: DataFrame) -> tuple[DataFrame, DataFrame]:

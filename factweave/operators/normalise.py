@@ -218,9 +218,10 @@ def address(df: DataFrame, prefix: str) -> Column:
 
 
 def _json_text(value: Column) -> Column:
-    """A string claim value as JSON text."""
+    """A string claim value as JSON text. Most need quotes only."""
     quoted = F.to_json(F.array(value))
-    return F.when(value.isNotNull(), F.substring(quoted, 2, F.length(quoted) - 2))
+    escaped = F.substring(quoted, 2, F.length(quoted) - 2)
+    return F.when(value.rlike(r'["\\\x00-\x1f\x7f]'), escaped).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
 
 
 def registry_claims(df: DataFrame, source_url: str = BULK_SOURCE) -> DataFrame:

@@ -23,10 +23,13 @@ _LW = lambda x: f"regexp_extract_all(replace(replace(replace(lower({x}), 'æ', '
     {_HASH("regexp_extract_all(lower(text), '[a-z0-9æøå]+')")} AS full_name, len({S.tokens('text')}) AS n FROM documents""",
 )
 def fold_tokens(spark, folder):
-    return load(spark, folder, "documents").select(
-        "doc_id", _hash(T.identity_tokens("text")).alias("identity"), _hash(T.search_tokens("text")).alias("search"), _hash(T.search_name_tokens("text")).alias("search_name"),
-        _hash(F.array_sort(T.place_tokens("text"))).alias("place"), _hash(T.listing_name_tokens("text")).alias("listing"), _hash(T.full_name_tokens("text")).alias("full_name"),
-        F.size(T.search_tokens("text")).cast("long").alias("n"),
+    """Every rule over one folding of the text, and one of its Nordic letters."""
+    words = load(spark, folder, "documents").select("doc_id", "text", T.folded_words("text").alias("w"), T.listing_words("text").alias("n"))
+    kept = words.select("doc_id", "text", "w", "n", T.kept_words(F.col("w")).alias("search"))
+    return kept.select(
+        "doc_id", _hash(T.kept_words(F.col("search"), K.STOP_IDENTITY)).alias("identity"), _hash(F.col("search")).alias("search"), _hash(T.kept_words(F.col("search"), K.STOP_SEARCH_NAME)).alias("search_name"),
+        _hash(F.array_sort(T.place_words(F.col("n")))).alias("place"), _hash(T.listing_kept(F.col("n"))).alias("listing"), _hash(T.full_name_tokens("text")).alias("full_name"),
+        F.size("search").cast("long").alias("n"),
     )
 
 

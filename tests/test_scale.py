@@ -86,3 +86,43 @@ def test_suffix_rules(spark):
     got = {r.i: r.url_domain for r in domains.with_domains(urls, ["url"], rules).collect()}
     assert got == dict(enumerate(HOSTS.values())) | {-1: "", -2: "", -3: "example.com"}
     assert {r.url_domain for r in domains.with_domains(urls, ["url"], rules.limit(0)).where("i = 3").collect()} == {"co.uk"}  # without rules, the last label is the suffix
+
+
+def test_mentions_of_names_of_any_length(spark):
+    from factweave.operators import joins as J
+
+    rng = random.Random(4)
+    vocabulary = ["fjord", "nord", "av", "og", "for", "æra", "x1"]
+    names = [[rng.choice(vocabulary) for _ in range(n)] for n in (1, 1, 2, 2, 3, 3, 4, 5, 6, 9, 40, 45)]
+    titles = []
+    for i in range(200):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 12))] + (rng.choice(names) if rng.random() < 0.7 else []) + [rng.choice(vocabulary) for _ in range(rng.randrange(3))]
+        titles.append((i, " ".join(words).title() + (" - Avisen" if i % 3 == 0 else "")))
+    titles += [(900, None), (901, "")]
+    got = J.title_mentions(spark.createDataFrame([(str(i), " ".join(n)) for i, n in enumerate(names)] + [("98", ""), ("99", None)], f"{ORG} string, name string"), spark.createDataFrame(titles, "title_id int, title string"))
+    want = set()
+    for i, t in titles:
+        w = (t or "").lower().removesuffix(" - avisen").split()
+        for k, n in enumerate(names):
+            if any(w[j : j + len(n)] == n for j in range(len(w)) if j == 0 or w[j - 1] in ("av", "og", "for")):
+                want.add((str(k), i))
+    assert {(r[ORG], r.title_id) for r in got.collect()} == want and any(len(names[int(k)]) > 35 for k, _ in want)
+
+
+def test_folding_is_that_of_the_full_table(spark):
+    import unicodedata
+
+    texts = ["", "Plain ASCII, 1 x", "Ærlig Øl på Åsen", "Crème brûlée — ñandú", "straße ﬁne Ĳssel ½ １２ ＡＢ", "İstanbul ǅ ª²  x", "éÉ" * 50, None, "\x01\x7f\x80"]
+    texts += ["".join(chr(random.Random(i).randrange(0x20, 0x250)) for _ in range(40)) for i in range(60)]
+
+    def fold(t):
+        out = []
+        for c in (t or "").replace("æ", "ae").replace("Æ", "AE").replace("ø", "o").replace("Ø", "O"):
+            plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+            out.append(plain if len(plain) == 1 or (plain.isalpha() and unicodedata.category(c)[0] == "L") else "")
+        return "".join(out).lower()
+
+    from factweave.functions import text as T
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.fold("t").alias("f")).collect()
+    assert {r.i: r.f for r in rows} == {i: fold(t) for i, t in enumerate(texts)}
