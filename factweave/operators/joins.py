@@ -190,7 +190,7 @@ def title_mentions(entities: DataFrame, titles: DataFrame, name: str = "name", t
         F.when(F.size("__words") > 0, F.sequence(F.lit(1), F.size("__words"))),
         lambda i: (i == 1) | F.get(F.col("__words"), i - 2).isin(*K.MENTION_PREDECESSORS),
     )
-    placed = words.withColumn("__starts", starts).where(F.size("__starts") > 0)
+    placed = words.withColumn("__starts", starts)  # no filter here: one pushed down would take the title apart again for each word
 
     def runs(n: int) -> Column:
         fits = F.filter(F.col("__starts"), lambda i: i + (n - 1) <= F.size("__words"))
@@ -201,7 +201,7 @@ def title_mentions(entities: DataFrame, titles: DataFrame, name: str = "name", t
 
         return F.transform(fits, one)
 
-    met = unfold(placed, [key], F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3)))), "e").select(key, F.col("e.run").alias("__key"), "e.after", "e.at").join(keyed, "__key")
+    met = unfold(placed, [key], F.flatten(F.array(runs(1), runs(2), runs(3))), "e").select(key, F.col("e.run").alias("__key"), "e.after", "e.at").join(keyed, "__key")
     n = F.size("__rest")
     near = met.where((n == 0) | (F.expr("slice(after, 1, least(size(__rest), {0}))".format(carried)) == F.expr("slice(__rest, 1, {0})".format(carried))))
     found = near.where(n <= carried).select(ORG, "legal_name", key)
