@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import WordHashes, as_bytes, components, map_batches, shingles, sliced, stars, stored
 
@@ -188,6 +188,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     with one centre; the pairs left are those with a text unlike the centre, and they are verified in
     groups of a block of such texts and a block of the cluster. Sets are only ever compared in full.
     """
+    out = _grouped(docs, words, percent, bands, rows, block).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, bands: int = 25, rows: int = 5, block: int = 256) -> DataFrame:
+    """doc_id, h, n_shingles, group (a number of the component; null for an empty set) and component_id, a row per row."""
     made = stored(sketches(docs, words, bands, rows), "minhash")
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
     cls = made.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "h", "bands"), F.struct(last, "h")).alias("s"))
@@ -217,13 +223,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     group = components(links)
     named = cls.select("cls", "rep", "low").join(group.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    out = made.select("doc_id", "n_shingles", "cls").join(named.join(least, "component").select("cls", "component_id"), "cls", "left")
+    out = made.select("doc_id", "h", "n_shingles", "cls").join(named.join(least, "component").select("cls", F.col("component").alias("group"), "component_id"), "cls", "left")
     whole = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "h", "n_shingles", "group", whole.alias("component_id"))
 
 
 def first_of_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose group has one of a smaller id; repeated rows of an id stay as they are."""
-    found = near_duplicates(docs, words, percent)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
+    """docs with one row of each group: that of the smallest id (a null is the largest), then of the smallest text hash.
+
+    Rows are known by id and text: another text under an id that goes stays, and of equal rows one stays. Rows
+    without words are in no group and all stay.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no column is called like those below
+    doc, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    key = [F.coalesce(doc.cast("long"), F.lit(-(2**63))).alias("__id"), F.xxhash64(text.cast("string")).alias("__h")]
+    rows = _grouped(docs, words, percent).where("group IS NOT NULL").select("group", "doc_id", F.col("h").alias("__h")).distinct()
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__h")).alias("first"))
+    told = rows.join(first, "group").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), "__h", F.struct(F.col("doc_id").isNull(), "doc_id", "__h").eqNullSafe(F.col("first")).alias("__first"))
+    marked = plain.select("*", *key).join(told, ["__id", "__h"], "left").where("__first IS NULL OR __first")
+    at = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.xxhash64(*plain.columns)))
+    return marked.withColumn("__at", at).where("__first IS NULL OR __at = 1").select(*plain.columns).toDF(*docs.columns)

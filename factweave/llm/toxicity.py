@@ -315,8 +315,10 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         terms, weights, coefficients, window = shared.value
         hits = Hits([Term(*t) for t in terms])
         for batch in sliced(batches):
-            z = np.array([[*features(t, hits, weights, window), 1.0] for t in batch["__text"].to_pylist()]) @ coefficients
+            z = np.array([[*features(t, hits, weights, window), 1.0] for t in batch[place].to_pylist()]) @ coefficients
             good = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold
-            yield batch.filter(pa.array(good)).drop_columns(["__text"])
+            kept = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(kept.columns[:place], names=kept.schema.names[:place])
 
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    place = len(docs.columns)  # the text as a string comes last, whatever the others are called
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias("__scored")).mapInArrow(run, docs.schema)

@@ -73,6 +73,16 @@ def test_empty_table_and_filter(spark, docs_of):
     assert kept.columns == docs.columns
 
 
+def test_rows_are_known_by_id_and_text(spark):
+    one, other, odd = "a b c d e f g h", "q r s t u v w x", "k l m n o p q r"
+    rows = [(1, one, "x"), (2, one, "y"), (2, other, "z"), (None, other.upper(), "n"), (None, odd, "m"), (None, odd, "m"), (3, odd, "l"), (4, "", "e"), (4, "", "e"), (None, None, "e"), (5, "i j k l m n", "p"), (5, "i j k l m n", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string").repartition(3)
+    kept = minhash.first_of_group(docs)
+    assert kept.columns == docs.columns
+    want = [(1, one, "x"), (2, other, "z"), (3, odd, "l"), (4, "", "e"), (4, "", "e"), (None, None, "e"), (5, "i j k l m n", "p")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_signature_is_one_permutation_shifted():
     items = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
     a, b = minhash.signature(items, 64), minhash.signature(items[::-1], 64)

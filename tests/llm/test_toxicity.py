@@ -91,3 +91,11 @@ def test_edges(spark, docs_of, fitted):
     assert toxicity.score(docs_of([]), model).collect() == []
     none = toxicity.fit(docs_of(docs), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(docs_of(rows), none).collect()} == {0}
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    rows = [(1, "you are a zogbar fool", 1), (2, "a kind word for all", 0)] * 20
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, (_, t, _) in enumerate(rows)], "doc_id long, text string, __text string, __scored string")
+    labels = spark.createDataFrame([(i, 1, b) for i, (_, _, b) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    kept = toxicity.keep(docs, toxicity.fit(docs, labels), threshold=0.7)
+    assert kept.columns == docs.columns and {r.text for r in kept.collect()} <= {t for _, t, _ in rows} and {(r["__text"], r["__scored"]) for r in kept.collect()} == {("x", "y")}
