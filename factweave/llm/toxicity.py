@@ -320,5 +320,6 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             kept = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays(kept.columns[:place], names=kept.schema.names[:place])
 
-    place = len(docs.columns)  # the text as a string comes last, whatever the others are called
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias("__scored")).mapInArrow(run, docs.schema)
+    place = len(docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(place)])  # the text as a string comes last, whatever the others are called
+    return plain.withColumn("text", F.col(f"c{docs.columns.index('text')}").cast("string")).mapInArrow(run, docs.schema)
