@@ -357,26 +357,29 @@ FEED_ENTRY = (
 
 
 def parse_feed(entries: DataFrame, column: str = "entry") -> DataFrame:
-    """Job-feed entries (JSON text) as job rows; ``active`` is false for what counts as a deletion."""
-    e = F.from_json(column, FEED_ENTRY)
-    parsed = entries.withColumn("__e", e)
-    d = F.col("__e._feed_entry")
-    filled = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
-    places = F.when(F.size(d["workLocations"]) > 0, d["workLocations"]).otherwise(d["locationList"])
-    place = F.get(places, F.lit(0))
-    orgnr = digits(filled(d["employer"]["orgnr"], d["orgnr"]))
+    """Job-feed entries (JSON text) as job rows; ``active`` is false for what counts as a deletion.
+
+    An entry is parsed once. What is no JSON object, or has a key twice, gives a row without fields.
+    """
+    parsed = entries.withColumn("__v", F.try_parse_json(column))
+    at = lambda path: F.nullif(F.try_variant_get("__v", f"$.{path}", "string"), F.lit(""))
+    d = lambda path: at(f"_feed_entry.{path}")
+    first = lambda name, field: d(f"{name}[0].{field}")
+    listed = F.try_variant_get("__v", "$._feed_entry.workLocations[0]", "variant").isNotNull()
+    town = F.when(listed, F.coalesce(first("workLocations", "municipal"), first("workLocations", "city"))).otherwise(F.coalesce(first("locationList", "municipal"), first("locationList", "city")))
+    orgnr = digits(F.coalesce(d("employer.orgnr"), d("orgnr")))
     return parsed.select(
         *[c for c in entries.columns if c != column],
-        filled(F.col("__e.id"), d["uuid"]).alias("job_id"),
-        ((F.upper(text(d["status"])) == "ACTIVE") & (F.length(orgnr) == 9)).alias("active"),
+        F.coalesce(at("id"), d("uuid")).alias("job_id"),
+        ((F.upper(text(d("status"))) == "ACTIVE") & (F.length(orgnr) == 9)).alias("active"),
         orgnr.alias("organisation_number"),
-        filled(d["employer"]["name"], d["businessName"]).alias("employer_name"),
-        filled(d["title"], F.col("__e.title")).alias("title"),
-        filled(F.col("__e.url"), F.concat(F.lit("/api/v1/feedentry/"), d["uuid"])).alias("url"),
-        filled(d["published"], d["publishedByAdmin"]).alias("published"),
-        filled(d["updated"], d["sistEndret"], F.col("__e.date_modified")).alias("updated"),
-        filled(place["municipal"], place["city"], d["municipal"]).alias("municipal"),
-        F.sha2(canonical_json(F.get_json_object(column, "$._feed_entry")), 256).alias("content_sha256"),
+        F.coalesce(d("employer.name"), d("businessName")).alias("employer_name"),
+        F.coalesce(d("title"), at("title")).alias("title"),
+        F.coalesce(at("url"), F.concat(F.lit("/api/v1/feedentry/"), d("uuid"))).alias("url"),
+        F.coalesce(d("published"), d("publishedByAdmin")).alias("published"),
+        F.coalesce(d("updated"), d("sistEndret"), at("date_modified")).alias("updated"),
+        F.coalesce(town, d("municipal")).alias("municipal"),
+        F.sha2(F.to_json(F.try_variant_get("__v", "$._feed_entry", "variant")), 256).alias("content_sha256"),
     )
 
 

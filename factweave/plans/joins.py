@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J, normalise as N
+from ..session import shared_folder
+from ..sources import sinks
 from . import base
 from .catalog import load, query
 
@@ -70,6 +72,19 @@ def observations_by_entity(spark, folder):
     return J.observations_by_entity(base.entities(spark, folder).select(ORG), base.observations(spark, folder))
 
 
+@query(
+    "jon_05_colocated",
+    base.oracle("entities observations", """SELECT e.organisation_number, count(o.id) AS observations, max(o.retrieved_at) AS last_retrieved_at FROM entities e LEFT JOIN observations o USING (organisation_number) GROUP BY 1"""),
+)
+def colocated(spark, folder):
+    """Entities and observations in tables of equal buckets: grouped and joined without a shuffle."""
+    tables = []
+    for name, df in (("profiles", base.entities(spark, folder).select(ORG, "name")), ("observations", base.observations(spark, folder).select(ORG, "id", "platform", "retrieved_at"))):
+        path = shared_folder(spark, name)
+        tables.append(sinks.write_bucketed(df, path.rsplit("/", 1)[-1].replace("-", "_"), ORG, 8, path))
+    return J.observations_by_entity(*tables).select(ORG, "observations", "last_retrieved_at")
+
+
 @query(
     "jon_02_present_rows",
     base.oracle("manifest entities", "SELECT organisation_number FROM manifest WHERE organisation_number IN (SELECT organisation_number FROM entities)"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.blocks import number_rows
+from ..operators.rows import union_all
 from ..session import shared_folder
 from ..sources import readers, sinks
 from ..sources.pages import Store, feed_entries, feed_pages, read_pages, snapshot_responses, write_pages
@@ -48,6 +49,27 @@ def manifest(spark, folder):
     return readers.read_manifest(spark, path).select("organisation_number", "evaluation_split")
 
 
+@query(
+    "src_03_manifest_forms",
+    """SELECT f AS form, CAST(100000000 + c_custkey AS VARCHAR) AS organisation_number, row_number() OVER (PARTITION BY f ORDER BY c_custkey) - 1 AS position FROM customer, (VALUES ('lines'), ('list'), ('object'), ('text')) t(f)""",
+)
+def manifest_forms(spark, folder):
+    """The same manifest as JSON lines, JSON list, JSON object and plain text, each with the place of every number."""
+    key = (F.col("c_custkey") + 100000000).cast("string")
+    numbers = load(spark, folder, "customer").select(key.alias("n"), "c_custkey").orderBy("c_custkey")
+    whole = numbers.agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "n"))), lambda x: x["n"]).alias("n"))  # one document by its form
+    forms = {
+        "lines": (".jsonl", numbers.select(F.to_json(F.struct(F.col("n").alias("organisation_number"))))), "text": (".txt", numbers.select(F.concat("n", F.lit(" "), F.lit("\n")))),
+        "list": (".json", whole.select(F.to_json("n"))), "object": (".json", whole.select(F.to_json(F.struct(F.col("n").alias("organisation_numbers"))))),
+    }
+    out = []
+    for form, (end, rows) in forms.items():
+        path = shared_folder(spark, "manifest") + end
+        rows.write.text(path)
+        out.append(readers.read_manifest(spark, path, check=False).select(F.lit(form).alias("form"), "organisation_number", F.col("position").cast("long").alias("position")))
+    return union_all(*out)
+
+
 @query(
     "src_04_snapshot_responses",
     """SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_orderstatus = 'F' THEN 404 ELSE 200 END AS status,
@@ -140,11 +162,10 @@ def frames(spark, folder):
         F.struct(F.col("value").alias("btcMidUsd")).alias("reference"),
         F.struct(book.alias("YES"), book.alias("NO")).alias("books"),
     )
-    frame.write.partitionBy("path").json(path)
+    frame.write.json(path)
     return (
-        readers.read_frames(spark, f"{path}/*")
-        .withColumn("path", F.regexp_extract("_metadata.file_path", "path=(path_[0-9]+)", 1))
-        .groupBy("path")
+        readers.read_frames(spark, path, "path")
+        .groupBy(F.col("path_id").alias("path"))
         .agg(
             F.count("*").alias("frames"),
             F.sum(F.col("reference.btcMidUsd").cast("decimal(18,2)")).alias("price_sum"),
@@ -204,8 +225,8 @@ def csv_export(spark, folder):
 )
 def documents(spark, folder):
     path = shared_folder(spark, "documents")
-    sinks.write_documents(base.entities(spark, folder), "organisation_number", path)
-    return spark.read.parquet(path).select(
+    table = sinks.write_documents(base.entities(spark, folder), "organisation_number", path.rsplit("/", 1)[-1].replace("-", "_"), 8, path)
+    return table.select(
         "organisation_number",
         F.get_json_object("document", "$.name").alias("doc_name"),
         F.get_json_object("document", "$.employees").try_cast("int").alias("doc_employees"),

@@ -20,6 +20,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("factweave.input.partitions", str(parts))
         .config("spark.driver.memory", os.environ.get("FACTWEAVE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

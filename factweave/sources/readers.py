@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import digits
+from ..operators.blocks import number_rows
 from ..operators.rows import first_per_key, require_empty, require_unique, union_all
 
 ORG_COLUMNS = ("organisasjonsnummer", "Organisasjonsnummer", "organisation_number")
@@ -43,6 +44,17 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, value) of the lines that are not blank, in the order of file names and of lines within a file.
+
+    Splits are read in any order, so a line is placed by its file, its split's start and its place in that; each
+    split then counts on from the sizes of those before it.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    placed = number_rows(lines.where(F.trim("value") != ""), [], F.struct("file", "start"), ["at"], "place")
+    return placed.select(F.col("place").alias("position"), "value")
+
+
 def read_manifest(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Requested organisations in file order: JSON list or object, JSON lines, or plain text."""
     if path.endswith(".json"):
@@ -60,7 +72,7 @@ def read_manifest(spark: SparkSession, path: str, check: bool = True) -> DataFra
             F.try_variant_get("item", "$.sample_slice", "string").alias("sample_slice"),
         )
     else:
-        lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("position"), "value")
+        lines = file_lines(spark, path)
         if path.endswith(".jsonl"):
             item = F.from_json("value", "organisation_number STRING, evaluation_split STRING, sample_slice STRING")
             raw = lines.select("position", item.alias("i")).select("position", F.col("i.organisation_number").alias("org"), "i.evaluation_split", "i.sample_slice")
@@ -129,7 +141,8 @@ def union_first(*frames: DataFrame, id_column: str = "id", order: Sequence[str]
     return first_per_key(both.withColumn("__key", key), ["__key"], ["__file", *(order or [F.to_json(F.struct(*content))])]).select(*content)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Order-book frames, one JSON-lines file per path; the file name is the path id."""
-    df = spark.read.schema(FRAME_SCHEMA).option("mode", "FAILFAST").json(path)
-    return df.withColumn("path_id", F.col("_metadata.file_name"))
+def read_frames(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
+    """Order-book frames from JSON lines, with path_id: a column of the records, or the name of the file that holds one path."""
+    schema = FRAME_SCHEMA + (f", `{id_column}` STRING" if id_column else "")
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return df.withColumnRenamed(id_column, "path_id") if id_column else df.withColumn("path_id", F.col("_metadata.file_name"))

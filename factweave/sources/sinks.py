@@ -22,10 +22,21 @@ def entity_documents(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), F.to_json(F.struct(*df.columns)).alias("document"))
 
 
-def write_documents(df: DataFrame, key: str, path: str, shards: int = 64) -> None:
-    """Documents in hashed shard folders; a reader prunes to the shard of its entity."""
-    docs = entity_documents(df, key).withColumn("shard", F.pmod(F.hash(key), F.lit(shards)))
-    docs.write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+    """df as a table in ``buckets`` files by the hash of key, sorted by it within each.
+
+    Joins and groupings of such tables by key, with the same number of buckets, need no shuffle, and a filter
+    on one key reads one file. A key with a large share of all rows makes its file as large: leave such
+    tables to shuffles, which split them.
+    """
+    spread = df.repartition(buckets, key)  # the hash of the buckets, so that each task writes one file
+    spread.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def write_documents(df: DataFrame, key: str, table: str, buckets: int, path: str) -> DataFrame:
+    """Documents in a bucketed table; a reader of one entity reads one of its files."""
+    return write_bucketed(entity_documents(df, key), table, key, buckets, path)
 
 
 def resume(spark: SparkSession, batch: DataFrame, keys: Sequence[str], path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
