@@ -98,7 +98,7 @@ class Snapshot:
         said = [F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in df.columns if c not in ignore]
         made = df.withColumn("__part", (place / cls.LEAVES).cast("int")).withColumn("__leaf", place).withColumn("__digest", F.xxhash64(*said, *[F.col(c).isNull() for c in df.columns if c not in ignore]))
         out = cls(df.sparkSession, path)
-        made.repartition("__leaf").sortWithinPartitions("__part", "__leaf").write.partitionBy("__part").parquet(f"{out.path}/rows")
+        made.repartitionByRange("__leaf").sortWithinPartitions("__part", "__leaf").write.partitionBy("__part").parquet(f"{out.path}/rows")
         stored = out.spark.read.parquet(f"{out.path}/rows")
         leaves = stored.groupBy("__part", "__leaf").agg(F.count("*").alias("n"), F.bit_xor("__digest").alias("x"), F.sum(F.col("__digest").cast("decimal(38,0)")).alias("s"))
         leaves.write.parquet(f"{out.path}/digests")

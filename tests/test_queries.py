@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.check import TABLES, same, table
 
-FAST = [n for n in entry.oracle_sql() if n.startswith(("flt_", "jon_", "agg_0", "set_", "win_0", "win_1", "scl_0", "ref_", "qry_", "ctr_02", "obs_13", "mkt_0", "str_01"))]
+FAST = [n for n in entry.oracle_sql() if n.startswith(("flt_", "jon_", "agg_0", "set_", "win_0", "win_1", "scl_0", "ref_", "qry_", "ctr_01", "ctr_02", "ext_", "src_", "snk_", "prj_1", "obs_1", "mkt_0", "str_01"))]
 FAST = [n for n in FAST if not n.startswith(("agg_06", "agg_05"))]
 
 
