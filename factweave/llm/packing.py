@@ -84,21 +84,6 @@ class WordCodes(dict):
         return code
 
 
-#: The codes of this worker process by tokenizer; one tokenizer at a time.
-_KEPT: dict[int, WordCodes] = {}
-
-
-def worker_codes(model: str) -> WordCodes:
-    """The codes of a tokenizer, whose words a worker remembers from one task to the next."""
-    key = zlib.crc32(model.encode())
-    if key not in _KEPT:
-        from tokenizers import Tokenizer
-
-        _KEPT.clear()
-        _KEPT[key] = WordCodes(Tokenizer.from_str(model))
-    return _KEPT[key]
-
-
 def token_ids(texts: pa.Array, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, where each text ends in them), by way of the distinct words of the texts. A null is empty."""
     split = pc.ascii_split_whitespace(texts.fill_null(""))
@@ -126,7 +111,9 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, wit
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        codes, last = worker_codes(model.value), np.array([end], np.uint32)
+        from tokenizers import Tokenizer
+
+        codes, last = WordCodes(Tokenizer.from_str(model.value)), np.array([end], np.uint32)
 
         def run(batch: pa.RecordBatch) -> dict:
             rows = []
