@@ -28,12 +28,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import WordHashes, as_bytes, map_batches, mixed, scan_parts, sliced, stored
 
 _EDGE = 0xFF
-#: Bytes of text handled at a time, and distinct contexts a worker adds up before it sends them.
+#: Bytes of text handled at a time, distinct contexts a worker adds up before it sends them, those not yet
+#: added up, and those sent at once.
 _CHUNK = 1 << 20
 _HELD = 1 << 22
+_PENDING = 1 << 20
+_SENT = 1 << 16
+#: Bytes of text of a part of the documents: what a worker holds grows with these, not with the input's splits.
+_PART = 1 << 24
 #: Bytes of text scored at a time.
 _PIECE = 1 << 18
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +84,18 @@ class Index:
 
     def __init__(self, keys: np.ndarray) -> None:
         self.size = 1 << max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.at = np.full(self.size, _NONE), np.full(self.size, -1, np.int32)
-        slot, left = self.place(keys), np.arange(len(keys))
-        while len(left):
-            free = self.at[slot] < 0
-            chosen, first = np.unique(slot[free], return_index=True)
-            mine = np.flatnonzero(free)[first]
-            self.keys[chosen], self.at[chosen] = keys[left[mine]], left[mine]
-            rest = np.ones(len(left), bool)
-            rest[mine] = False
-            left, slot = left[rest], (slot[rest] + 1) & (self.size - 1)
+        self.keys, self.at = keys, np.full(self.size, -1, np.int32)
+        for low in range(0, len(keys), _SENT):  # a slice at a time, as sorting needs several copies
+            left = np.arange(low, min(low + _SENT, len(keys)))
+            slot = self.place(keys[left])
+            while len(left):
+                free = self.at[slot] < 0
+                chosen, first = np.unique(slot[free], return_index=True)
+                mine = np.flatnonzero(free)[first]
+                self.at[chosen] = left[mine]
+                rest = np.ones(len(left), bool)
+                rest[mine] = False
+                left, slot = left[rest], (slot[rest] + 1) & (self.size - 1)
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         return (mixed(keys) & np.uint64(self.size - 1)).astype(np.int64)
@@ -98,12 +104,13 @@ class Index:
         """The number of each key, or -1."""
         slot = self.place(keys)
         got = self.at[slot]
-        left = np.flatnonzero((got >= 0) & (self.keys[slot] != keys))
+        if not len(self.keys):
+            return got
+        left = np.flatnonzero((got >= 0) & (self.keys[got] != keys))
         while len(left):
             slot[left] = (slot[left] + 1) & (self.size - 1)
-            s = slot[left]
-            got[left] = self.at[s]
-            left = left[(got[left] >= 0) & (self.keys[s] != keys[left])]
+            got[left] = at = self.at[slot[left]]
+            left = left[(at >= 0) & (self.keys[at] != keys[left])]
         return got
 
 
@@ -216,23 +223,36 @@ def _features(parts: DataFrame, order: int) -> DataFrame:
     bytes, and their number in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = WordHashes(), {}, 0
+        memo, pending, held, size = WordHashes(), {}, {}, 0
         texts: dict[tuple[int, bool], list] = {}  # the texts of a part not yet cut into runs, and their bytes
 
         def put(part: int, word: bool, keys: np.ndarray, n: np.ndarray) -> None:
             nonlocal size
-            held.setdefault((part, word), []).append((keys, n))
+            pending.setdefault((part, word), []).append((keys, n))
             size += len(keys)
 
+        def fold() -> int:
+            """Adds up what is pending, in 16 buckets of keys one after the other, as sorting needs several copies; says how much is held."""
+            nonlocal size
+            while pending:
+                key, own = pending.popitem()
+                keys, n = (np.concatenate(x) for x in zip(*own))
+                bucket, sums = mixed(keys) >> np.uint64(60), held.setdefault(key, [(keys[:0], n[:0])] * 16)
+                for b in range(16):
+                    at = bucket == b
+                    sums[b] = _added([sums[b], (keys[at], n[at])])
+            size = 0
+            return sum(len(k) for sums in held.values() for k, _ in sums)
+
         def cut(part: int, out: bool) -> None:
             codes, n = np.unique(contexts(texts.pop((part, out))[0], order)[0], return_counts=True)
             put(part, False, codes, n * (not out))
 
         def send() -> Iterator[pa.RecordBatch]:
-            for (part, word), own in held.items():
-                keys, n = _added(own)
-                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(keys), part, np.int32)), "word": pa.array(np.full(len(keys), word)), "key": keys.view(np.int64), "n": n})
-            held.clear()
+            while held:
+                (part, word), sums = held.popitem()
+                for keys, n in ((k[i : i + _SENT], n[i : i + _SENT]) for k, n in sums for i in range(0, len(k), _SENT)):
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(keys), part, np.int32)), "word": pa.array(np.full(len(keys), word)), "key": keys.view(np.int64), "n": n})
 
         for batch in sliced(batches):
             for part, out, text in zip(batch["part"].to_pylist(), batch["held_out"].to_pylist(), as_bytes(batch["text"])):
@@ -243,15 +263,11 @@ def _features(parts: DataFrame, order: int) -> DataFrame:
                 own[1] += len(text or b"") + 1
                 if own[1] >= _CHUNK:
                     cut(part, out)
-                if size > _HELD:
-                    for x in held.values():
-                        x[:] = [_added(x)]
-                    size = sum(len(x[0][0]) for x in held.values())
-                    if size > _HELD // 2:
-                        yield from send()
-                        size = 0
+                if size > _PENDING and fold() > _HELD:
+                    yield from send()
         for part, out in list(texts):
             cut(part, out)
+        fold()
         yield from send()
 
     return parts.select("part", "held_out", "text").mapInArrow(run, "part int, word boolean, key long, n long")
@@ -286,6 +302,12 @@ def _needs(parts: DataFrame, order: int, resolution: int | None) -> DataFrame:
     return known.unionByName(rest)
 
 
+def n_parts(docs: DataFrame, most: int) -> int:
+    """Number of parts of the documents: no fewer than tasks that read them, and about most bytes of text in each."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(12, scan_parts(docs), -(-size // most))
+
+
 def language_scores(docs: DataFrame, order: int = 5, resolution: int | None = None, modulus: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
@@ -294,15 +316,20 @@ def language_scores(docs: DataFrame, order: int = 5, resolution: int | None = No
     resolution, if given: nodes of order 2 and more are used only if they stand for one in so many training bytes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(modulus))
-    n = max(12, scan_parts(docs))
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "part")
-    needs = _needs(parts, order, resolution)
+    n = n_parts(docs, _PART)
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    parts = placed.repartition(n, "part")
+    needs = _needs(placed.repartitionById(n, F.col("part")), order, resolution)
 
     def run(docs: pa.Table, needs: pa.Table) -> pa.Table:
-        memo, flag = WordHashes(), needs["flag"].to_numpy()
-        keys, values = needs["key"].to_numpy().view(np.uint64), needs["value"].to_numpy()
-        index, score = Index(keys[flag < 0]), values[flag < 0]
-        word, term, flag = keys[flag >= 0], values[flag >= 0], flag[flag >= 0]
+        memo, batches = WordHashes(), needs.to_batches()
+        of_runs = [b["flag"].to_numpy() < 0 for b in batches]
+
+        def column(name: str, kind: type, runs: bool) -> np.ndarray:
+            return np.concatenate([b[name].to_numpy()[own == runs] for b, own in zip(batches, of_runs)]) if batches else np.zeros(0, kind)
+
+        index, score = Index(column("key", np.int64, True).view(np.uint64)), column("value", np.float64, True)
+        word, term, flag = column("key", np.int64, False).view(np.uint64), column("value", np.float64, False), column("flag", np.int32, False)
         by = np.argsort(word)
         word, term, flag = word[by], term[by], flag[by]
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "words", "score")}

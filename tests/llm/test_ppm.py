@@ -110,3 +110,36 @@ def test_empty_table_and_no_training(spark, docs_of):
     assert ppm.language_scores(docs_of([])).collect() == []
     row = ppm.language_scores(docs_of([(20, "ab")]) if zlib.crc32(b"20") % 10 == 0 else docs_of([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0), "ab")])).first()
     assert row.held_out and row.score == pytest.approx(-3 * math.log10(256)) and row.base_score == pytest.approx(0)
+
+
+def test_parts_grow_with_the_bytes_of_text_and_not_with_the_splits(spark, docs_of):
+    docs = docs_of([(i, "é" * 500) for i in range(200)] + [(-1, None)]).coalesce(1)
+    assert ppm.n_parts(docs, 1 << 24) == 12 and ppm.n_parts(docs, 2000) == 100
+    assert ppm.n_parts(docs_of([]), 2000) == max(12, docs_of([]).rdd.getNumPartitions())
+
+
+def test_features_go_out_in_small_batches_whatever_a_worker_holds(spark, monkeypatch):
+    kept = ppm._features.__globals__
+    seen = []
+
+    class Parts:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            text = "".join(chr(97 + x % 26) + chr(97 + x // 26 % 26) + chr(97 + x // 676 % 26) + " " for x in range(3000))
+            batch = ppm.pa.RecordBatch.from_pydict({"part": ppm.pa.array([0, 0, 1], ppm.pa.int32()), "held_out": [False, True, False], "text": [text, text, "ab ab"]})
+            seen.extend(run(iter([batch])))
+
+    for held, pending in ((1 << 22, 1 << 20), (1 << 22, 1), (1, 1)):
+        seen.clear()
+        monkeypatch.setitem(kept, "_SENT", 100)
+        monkeypatch.setitem(kept, "_HELD", held)
+        monkeypatch.setitem(kept, "_PENDING", pending)
+        ppm._features(Parts(), 5)
+        assert max(b.num_rows for b in seen) <= 100
+        total = Counter()
+        for b in seen:
+            for r in b.to_pylist():
+                total[r["part"], r["word"]] += r["n"]
+        assert total == {(0, True): 3001, (0, False): 12001, (1, True): 3, (1, False): 6}
