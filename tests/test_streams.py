@@ -127,3 +127,22 @@ def test_stored_responses_fall_back_on_their_snapshot(spark):
     page = '{"retrieved_at": "T0", "responses": {"https://a/": {"status": 200, "body": {"b": 1}}, "https://b/": {"status": 404, "retrieved_at": "T1", "raw_json": "x"}}}'
     got = P.snapshot_responses(spark.createDataFrame([(0, page)], P.SCHEMA)).orderBy("url").collect()
     assert [tuple(r) for r in got] == [("https://a/", 200, '{"b":1}', None, "T0", None), ("https://b/", 404, None, "x", "T1", None)]
+
+
+def test_late_rows_of_an_open_bucket_count_and_values_may_be_null(spark, tmp_path):
+    s = Stream(spark, tmp_path, bucket="10 days", delay="5 days")
+    s.land([("a", "f", "A", 1, day(1)), ("a", "f", "B", 9, day(14))])
+    assert s.land([("a", "f", None, 5, day(11))]) == [("a", 5, "A", None), ("a", 9, None, "B")]
+    spark.createDataFrame([(None, "f", "x", 1, day(12)), (None, "f", "y", 2, day(13))], SCHEMA).write.mode("append").json(f"{tmp_path}/in")
+    C.change_stream(spark, f"{tmp_path}/in", s.schema, f"{tmp_path}/cp", f"{tmp_path}/out", **s.how)
+    got = {(r.organisation_number, r.seq, r.old_value, r.new_value) for r in C.changes(C.UpsertTable(spark, f"{tmp_path}/out", [*C.KEY, "bucket"]).read()).collect()}
+    assert got == {("a", 5, "A", None), ("a", 9, None, "B"), (None, 2, "x", "y")}
+
+
+def test_change_state_holds_no_python(spark, tmp_path):
+    """Groups of state cost a call into Python each; at scale there are as many as entities, fields and buckets."""
+    s = Stream(spark, tmp_path)
+    s.land([("a", "f", "A", 1, day(1)), ("a", "f", "B", 2, day(2))])
+    state = next((tmp_path / "cp" / "state" / "0").glob("_metadata/**/*"), None)
+    text = "".join(p.read_text(errors="ignore") for p in (tmp_path / "cp" / "state" / "0" / "_metadata").rglob("*") if p.is_file())
+    assert state is not None and "stateStoreSave" in text and "transformWithState" not in text
