@@ -15,6 +15,7 @@ from ..functions.numeric import fair_prob, half_up
 from ..functions.text import as_col, let
 from .blocks import running_max, with_lookback
 from .percentiles import medians
+from .rows import unfold
 
 EPS = 1e-9
 
@@ -137,24 +138,40 @@ def realized_vol(ticks: DataFrame, seconds: int = K.VOL_WINDOW_SECONDS, min_samp
     """Adds ``vol``: annualised volatility of ``price`` over the trailing window, NULL with too few samples.
 
     Only pairs of neighbours that both lie in the window count. Paths are cut into blocks of the
-    window's length, each with the block before it as context, so the window runs over two blocks.
+    window's length, each with the block before it as context; within a block the work grows with its
+    rows, however many fall into one window.
     """
     cut = with_lookback(ticks, [key], F.col("ts"), seconds)
     block = Window.partitionBy(key, "__block").orderBy("ts")
-    span = block.rangeBetween(-seconds, 0)
     dt = F.col("ts") - F.lag("ts").over(block)
     before = F.lag("price").over(block)
     squared = F.when((dt > 0) & (before > 0), F.pow(F.ln(F.col("price") / before), 2) / dt)
-    cut = cut.withColumn("ts", F.col("ts").cast("double")).withColumn("__r", squared)
-    # the first row of the frame pairs with one outside it: that pair is taken off again
-    first = F.first("__r").over(span)
-    total = F.coalesce(F.sum("__r").over(span), F.lit(0.0)) - F.coalesce(first, F.lit(0.0))
-    pairs = F.count("__r").over(span) - F.when(first.isNotNull(), 1).otherwise(0)
-    # all windows run before the context rows are dropped
-    out = cut.withColumn("__total", total).withColumn("__pairs", pairs).withColumn("__samples", F.count("*").over(span))
-    sigma = F.sqrt(F.greatest(F.col("__total"), F.lit(0.0)) / F.col("__pairs")) * (float(K.SECONDS_PER_YEAR) ** 0.5)
-    vol = F.when((F.col("__samples") >= min_samples) & (F.col("__pairs") > 0), F.least(F.greatest(sigma, F.lit(K.VOL_FLOOR)), F.lit(K.VOL_CAP)))
-    return out.where("__home").withColumn("vol", vol).select(*ticks.columns, "vol")
+    cut = cut.withColumn("ts", F.col("ts").cast("double")).withColumns({"__r": squared, "__from": F.when(~F.lag("__home").over(block), F.lag("ts").over(block))})
+    # What the window holds changes when a row enters and when a context row or a pair begun by one leaves, so running
+    # sums tell it in one pass. Decimals add up exactly; a term beyond them lies far above the cap.
+    huge = F.isnan("__r") | (F.abs("__r") >= 1e9)
+    term = F.when(huge, 0.0).otherwise(F.coalesce("__r", F.lit(0.0))).cast("decimal(38,20)")
+
+    def change(at: Column, leaves: int, row: int, pair: int) -> Column:
+        there = F.col("__r").isNotNull()
+        return F.struct(
+            at.alias("at"), F.lit(leaves).alias("leaves"), F.lit(row).alias("row"), F.when(there, pair).otherwise(0).alias("pair"),
+            F.when(there & huge, pair).otherwise(0).alias("huge"), (term if pair > 0 else -term if pair else F.lit(0).cast("decimal(38,20)")).alias("term"),
+        )
+
+    changes = F.array(
+        change(F.col("ts"), 0, 1, 1), F.when(~F.col("__home"), change(F.col("ts") + seconds, 1, -1, 0)),
+        F.when(F.col("__r").isNotNull() & F.col("__from").isNotNull(), change(F.col("__from") + seconds, 1, 0, -1)),
+    )
+    moves = unfold(cut, [*ticks.columns, "__block", "__home"], changes, "__c")
+    so_far = Window.partitionBy(key, "__block").orderBy("__c.at", "__c.leaves").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = {f"__{name}": F.sum(f"__c.{name}").over(so_far) for name in ("row", "pair", "huge", "term")}
+    # all windows run before the other rows are dropped
+    out = moves.withColumns(held).where("__home AND __c.leaves = 0")
+    total = F.when(F.col("__huge") > 0, float("inf")).otherwise(F.col("__term").cast("double"))
+    sigma = F.sqrt(F.greatest(total, F.lit(0.0)) / F.col("__pair")) * (float(K.SECONDS_PER_YEAR) ** 0.5)
+    vol = F.when((F.col("__row") >= min_samples) & (F.col("__pair") > 0), F.least(F.greatest(sigma, F.lit(K.VOL_FLOOR)), F.lit(K.VOL_CAP)))
+    return out.withColumn("vol", vol).select(*ticks.columns, "vol")
 
 
 def edge_side(price: Column, target: Column, seconds: Column, vol: Column, yes_asks: Column, yes_bids: Column, no_asks: Column, no_bids: Column,

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,3 +32,21 @@ def test_volatility_block_edges(spark):
         rates = [math.log(b[1] / a[1]) ** 2 / (b[0] - a[0]) for a, b in zip(seen, seen[1:])]
         want = None if len(seen) < 8 else min(max(math.sqrt(sum(rates) / len(rates) * 365 * 24 * 3600), 0.25), 3.0)
         assert got[now] == (None if want is None else pytest.approx(want))
+
+
+def test_volatility_of_equal_and_dense_times(spark):
+    """Equal times are one step, missing or worthless prices and times give no term, and the work follows the rows."""
+    rows = [(0, float(i // 3), 100.0 + i // 3 % 5, i) for i in range(90)] + [(0, 40.0, None, 90), (0, 41.0, 0.0, 91), (0, None, 1.0, 92), (0, 50.0, 1e-300, 93), (0, 51.0, 1e300, 94)]
+    schema = "path_id int, ts double, price double, id int"
+    got = {r.id: r.vol for r in M.realized_vol(spark.createDataFrame(rows, schema), 10).collect()}
+    assert len(got) == len(rows) and got[92] is None and got[94] is None
+    for i in range(90):
+        now = rows[i][1]
+        steps = [(t, 100.0 + t % 5) for t in range(30) if now - 10 <= t <= now]
+        rates = [math.log(b[1] / a[1]) ** 2 for a, b in zip(steps, steps[1:])]
+        want = None if 3 * len(steps) < 8 or not rates else min(max(math.sqrt(sum(rates) / len(rates) * 365 * 24 * 3600), 0.25), 3.0)
+        assert got[i] == (None if want is None else pytest.approx(want))
+    many = spark.range(200_000).select(F.lit(0).alias("path_id"), (F.col("id") % 1000 / 1000.0).alias("ts"), (F.col("id") % 1000 + 1.0).alias("price"))
+    begun = time.time()
+    assert M.realized_vol(many, 3600).where("vol = 3.0").count() > 190_000
+    assert time.time() - begun < 60  # each row against its window would be 2e10 steps
