@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import extract as X
 from ..operators.domains import suffix_rules
 from . import base
-from .catalog import load, query
+from .catalog import load, query, spread
 from .scalars import rule_lines
 
 ORG = "organisation_number"
@@ -54,7 +54,7 @@ def jsonld_pages(spark, folder):
         F.lit("News "), key, F.lit('"],"datePublished":"2026-02-02","mainEntityOfPage":"https://n.no/'), key, F.lit('"},{"@type":"BlogPosting","name":"No date"}]}'),
     )
     html = F.concat(F.lit("<html><script type='application/ld+json'>"), body, F.lit('</script><script type="application/ld+json">{broken</script></html>'))
-    return load(spark, folder, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://s"), key, F.lit(".no/")).alias("final_url"), html.alias("html"))
+    return spread(load(spark, folder, "customer")).select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://s"), key, F.lit(".no/")).alias("final_url"), html.alias("html"))
 
 
 def nodes(spark, folder):
@@ -191,7 +191,7 @@ def _arms(i):
 @query("ext_13_workforce", f"SELECT doc_id, {_arms(1)} AS status, CAST({_arms(2)} AS DOUBLE) AS value, {_arms(3)} AS measure FROM documents")
 def workforce(spark, folder):
     phrase = F.expr(_arms(0).replace("\n", "\\n"))
-    return X.workforce(load(spark, folder, "documents").select("doc_id", F.concat("text", F.lit("\n"), phrase, F.lit("\n"), "text").alias("text")), "doc_id").drop("span")
+    return X.workforce(spread(load(spark, folder, "documents")).select("doc_id", F.concat("text", F.lit("\n"), phrase, F.lit("\n"), "text").alias("text")), "doc_id").drop("span")
 
 
 @query("ext_14_needs_ocr", "SELECT doc_id, length(trim(t)) < 100 OR NOT regexp_matches(t, '(?i)ansatt|aarsverk|arsverk|årsverk|sysselsatt') AS ocr FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' ANSATTE' ELSE '' END AS t FROM documents)")
@@ -217,6 +217,6 @@ def org_page_profiles(spark, folder):
         F.lit('"><a data-num-reactions="'), key, F.lit('"></a></article>'),
     )
     expected = F.concat(F.lit("https://linkedin.com/company/"), F.when(F.col("c_custkey") % 4 == 3, "wrong").otherwise(F.concat(F.lit("c"), key)))
-    profiles, posts = X.org_page_profiles(load(spark, folder, "customer").select(F.col("c_custkey").alias("page_id"), expected.alias("expected_url"), html.alias("html")))
+    profiles, posts = X.org_page_profiles(spread(load(spark, folder, "customer")).select(F.col("c_custkey").alias("page_id"), expected.alias("expected_url"), html.alias("html")))
     counts = posts.groupBy("page_id").agg(F.count("*").alias("posts"), F.sum("likes").alias("likes"))
     return profiles.join(counts, "page_id").select("page_id", "name", "page_url", "followers", "visible_employees", F.col("employee_size_label").alias("size_label"), "posts", "likes")
