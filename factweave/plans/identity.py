@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K, ids, text as T
 from ..operators import identity as I
 from . import base, sqltext as S
-from .catalog import load, query
+from .catalog import load, query, spread
 
 ORG = "organisation_number"
 
@@ -71,7 +71,7 @@ _SOCIAL_NAME = "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' AS' ELSE c_mk
 
 
 def social_links(spark, folder):
-    joined = load(spark, folder, "customer").join(load(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = spread(load(spark, folder, "customer")).join(load(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.selectExpr(
         f"CAST(100000000 + c_custkey AS STRING) AS {ORG}", f"{_SOCIAL_NAME} AS name", f"'https://linkedin.com/company/' || {_HANDLE} AS url"
     )

@@ -161,7 +161,8 @@ def feed_pages(entries: DataFrame, size: int, first: int = 0, order: str = "seq"
 def feed_entries(pages: DataFrame) -> DataFrame:
     """page, position and entry (JSON text) of each item of feed pages. A page that is no JSON object fails the read."""
     items = F.from_json("document", "items ARRAY<STRING>", {"mode": "FAILFAST"})["items"]
-    return pages.select("page", F.posexplode(items).alias("position", "entry"))
+    # the outer form, as a plain one takes the document apart twice
+    return pages.select("page", F.posexplode_outer(items).alias("position", "entry")).where("position IS NOT NULL")
 
 
 def snapshot_responses(pages: DataFrame) -> DataFrame:

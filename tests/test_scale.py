@@ -183,3 +183,24 @@ def test_only_unequal_buckets_are_read(spark, tmp_path):
     assert R.diff_snapshots(new, new, ["name"]).count() == 0
     with pytest.raises(Exception, match="datasets differ in membership: 5"):
         R.diff_snapshots(old, R.Snapshot.write(spark.createDataFrame([r for r in rows if r[0] != "5"], schema), str(tmp_path / "less")), ["name"]).count()
+
+
+def test_tables_of_one_file_are_dealt_over_all_cores(spark, folder):
+    from factweave.plans import base, identity
+
+    for made in (base.registry_raw, base.feed, identity.social_links):
+        assert made(spark, folder).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism, made.__name__
+
+
+def test_feed_entries_are_parsed_once(spark, folder):
+    from factweave.operators import feed, normalise
+    from factweave.plans import base
+    from factweave.sources.pages import feed_entries
+
+    pages = spark.createDataFrame([(0, '{"items": [{"id": "a"}, null, {"id": "b"}]}'), (1, '{"items": []}'), (2, "{}"), (3, None)], "page long, document string")
+    index = feed.job_index(normalise.parse_feed(base.feed(spark, folder)))
+    assert len(re.findall(r"parseJson", index._jdf.queryExecution().optimizedPlan().toString())) == 1
+    entries = feed_entries(pages)
+    assert len(re.findall(r"JsonToStructsEvaluator|from_json", entries._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert sorted((r.page, r.position, r.entry) for r in entries.collect() if r.entry) == [(0, 0, '{"id":"a"}'), (0, 2, '{"id":"b"}')]
+    assert entries.count() == 3
