@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 FORMAT = "numbered_pages"
 SCHEMA = "page long, document string"
+#: Characters of documents sent at once, tasks up to which a range of pages stays as short as asked, and pages of a longer one.
+_BATCH, _TASKS, _MOST = 1 << 20, 1024, 1024
 _NAME = re.compile(r"page-(\d{9})\.json")
 
 
@@ -44,9 +46,15 @@ class Store:
 
     def read(self, first: int, end: int) -> Iterator[pa.RecordBatch]:
         system, folder = self._open()
+        pages, documents, size = [], [], 0
         for page in range(first, end):
             with system.open_input_stream(f"{folder}/page-{page:09d}.json") as f:
-                yield pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int64()), "document": pa.array([f.read().decode()])})
+                pages.append(page)
+                documents.append(f.read().decode())
+            size += len(documents[-1])
+            if size >= _BATCH or page == end - 1:
+                yield pa.RecordBatch.from_pydict({"page": pa.array(pages, pa.int64()), "document": pa.array(documents, pa.string())})
+                pages, documents, size = [], [], 0
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> None:
         """Each page under a name of its own first, then renamed: a reader sees whole pages, and a task that runs again replaces its own."""
@@ -67,6 +75,8 @@ class Range(InputPartition):
 
 
 def _ranges(first: int, end: int, each: int) -> list[Range]:
+    """Ranges of ``each`` pages; of more, up to a bound, where these would be more than some thousand tasks."""
+    each = max(each, min(_MOST, -(-(end - first) // _TASKS)))
     return [Range(i, min(i + each, end)) for i in range(first, end, each)]
 
 
@@ -112,7 +122,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class NumberedPages(DataSource):
-    """Options: path; pagesPerTask, the pages that one task reads (16)."""
+    """Options: path; pagesPerTask, the pages that one task reads (16; more where a store has many thousands)."""
 
     @classmethod
     def name(cls) -> str:

@@ -204,3 +204,19 @@ def test_feed_entries_are_parsed_once(spark, folder):
     assert len(re.findall(r"JsonToStructsEvaluator|from_json", entries._jdf.queryExecution().optimizedPlan().toString())) == 1
     assert sorted((r.page, r.position, r.entry) for r in entries.collect() if r.entry) == [(0, 0, '{"id":"a"}'), (0, 2, '{"id":"b"}')]
     assert entries.count() == 3
+
+
+def test_a_store_of_many_pages_is_read_in_few_tasks(tmp_path):
+    from factweave.sources import pages as P
+
+    for n in (0, 5, 16_384, 360_000, 3_000_000):
+        ranges = P._ranges(3, 3 + n, 16)
+        assert [p for r in ranges for p in (r.first, r.end - 1)] == sorted(p for r in ranges for p in (r.first, r.end - 1))
+        assert sum(r.end - r.first for r in ranges) == n and (not n or (ranges[0].first, ranges[-1].end) == (3, 3 + n))
+        assert len(ranges) <= max(1024, -(-n // 1024))
+    import pyarrow as pa
+
+    store = P.Store(str(tmp_path))
+    store.write([pa.RecordBatch.from_pydict({"page": list(range(9)), "document": [f'{{"items": [{i}]}}' for i in range(9)]})])
+    batches = list(store.read(2, 9))
+    assert len(batches) == 1 and batches[0]["page"].to_pylist() == list(range(2, 9)) and batches[0]["document"].to_pylist()[0] == '{"items": [2]}'
