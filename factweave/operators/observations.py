@@ -283,13 +283,16 @@ def site_news(sites: DataFrame, pages: DataFrame) -> DataFrame:
 def mention_observations(entities: DataFrame, titles: DataFrame, run_ts: str, k: int | None = None) -> DataFrame:
     """News titles naming an entity in full, once per (title, publisher), or the first ``k`` per entity.
 
-    ``titles``: title_id, title, link, publisher, published_at. Rows are cut to the wanted columns
-    before the join brings them back to their entities.
+    ``titles``: title_id, title, link, publisher, published_at. Hits carry digests of their title until the rows
+    to keep are picked; whole titles are dealt once, however many entities they name.
     """
-    hits = title_mentions(entities, titles.where(text("link") != "")).join(titles, "title_id")
-    keyed = hits.withColumn("__t", F.lower("title")).withColumn("__p", F.lower(text("publisher")))
-    one = first_per_key(keyed, [ORG, "__t", "__p"], ["title_id"])
-    few = top_per_key(one, [ORG], ["title_id"], k)
+    told = F.to_json(F.struct(*[F.col(c) for c in titles.columns]), {"ignoreNullFields": "false"})
+    keyed = titles.withColumn("__row", F.sha2(told, 256))
+    narrow = keyed.select("title_id", "__row", F.sha2(F.lower("title"), 256).alias("__t"), F.sha2(F.lower(text("publisher")), 256).alias("__p"))
+    hits = title_mentions(entities, titles.where(text("link") != "")).join(narrow, "title_id")
+    one = first_per_key(hits, [ORG, "__t", "__p"], ["title_id", "__row"])
+    picked = one.select(ORG, "legal_name", "title_id", "__row").join(keyed.dropDuplicates(["title_id", "__row"]), ["title_id", "__row"]).drop("__row")
+    few = top_per_key(picked, [ORG], ["title_id"], k)
     return fan_out(few, (None, observation(
         id=F.concat(F.lit("google-news-title-"), F.substring(F.sha2(F.concat_ws("|", ORG, "title", "publisher"), 256), 1, 24)), platform="news", signal_type="public_mention",
         source_url=F.col("link"), retrieved_at=run_ts, effective_at=F.col("published_at"), content_sha256=F.sha2(F.concat_ws("|", "title", "publisher"), 256), exact_entity=True,

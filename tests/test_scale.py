@@ -220,3 +220,17 @@ def test_a_store_of_many_pages_is_read_in_few_tasks(tmp_path):
     store.write([pa.RecordBatch.from_pydict({"page": list(range(9)), "document": [f'{{"items": [{i}]}}' for i in range(9)]})])
     batches = list(store.read(2, 9))
     assert len(batches) == 1 and batches[0]["page"].to_pylist() == list(range(2, 9)) and batches[0]["document"].to_pylist()[0] == '{"items": [2]}'
+
+
+def test_titles_are_not_dealt_with_every_entity_they_name(spark):
+    from factweave.operators import observations as O
+
+    names = spark.createDataFrame([("100000001", "Alfa"), ("100000002", "Alfa Beta")], f"{ORG} string, name string")
+    rows = [(1, "Alfa Beta vinner", "l", "p", None), (1, "Alfa Beta vinner", "l", "p", None), (1, "ALFA beta taper", "m", "p", "d"), (2, "ALFA BETA VINNER", "l", "P", None), (3, "Alfa Beta vinner", "", "q", None), (4, "Alfa", "l", None, None)]
+    titles = spark.createDataFrame(rows, "title_id long, title string, link string, publisher string, published_at string")
+    out = O.mention_observations(names, titles, "2026-01-01T00:00:00Z")
+    got = sorted((r[ORG], r.evidence_span, r.source_url, r.effective_at) for r in out.collect())
+    assert got == sorted([("100000001", "Alfa", "l", None)] + [(o, t, u, e) for o in ("100000001", "100000002") for t, u, e in (("Alfa Beta vinner", "l", None), ("ALFA beta taper", "m", "d"))])
+    text = plan(out)
+    assert not re.search(r"Exchange hashpartitioning\(organisation_number#\d+, (?:lower|__t#\d+, __p#\d+, title)", text)
+    assert not any("title#" in line for line in re.findall(r"Window \[[^\n]*", text))
