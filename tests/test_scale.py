@@ -234,3 +234,13 @@ def test_titles_are_not_dealt_with_every_entity_they_name(spark):
     text = plan(out)
     assert not re.search(r"Exchange hashpartitioning\(organisation_number#\d+, (?:lower|__t#\d+, __p#\d+, title)", text)
     assert not any("title#" in line for line in re.findall(r"Window \[[^\n]*", text))
+
+
+def test_a_gate_on_observations_computes_each_column_once(spark, folder):
+    from factweave.operators import gates as G
+    from factweave.plans import base
+
+    gated = base.observations(spark, folder).where(G.publishable()).select(ORG, "retrieved_at")
+    optimised = gated._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("regexp_extract(props") == 1 and optimised.count("date_format(") == 1 and "Repartition" in optimised
+    assert max(line.count("CASE WHEN") for line in optimised.splitlines() if line.lstrip(" +-:").startswith("Filter")) <= 3
