@@ -244,3 +244,28 @@ def test_a_gate_on_observations_computes_each_column_once(spark, folder):
     optimised = gated._jdf.queryExecution().optimizedPlan().toString()
     assert optimised.count("regexp_extract(props") == 1 and optimised.count("date_format(") == 1 and "Repartition" in optimised
     assert max(line.count("CASE WHEN") for line in optimised.splitlines() if line.lstrip(" +-:").startswith("Filter")) <= 3
+
+
+def test_ledger_rows_are_read_twice_and_sources_join_by_entity(spark, tmp_path):
+    from factweave.operators import contract as C
+
+    states = "registry_status string, financials_status string, roles_status string, locations_status string, website_status string, website_publishable boolean, website_url string, website_score double, registry_site string"
+    profiles = spark.createDataFrame([("1", "available", None, "available", None, "available", True, "https://a/", None, "a.no"), ("2", None, "not_found", None, None, "not_found", None, None, None, " "), ("3", None, None, None, None, "blocked", None, None, None, "c.no")], f"{ORG} string, {states}")
+    records = spark.createDataFrame([("1", 1, "2024", 5.0, None), ("1", 2, "2023", None, None), ("2", 1, "2024", None, None)], f"{ORG} string, seq int, period string, revenue double, debt double")
+    items = spark.createDataFrame([(o, "news", n, v, v) for o in "13" for n, v in ((None, "a"), (1, "b"), (9000, "c"))], f"{ORG} string, kind string, seq int, value string, quote string")
+    entries = C.ledger(profiles, records=records, site_items=items, socials=spark.createDataFrame([("1", "x", "u"), ("3", "x", "u")], f"{ORG} string, platform string, url string"))
+    assert plan(entries.select("*")).count("FileScan") == 2
+    got = {(r[ORG], r.kind, r.field, r.value, r.evidence_id) for r in entries.collect()}
+    assert got == {
+        ("1", "head", None, None, "ev-registry"), ("1", "fact", "financials.revenue", "5.0", "ev-fin-1"), ("1", "head", None, None, "ev-roles"), ("1", "shared", "roles", None, "ev-roles"),
+        ("1", "head", None, None, "ev-website"), ("1", "shared", "official_website", "https://a/", "ev-website"), ("1", "fact", "news", "a", "ev-web-3"), ("1", "fact", "news", "b", "ev-web-5"),
+        ("1", "fact", "news", "c", "ev-web-6"), ("1", "fact", "social.x", "u", "ev-web-7"), ("2", "head", None, None, "ev-financials"), ("2", "head", None, None, "ev-website"),
+        ("2", "shared", "official_website", None, "ev-website"), ("3", "head", None, None, "ev-website"), ("3", "shared", "official_website", "c.no", "ev-registry"), ("3", "fact", "social.x", "u", "ev-web-1"),
+    }
+    sources = spark.createDataFrame([("1", "r", "w"), ("1", "r2", "w2"), ("2", "q", None)], f"{ORG} string, registry_source_url string, website_source_url string")
+    claimed = spark.createDataFrame([("1", "ev-web-3", "s"), ("1", "ev-web-3", "t"), ("1", "ev-registry", None), ("1", "other", None), ("2", "ev-website", "v"), ("9", "ev-fin-1", "x")], f"{ORG} string, evidence_id string, span string")
+    known = C.evidence(claimed, sources)
+    assert "module" not in "".join(re.findall(r"Exchange hashpartitioning[^\n]*", plan(known)))
+    assert sorted(tuple(str(x) for x in r) for r in known.select(ORG, "evidence_id", "source_url", "span").collect()) == sorted([
+        ("1", "ev-web-3", "w", "t"), ("1", "ev-web-3", "w2", "t"), ("1", "ev-registry", "r", "None"), ("1", "ev-registry", "r2", "None"), ("1", "other", "None", "None"), ("2", "ev-website", "None", "v"), ("9", "ev-fin-1", "None", "x"),
+    ])
