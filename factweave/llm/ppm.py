@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WordHashes, as_bytes, map_batches, mixed, scan_parts, sliced, stored
+from .common import as_bytes, map_batches, mixed, scan_parts, sliced, stored
 
 _EDGE = 0xFF
 #: Bytes of text handled at a time, distinct contexts a worker adds up before it sends them, those not yet
@@ -38,6 +38,9 @@ _SENT = 1 << 16
 _PART = 1 << 24
 #: Bytes of text scored at a time.
 _PIECE = 1 << 18
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first bytes, 0 to 8, of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +62,28 @@ def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], starts
 
 
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of the texts, A-Z lower-cased, each text's followed by that of its end, the
+    empty word; and where each text's hashes begin. Eight bytes of all words are hashed at a time."""
+    joined = b"".join(t + b" " for t in texts).lower() + bytes(8)
+    raw = np.frombuffer(joined, np.uint8, len(joined) - 8)
+    blank = (raw == 32) | (raw - np.uint8(9) < 5)
+    turns = np.flatnonzero(np.diff(blank, prepend=True))  # where a word begins, where it ends, and so on
+    at, left = turns[::2], turns[1::2] - turns[::2]
+    eights = np.ndarray(len(raw) + 1, "<u8", joined, strides=(1,))  # the eight bytes from each byte on
+    hashes = mixed(left.astype(np.uint64) * _ODD + (eights[at] & _FIRST[np.minimum(left, 8)]))
+    more = np.flatnonzero(left > 8)
+    at, left = at[more], left[more]
+    while len(more):
+        at, left = at + 8, left - 8
+        hashes[more] = mixed(hashes[more] * _ODD + (eights[at] & _FIRST[np.minimum(left, 8)]))
+        longer = left > 8
+        more, at, left = more[longer], at[longer], left[longer]
+    ends = np.searchsorted(turns[::2], np.cumsum([len(t) + 1 for t in texts]))
+    starts = np.concatenate([[0], ends[:-1]]) + np.arange(len(texts))
+    return np.insert(hashes, ends, mixed(np.zeros(1, np.uint64))[0]), starts
+
+
 def chunks(texts: Iterator[bytes], most: int = _CHUNK) -> Iterator[list[bytes]]:
     held, n = [], 0
     for t in texts:
@@ -98,7 +123,7 @@ class Index:
                 left, slot = left[rest], (slot[rest] + 1) & (self.size - 1)
 
     def place(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys) & np.uint64(self.size - 1)).astype(np.int64)
+        return ((keys * _ODD) >> np.uint64(65 - self.size.bit_length())).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, or -1."""
@@ -213,18 +238,14 @@ def held_out(modulus: int = 10) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 0, F.lit(False))
 
 
-def _tokens(text: bytes | None, memo: WordHashes) -> np.ndarray:
-    """Hashes of the words and of the end, which is the empty word."""
-    return memo.of([*(text.lower().split() if text else ()), b""])
-
-
 def _features(parts: DataFrame, order: int) -> DataFrame:
     """(part, word, key, n): the distinct words (word true) of each part and its distinct runs of order + 1
     bytes, and their number in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, pending, held, size = WordHashes(), {}, {}, 0
-        texts: dict[tuple[int, bool], list] = {}  # the texts of a part not yet cut into runs, and their bytes
+        pending, held, size = {}, {}, 0
+        bounds: dict[tuple[int, bool], np.ndarray] = {}  # where the buckets of a part's words or runs begin
+        texts: dict[tuple[int, bool], list] = {}  # the texts of a part not yet cut into words and runs, and their bytes
 
         def put(part: int, word: bool, keys: np.ndarray, n: np.ndarray) -> None:
             nonlocal size
@@ -232,21 +253,26 @@ def _features(parts: DataFrame, order: int) -> DataFrame:
             size += len(keys)
 
         def fold() -> int:
-            """Adds up what is pending, in 16 buckets of keys one after the other, as sorting needs several copies; says how much is held."""
+            """Adds up what is pending, in 16 buckets of keys one after the other, as sorting needs several copies; says how much is held.
+            The keys pending are in order, so that a bucket is a slice; the first of them set where buckets begin."""
             nonlocal size
             while pending:
                 key, own = pending.popitem()
-                keys, n = (np.concatenate(x) for x in zip(*own))
-                bucket, sums = mixed(keys) >> np.uint64(60), held.setdefault(key, [(keys[:0], n[:0])] * 16)
+                if key not in bounds:
+                    first = max((k for k, _ in own), key=len)
+                    bounds[key] = first[np.arange(1, 16) * len(first) // 16]
+                sums = held.setdefault(key, [(own[0][0][:0], own[0][1][:0])] * 16)
+                cuts = [[0, *np.searchsorted(k, bounds[key]).tolist(), len(k)] for k, _ in own]
                 for b in range(16):
-                    at = bucket == b
-                    sums[b] = _added([sums[b], (keys[at], n[at])])
+                    sums[b] = _added([sums[b], *((k[c[b] : c[b + 1]], n[c[b] : c[b + 1]]) for (k, n), c in zip(own, cuts))])
             size = 0
             return sum(len(k) for sums in held.values() for k, _ in sums)
 
         def cut(part: int, out: bool) -> None:
-            codes, n = np.unique(contexts(texts.pop((part, out))[0], order)[0], return_counts=True)
-            put(part, False, codes, n * (not out))
+            own, _ = texts.pop((part, out))
+            for word, made in ((True, words(own)[0]), (False, contexts(own, order)[0])):
+                keys, n = np.unique(made, return_counts=True)
+                put(part, word, keys, n * (not out))
 
         def send() -> Iterator[pa.RecordBatch]:
             while held:
@@ -256,8 +282,6 @@ def _features(parts: DataFrame, order: int) -> DataFrame:
 
         for batch in sliced(batches):
             for part, out, text in zip(batch["part"].to_pylist(), batch["held_out"].to_pylist(), as_bytes(batch["text"])):
-                words, n = np.unique(_tokens(text, memo), return_counts=True)
-                put(part, True, words, n * (not out))
                 own = texts.setdefault((part, out), [[], 0])
                 own[0].append(text or b"")
                 own[1] += len(text or b"") + 1
@@ -278,15 +302,17 @@ def _needs(parts: DataFrame, order: int, resolution: int | None) -> DataFrame:
     this part is the first with it) and the score of each of its runs (flag -1)."""
     group = F.when(F.col("word"), F.col("key")).otherwise(_context("key"))
     each = _features(parts, order).withColumn("group", group).repartition("word", "group")
-    of_key, of_group = Window.partitionBy("word", "group", "key"), Window.partitionBy("word", "group")
-    each = each.withColumn("c", F.sum("n").over(of_key)).withColumn("first", F.row_number().over(of_key.orderBy("part", "n")) == 1)
-    each = stored(each.withColumn("total", F.sum("n").over(of_group)), "features") if resolution else each.withColumn("total", F.sum("n").over(of_group))
+    # The group is the first column in order, as its bits nearly settle a comparison, and the finest order is made first, as it serves all windows.
+    of_key, of_group = Window.partitionBy("group", "word", "key"), Window.partitionBy("group", "word")
+    each = each.withColumn("first", F.row_number().over(of_key.orderBy("part", "n")) == 1).withColumn("c", F.sum("n").over(of_key))
     least = 1
     if resolution:
+        each = stored(each, "features")
         least = max(1, -(-(each.where("NOT word").agg(F.sum("n")).first()[0] or 0) // resolution))
     limit = least if order > 1 else 1
     node = F.col("first") & (F.col("c") >= limit)
     sized = each.withColumns({
+        "total": F.sum("n").over(of_group),
         "kept": F.coalesce(F.sum(F.when(node, F.col("c"))).over(of_group), F.lit(0)), "distinct": F.count(F.when(node, 1)).over(of_group),
         "open": F.min("c").over(of_group) < limit,
     })
@@ -322,7 +348,7 @@ def language_scores(docs: DataFrame, order: int = 5, resolution: int | None = No
     needs = _needs(placed.repartitionById(n, F.col("part")), order, resolution)
 
     def run(docs: pa.Table, needs: pa.Table) -> pa.Table:
-        memo, batches = WordHashes(), needs.to_batches()
+        batches = needs.to_batches()
         of_runs = [b["flag"].to_numpy() < 0 for b in batches]
 
         def column(name: str, kind: type, runs: bool) -> np.ndarray:
@@ -330,25 +356,23 @@ def language_scores(docs: DataFrame, order: int = 5, resolution: int | None = No
 
         index, score = Index(column("key", np.int64, True).view(np.uint64)), column("value", np.float64, True)
         word, term, flag = column("key", np.int64, False).view(np.uint64), column("value", np.float64, False), column("flag", np.int32, False)
-        by = np.argsort(word)
-        word, term, flag = word[by], term[by], flag[by]
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "words", "score")}
+        of_words = Index(word)
+        out: dict[str, list] = {k: [np.zeros(0, kind)] for k, kind in (("n_tokens", np.int64), ("n_known", np.int64), ("words", np.float64), ("score", np.float64))}
         for texts in chunks((t or b"" for batch in sliced(docs.select(["text"]).to_batches()) for t in as_bytes(batch["text"])), _PIECE):
             codes, starts = contexts(texts, order)
             out["score"].append(np.add.reduceat(score[index.find(codes)], starts))
-            for t in texts:
-                at = np.searchsorted(word, _tokens(t, memo))
-                out["n_tokens"].append(len(at))
-                out["n_known"].append(int((flag[at] > 0).sum()))
-                out["words"].append(float(term[at].sum()))
+            hashes, starts = words(texts)
+            at = of_words.find(hashes)
+            out["n_tokens"].append(np.diff(starts, append=len(at)))
+            out["n_known"].append(np.add.reduceat((flag[at] > 0).astype(np.int64), starts))
+            out["words"].append(np.add.reduceat(term[at], starts))
         first = int((flag == 3).sum())
         # One more row tells how many of the corpus's words this part is the first to hold.
-        add = lambda column, value, kind: pa.concat_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, pa.array([value], kind)])
+        add = lambda column, value, kind: pa.concat_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else pa.array(np.concatenate(column), kind), pa.array([value], kind)])
         return pa.table({
             "doc_id": add(docs["doc_id"], None, pa.int64()), "held_out": add(docs["held_out"], True, pa.bool_()),
-            "n_tokens": add(pa.array(out["n_tokens"], pa.int64()), 0, pa.int64()), "n_known": add(pa.array(out["n_known"], pa.int64()), 0, pa.int64()),
-            "words": add(pa.array(out["words"], pa.float64()), 0.0, pa.float64()), "score": add(pa.array(np.concatenate(out["score"]) if out["score"] else [], pa.float64()), 0.0, pa.float64()),
-            "own": add(pa.array(np.zeros(len(docs), np.int64)), first, pa.int64()), "stat": add(pa.array(np.zeros(len(docs), bool)), True, pa.bool_()),
+            "n_tokens": add(out["n_tokens"], 0, pa.int64()), "n_known": add(out["n_known"], 0, pa.int64()), "words": add(out["words"], 0.0, pa.float64()), "score": add(out["score"], 0.0, pa.float64()),
+            "own": add([np.zeros(len(docs), np.int64)], first, pa.int64()), "stat": add([np.zeros(len(docs), bool)], True, pa.bool_()),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, words double, score double, own long, stat boolean"

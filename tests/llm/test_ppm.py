@@ -106,6 +106,37 @@ def test_index_finds_all_keys_and_nothing_else():
     assert (ppm.Index(keys[:0]).find(keys[:9]) == -1).all()
 
 
+def test_words_are_those_of_split_and_equal_words_alone_have_equal_hashes():
+    rng = random.Random(7)
+    made = [bytes(rng.choice(b"abABz \t\n\x0b\x0c\r\x00\x08\x0e\x1c\x85\xa0\xc3\xff") for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    made += [b"", b" ", b"a", b"a ", b" a", b"x" * 7, b"x" * 8, b"x" * 9, b"x" * 8 + b"\0", b"x" * 17, b"\0", b"\0\0", b"Word word WORD", b""]
+    hashes, starts = ppm.words(made)
+    want = [[*t.lower().split(), b""] for t in made]
+    assert np.diff(starts, append=len(hashes)).tolist() == [len(w) for w in want]
+    pairs = set(zip(hashes.tolist(), (w for own in want for w in own), strict=True))
+    assert len(pairs) == len({w for own in want for w in own}) == len({h for h, _ in pairs})
+    one = [ppm.words([t])[0].tolist() for t in made]
+    assert [h for own in one for h in own] == hashes.tolist()
+
+
+def test_features_are_ordered_once_and_by_the_group_first(spark, docs_of):
+    parts = docs_of([(i, f"some words {i}") for i in range(30)]).selectExpr("0 AS part", "false AS held_out", "text")
+    plan = ppm._features(parts, 5)
+    seen = []
+
+    def stored(df, name):
+        if name == "sized":
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ppm, "stored", stored)
+        m.setattr(ppm, "_features", lambda *_: plan)
+        ppm._needs(parts, 5, None)
+    sorts = [line for line in seen[0].splitlines() if "Sort [" in line]
+    assert len(sorts) == 1 and "Sort [group" in sorts[0]
+
+
 def test_empty_table_and_no_training(spark, docs_of):
     assert ppm.language_scores(docs_of([])).collect() == []
     row = ppm.language_scores(docs_of([(20, "ab")]) if zlib.crc32(b"20") % 10 == 0 else docs_of([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0), "ab")])).first()
