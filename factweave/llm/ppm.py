@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import as_bytes, map_batches, mixed, scan_parts, sliced, stored
@@ -39,6 +40,8 @@ _PART = 1 << 24
 #: Bytes of text scored at a time.
 _PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word hashed together with the other words'; a longer word is hashed by itself.
+_LONG = 64
 #: Masks of the first bytes, 0 to 8, of a little-endian number.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -64,7 +67,7 @@ def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of the texts, A-Z lower-cased, each text's followed by that of its end, the
-    empty word; and where each text's hashes begin. Eight bytes of all words are hashed at a time."""
+    empty word; and where each text's hashes begin. Eight bytes of all words are hashed at a time, but for long ones."""
     joined = b"".join(t + b" " for t in texts).lower() + bytes(8)
     raw = np.frombuffer(joined, np.uint8, len(joined) - 8)
     blank = (raw == 32) | (raw - np.uint8(9) < 5)
@@ -72,7 +75,9 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at, left = turns[::2], turns[1::2] - turns[::2]
     eights = np.ndarray(len(raw) + 1, "<u8", joined, strides=(1,))  # the eight bytes from each byte on
     hashes = mixed(left.astype(np.uint64) * _ODD + (eights[at] & _FIRST[np.minimum(left, 8)]))
-    more = np.flatnonzero(left > 8)
+    for i in np.flatnonzero(left > _LONG).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(memoryview(joined)[at[i] : at[i] + left[i]])
+    more = np.flatnonzero((left > 8) & (left <= _LONG))
     at, left = at[more], left[more]
     while len(more):
         at, left = at + 8, left - 8

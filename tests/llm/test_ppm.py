@@ -110,6 +110,7 @@ def test_words_are_those_of_split_and_equal_words_alone_have_equal_hashes():
     rng = random.Random(7)
     made = [bytes(rng.choice(b"abABz \t\n\x0b\x0c\r\x00\x08\x0e\x1c\x85\xa0\xc3\xff") for _ in range(rng.randint(0, 90))) for _ in range(400)]
     made += [b"", b" ", b"a", b"a ", b" a", b"x" * 7, b"x" * 8, b"x" * 9, b"x" * 8 + b"\0", b"x" * 17, b"\0", b"\0\0", b"Word word WORD", b""]
+    made += [b"ab " + c * n + e for c in (b"y", b"Y", b"yz") for n in (63, 64, 65, 66, 200, 1 << 20) for e in (b"", b"\0", b" c")]
     hashes, starts = ppm.words(made)
     want = [[*t.lower().split(), b""] for t in made]
     assert np.diff(starts, append=len(hashes)).tolist() == [len(w) for w in want]
